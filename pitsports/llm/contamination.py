@@ -99,7 +99,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 OP1_SQL = r"""
 WITH tokens AS (
-  SELECT id, kind, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT id, kind, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id AS id, 'd' AS kind, text FROM documents UNION ALL SELECT item_id, 'i', text FROM benchmark)
 ), shingles AS (
   SELECT DISTINCT id, kind, array_to_string(w[i : i + 4], ' ') AS s

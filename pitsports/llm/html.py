@@ -229,8 +229,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = [extract(x if isinstance(x, str) else None) for x in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string")
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string")
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def _lines(text: Column) -> Column:
 
 
 def _is_candidate(line: Column, min_words: int) -> Column:
-    return line.rlike(rf"^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{min_words - 1},}}$" if min_words > 1 else r"[^\x20\x09-\x0D]")
+    return line.rlike(rf"^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{min_words - 1}}}" if min_words > 1 else r"[^\x20\x09-\x0D]")
 
 
 def _keyed(docs: DataFrame, site: str, min_words: int) -> DataFrame:
@@ -111,18 +111,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS at FROM documents
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), keyed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines
 ), spread AS (
   SELECT k FROM keyed
-  WHERE regexp_matches(k, '^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{MIN_WORDS - 1},}}$')
+  WHERE regexp_matches(k, '^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}')
   GROUP BY k HAVING count(DISTINCT source) >= {MIN_SITES}
 ), marked AS (
   SELECT keyed.*, k IN (SELECT k FROM spread) AS gone FROM keyed
 ), kept AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS text
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
   FROM marked GROUP BY doc_id
 )
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_kept, md5(text) AS kept_md5 FROM kept
