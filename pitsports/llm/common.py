@@ -51,8 +51,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i in 0..n, grown by doubling and kept for the worker's life."""
-    size = 1 << max(16, int(n + 1).bit_length())
-    if size not in _powers:
+    size = max(_powers, default=0)
+    if size <= n:
+        size = 1 << max(16, int(n + 1).bit_length())
         _powers.clear()
         up = np.full(size, U(BASE))
         down = np.full(size, U(BASE_INVERSE))

@@ -1,0 +1,27 @@
+"""Queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from pitsports.llm.contamination import OP1_SQL, op1_benchmark_decontamination
+from pitsports.llm.html import op6_html_extraction
+from pitsports.llm.language import op5_language_id
+from pitsports.llm.lines import OP3_SQL, op3_line_dedup
+from pitsports.llm.pii import op7_pii
+from pitsports.llm.quality import op8_quality_rules
+from pitsports.llm.suffixes import op4_suffix_array_dedup
+from pitsports.llm.tokens import op10_token_output
+
+QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_pii": op7_pii,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_token_output": op10_token_output,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+}
