@@ -11,7 +11,7 @@ every such pair, whatever the document's length. Candidates are then verified by
 Per document, only the hashes that occur in some item leave the Python worker. The items' hashes are broadcast while
 their counted number stays below ``broadcast_limit``; beyond it the documents' hashes meet them in a shuffle join.
 
-Edge cases: null or blank texts and texts of fewer than five words have no shingles and match nothing; items that repeat
+Edge cases: rows with a null id are skipped; null or blank texts and texts of fewer than five words have no shingles and match nothing; items that repeat
 under several ids match under each; repeated document rows give repeated rows of ``op1``'s pairs only once per
 (doc_id, item_id); empty tables give no pairs; other columns are ignored.
 """
@@ -73,14 +73,14 @@ def search(docs: DataFrame, items: DataFrame, broadcast_limit: int = BROADCAST_L
     """Rows (doc_id, item_id, n_item_shingles, n_common): every document that holds an item."""
     spark = docs.sparkSession
     index = settle(sketches(items))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where("doc_id is not null")  # as text, ids stay exact
     distinct = index.select("h").distinct()
     if index.count() <= broadcast_limit:
         keys = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
-        found = docs.mapInPandas(_hits("doc_id", spark.sparkContext.broadcast(keys)), "doc_id long, h long")
+        found = docs.mapInPandas(_hits("doc_id", spark.sparkContext.broadcast(keys)), "doc_id string, h long")
     else:
-        found = docs.mapInPandas(_sets("doc_id"), "doc_id long, h long").join(distinct, "h", "left_semi")
-    found = settle(found.distinct())
+        found = docs.mapInPandas(_sets("doc_id"), "doc_id string, h long").join(distinct, "h", "left_semi")
+    found = settle(found.select(F.col("doc_id").cast("long").alias("doc_id"), "h").distinct())
     candidates = found.join(index.where("in_sketch"), "h").select("doc_id", "item_id").distinct()
     common = found.join(index.select("item_id", "h", "n"), "h").join(candidates, ["doc_id", "item_id"], "left_semi")
     num, den = CONTAINMENT

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pitsports.llm.contamination import OP1_SQL, op1_benchmark_decontamination
 from pitsports.llm.html import op6_html_extraction
+from pitsports.llm.jaccard import op9_ngram_jaccard_join
 from pitsports.llm.language import op5_language_id
 from pitsports.llm.lines import OP3_SQL, op3_line_dedup
 from pitsports.llm.pii import op7_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_output": op10_token_output,
 }
 ORACLE_SQL: dict[str, str] = {
