@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by PartEnum signatures, and its connected components.
 
-A document's set holds its distinct shingles of four words (A-Z lower-cased); a text with fewer words has its whole
-sequence as one shingle; a text without words has the empty set and no links. Two documents link if
-``100 * |A & B| >= 85 * |A | B|``.
+A document's set holds its distinct shingles of ``width`` words, four by default (A-Z lower-cased); a text with fewer words
+has its whole sequence as one shingle; a text without words has the empty set and no links. Two documents link if
+``den * |A & B| >= num * |A | B|``, by default from a similarity of 85 / 100.
 
 *Exact copies.* Documents with the same set form one class; only classes are joined.
 
@@ -30,6 +30,8 @@ left out; ties go to the smallest id; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -40,8 +42,21 @@ from pyspark.sql import functions as F
 
 from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, distinct_per_owner, mix, settle, shingle_hashes, word_hashes
 
-WIDTH = 4
-NUM, DEN = 85, 100
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity ``num / den`` from which two sets link."""
+
+    width: int = 4
+    num: int = 85
+    den: int = 100
+
+    def allowed(self, total: int) -> int:
+        """Largest number of differing shingles of two linked sets whose sizes sum to ``total``."""
+        return total * (self.den - self.num) // (self.den + self.num)
+
+
 #: Ratio of a band's sizes, spare partitions, largest number of signatures of a small band, bits of a sketch.
 RATIO, SPARE, SMALL, BITS = 1.5, 2, 24, 512
 #: Members of an open signature that one task compares at a time.
@@ -56,14 +71,9 @@ def bands(largest: int) -> list[int]:
     return ends
 
 
-def allowed(total: int) -> int:
-    """Largest number of differing shingles of two linked sets whose sizes sum to ``total``."""
-    return total * (DEN - NUM) // (DEN + NUM)
-
-
-def plan(low: int, high: int) -> tuple[int, int, int]:
+def plan(rule: Rule, low: int, high: int) -> tuple[int, int, int]:
     """(n1, n2, k2) for the band of sizes ``low`` to ``high``: the most shingles in a signature for a bounded number of them."""
-    k = allowed(2 * high)
+    k = rule.allowed(2 * high)
     best = (k + 1 + SPARE, 1, 0)
     if k == 0:
         return 1, 1, 0
@@ -83,9 +93,9 @@ def _sums(h: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
     return low + (high << U(32))
 
 
-def _sets(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sets(rule: Rule, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes ordered by text, their texts, and the size of every text's set."""
-    h, owner = distinct_per_owner(*shingle_hashes(*word_hashes(texts), WIDTH, True))
+    h, owner = distinct_per_owner(*shingle_hashes(*word_hashes(texts), rule.width, True))
     return h, owner, np.bincount(owner, minlength=len(texts))
 
 
@@ -93,10 +103,10 @@ def _node(h: np.ndarray, owner: np.ndarray, n: int, salt: int) -> np.ndarray:
     return mix(_sums(mix(h ^ U(salt)), owner, n))
 
 
-def _describe(frames):
+def _describe(rule: Rule, frames):
     """A row for each document: size, two hashes of the set, and its parity sketch."""
     for pdf in batches(frames):
-        h, owner, size = _sets(pdf["text"].tolist())
+        h, owner, size = _sets(rule, pdf["text"].tolist())
         bit = owner * BITS + (mix(h ^ U(MIX_2)) >> U(64 - 9)).astype(np.int64)
         parity = (np.bincount(bit, minlength=len(pdf) * BITS) & 1).astype(bool).reshape(len(pdf), BITS)
         sketch = np.packbits(parity, axis=1)
@@ -111,7 +121,7 @@ def _describe(frames):
         )
 
 
-def signatures(h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets (``owner`` numbers them, ``size`` counts them) and the set that each belongs to."""
     ends = bands(int(size.max(initial=0)))
     starts = np.cumsum(size) - size
@@ -120,11 +130,11 @@ def signatures(h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.n
     for j in range(len(ends)):
         low = ends[j]
         high = (ends[j + 1] if j + 1 < len(ends) else max(low + 1, int(low * RATIO))) - 1
-        smallest = -(-low * NUM // DEN)
+        smallest = -(-low * rule.num // rule.den)
         take = np.flatnonzero((size > 0) & ((own_band == j) | ((own_band < j) & (size >= smallest))))
         if not len(take):
             continue
-        n1, n2, k2 = plan(smallest, high)
+        n1, n2, k2 = plan(rule, smallest, high)
         k = size[take]
         at = np.repeat(starts[take] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         number = np.repeat(np.arange(len(take)), k)
@@ -165,7 +175,7 @@ def _stars(sig: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return is_hub, order[other], hub[other]
 
 
-def _map_side(frames):
+def _map_side(rule: Rule, frames):
     """Rows (sig, a, b): a node under a signature (b = a), or a star pair found inside the task."""
     held, size = [], 0
 
@@ -176,13 +186,13 @@ def _map_side(frames):
         yield pd.DataFrame({"sig": sig[other].view(np.int64), "a": hub, "b": a[other]})
 
     for pdf in batches(frames):
-        h, owner, count = _sets(pdf["text"].tolist())
+        h, owner, count = _sets(rule, pdf["text"].tolist())
         node = _node(h, owner, len(pdf), MIX_1).view(np.int64)
         _, once = np.unique(node, return_index=True)
         keep = np.zeros(len(pdf), bool)
         keep[once] = True
         h, owner = h[keep[owner]], owner[keep[owner]]
-        sig, own = signatures(h, owner, np.where(keep, count, 0))
+        sig, own = signatures(rule, h, owner, np.where(keep, count, 0))
         held.append((sig, node[own]))
         size += len(sig)
         if size > 2_000_000:
@@ -239,35 +249,38 @@ def components(links: DataFrame) -> DataFrame:
 class Join:
     """One self-join of ``docs`` (``doc`` long, ``text``): nodes, star pairs, verification and components."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
-        self.nodes = settle(docs.mapInPandas(_describe, "doc long, size long, node long, check long, sketch binary"))
+    def __init__(self, docs: DataFrame, rule: Rule = Rule()):  # noqa: B008
+        self.docs, self.rule = docs, rule
+        self.nodes = settle(docs.mapInPandas(partial(_describe, rule), "doc long, size long, node long, check long, sketch binary"))
         classes = self.nodes.where("size > 0").groupBy("node", "check", "size")
         self.classes = settle(classes.agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")))
 
     def stars(self) -> DataFrame:
-        rows = self.docs.where("text is not null").mapInPandas(_map_side, "sig long, a long, b long")
+        rows = self.docs.where("text is not null").mapInPandas(partial(_map_side, self.rule), "sig long, a long, b long")
         deal = F.when(F.col("a") == F.col("b"), F.col("sig")).otherwise(F.xxhash64("b"))
         return settle(rows.repartition(deal).sortWithinPartitions("sig").mapInPandas(_by_signature, "sig long, a long, b long"))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sizes and sketches allow a link."""
+        num, den = self.rule.num, self.rule.den
         c = self.classes.select("node", "size", "sketch")
         both = pairs.join(c.toDF("a", "na", "sa"), "a").join(c.toDF("b", "nb", "sb"), "b")
-        limit = F.floor((F.col("na") + F.col("nb")) * (DEN - NUM) / (DEN + NUM))
+        limit = F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))
         words = [f"conv(hex(substring({{0}}, {8 * i + 1}, 8)), 16, -10)" for i in range(BITS // 64)]
         apart = sum(
             (F.bit_count(F.expr(w.format("sa")).cast("long").bitwiseXOR(F.expr(w.format("sb")).cast("long"))) for w in words), F.lit(0)
         )
-        sized = both.where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
+        sized = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
         return sized.where(apart <= limit).select("a", "b")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, size, shingles) of the given nodes, read from one document of each class."""
 
+        rule = self.rule
+
         def run(frames):
             for pdf in batches(frames):
-                h, owner, size = _sets(pdf["text"].tolist())
+                h, owner, size = _sets(rule, pdf["text"].tolist())
                 own = _node(h, owner, len(pdf), MIX_1).view(np.int64) == pdf["node"].to_numpy()  # else a text of an equal id
                 cut = np.split(h, np.cumsum(size)[:-1])
                 yield pd.DataFrame({"node": pdf["node"], "set": [x.tobytes() for x in cut]})[own]
@@ -279,6 +292,7 @@ class Join:
         """Those of ``pairs`` (a, b) that link, by their common shingles."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = settle(self.sets(nodes))
+        rule = self.rule
 
         def run(frames):
             for pdf in frames:
@@ -286,7 +300,7 @@ class Join:
                 for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
                     x, y = np.frombuffer(x, U), np.frombuffer(y, U)
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = DEN * common >= NUM * (len(x) + len(y) - common)
+                    keep[i] = rule.den * common >= rule.num * (len(x) + len(y) - common)
                 yield pdf.loc[keep, ["a", "b"]]
 
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -313,6 +327,8 @@ class Join:
             "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "sketch"
         )
 
+        rule = self.rule
+
         def run(pdf):
             pdf = pdf.sort_values("size", ignore_index=True)
             bits = np.frombuffer(b"".join(pdf["sketch"]), U).reshape(len(pdf), -1)
@@ -320,9 +336,9 @@ class Join:
             twice = pdf["i"].iat[0] != pdf["j"].iat[0]
             out = []
             for i in range(len(pdf)):
-                stop = np.searchsorted(size, size[i] * DEN // NUM, "right")
+                stop = np.searchsorted(size, size[i] * rule.den // rule.num, "right")
                 rest = slice(i + 1, stop)
-                near = np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= (size[rest] + size[i]) * (DEN - NUM) // (DEN + NUM)
+                near = np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= rule.allowed(size[rest] + size[i])
                 near &= comp[rest] != comp[i]
                 if twice:
                     near &= own[rest] != own[i]
@@ -361,9 +377,9 @@ class Join:
         return out.select("doc", F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
-def connect(docs: DataFrame) -> DataFrame:
+def connect(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row of ``docs`` (``doc_id``, ``text``)."""
-    found = Join(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")).by_document()
+    found = Join(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text"), rule).by_document()
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 

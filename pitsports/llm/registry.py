@@ -9,11 +9,13 @@ from pitsports.llm.language import op5_language_id
 from pitsports.llm.lines import OP3_SQL, op3_line_dedup
 from pitsports.llm.pii import op7_pii
 from pitsports.llm.quality import op8_quality_rules
+from pitsports.llm.segmentation import op2_sentencepiece_sampling
 from pitsports.llm.suffixes import op4_suffix_array_dedup
 from pitsports.llm.tokens import op10_token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_language_id": op5_language_id,
