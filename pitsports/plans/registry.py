@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pitsports.plans import asof_queries  # noqa: F401
+from pitsports.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 FLAGSHIP = "op1_decayed_shrunk_rate"
