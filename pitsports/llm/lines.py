@@ -86,7 +86,7 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min
         .groupBy("_id", "_key")
         .agg(F.collect_set("_at").alias("_lost"))
     )
-    lost = settle(lost)
+    lost = settle(lost).hint("merge")  # grows with the corpus: never broadcast
     out = docs.join(lost, (F.coalesce(docs["doc_id"], F.lit(-1)) == lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_key"]), "left").drop("_id", "_key")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
     return (
