@@ -285,13 +285,14 @@ class Join:
                 cut = np.split(h, np.cumsum(size)[:-1])
                 yield pd.DataFrame({"node": pdf["node"], "set": [x.tobytes() for x in cut]})[own]
 
-        wanted = self.classes.join(nodes, "node", "left_semi").select("doc", "node")
+        wanted = self.classes.join(nodes, "node", "left_semi").select("doc", "node").hint("merge")  # grows with the corpus
         return self.docs.join(wanted, "doc").select("node", "text").mapInPandas(run, "node long, set binary")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that link, by their common shingles."""
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = settle(self.sets(nodes))
+    def sets_of_pairs(self, pairs: DataFrame) -> DataFrame:
+        return settle(self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that link, by the common shingles of their ``sets``."""
         rule = self.rule
 
         def run(frames):
@@ -354,14 +355,15 @@ class Join:
         counted = stars.groupBy("a", "b").agg(F.count("*").alias("n"))
         pairs = settle(self.possible(counted).join(counted, ["a", "b"]))
         likeliest = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), F.col("a"))).alias("a")).select("a", "b")
-        links = self.verified(likeliest)
+        sets = self.sets_of_pairs(pairs)
+        links = self.verified(likeliest, sets)
         labels = components(links)
         rest = settle(self.across(pairs.select("a", "b").join(likeliest, ["a", "b"], "left_anti"), labels))
         for step in ("stars", "open"):
             if step == "open":
                 rest = settle(self.open_pairs(stars, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
             if rest.limit(1).count():
-                more = self.verified(rest)
+                more = self.verified(rest, sets if step == "stars" else self.sets_of_pairs(rest))
                 if more.limit(1).count():
                     links = links.unionByName(more)
                     labels = components(links)
