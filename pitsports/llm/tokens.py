@@ -14,7 +14,10 @@ length and content; a null id sorts first; extra columns are ignored; an empty t
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from pitsports.llm.common import scratch
 
 END_ID = 1
-#: Distinct words that a worker remembers before it starts afresh (bounds its memory).
-MEMORY = 300_000
+#: Distinct words that a worker remembers before it forgets the rarer half (bounds its memory).
+MEMORY = 400_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -41,43 +44,75 @@ WRITER = {
 
 
 class WordEncoder:
-    """Encode texts word by word through a bounded memory of words already encoded."""
+    """Encode texts word by word through a bounded memory of words already encoded.
+
+    A new word of plain letters with punctuation behind it is put together from two parts, the letters in lower case; the
+    tokenizer treats both alike. When the memory is full, only the words met most often stay.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 20, np.int32)
         self.starts = np.zeros(1 << 18, np.int64)
+        self.met = np.zeros(1 << 18, np.int64)
         self.n = self.used = 0
 
+    def forget(self) -> None:
+        """Keep the words met most often, at most half of the memory, and none met only once."""
+        met = self.met[: self.n]
+        keep = np.flatnonzero(met > max(1, np.partition(met, -(MEMORY // 2))[-(MEMORY // 2)]))
+        number = np.full(self.n, -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        self.at = {w: int(number[i]) for w, i in self.at.items() if number[i] >= 0}
+        lengths = (self.starts[1 : self.n + 1] - self.starts[: self.n])[keep]
+        stop = np.concatenate(([0], np.cumsum(lengths)))
+        self.ids[: stop[-1]] = self.ids[np.repeat(self.starts[keep] - stop[:-1], lengths) + np.arange(stop[-1])]
+        self.starts[: len(stop)] = stop
+        self.met[: len(keep)] = met[keep]
+        self.met[len(keep) :] = 0
+        self.n, self.used = len(keep), int(stop[-1])
+
     def learn(self, words: list[str]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch(words, add_special_tokens=False), words, strict=True):
-            ids = enc.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), np.int32)))
-            if self.n + 2 > len(self.starts):
-                self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.at[word] = self.n
-            self.n += 1
-            self.starts[self.n] = self.used
+        if len(self.parts) > MEMORY // 2:
+            self.parts.clear()
+        cut = [_parts(w) for w in words]
+        new = list({x for pieces in cut for x in pieces if x not in self.parts})
+        for a in range(0, len(new), 1000):
+            for enc, word in zip(self.tokenizer.encode_batch_fast(new[a : a + 1000], add_special_tokens=False), new[a : a + 1000], strict=True):
+                self.parts[word] = enc.ids
+        ids: list[int] = []
+        stops = []
+        for word, pieces in zip(words, cut, strict=True):
+            for x in pieces:
+                ids += self.parts[x]
+            stops.append(len(ids))
+            self.at[word] = self.n + len(stops) - 1
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while self.n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.met = np.concatenate((self.met, np.zeros_like(self.met)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + 1 + len(words)] = self.used + np.array(stops, np.int64)
+        self.n += len(words)
+        self.used += len(ids)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids of each text."""
         if self.n > MEMORY:
-            self.clear()
+            self.forget()
         split = [[] if t is None else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        at = self.at
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in at]
+        words = list(chain.from_iterable(split))
+        new = list(set(words).difference(self.at))
         if new:
             self.learn(new)
-        word = np.fromiter((at[w] for words in split for w in words), np.int64)
+        word = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.met[: self.n] += np.bincount(word, minlength=self.n)
         words_of = np.fromiter(map(len, split), np.int64, len(split))
         starts = self.starts[word]
         lengths = self.starts[word + 1] - starts
@@ -88,6 +123,18 @@ class WordEncoder:
         return flat, np.diff(doc_stop, prepend=0) + 1
 
 
+#: Latin letters whose lower case is one letter, then perhaps ASCII punctuation.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _parts(word: str) -> list[str]:
+    """A plain word's letters in lower case and the punctuation behind them; any other word as it is."""
+    m = _WORD.fullmatch(word)
+    if not m or "<|" in word:  # the latter may be the name of a special token
+        return [word]
+    return [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -97,7 +144,7 @@ def _encode(path: str, exact: bool):
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
         for batch in frames:
-            rows = max(1, (1 << 21) * batch.num_rows // max(1, batch.nbytes))
+            rows = max(1, (1 << 20) * batch.num_rows // max(1, batch.nbytes))
             for a in range(0, batch.num_rows, rows):
                 piece = batch.slice(a, rows)
                 texts = piece.column("text").to_pylist()
