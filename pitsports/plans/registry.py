@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitsports.plans import aggregate_queries, asof_queries, scalar_queries  # noqa: F401
+from pitsports.plans import aggregate_queries, asof_queries, composite_queries, scalar_queries  # noqa: F401
 from pitsports.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
