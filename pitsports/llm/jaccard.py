@@ -103,20 +103,39 @@ def _node(h: np.ndarray, owner: np.ndarray, n: int, salt: int) -> np.ndarray:
     return mix(_sums(mix(h ^ U(salt)), owner, n))
 
 
+def bits_for(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's sketch: the power of two from its size on, at least ``BITS``."""
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+
+
+def _sketches(h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity of the number of shingles at each of a set's bits. Two halves xor-ed give the sketch of half the bits."""
+    bits = bits_for(size)
+    base = np.cumsum(bits) - bits
+    place = base[owner] + (mix(h ^ U(MIX_2)) & (bits - 1).astype(U)[owner]).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(bool))
+    return [packed[a : a + n].tobytes() for a, n in zip(base // 8, bits // 8, strict=True)]
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) brought to ``width`` words."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def _describe(rule: Rule, frames):
     """A row for each document: size, two hashes of the set, and its parity sketch."""
     for pdf in batches(frames):
         h, owner, size = _sets(rule, pdf["text"].tolist())
-        bit = owner * BITS + (mix(h ^ U(MIX_2)) >> U(64 - 9)).astype(np.int64)
-        parity = (np.bincount(bit, minlength=len(pdf) * BITS) & 1).astype(bool).reshape(len(pdf), BITS)
-        sketch = np.packbits(parity, axis=1)
         yield pd.DataFrame(
             {
                 "doc": pdf["doc"],
                 "size": size,
                 "node": _node(h, owner, len(pdf), MIX_1).view(np.int64),
                 "check": _node(h, owner, len(pdf), BASE).view(np.int64),
-                "sketch": [x.tobytes() for x in sketch],
+                "sketch": _sketches(h, owner, size),
             }
         )
 
@@ -246,6 +265,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _compare(rule: Rule, frames):
+    """Pairs across components that sketches allow, in each run of rows with equal (sig, i, j), ordered by size."""
+
+    def pairs(size, comp, own, node, sketch, twice):
+        width = np.array([len(x) // 8 for x in sketch])
+        for w in np.unique(width):  # sets of one width among themselves and with the next larger ones
+            first, last = np.searchsorted(width, w), np.searchsorted(width, w, "right")
+            reach = np.searchsorted(size, size[last - 1] * rule.den // rule.num, "right")
+            words = np.stack([_folded(np.frombuffer(x, U), w) for x in sketch[first:reach]])
+            stops = np.searchsorted(size, size[first:last] * rule.den // rule.num, "right")
+            for i, stop in zip(range(first, last), stops, strict=True):
+                near = comp[i + 1 : stop] != comp[i]
+                if twice:
+                    near &= own[i + 1 : stop] != own[i]
+                at = np.flatnonzero(near) + i + 1
+                if len(at):
+                    apart = np.bitwise_count(words[at - first] ^ words[i - first]).sum(1)
+                    hit = node[at[apart <= rule.allowed(size[at] + size[i])]]
+                    yield np.column_stack((np.minimum(hit, node[i]), np.maximum(hit, node[i])))
+
+    def work(pdf):
+        key = pdf[["sig", "i", "j"]].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)]))
+        size, comp, own, node, sketch = (pdf[c].to_numpy() for c in ("size", "comp", "own", "node", "sketch"))
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out.extend(pairs(size[a:b], comp[a:b], own[a:b], node[a:b], sketch[a:b], key[a, 1] != key[a, 2]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
+        last = (pdf[["sig", "i", "j"]] == pdf[["sig", "i", "j"]].iloc[-1]).all(axis=1).to_numpy() if len(pdf) else np.zeros(0, bool)
+        rest = pdf[last].reset_index(drop=True)
+        if not last.all():
+            yield work(pdf[~last])
+    if rest is not None and len(rest):
+        yield work(rest)
+
+
 class Join:
     """One self-join of ``docs`` (``doc`` long, ``text``): nodes, star pairs, verification and components."""
 
@@ -262,16 +321,21 @@ class Join:
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sizes and sketches allow a link."""
-        num, den = self.rule.num, self.rule.den
+        rule = self.rule
         c = self.classes.select("node", "size", "sketch")
         both = pairs.join(c.toDF("a", "na", "sa"), "a").join(c.toDF("b", "nb", "sb"), "b")
-        limit = F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))
-        words = [f"conv(hex(substring({{0}}, {8 * i + 1}, 8)), 16, -10)" for i in range(BITS // 64)]
-        apart = sum(
-            (F.bit_count(F.expr(w.format("sa")).cast("long").bitwiseXOR(F.expr(w.format("sb")).cast("long"))) for w in words), F.lit(0)
-        )
-        sized = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        return sized.where(apart <= limit).select("a", "b")
+        both = both.where(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num)
+
+        def run(frames):
+            for pdf in frames:
+                keep = np.zeros(len(pdf), bool)
+                for i, (x, y, n) in enumerate(zip(pdf["sa"], pdf["sb"], pdf["na"] + pdf["nb"], strict=True)):
+                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                    w = min(len(x), len(y))
+                    keep[i] = np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum() <= rule.allowed(int(n))
+                yield pdf.loc[keep, ["a", "b"]]
+
+        return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, size, shingles) of the given nodes, read from one document of each class."""
@@ -328,26 +392,8 @@ class Join:
             "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "sketch"
         )
 
-        rule = self.rule
-
-        def run(pdf):
-            pdf = pdf.sort_values("size", ignore_index=True)
-            bits = np.frombuffer(b"".join(pdf["sketch"]), U).reshape(len(pdf), -1)
-            size, comp, own, node = (pdf[c].to_numpy() for c in ("size", "comp", "own", "node"))
-            twice = pdf["i"].iat[0] != pdf["j"].iat[0]
-            out = []
-            for i in range(len(pdf)):
-                stop = np.searchsorted(size, size[i] * rule.den // rule.num, "right")
-                rest = slice(i + 1, stop)
-                near = np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= rule.allowed(size[rest] + size[i])
-                near &= comp[rest] != comp[i]
-                if twice:
-                    near &= own[rest] != own[i]
-                hit = node[rest][near]
-                out.append(np.column_stack((np.minimum(hit, node[i]), np.maximum(hit, node[i]))))
-            return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-        return dealt.groupBy("sig", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "size", "node")
+        return rows.mapInPandas(partial(_compare, self.rule), "a long, b long").distinct()
 
     def labels(self) -> DataFrame:
         """(node, comp) of every class that has a link."""
