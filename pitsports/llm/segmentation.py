@@ -31,10 +31,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, mix, powers
+from pitsports.llm.common import BASE, MIX_1, MIX_2, U, mix, powers
 
 BLANK = b"\xfe"
 _CHUNK = re.compile(rb"\xfe*[^\xfe]+|\xfe+")
@@ -42,7 +43,8 @@ SAMPLES = 2
 SEED = 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
-PIECE_CHARS = 1 << 20
+#: Bytes of text that a task works on at a time.
+PIECE_BYTES = 1 << 19
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -276,6 +278,7 @@ class Sampler:
         threshold = np.full(n_texts, -np.inf)
         is_end = np.zeros(lat.n, bool)
         is_end[lat.end] = True
+        sizes = np.diff(np.append(lat.first, len(lat.src)))
         for sample in range(self.k):
             # draw the rest of each live text's path: from a node inside one chunk, then all later chunks
             take = np.concatenate([np.arange(begins[t] + start_place[t], ends[t]) for t in alive]) if len(alive) else np.zeros(0, np.int64)
@@ -288,53 +291,70 @@ class Sampler:
             edge, owner = _paths(lat, where, key[for_text], sample, place[take]) if len(take) else (np.zeros(0, np.int64),) * 2
             edge_text = for_text[owner]
             cuts = np.searchsorted(edge_text, alive), np.searchsorted(edge_text, alive, "right")
-            sizes = np.diff(np.append(lat.first, len(lat.src)))
-            done = []
+            whole = []
             for i, t in enumerate(alive):
-                new = edge[cuts[0][i] : cuts[1][i]]
-                kept = prefix_kept[t]
-                path = np.concatenate((kept, new)) if len(kept) else new
+                path = edge[cuts[0][i] : cuts[1][i]]
+                if len(prefix_kept[t]):
+                    path = np.concatenate((prefix_kept[t], path))
+                whole.append(path)
                 paths[t].append(path)
-                lp = lat.log_p[path]
-                before = np.concatenate(([0.0], np.cumsum(lp)))
-                found[t].append((path, float(before[-1]), float(top[t])))
-                # sets that leave this path: at the node where it began (less what was excluded there), and at later ones
-                at = np.arange(max(0, len(kept) - 1), len(path))
-                p = np.exp(lp[at])
-                with np.errstate(divide="ignore"):
-                    rest = before[at] + np.log1p(-np.minimum(p, 1.0))
-                rest[sizes[lat.src[path[at]]] < 2] = -np.inf
-                gone: tuple = ()
-                if len(kept):
-                    gone = (*excluded[t], int(path[len(kept) - 1]))
-                    rest[0] = before[at[0]] + self._rest(lat, int(lat.src[path[at[0]]]), gone)
-                u = _unit(_noise(np.full(len(at), key[t], U), 3, sample, at))
-                g = _truncated(rest, np.full(len(at), top[t]), u)
+            # all paths in a row: log-probability before each step, and the sets that leave the path there
+            kept = np.array([len(prefix_kept[t]) for t in alive], np.int64)
+            lengths = np.array([len(x) for x in whole], np.int64)
+            flat_path = np.concatenate(whole) if whole else np.zeros(0, np.int64)
+            starts = np.cumsum(lengths) - lengths
+            nth_text = np.repeat(np.arange(len(alive)), lengths)
+            at = np.arange(len(flat_path)) - starts[nth_text]
+            lp = lat.log_p[flat_path]
+            running = np.concatenate(([0.0], np.cumsum(lp)))
+            before = running[:-1] - running[starts][nth_text]
+            with np.errstate(divide="ignore"):
+                rest = before + np.log1p(-np.minimum(np.exp(lp), 1.0))
+            rest[(sizes[lat.src[flat_path]] < 2) | (at < kept[nth_text] - 1)] = -np.inf
+            gone: dict[int, tuple] = {}
+            for i in np.flatnonzero(kept):
+                t, e = alive[i], starts[i] + kept[i] - 1
+                gone[i] = (*excluded[t], int(flat_path[e]))
+                rest[e] = before[e] + self._rest(lat, int(lat.src[flat_path[e]]), gone[i])
+            g = _truncated(rest, top[alive][nth_text], _unit(_noise(key[alive][nth_text], 3, sample, at)))
+            for i, t in enumerate(alive):
+                found[t].append((whole[i], float(running[starts[i] + lengths[i]] - running[starts[i]]), float(top[t])))
+            some = np.flatnonzero(lengths)
+            for _ in range(self.k - sample + 1):  # more of a path's sets can neither win nor be the threshold
+                if not len(some):
+                    break
+                best = np.maximum.reduceat(g, starts[some])
+                level = np.full(len(alive), np.nan)
+                level[some] = best
+                hit = np.flatnonzero(g == level[nth_text])
+                who, first = np.unique(nth_text[hit], return_index=True)
+                for i, e in zip(who.tolist(), hit[first].tolist(), strict=True):
+                    if g[e] == -np.inf:
+                        continue
+                    step = e - int(starts[i])
+                    out = gone[i] if i in gone and step == kept[i] - 1 else (int(flat_path[e]),)
+                    queues[alive[i]].append((float(g[e]), sample, step, out))
+                g[hit[first]] = -np.inf
+            done = []
+            for t in alive:
                 queue = queues[t]
-                # a path's sets can win at most k - sample times from here, so its best ones are enough
-                best = np.argsort(-g)[: self.k - sample + 1] if len(g) else []
-                for b in best:
-                    if np.isfinite(g[b]):
-                        queue.append((float(g[b]), sample, int(at[b]), gone if len(kept) and b == 0 else (int(path[at[b]]),)))
                 queue.sort(key=lambda x: -x[0])
-                if queue:
-                    threshold[t] = queue[0][0]
-                    if sample + 1 < self.k:
-                        score, from_sample, step, out = queue.pop(0)
-                        base = paths[t][from_sample]
-                        node = int(lat.src[base[step]])
-                        u = float(_unit(_noise(key[t : t + 1], 4, sample, np.zeros(1, np.int64)))[0])
-                        e = self._other(lat, node, out, u)
-                        top[t], excluded[t] = score, out
-                        prefix_kept[t] = np.append(base[:step], e)
-                        nth = int(np.count_nonzero(is_end[lat.dst[base[:step]]]))
-                        if is_end[lat.dst[e]]:
-                            start_place[t], start_node[t] = nth + 1, -1
-                        else:
-                            start_place[t], start_node[t] = nth, lat.dst[e]
-                        done.append(t)
+                threshold[t] = queue[0][0] if queue else -np.inf
+                if not queue or sample + 1 == self.k:
+                    continue
+                score, from_sample, step, out = queue.pop(0)
+                base = paths[t][from_sample]
+                node = int(lat.src[base[step]])
+                u = float(_unit(_noise(key[t : t + 1], 4, sample, np.zeros(1, np.int64)))[0])
+                e = self._other(lat, node, out, u)
+                top[t], excluded[t] = score, out
+                prefix_kept[t] = np.append(base[:step], e)
+                nth = int(np.count_nonzero(is_end[lat.dst[base[:step]]]))
+                if is_end[lat.dst[e]]:
+                    start_place[t], start_node[t] = nth + 1, -1
                 else:
-                    threshold[t] = -np.inf
+                    start_place[t], start_node[t] = nth, lat.dst[e]
+                done.append(t)
             alive = np.array(done, np.int64)
         out = []
         for t in range(n_texts):
@@ -373,19 +393,25 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED
             _vocabularies[model, alpha] = Vocabulary(model, alpha)
         vocabulary = _vocabularies[model, alpha]
         sampler = Sampler(vocabulary, samples, seed)
-        for pdf in batches(frames, PIECE_CHARS):
-            texts = ["" if t is None else t for t in pdf["text"]]
-            keys = np.array([-1 if k is None else int(k) for k in pdf["doc_id"]], np.int64)
-            marked = [_marked(t) if t else b"" for t in texts]
-            rows = []
-            for doc, text, found in zip(pdf["doc_id"], texts, sampler.sample(marked, keys), strict=True):
-                for i, (ids, log_p, score, include) in enumerate(found, 1):
-                    rows.append((doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.decode(ids) == text))
-            yield pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "score", "inclusion", "round_trip"])
-
-    schema = "doc_id string, sample int, ids array<int>, log_prob double, score double, inclusion double, round_trip boolean"
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+        for batch in frames:
+            rows = max(1, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes))
+            for a in range(0, batch.num_rows, rows):
+                piece = batch.slice(a, rows)
+                doc_ids = piece.column("doc_id").to_pylist()
+                texts = ["" if t is None else t for t in piece.column("text").to_pylist()]
+                keys = np.array([-1 if k is None else k for k in doc_ids], np.int64)
+                found = sampler.sample([_marked(t) if t else b"" for t in texts], keys)
+                out = [
+                    (doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.decode(ids) == text)
+                    for doc, text, some in zip(doc_ids, texts, found, strict=True)
+                    for i, (ids, log_p, score, include) in enumerate(some, 1)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["doc_id", "sample", "ids", "log_prob", "score", "inclusion", "round_trip"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    schema = "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
