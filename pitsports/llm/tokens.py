@@ -17,10 +17,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from pitsports.llm.common import scratch
 
 END_ID = 1
 #: Distinct words that a worker remembers before it forgets the rarer half (bounds its memory).
-MEMORY = 400_000
+MEMORY = 700_000
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -56,7 +56,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.at: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.ids = np.empty(1 << 20, np.int32)
         self.starts = np.zeros(1 << 18, np.int64)
         self.met = np.zeros(1 << 18, np.int64)
@@ -78,27 +78,25 @@ class WordEncoder:
         self.n, self.used = len(keep), int(stop[-1])
 
     def learn(self, words: list[str]) -> None:
-        if len(self.parts) > MEMORY // 2:
+        if len(self.parts) > MEMORY:
             self.parts.clear()
         cut = [_parts(w) for w in words]
-        new = list({x for pieces in cut for x in pieces if x not in self.parts})
+        new = list(set(chain.from_iterable(cut)).difference(self.parts))
         for a in range(0, len(new), 1000):
-            for enc, word in zip(self.tokenizer.encode_batch_fast(new[a : a + 1000], add_special_tokens=False), new[a : a + 1000], strict=True):
-                self.parts[word] = enc.ids
-        ids: list[int] = []
-        stops = []
-        for word, pieces in zip(words, cut, strict=True):
-            for x in pieces:
-                ids += self.parts[x]
-            stops.append(len(ids))
-            self.at[word] = self.n + len(stops) - 1
+            some = new[a : a + 1000]
+            for enc, word in zip(self.tokenizer.encode_batch_fast(some, add_special_tokens=False), some, strict=True):
+                self.parts[word] = array("i", enc.ids).tobytes()
+        part = self.parts
+        raw = [part[x[0]] if len(x) == 1 else part[x[0]] + part[x[1]] for x in cut]
+        ids = np.frombuffer(b"".join(raw), np.int32)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while self.n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
             self.met = np.concatenate((self.met, np.zeros_like(self.met)))
+        self.at.update(zip(words, range(self.n, self.n + len(words)), strict=True))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[self.n + 1 : self.n + 1 + len(words)] = self.used + np.array(stops, np.int64)
+        self.starts[self.n + 1 : self.n + 1 + len(words)] = self.used + np.cumsum([len(x) // 4 for x in raw])
         self.n += len(words)
         self.used += len(ids)
 
