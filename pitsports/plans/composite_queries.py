@@ -191,7 +191,7 @@ def targets(spark, sf):
 
 @query(
     "op33_batter_form",
-    f"{WITH_PITCHES}, d AS (SELECT batter_id, data_date, sum(value) AS v, count(*) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT batter_id, date FROM pitches) SELECT q.batter_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 4) AS value FROM q JOIN d ON d.batter_id = q.batter_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.batter_id, q.date",
+    f"{WITH_PITCHES}, d AS (SELECT batter_id, data_date, sum(value) AS v, count(*) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT batter_id, date FROM pitches) SELECT q.batter_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 8) AS value FROM q JOIN d ON d.batter_id = q.batter_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.batter_id, q.date",
 )
 def batter_form(spark, sf):
     from pitsports.operators.asof import trailing_join
@@ -200,7 +200,7 @@ def batter_form(spark, sf):
     d = p.groupBy("batter_id", F.col("data_date").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
     q = p.select("batter_id", F.col("date").alias("cutoff")).distinct()
     out = trailing_join(q, d, ["batter_id"], "cutoff", "day", 30).groupBy("batter_id", "cutoff").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    return out.select("batter_id", F.col("cutoff").cast("string").alias("day"), "n", F.round(F.col("v") / F.col("n"), 4).alias("value"))
+    return out.select("batter_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("v") / F.col("n"), 8).alias("value"))
 
 
 @query(
