@@ -19,8 +19,9 @@ task, then once more after the shuffle: as many candidate pairs as members less
 its key once a task. Each set's likeliest pair is verified first; components are formed; the other star pairs that
 cross components follow; components again. Signatures all of whose members are then in one component are finished.
 The few others are *open*: their members are compared across components by bit sketches whose distance never exceeds the
-sets' own difference (size-sorted, in blocks, inside tasks), and only what passes is verified. So no link between
-components is missed, and none is assumed.
+sets' own difference (size-sorted, in blocks, inside tasks), and only what passes is verified: first the closest pairs of
+each two components, then, where these did not join them, all. So no link between components is missed, and none is
+assumed.
 
 *Verification* counts common shingles of the two sets exactly (64-bit hashes).
 
@@ -61,6 +62,8 @@ class Rule:
 RATIO, SPARE, SMALL, BITS = 1.5, 2, 24, 512
 #: Members of an open signature that one task compares at a time.
 BLOCK = 1024
+#: Pairs of two components that are verified first: if they link, the components' other pairs need no look.
+CLOSEST = 2
 
 
 def bands(largest: int) -> list[int]:
@@ -265,8 +268,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _compare(rule: Rule, frames):
-    """Pairs across components that sketches allow, in each run of rows with equal (sig, i, j), ordered by size."""
+def _compare(rule: Rule, closest: int, frames):
+    """Pairs across components that sketches allow, in each run of rows with equal (sig, i, j), ordered by size.
+
+    With ``closest`` above 0, only so many pairs of each two components, those of smallest sketch distance.
+    """
 
     def pairs(size, comp, own, node, sketch, twice):
         width = np.array([len(x) // 8 for x in sketch])
@@ -282,17 +288,27 @@ def _compare(rule: Rule, frames):
                 at = np.flatnonzero(near) + i + 1
                 if len(at):
                     apart = np.bitwise_count(words[at - first] ^ words[i - first]).sum(1)
-                    hit = node[at[apart <= rule.allowed(size[at] + size[i])]]
-                    yield np.column_stack((np.minimum(hit, node[i]), np.maximum(hit, node[i])))
+                    keep = apart <= rule.allowed(size[at] + size[i])
+                    hit, other, apart = node[at[keep]], comp[at[keep]], apart[keep].astype(np.int64)
+                    ends = np.minimum(hit, node[i]), np.maximum(hit, node[i]), np.minimum(other, comp[i]), np.maximum(other, comp[i])
+                    yield np.column_stack((*ends, apart))
 
     def work(pdf):
         key = pdf[["sig", "i", "j"]].to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)]))
         size, comp, own, node, sketch = (pdf[c].to_numpy() for c in ("size", "comp", "own", "node", "sketch"))
-        out = [np.zeros((0, 2), np.int64)]
+        out = [np.zeros((0, 5), np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            out.extend(pairs(size[a:b], comp[a:b], own[a:b], node[a:b], sketch[a:b], key[a, 1] != key[a, 2]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            found = list(pairs(size[a:b], comp[a:b], own[a:b], node[a:b], sketch[a:b], key[a, 1] != key[a, 2]))
+            if found and closest:
+                x = np.concatenate(found)
+                x = x[np.lexsort((x[:, 1], x[:, 0], x[:, 4], x[:, 3], x[:, 2]))]
+                new = np.ones(len(x), bool)
+                new[1:] = (x[1:, 2] != x[:-1, 2]) | (x[1:, 3] != x[:-1, 3])
+                first = np.flatnonzero(new)
+                found = [x[np.arange(len(x)) - first[np.cumsum(new) - 1] < closest]]
+            out.extend(found)
+        return pd.DataFrame(np.concatenate(out)[:, :2], columns=["a", "b"])
 
     rest = None
     for pdf in frames:
@@ -378,8 +394,8 @@ class Join:
         both = pairs.join(left, "a", "left").join(right, "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
-    def open_pairs(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Possible pairs across components under signatures whose members are in several components."""
+    def open_pairs(self, stars: DataFrame, labels: DataFrame, closest: int = 0) -> DataFrame:
+        """Possible pairs across components under signatures whose members are in several components (see ``_compare``)."""
         members = stars.select("sig", F.col("a").alias("node")).unionByName(stars.select("sig", F.col("b").alias("node"))).distinct()
         members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         opened = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("lo <> hi and m > 2")
@@ -393,7 +409,7 @@ class Join:
         )
 
         rows = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "size", "node")
-        return rows.mapInPandas(partial(_compare, self.rule), "a long, b long").distinct()
+        return rows.mapInPandas(partial(_compare, self.rule, closest), "a long, b long").distinct()
 
     def labels(self) -> DataFrame:
         """(node, comp) of every class that has a link."""
@@ -405,11 +421,13 @@ class Join:
         links = self.verified(likeliest, sets)
         labels = components(links)
         rest = settle(self.across(pairs.select("a", "b").join(likeliest, ["a", "b"], "left_anti"), labels))
-        for step in ("stars", "open"):
-            if step == "open":
-                rest = settle(self.open_pairs(stars, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        seen = pairs.select("a", "b")
+        for closest in (None, CLOSEST, 0):
+            if closest is not None:
+                rest = settle(self.open_pairs(stars, labels, closest).join(seen, ["a", "b"], "left_anti"))
             if rest.limit(1).count():
-                more = self.verified(rest, sets if step == "stars" else self.sets_of_pairs(rest))
+                more = self.verified(rest, sets if closest is None else self.sets_of_pairs(rest))
+                seen = seen.unionByName(rest)
                 if more.limit(1).count():
                     links = links.unionByName(more)
                     labels = components(links)
