@@ -44,7 +44,7 @@ def running(spark, sf):
 
 
 @query(
-    "op1_decayed_shrunk_rate",
+    "survey_op1_decayed_shrunk_rate",
     f"""{WITH_PITCHES}, base AS (
   SELECT pitcher_id, season, data_date, CAST(sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k, count(*) AS n FROM pitches GROUP BY ALL
 ), cur AS (
@@ -189,7 +189,7 @@ def league_mean(spark, sf):
 
 
 @query(
-    "op18_ratio_factor",
+    "survey_op18_ratio_factor",
     f"""{WITH_TEAM_GAMES}, g AS (SELECT season, venue_id, home_team, home_final + away_final AS total FROM games), s AS (SELECT DISTINCT season FROM g),
 h AS (SELECT s.season, g.venue_id, avg(total) AS home, count(*) AS n FROM s JOIN g ON g.season BETWEEN s.season - 3 AND s.season - 1 GROUP BY ALL),
 a AS (SELECT s.season, avg(total) AS every FROM s JOIN g ON g.season BETWEEN s.season - 3 AND s.season - 1 GROUP BY ALL)
@@ -206,7 +206,7 @@ def park_factor(spark, sf):
 
 
 @query(
-    "op32_team_form",
+    "survey_op32_team_form",
     f"""{WITH_TEAM_GAMES}, f AS (
   SELECT team, season, date, sum(CASE WHEN runs > allowed THEN 1 ELSE 0 END) AS w, count(*) AS n, sum(runs - allowed) AS diff FROM team_games GROUP BY ALL
 ), c AS (SELECT team, season, date, sum(w) OVER x AS w, sum(n) OVER x AS n, sum(diff) OVER x AS diff FROM f WINDOW x AS (PARTITION BY team, season ORDER BY date))
@@ -225,7 +225,7 @@ def team_form(spark, sf):
 
 
 @query(
-    "op34_pitcher_form",
+    "survey_op34_pitcher_form",
     f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date, sum(velo) AS v, count(*) AS n, sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS k FROM pitches GROUP BY ALL),
 q AS (SELECT DISTINCT pitcher_id, date FROM pitches)
 SELECT q.pitcher_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 6) AS velo, round(100.0 * sum(k) / sum(n), 6) AS whiff_pct,
@@ -245,7 +245,7 @@ def pitcher_form(spark, sf):
 
 
 @query(
-    "op40_price_in_effect",
+    "survey_op40_price_in_effect",
     f"""{WITH_GAMES}, ticks AS (
   SELECT l_orderkey AS game_id, l_shipdate AS ts, max(l_discount) AS price FROM lineitem GROUP BY ALL
 ), q AS (SELECT game_id, CAST(date AS TIMESTAMP) AS t FROM games)

@@ -11,7 +11,7 @@ from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, game
 
 
 @query(
-    "op2_player_season_base",
+    "survey_op2_player_season_base",
     f"{WITH_PITCHES} SELECT pitcher_id, season, count(*) AS bf, CAST(sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k, round(avg(velo), 6) AS velo, round(100.0 * sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) / count(*), 6) AS k_pct FROM pitches GROUP BY ALL",
 )
 def season_base(spark, sf):
@@ -20,7 +20,7 @@ def season_base(spark, sf):
 
 
 @query(
-    "op3_plate_appearances",
+    "survey_op3_plate_appearances",
     f"{WITH_PITCHES}, pa AS (SELECT game_id, batter_id, pitcher_id, max((pitch_no, ship_date, value, result)) AS last, count(*) AS n FROM pitches GROUP BY ALL) SELECT game_id, batter_id, pitcher_id, n AS pitches, last[4] AS outcome FROM (SELECT game_id, batter_id, pitcher_id, n, [CAST(struct_extract(last, 1) AS VARCHAR), CAST(struct_extract(last, 2) AS VARCHAR), CAST(struct_extract(last, 3) AS VARCHAR), struct_extract(last, 4)] AS last FROM pa)",
 )
 def plate_appearances(spark, sf):
@@ -30,7 +30,7 @@ def plate_appearances(spark, sf):
 
 
 @query(
-    "op4_pitcher_appearances",
+    "survey_op4_pitcher_appearances",
     f"{WITH_PITCHES}, a AS (SELECT game_id, half, pitcher_id, count(*) AS n, count(DISTINCT CASE WHEN pitch_no >= 4 THEN batter_id END) AS late, min(pitch_no) AS first FROM pitches GROUP BY ALL) SELECT game_id, half, pitcher_id, n, late, row_number() OVER (PARTITION BY game_id, half ORDER BY first, pitcher_id) = 1 AS started FROM a",
 )
 def appearances(spark, sf):
@@ -40,7 +40,7 @@ def appearances(spark, sf):
 
 
 @query(
-    "op5_smoothed_lookup",
+    "survey_op5_smoothed_lookup",
     """WITH c AS (SELECT p_brand, sum(p_retailprice) AS s, count(*) AS n FROM part GROUP BY ALL), w AS (SELECT p_brand, (s + 20.0 * (SELECT avg(p_retailprice) FROM part)) / (n + 20.0) AS e FROM c),
 f AS (SELECT p_brand, p_type, sum(p_retailprice) AS s, count(*) AS n FROM part GROUP BY ALL) SELECT f.p_brand, p_type, n, round((s + 5.0 * e) / (n + 5.0), 6) AS expected FROM f JOIN w ON w.p_brand = f.p_brand""",
 )
@@ -50,7 +50,7 @@ def lookup(spark, sf):
 
 
 @query(
-    "op8_wls_skill_fit",
+    "survey_op8_wls_skill_fit",
     f"""{WITH_PITCHES}, t AS (SELECT pitcher_id, season, avg(value) AS y, avg(velo) AS x, count(*) AS w FROM pitches GROUP BY ALL),
 m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM t)
 SELECT round((sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw, 2) AS intercept, round((sw * sxy - sx * sy) / (sw * sxx - sx * sx), 3) AS slope FROM m""",
@@ -61,7 +61,7 @@ def wls(spark, sf):
     return t.limit(1).select(F.lit(round(b[0], 2)).alias("intercept"), F.lit(round(b[1], 3)).alias("slope"))
 
 
-@query("op9_expected_length_ols")
+@query("survey_op9_expected_length_ols")
 def ols(spark, sf):
     """Batters faced by rest bucket dummies and velocity: fitted, clipped prediction for every appearance (no SQL: a fit)."""
     a = pitches(spark, sf).groupBy("game_id", "pitcher_id").agg(F.count("*").alias("n"), F.avg("velo").alias("v"), F.min("pitch_no").alias("first"))
@@ -71,7 +71,7 @@ def ols(spark, sf):
 
 
 @query(
-    "op12_reliever_availability",
+    "survey_op12_reliever_availability",
     f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date AS d, count(*) AS n FROM pitches GROUP BY ALL),
 a AS (SELECT pitcher_id, d, n, lag(d) OVER w AS d1, lag(n) OVER w AS n1, lag(d, 2) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY pitcher_id ORDER BY d))
 SELECT pitcher_id, CAST(d AS VARCHAR) AS day, coalesce((d - d1 = 1 AND d - d2 = 2) OR (d - d1 = 1 AND n1 >= 3), FALSE) AS unavailable FROM a""",
@@ -85,7 +85,7 @@ def availability(spark, sf):
 
 
 @query(
-    "op13_slot_weights",
+    "survey_op13_slot_weights",
     f"{WITH_PITCHES} SELECT pitch_no AS slot, round(count(*) FILTER (WHERE half = 'O') / count(DISTINCT game_id), 6) AS top, round(count(*) FILTER (WHERE half = 'F') / count(DISTINCT game_id), 6) AS bottom FROM pitches GROUP BY pitch_no",
 )
 def slot_weights(spark, sf):
@@ -95,7 +95,7 @@ def slot_weights(spark, sf):
 
 
 @query(
-    "op15_projected_starters",
+    "survey_op15_projected_starters",
     f"""{WITH_PITCHES}, tg AS (SELECT fld_team, game_id, min(date) AS date FROM pitches GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY fld_team ORDER BY date, game_id) AS i FROM tg),
 p AS (SELECT DISTINCT p.fld_team, p.pitcher_id, s.i FROM pitches p JOIN s ON s.fld_team = p.fld_team AND s.game_id = p.game_id)
 SELECT s.fld_team, s.game_id, count(DISTINCT pitcher_id) AS pool FROM s JOIN p ON p.fld_team = s.fld_team AND p.i BETWEEN s.i - 14 AND s.i - 1 GROUP BY ALL""",
@@ -109,7 +109,7 @@ def projected(spark, sf):
 
 
 @query(
-    "op20_centred_wind",
+    "survey_op20_centred_wind",
     f"""{WITH_GAMES}, w AS (SELECT game_id, season, venue_id, home_final + 0.5 * away_final AS wind FROM games), h AS (SELECT s.season, w.venue_id, avg(wind) AS m, count(*) AS n FROM (SELECT DISTINCT season FROM w) s JOIN w ON w.season BETWEEN s.season - 3 AND s.season - 1 GROUP BY ALL)
 SELECT w.game_id, round(CASE WHEN n >= 40 THEN wind - m END, 6) AS rel FROM w LEFT JOIN h ON h.season = w.season AND h.venue_id = w.venue_id""",
 )
@@ -126,7 +126,7 @@ KERNEL = "(SELECT d, exp(-0.5 * pow(d / 1.5, 2)) / sum(exp(-0.5 * pow(d / 1.5, 2
 
 
 @query(
-    "op21_blurred_grid",
+    "survey_op21_blurred_grid",
     f"""WITH c AS (SELECT CAST(floor(l_discount * 100 + 0.5) AS INT) AS ix, CAST(floor(l_tax * 100 + 0.5) AS INT) AS iz, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), kern AS {KERNEL},
 x AS (SELECT CAST(ix + d AS INT) AS ix, iz, sum(k * w) AS k, sum(n * w) AS n FROM c, kern GROUP BY ALL), z AS (SELECT ix, CAST(iz + d AS INT) AS iz, sum(k * w) AS k, sum(n * w) AS n FROM x, kern GROUP BY ALL) SELECT ix, iz, round(n, 6) AS n, round(k / n, 6) AS rate FROM z""",
 )
@@ -138,7 +138,7 @@ def blurred(spark, sf):
 
 
 @query(
-    "op22_centred_pooled_residual",
+    "survey_op22_centred_pooled_residual",
     f"""{WITH_PITCHES}, e AS (SELECT season, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS m FROM pitches GROUP BY ALL), a AS (SELECT pitcher_id, p.season, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END - m) AS s, count(*) AS n FROM pitches p JOIN e ON e.season = p.season GROUP BY ALL)
 SELECT a.pitcher_id, a.season, round((a.s + 0.8 * coalesce(b.s, 0)) / (a.n + 0.8 * coalesce(b.n, 0) + 100), 8) AS effect FROM a LEFT JOIN a b ON b.pitcher_id = a.pitcher_id AND b.season = a.season - 1""",
 )
@@ -151,7 +151,7 @@ def residual(spark, sf):
 
 
 @query(
-    "op27_body_clock",
+    "survey_op27_body_clock",
     f"""WITH RECURSIVE {WITH_TEAM_GAMES[5:]}, s AS (SELECT team, season, game_id, date, venue_id % 4 AS zone, row_number() OVER (PARTITION BY team, season ORDER BY date, game_id) AS i, coalesce(date - lag(date) OVER (PARTITION BY team, season ORDER BY date, game_id), 0) AS gap FROM team_games),
 c AS (SELECT team, season, game_id, i, zone, CAST(zone AS BIGINT) AS body FROM s WHERE i = 1 UNION ALL
 SELECT s.team, s.season, s.game_id, s.i, s.zone, CASE WHEN s.zone > c.body THEN least(s.zone, c.body + s.gap) ELSE greatest(s.zone, c.body - s.gap) END FROM c JOIN s ON s.team = c.team AND s.season = c.season AND s.i = c.i + 1)
@@ -174,7 +174,7 @@ def body_clock(spark, sf):
 
 
 @query(
-    "op30_half_innings_from_scores",
+    "survey_op30_half_innings_from_scores",
     "WITH h AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS score FROM lineitem GROUP BY ALL), d AS (SELECT l_orderkey, l_linenumber, score - coalesce(lag(score) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS runs FROM h), bad AS (SELECT DISTINCT l_orderkey FROM d WHERE runs < -40) SELECT l_orderkey, l_linenumber, runs FROM d WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad)",
 )
 def half_innings(spark, sf):
@@ -184,13 +184,13 @@ def half_innings(spark, sf):
     return d.withColumn("worst", F.min("runs").over(w)).where("worst >= -40").select("l_orderkey", "l_linenumber", "runs")
 
 
-@query("op31_team_game_targets", f"{WITH_PITCHES} SELECT game_id, bat_team, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no <= 5), 0) AS BIGINT) AS runs_f5, CAST(sum(velo) AS BIGINT) AS runs_total FROM pitches GROUP BY ALL")
+@query("survey_op31_team_game_targets", f"{WITH_PITCHES} SELECT game_id, bat_team, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no <= 5), 0) AS BIGINT) AS runs_f5, CAST(sum(velo) AS BIGINT) AS runs_total FROM pitches GROUP BY ALL")
 def targets(spark, sf):
     return pitches(spark, sf).groupBy("game_id", "bat_team").agg(F.coalesce(F.sum(F.when(F.col("pitch_no") <= 5, F.col("velo"))), F.lit(0.0)).cast("long").alias("runs_f5"), F.sum("velo").cast("long").alias("runs_total"))
 
 
 @query(
-    "op33_batter_form",
+    "survey_op33_batter_form",
     f"{WITH_PITCHES}, d AS (SELECT batter_id, data_date, sum(value) AS v, count(*) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT batter_id, date FROM pitches) SELECT q.batter_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 8) AS value FROM q JOIN d ON d.batter_id = q.batter_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.batter_id, q.date",
 )
 def batter_form(spark, sf):
@@ -204,7 +204,7 @@ def batter_form(spark, sf):
 
 
 @query(
-    "op35_umpire_season_stats",
+    "survey_op35_umpire_season_stats",
     f"{WITH_PITCHES}, u AS (SELECT season, CAST(game_id % 12 AS INT) AS umpire, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS k, count(*) AS n FROM pitches GROUP BY ALL), l AS (SELECT season, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS k FROM pitches GROUP BY ALL) SELECT u.season, umpire, n, round(u.k - l.k, 6) AS k_boost FROM u JOIN l ON l.season = u.season",
 )
 def umpires(spark, sf):
@@ -213,13 +213,13 @@ def umpires(spark, sf):
     return p.groupBy("season", "umpire").agg(F.avg("k").alias("k"), F.count("*").alias("n")).join(league, "season").select("season", "umpire", "n", r(F.col("k") - F.col("lk")).alias("k_boost"))
 
 
-@query("op36_resumed_games", f"{WITH_PITCHES} SELECT game_id, CAST(min(date) AS VARCHAR) AS original, CAST(max(ship_date) AS VARCHAR) AS resumed FROM pitches GROUP BY game_id HAVING max(ship_date) > min(date)")
+@query("survey_op36_resumed_games", f"{WITH_PITCHES} SELECT game_id, CAST(min(date) AS VARCHAR) AS original, CAST(max(ship_date) AS VARCHAR) AS resumed FROM pitches GROUP BY game_id HAVING max(ship_date) > min(date)")
 def resumed(spark, sf):
     out = pitches(spark, sf).groupBy("game_id").agg(F.min("date").alias("o"), F.max("ship_date").alias("s")).where("s > o")
     return out.select("game_id", F.col("o").cast("string").alias("original"), F.col("s").cast("string").alias("resumed"))
 
 
-@query("op37_schedule_dedupe", "SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS season, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderstatus = 'P', o_orderdate, o_orderkey) = 1")
+@query("survey_op37_schedule_dedupe", "SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS season, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderstatus = 'P', o_orderdate, o_orderkey) = 1")
 def dedupe(spark, sf):
     row = F.struct((F.col("o_orderstatus") == "P").alias("p"), "o_orderdate", "o_orderkey")
     out = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("season")).agg(F.min(row).alias("b"))
@@ -227,7 +227,7 @@ def dedupe(spark, sf):
 
 
 @query(
-    "op39_odds_exclusions",
+    "survey_op39_odds_exclusions",
     """WITH q AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_discount AS a, l_tax AS b FROM lineitem), m AS (SELECT l_orderkey, quantile_cont(a, 0.5) AS med FROM q GROUP BY ALL)
 SELECT l_linenumber, l_suppkey, l_partkey, l_extendedprice, q.l_orderkey, abs(a - med) > 0.03 AS off_market, a + b > 0.15 OR a + b < 0.01 AS incoherent FROM q JOIN m ON m.l_orderkey = q.l_orderkey WHERE abs(a - med) > 0.03 OR a + b > 0.15 OR a + b < 0.01""",
 )
@@ -243,7 +243,7 @@ PRICES = "SELECT l_orderkey AS game_id, l_linenumber AS book, 0.40 + l_quantity
 
 
 @query(
-    "op41_market_table",
+    "survey_op41_market_table",
     f"""WITH q AS ({PRICES}), c AS (SELECT game_id, line, count(*) AS n FROM q GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY n DESC, line) AS i FROM c)
 SELECT q.game_id, round(avg(a / (a + b)), 6) AS fair, round(min(a), 6) AS best_a, round(quantile_cont(b, 0.5), 6) AS med_b, any_value(k.line) AS line FROM q JOIN k ON k.game_id = q.game_id AND k.i = 1 GROUP BY q.game_id""",
 )
@@ -255,7 +255,7 @@ def market(spark, sf):
 
 
 @query(
-    "op42_bet_frame",
+    "survey_op42_bet_frame",
     f"""WITH q AS ({PRICES}), g AS (SELECT game_id, avg(a / (a + b)) AS q_t, max(a / (a + b)) AS q_c, min(1 / a) AS dec FROM q GROUP BY ALL), f AS (SELECT *, 0.5 * q_t + 0.5 * (0.35 + (game_id % 30) / 100.0) AS p FROM g)
 SELECT game_id, round(p, 6) AS p, round(p * dec - 1, 6) AS ev, round(q_c - q_t, 6) AS moved, CASE WHEN game_id % 2 = 0 THEN round(dec - 1, 6) ELSE -1.0 END AS pnl FROM f WHERE p * dec - 1 > 0.02 AND abs(p - q_t) < 0.10""",
 )
@@ -270,7 +270,7 @@ def bets(spark, sf):
 
 
 @query(
-    "op44_devig_by_log_loss",
+    "survey_op44_devig_by_log_loss",
     f"""WITH q AS ({PRICES}), f AS (SELECT CASE WHEN game_id % 3 = 0 THEN 1 ELSE 0 END AS y, a / (a + b) AS mul, a - (a + b - 1) / 2 AS add FROM q) SELECT 'multiplicative' AS method, round(avg(-(y * ln(mul) + (1 - y) * ln(1 - mul))), 6) AS loss FROM f UNION ALL SELECT 'additive', round(avg(-(y * ln(add) + (1 - y) * ln(1 - add))), 6) FROM f""",
 )
 def devig_losses(spark, sf):
@@ -279,7 +279,7 @@ def devig_losses(spark, sf):
     return q.unpivot("y", ["multiplicative", "additive"], "method", "p").groupBy("method").agg(r(F.avg(fn.log_loss(F.col("y"), F.col("p")))).alias("loss"))
 
 
-@query("op45_block_bootstrap")
+@query("survey_op45_block_bootstrap")
 def bootstrap(spark, sf):
     """Means of 500 resamples of 7-day blocks of team runs above 4, and their interval (hashed draws, so no SQL)."""
     t = team_games(spark, sf).select((F.col("runs") - 4.0).alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
@@ -288,7 +288,7 @@ def bootstrap(spark, sf):
 
 
 @query(
-    "op47_bet_summary",
+    "survey_op47_bet_summary",
     f"{WITH_TEAM_GAMES} SELECT is_home, count(*) AS bets, round(avg(runs - allowed), 6) AS mean, CAST(sum(runs - allowed) AS BIGINT) AS units, round(avg(CASE WHEN runs > allowed THEN 1.0 ELSE 0 END), 6) AS won FROM team_games GROUP BY is_home",
 )
 def bet_summary(spark, sf):
@@ -297,7 +297,7 @@ def bet_summary(spark, sf):
 
 
 @query(
-    "op48_ranked_scores",
+    "survey_op48_ranked_scores",
     f"""WITH RECURSIVE {WITH_TEAM_GAMES[5:]}, m AS (SELECT venue_id, 3.0 + venue_id % 5 * 0.5 AS mu FROM (SELECT DISTINCT venue_id FROM team_games)), g AS (SELECT venue_id, mu, 0 AS k, pow(4.0 / (4.0 + mu), 4.0) AS p FROM m UNION ALL SELECT venue_id, mu, k + 1, p * (k + 4.0) / (k + 1) * mu / (4.0 + mu) FROM g WHERE k < 15),
 c AS (SELECT venue_id, k, p, sum(p) OVER (PARTITION BY venue_id ORDER BY k) AS f FROM g) SELECT t.venue_id, round(avg(s.rps), 6) AS rps, round(avg(s.ls), 6) AS log_score FROM team_games t JOIN (SELECT venue_id, y, sum(pow(f - CASE WHEN y <= k THEN 1 ELSE 0 END, 2)) AS rps, max(CASE WHEN k = y THEN -ln(p) END) AS ls FROM c, (SELECT unnest(range(0, 9)) AS y) GROUP BY ALL) s ON s.venue_id = t.venue_id AND s.y = t.runs GROUP BY t.venue_id""",
 )
@@ -308,7 +308,7 @@ def scores(spark, sf):
 
 
 @query(
-    "op49_reliability_table",
+    "survey_op49_reliability_table",
     "WITH c AS (SELECT o_orderkey, 0.2 + (o_orderkey % 997) / 1700.0 AS p, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders), b AS (SELECT *, CAST((row_number() OVER (ORDER BY p, o_orderkey) - 1) * 10 // (SELECT count(*) FROM c) AS BIGINT) AS bin FROM c) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM b GROUP BY bin",
 )
 def reliability(spark, sf):
@@ -317,7 +317,7 @@ def reliability(spark, sf):
     return out.select("bin", "n", r(F.col("mean_p")).alias("mean_p"), r(F.col("mean_y")).alias("mean_y"))
 
 
-@query("op50_calibration_fit")
+@query("survey_op50_calibration_fit")
 def calibration(spark, sf):
     """Slope and intercept of outcomes on the logit of a forecast, by Newton steps over aggregated sums."""
     c = table(spark, sf, "orders").select((0.2 + (F.col("o_orderkey") % 997) / 1700.0).alias("p"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"))
@@ -325,7 +325,7 @@ def calibration(spark, sf):
     return c.limit(1).select(F.lit(round(b[0], 6)).alias("intercept"), F.lit(round(b[1], 6)).alias("slope"))
 
 
-@query("op51_count_regression")
+@query("survey_op51_count_regression")
 def count_fit(spark, sf):
     """Runs on home field and venue group: fitted means of every cell (negative binomial, log link)."""
     t = team_games(spark, sf).withColumn("h", F.col("is_home").cast("double")).withColumn("v", F.col("venue_id") % 5 / 5.0)
@@ -334,13 +334,13 @@ def count_fit(spark, sf):
     return t.groupBy("h", "v").agg(F.count("*").alias("n"), r(F.avg("runs")).alias("mean")).withColumn("fitted", r(F.exp(fit.predict(beta, terms)), 5))
 
 
-@query("op52_design_matrix", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z FROM customer")
+@query("survey_op52_design_matrix", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z FROM customer")
 def design(spark, sf):
     return fit.standardised(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", r(F.col("z_c_acctbal")).alias("z"))
 
 
 @query(
-    "op57_late_inning_facts",
+    "survey_op57_late_inning_facts",
     f"{WITH_PITCHES} SELECT game_id, half, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no < 4), 0) AS BIGINT) AS going_in, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no >= 4), 0) AS BIGINT) AS scored FROM pitches GROUP BY ALL",
 )
 def late(spark, sf):
@@ -349,7 +349,7 @@ def late(spark, sf):
 
 
 @query(
-    "op61_leak_test",
+    "survey_op61_leak_test",
     None,
 )
 def leak(spark, sf):

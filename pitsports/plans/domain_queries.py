@@ -24,7 +24,7 @@ def _starts(spark, sf):
 
 
 @query(
-    "op6_starter_history",
+    "survey_op6_starter_history",
     f"""{WITH_PITCHES}, {STARTS}, d AS (SELECT pitcher_id, season, date, count(*) AS g, sum(n) AS bf FROM work GROUP BY ALL), c AS (SELECT pitcher_id, season, date, sum(g) OVER w AS g, sum(bf) OVER w AS bf FROM d WINDOW w AS (PARTITION BY pitcher_id, season ORDER BY date)),
 t AS (SELECT pitcher_id, season, sum(g) AS g FROM d GROUP BY ALL)
 SELECT w.game_id, w.pitcher_id, CAST(coalesce(c.g, 0) AS BIGINT) AS starts, CAST(coalesce(c.bf, 0) AS BIGINT) AS bf, CAST(w.date - c.date AS BIGINT) AS rest, CAST(t.g AS BIGINT) AS prior_starts
@@ -41,7 +41,7 @@ def starter_history(spark, sf):
 
 
 @query(
-    "op7_team_hook",
+    "survey_op7_team_hook",
     f"""{WITH_PITCHES}, {STARTS}, l AS (SELECT season + 1 AS season, avg(n) AS m FROM work GROUP BY season)
 SELECT q.game_id, q.fld_team, round(avg(f.n) - any_value(l.m), 6) AS hook FROM work q JOIN work f ON f.fld_team = q.fld_team AND f.date < q.date AND f.date >= q.date - 30 JOIN l ON l.season = q.season GROUP BY q.game_id, q.fld_team""",
 )
@@ -55,7 +55,7 @@ def team_hook(spark, sf):
 
 
 @query(
-    "op11_bullpen_pool",
+    "survey_op11_bullpen_pool",
     f"""{WITH_PITCHES}, {STARTS}, rel AS (SELECT p.fld_team, p.pitcher_id, p.date, p.game_id FROM pitches p WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.game_id = p.game_id AND s.half = p.half AND s.pitcher_id = p.pitcher_id)),
 q AS (SELECT DISTINCT game_id, fld_team, date FROM pitches), u AS (SELECT DISTINCT fld_team, pitcher_id, date FROM rel)
 SELECT q.game_id, q.fld_team, count(DISTINCT u.pitcher_id) AS pool, count(DISTINCT CASE WHEN q.date - u.date <= 1 THEN u.pitcher_id END) AS worked_yesterday FROM q JOIN u ON u.fld_team = q.fld_team AND u.date < q.date AND u.date >= q.date - 30 GROUP BY ALL""",
@@ -70,7 +70,7 @@ def bullpen(spark, sf):
 
 
 @query(
-    "op14_lineup_features",
+    "survey_op14_lineup_features",
     f"""{WITH_PITCHES}, t AS (SELECT batter_id, season, avg(velo) AS v FROM pitches GROUP BY ALL), l AS (SELECT DISTINCT game_id, bat_team, season, batter_id, pitch_no FROM pitches WHERE pitch_no <= 3)
 SELECT l.game_id, l.bat_team, count(*) AS n, round(sum(t.v / l.pitch_no) / nullif(sum(CASE WHEN t.v IS NOT NULL THEN 1.0 / l.pitch_no END), 0), 8) AS strength, round(avg(CASE WHEN t.v IS NULL THEN 1.0 ELSE 0 END), 6) AS rookies
 FROM l LEFT JOIN t ON t.batter_id = l.batter_id AND t.season = l.season - 1 GROUP BY l.game_id, l.bat_team""",
@@ -84,7 +84,7 @@ def lineup_features(spark, sf):
     )
 
 
-@query("op16_actual_lineup", f"{WITH_PITCHES}, f AS (SELECT game_id, bat_team, batter_id, min(pitch_no) AS first FROM pitches GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, bat_team ORDER BY first, batter_id) AS slot FROM f) SELECT game_id, bat_team, batter_id, slot FROM k WHERE slot <= 9")
+@query("survey_op16_actual_lineup", f"{WITH_PITCHES}, f AS (SELECT game_id, bat_team, batter_id, min(pitch_no) AS first FROM pitches GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, bat_team ORDER BY first, batter_id) AS slot FROM f) SELECT game_id, bat_team, batter_id, slot FROM k WHERE slot <= 9")
 def actual_lineup(spark, sf):
     f = pitches(spark, sf).groupBy("game_id", "bat_team", "batter_id").agg(F.min("pitch_no").alias("first"))
     k = asof.sequence_numbers(f, ["game_id", "bat_team"], ["first", "batter_id"], "slot").where("slot <= 9")
@@ -92,7 +92,7 @@ def actual_lineup(spark, sf):
 
 
 @query(
-    "op17_environment",
+    "survey_op17_environment",
     f"""{WITH_TEAM_GAMES}, d AS (SELECT season, date, sum(runs) AS x, count(*) AS n FROM team_games GROUP BY ALL), c AS (SELECT season, date, sum(x) OVER w AS x, sum(n) OVER w AS n FROM d WINDOW w AS (PARTITION BY season ORDER BY date)), l AS (SELECT season + 1 AS season, avg(runs) AS m FROM team_games GROUP BY season)
 SELECT g.game_id, CASE WHEN g.venue_id % 7 = 0 THEN 72.0 ELSE 50.0 + (g.game_id % 40) END AS temp, g.venue_id % 7 = 0 AS roof, round(coalesce(c.x * 1.0 / c.n, l.m), 6) AS level FROM games g ASOF LEFT JOIN c ON c.season = g.season AND g.date > c.date LEFT JOIN l ON l.season = g.season""",
 )
@@ -106,7 +106,7 @@ def environment(spark, sf):
 
 
 @query(
-    "op19_factor_by_side",
+    "survey_op19_factor_by_side",
     f"""{WITH_PITCHES}, c AS (SELECT season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), a AS (SELECT season, side, sum(v) / sum(n) AS m FROM c GROUP BY ALL)
 SELECT c.season, venue_id, c.side, n, round(ln(1 + (v / n / m - 1) * n / (n + 500.0)), 8) AS log_factor FROM c JOIN a ON a.season = c.season AND a.side = c.side""",
 )
@@ -119,7 +119,7 @@ def factor_by_side(spark, sf):
 
 
 @query(
-    "op24_pitch_traits",
+    "survey_op24_pitch_traits",
     f"""{WITH_PITCHES}, t AS (SELECT pitcher_id, season, result AS kind, count(*) AS n, avg(velo) AS v FROM pitches GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY pitcher_id, season ORDER BY n DESC, kind) AS k FROM t)
 SELECT t.pitcher_id, t.season, t.kind, t.n, round(t.v - p.v, 6) AS velo_gap FROM t JOIN p ON p.pitcher_id = t.pitcher_id AND p.season = t.season AND p.k = 1""",
 )
@@ -129,7 +129,7 @@ def traits(spark, sf):
     return t.join(main, ["pitcher_id", "season"]).select("pitcher_id", "season", "kind", "n", r(F.col("v") - F.col("ref")).alias("velo_gap"))
 
 
-@query("op25_whiff_model")
+@query("survey_op25_whiff_model")
 def whiff(spark, sf):
     """Logistic model of the outcome on standardised traits with squares, an interaction and a ridge; integer scores of pitchers."""
     z = fit.standardised(pitches(spark, sf).select("pitcher_id", "velo", "px", "pz", F.when(F.col("result") == "R", 1.0).otherwise(0.0).alias("y")), ["velo", "px", "pz"])
@@ -141,7 +141,7 @@ def whiff(spark, sf):
 
 
 @query(
-    "op28_relative_rates",
+    "survey_op28_relative_rates",
     """WITH l AS (SELECT l_suppkey AS player, CAST(year(l_shipdate) AS INT) AS season, l_linenumber % 3 AS level, count(*) AS pa, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS k FROM lineitem GROUP BY ALL), m AS (SELECT season, level, sum(k) * 1.0 / sum(pa) AS m FROM l GROUP BY ALL)
 SELECT player, l.season, round(sum(pa * (1 - 0.2 * l.level) * k / pa / m) / sum(pa * (1 - 0.2 * l.level)), 6) AS rel FROM l JOIN m ON m.season = l.season AND m.level = l.level GROUP BY player, l.season""",
 )
@@ -154,7 +154,7 @@ def relative(spark, sf):
 
 
 @query(
-    "op29_segment_mix",
+    "survey_op29_segment_mix",
     f"""{WITH_PITCHES} SELECT game_id, fld_team, round((0.6 * coalesce(avg(velo) FILTER (WHERE pitch_no <= 2), 25) + 0.25 * coalesce(avg(velo) FILTER (WHERE pitch_no BETWEEN 3 AND 4), 25) + 0.15 * coalesce(avg(velo) FILTER (WHERE pitch_no > 4), 25)), 6) AS mix FROM pitches GROUP BY ALL""",
 )
 def mix(spark, sf):
@@ -164,7 +164,7 @@ def mix(spark, sf):
 
 
 @query(
-    "op46_model_comparison",
+    "survey_op46_model_comparison",
     f"""{WITH_GAMES}, f AS (SELECT season, month(date) >= 7 AS late, CASE WHEN home_final > away_final THEN 1.0 ELSE 0 END AS y, 0.30 + (game_id % 40) / 100.0 AS a, 0.45 AS b FROM games)
 SELECT season, late, count(*) AS n, round(avg(-(y * ln(a) + (1 - y) * ln(1 - a)) + (y * ln(b) + (1 - y) * ln(1 - b))), 6) AS diff FROM f GROUP BY ALL""",
 )
@@ -175,7 +175,7 @@ def comparison(spark, sf):
 
 
 @query(
-    "op54_spread_shrink",
+    "survey_op54_spread_shrink",
     f"{WITH_GAMES}, x AS (SELECT game_id, date, home_final + away_final AS total, home_final - away_final AS margin FROM games), s AS (SELECT *, 0.5 * total AS t, 0.7 * margin AS m FROM x) SELECT game_id, round((t + m) / 2 + avg(0.5 * total) OVER (PARTITION BY date) / 2, 6) AS home, round((t - m) / 2 + avg(0.5 * total) OVER (PARTITION BY date) / 2, 6) AS away FROM s",
 )
 def shrink(spark, sf):
@@ -186,7 +186,7 @@ def shrink(spark, sf):
 
 
 @query(
-    "op55_spread_grid_search",
+    "survey_op55_spread_grid_search",
     f"""{WITH_TEAM_GAMES}, m AS (SELECT avg(runs) AS m FROM team_games) SELECT a, round(avg(pow(runs - (m + a * ((venue_id % 5) - 2)), 2)), 6) AS mse FROM team_games, m, (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS a) GROUP BY a""",
 )
 def spread_grid(spark, sf):
@@ -195,7 +195,7 @@ def spread_grid(spark, sf):
     return x.groupBy("a").agg(r(F.avg(F.pow(F.col("runs") - (F.col("m") + F.col("a") * (F.col("venue_id") % 5 - 2)), 2))).alias("mse"))
 
 
-@query("op56_level_table", f"{WITH_TEAM_GAMES}, l AS (SELECT season, is_home, avg(runs) AS level FROM team_games GROUP BY ALL) SELECT game_id, team, round(ln(level), 6) AS offset FROM team_games t JOIN l ON l.season = t.season AND l.is_home = t.is_home".replace("AS offset", 'AS "offset"'))
+@query("survey_op56_level_table", f"{WITH_TEAM_GAMES}, l AS (SELECT season, is_home, avg(runs) AS level FROM team_games GROUP BY ALL) SELECT game_id, team, round(ln(level), 6) AS offset FROM team_games t JOIN l ON l.season = t.season AND l.is_home = t.is_home".replace("AS offset", 'AS "offset"'))
 def levels(spark, sf):
     t = team_games(spark, sf)
     level = t.groupBy("season", "is_home").agg(F.avg("runs").alias("level"))
@@ -203,7 +203,7 @@ def levels(spark, sf):
 
 
 @query(
-    "op58_state_rates",
+    "survey_op58_state_rates",
     f"{WITH_PITCHES}, f AS (SELECT game_id, half, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no < 4), 0) AS BIGINT) // 25 AS state, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no >= 4), 0) AS BIGINT) AS scored FROM pitches GROUP BY ALL) SELECT state, count(*) AS n, round((sum(CASE WHEN scored > 50 THEN 1 ELSE 0 END) + 1.0) / (count(*) + 2), 6) AS rate FROM f GROUP BY state",
 )
 def state_rates(spark, sf):
@@ -212,7 +212,7 @@ def state_rates(spark, sf):
     return f.groupBy("state").agg(F.count("*").alias("n"), r((F.count(F.when(F.col("scored") > 50, 1)) + 1.0) / (F.count("*") + 2)).alias("rate"))
 
 
-@query("op59_setting_sweep", f"{WITH_TEAM_GAMES}, t AS (SELECT team, season, sum(runs) AS s, count(*) AS n FROM team_games GROUP BY ALL), m AS (SELECT avg(runs) AS mu FROM team_games) SELECT k, round(avg(pow(b.s * 1.0 / b.n - (a.s + k * mu) / (a.n + k), 2)), 8) AS mse FROM t a JOIN t b ON b.team = a.team AND b.season = a.season + 1, m, (SELECT unnest([0.0, 50.0, 200.0, 800.0]) AS k) GROUP BY k")
+@query("survey_op59_setting_sweep", f"{WITH_TEAM_GAMES}, t AS (SELECT team, season, sum(runs) AS s, count(*) AS n FROM team_games GROUP BY ALL), m AS (SELECT avg(runs) AS mu FROM team_games) SELECT k, round(avg(pow(b.s * 1.0 / b.n - (a.s + k * mu) / (a.n + k), 2)), 8) AS mse FROM t a JOIN t b ON b.team = a.team AND b.season = a.season + 1, m, (SELECT unnest([0.0, 50.0, 200.0, 800.0]) AS k) GROUP BY k")
 def sweep(spark, sf):
     tg = team_games(spark, sf)
     t = tg.groupBy("team", "season").agg(F.sum("runs").alias("s"), F.count("*").alias("n"))
@@ -221,7 +221,7 @@ def sweep(spark, sf):
     return x.groupBy("k").agg(r(F.avg(F.pow(F.col("next") - (F.col("s") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k")), 2)), 8).alias("mse"))
 
 
-@query("op60_adoption_rule")
+@query("survey_op60_adoption_rule")
 def adoption(spark, sf):
     """Holm ordering of groups by the share of bootstrap draws at or below 0: rank, share, adopted at 10 %."""
     t = team_games(spark, sf).select((F.col("venue_id") % 4).alias("g"), (F.col("runs") - 3.9).alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))

@@ -6,4 +6,4 @@ from pitsports.plans import aggregate_queries, asof_queries, composite_queries,
 from pitsports.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
-FLAGSHIP = "op1_decayed_shrunk_rate"
+FLAGSHIP = "survey_op1_decayed_shrunk_rate"
