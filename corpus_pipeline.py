@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their boilerplate lines; n_chars follows the text. Documents left without text go."""
-    out = lines.clean(docs).where("_n_removed = 0 or trim(text) <> ''")
+    out = lines.clean(docs, min_words=1).where("_n_removed = 0 or trim(text) <> ''")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -6,7 +6,8 @@ one shuffle of keys). A line whose estimate lies within the sketch's error of th
 only those, the distinct sites are counted exactly. Lines on ``min_sites`` sites or more are boilerplate and are removed
 from every document; all other lines stay as they are.
 
-Lines of fewer than ``min_words`` words are never candidates: a word or two recurs on many sites by chance.
+``min_words`` keeps shorter lines from being candidates. ``op3_line_dedup`` and the pipeline set it to 1: every line that
+is not blank is a candidate, and the spread over sites alone decides.
 
 Edge cases: a null text stays null (no lines); a null site counts as no site; blank lines stay; a document all of
 whose lines go keeps an empty text; repeated rows are cleaned alike, also with equal or null ids, since rows are
@@ -99,7 +100,7 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = clean(docs)
+    out = clean(docs, min_words=1)
     return out.select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),

@@ -142,6 +142,17 @@ def test_line_dedup_repeats_and_removals(spark):
     assert len(out) == 24 and all(x._n_removed == 1 and x.text.startswith("own") for x in out)
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"own line number {i} of this text\nMenu\n Read more \n\nseen on few sites" if i < 9 else f"own line number {i} of this text\nMenu\n Read more \n", None, f"s{i}", 1, 1, 1, "c") for i in range(12)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_lines, x.n_removed) for x in lines.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (5 if i < 9 else 4, 2) for i in range(12)}
+    left = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert left == {i: f"own line number {i} of this text\n" + ("\nseen on few sites" if i < 9 else "") for i in range(12)}
+
+
 # 4: suffixes
 
 
