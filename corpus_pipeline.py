@@ -47,8 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document: doc_id, sample, n_tokens, ids_crc32, log_prob, score, inclusion, round_trip."""
-    return segmentation.encode(docs.select("doc_id", "text"), segmentation.model_path(), digest=True)
+    """Sampled segmentations of each document: doc_id, sample, ids, n_tokens, ids_crc32, log_prob, score, inclusion, round_trip."""
+    return segmentation.with_digest(segmentation.encode(docs.select("doc_id", "text"), segmentation.model_path()))
 
 
 STAGES = [

@@ -382,11 +382,10 @@ class Sampler:
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
-def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """Rows (doc_id, sample, ids, log_prob, score, inclusion, round_trip) for each row of ``docs`` (``doc_id``, ``text``).
 
-    ``round_trip`` tells whether decoding the ids gave the text back. With ``digest``, the ids stay in the task and
-    n_tokens and ids_crc32 (of their little-endian 32-bit form) stand for them.
+    ``round_trip`` tells whether decoding the ids gave the text back.
     """
 
     def run(frames):
@@ -403,23 +402,28 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED
                 keys = np.array([-1 if k is None else k for k in doc_ids], np.int64)
                 found = sampler.sample([_marked(t) if t else b"" for t in texts], keys)
                 out = [
-                    (doc, i, *shown(ids), log_p, score, include, vocabulary.decode(ids) == text)
+                    (doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.decode(ids) == text)
                     for doc, text, some in zip(doc_ids, texts, found, strict=True)
                     for i, (ids, log_p, score, include) in enumerate(some, 1)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    def shown(ids: np.ndarray) -> tuple:
-        return (len(ids), zlib.crc32(ids.astype("<u4").tobytes())) if digest else (ids.astype(np.int32),)
-
-    columns = [("doc_id", "long", pa.int64()), ("sample", "int", pa.int32())]
-    columns += [("n_tokens", "long", pa.int64()), ("ids_crc32", "long", pa.int64())] if digest else [("ids", "array<int>", pa.list_(pa.int32()))]
-    columns += [(name, "double", pa.float64()) for name in ("log_prob", "score", "inclusion")] + [("round_trip", "boolean", pa.bool_())]
-    names, kinds = [c[0] for c in columns], [c[2] for c in columns]
-    schema = ", ".join(f"{name} {kind}" for name, kind, _ in columns)
+    names = ["doc_id", "sample", "ids", "log_prob", "score", "inclusion", "round_trip"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    schema = "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def with_digest(found: DataFrame) -> DataFrame:
+    """``found`` with n_tokens and ids_crc32 (of their little-endian 32-bit form) beside ``ids``, derived from them."""
+
+    @F.pandas_udf("long")
+    def crc(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
+
+    return found.select("doc_id", "sample", "ids", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"), "log_prob", "score", "inclusion", "round_trip")
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (any columns and ``ids``) with ``text``: the pieces put together again."""
 
@@ -446,4 +450,4 @@ def model_path(model: str | None = None) -> str:
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, model_path(model), digest=True)
+    return with_digest(encode(docs, model_path(model)))

@@ -117,6 +117,21 @@ def test_segmentation_follows_the_distribution_without_replacement():
         assert abs(second[s] / n - sum(a * q / (1 - a) for t, a in p.items() if t != s)) < 0.03
 
 
+def test_segmentation_ids_reach_the_results(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    few = docs.limit(12).cache()
+    few.write.parquet(f"{tmp_path}/documents.parquet")
+    vocabulary = segmentation.Vocabulary(segmentation.model_path())
+    texts = {x.doc_id: x.text or "" for x in few.collect()}
+    for found in (segmentation.op2_sentencepiece_sampling(spark, str(tmp_path)), corpus_pipeline.encoding(spark, few, str(tmp_path))):
+        rows = found.collect()
+        assert {x.doc_id for x in rows} == set(texts)
+        for x in rows:
+            assert vocabulary.decode(np.array(x.ids, np.int64)) == texts[x.doc_id] and x.round_trip
+            assert (x.n_tokens, x.ids_crc32) == (len(x.ids), zlib.crc32(np.array(x.ids, "<u4").tobytes()))
+
+
 # 3: lines
 
 
