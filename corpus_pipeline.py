@@ -2,8 +2,8 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of ``documents``; ``run`` writes each stage's result as Parquet to the shared folder and gives it to the
-next one. Edge cases are those of the operators: documents with null or blank text fail the quality rules, and rows with
-a null id are dropped by the near-duplicate stage, which needs ids to choose by.
+next one. Edge cases are those of the operators: documents with null or blank text fail the quality rules, and
+near-duplicates and benchmark passages are found by row, so rows with null or repeated ids are treated like others.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsports.llm import contamination, jaccard, lines, quality, segmentation
-from pitsports.llm.common import settle
+from pitsports.llm.common import settle, with_row_key
 
 #: SQL can express neither the hashed model of the first stage nor the sampling of the last.
 ORACLE_SQL = None
@@ -33,17 +33,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each connected group of near-duplicates."""
-    groups = jaccard.connect(docs.select("doc_id", "text"), NEAR)
-    first = settle(groups.where("doc_id = component_id").select("doc_id").distinct()).hint("merge")  # nearly all ids
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row, the one of smallest id (null ids last), of each connected group of near-duplicates."""
+    return jaccard.first_of_groups(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, told apart by row key: ids may be null or repeated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = settle(contamination.search(docs, items).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed = with_row_key(docs)
+    found = contamination.search(keyed.select(F.col("_row").alias("doc_id"), "text"), items)
+    found = settle(found.select(F.col("doc_id").alias("_row")).distinct())
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Odd 64-bit multipliers of the hash functions (fixed values).
@@ -42,6 +43,11 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a distinct long ``_row`` for each row, settled, so that every later read sees the same keys."""
+    return settle(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = (x ^ (x >> U(30))) * U(MIX_1)

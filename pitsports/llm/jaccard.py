@@ -25,8 +25,8 @@ assumed.
 
 *Verification* counts common shingles of the two sets exactly (64-bit hashes).
 
-Edge cases: null texts are empty; rows with equal ids are joined row by row, each by its own text; rows with a null id are
-left out; ties go to the smallest id; extra columns are ignored; an empty table gives no rows.
+Edge cases: null texts are empty; rows are joined by a row key, each by its own text, so equal and null ids are rows like
+others; the component of rows that all have null ids is null; ties go to the smallest id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, distinct_per_owner, mix, settle, shingle_hashes, word_hashes
+from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, distinct_per_owner, mix, settle, shingle_hashes, with_row_key, word_hashes
 
 
 
@@ -135,6 +135,7 @@ def _describe(rule: Rule, frames):
         yield pd.DataFrame(
             {
                 "doc": pdf["doc"],
+                "id": pdf["id"],
                 "size": size,
                 "node": _node(h, owner, len(pdf), MIX_1).view(np.int64),
                 "check": _node(h, owner, len(pdf), BASE).view(np.int64),
@@ -322,13 +323,15 @@ def _compare(rule: Rule, closest: int, frames):
 
 
 class Join:
-    """One self-join of ``docs`` (``doc`` long, ``text``): nodes, star pairs, verification and components."""
+    """One self-join of ``docs`` (``doc``, a row key; ``id``, a long or null; ``text``): nodes, star pairs, verification and components."""
 
     def __init__(self, docs: DataFrame, rule: Rule = Rule()):  # noqa: B008
         self.docs, self.rule = docs, rule
-        self.nodes = settle(docs.mapInPandas(partial(_describe, rule), "doc long, size long, node long, check long, sketch binary"))
+        rows = docs.withColumn("id", F.col("id").cast("string"))  # pandas would make floats of longs with nulls
+        nodes = rows.mapInPandas(partial(_describe, rule), "doc long, id string, size long, node long, check long, sketch binary")
+        self.nodes = settle(nodes.withColumn("id", F.col("id").cast("long")).withColumn("own", F.struct(F.col("id").isNull().alias("none"), "id", "doc")).drop("id", "doc"))
         classes = self.nodes.where("size > 0").groupBy("node", "check", "size")
-        self.classes = settle(classes.agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")))
+        self.classes = settle(classes.agg(F.min("own").alias("own"), F.first("sketch").alias("sketch")))
 
     def stars(self) -> DataFrame:
         rows = self.docs.where("text is not null").mapInPandas(partial(_map_side, self.rule), "sig long, a long, b long")
@@ -365,7 +368,7 @@ class Join:
                 cut = np.split(h, np.cumsum(size)[:-1])
                 yield pd.DataFrame({"node": pdf["node"], "set": [x.tobytes() for x in cut]})[own]
 
-        wanted = self.classes.join(nodes, "node", "left_semi").select("doc", "node").hint("merge")  # grows with the corpus
+        wanted = self.classes.join(nodes, "node", "left_semi").select("own.doc", "node").hint("merge")  # grows with the corpus
         return self.docs.join(wanted, "doc").select("node", "text").mapInPandas(run, "node long, set binary")
 
     def sets_of_pairs(self, pairs: DataFrame) -> DataFrame:
@@ -434,19 +437,31 @@ class Join:
         return labels
 
     def by_document(self) -> DataFrame:
-        """(doc, n_shingles, component): the smallest document that each one reaches, itself included."""
+        """(own, n_shingles, component): the smallest row that each one reaches, itself included, as structs (none, id, doc)."""
         labels = self.labels()
-        placed = self.classes.select("node", "check", "size", "doc").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        smallest = placed.groupBy("comp").agg(F.min("doc").alias("component"))
+        placed = self.classes.select("node", "check", "size", "own").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        smallest = placed.groupBy("comp").agg(F.min("own").alias("component"))
         placed = placed.join(smallest, "comp").select("node", "check", "size", "component")
-        out = self.nodes.select("doc", "node", "check", "size").join(placed, ["node", "check", "size"], "left")
-        return out.select("doc", F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+        out = self.nodes.select("own", "node", "check", "size").join(placed, ["node", "check", "size"], "left")
+        return out.select("own", F.col("size").alias("n_shingles"), F.coalesce("component", "own").alias("component"))
+
+
+def _rows(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_row").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
 
 
 def connect(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id of every row of ``docs`` (``doc_id``, ``text``)."""
-    found = Join(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text"), rule).by_document()
-    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    found = Join(_rows(with_row_key(docs.select("doc_id", "text"))), rule).by_document()
+    return found.select(F.col("own.id").alias("doc_id"), "n_shingles", F.col("component.id").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """One row of ``docs`` (``doc_id``, ``text``, any others) for each component: the smallest id, null ids last, then the row key."""
+    keyed = with_row_key(docs)
+    found = Join(_rows(keyed), rule).by_document().where("own.doc = component.doc")
+    first = settle(found.select(F.col("own.doc").alias("_row"))).hint("merge")  # nearly all rows
+    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

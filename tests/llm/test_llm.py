@@ -386,6 +386,23 @@ def test_chain_becomes_one_component(spark):
     assert {x.comp for x in jaccard.components(links).collect()} == {1, 100}
 
 
+def test_rows_with_null_or_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    near = lambda k: text(k) + " more"
+    texts = [(7, text(1)), (7, text(1)), (7, near(1)), (None, text(2)), (None, near(2)), (None, text(3)), (2**53 + 1, near(4)), (None, text(4)), (5, text(5))]
+    rows = [(i, t, None, "s", len(t), 1, 1, "c") for i, t in texts]
+    d = frame(spark, rows)
+    got = sorted(((x.doc_id, x.component_id) for x in jaccard.connect(d).collect()), key=str)
+    assert got == sorted([(7, 7)] * 3 + [(None, None)] * 3 + [(2**53 + 1, 2**53 + 1), (None, 2**53 + 1), (5, 5)], key=str)
+    kept = corpus_pipeline.near_duplicates(spark, d, SF).collect()
+    assert sorted((str(x.doc_id), x.text.split("x")[0]) for x in kept) == sorted([("7", "w1"), ("None", "w2"), ("None", "w3"), (str(2**53 + 1), "w4"), ("5", "w5")])
+    spark.createDataFrame([(1, text(3))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, d, str(tmp_path)).collect()
+    assert len(clean) == len(rows) - 1 and text(3) not in {x.text for x in clean}
+
+
 def test_components_of_empty_table(empty):
     assert jaccard.connect(empty).count() == 0
 
