@@ -11,17 +11,23 @@ shingles, ``k`` fixed by the band. A set takes part in its own band, and in the
 For each band the domain of shingles is split by hash into ``n1`` partitions and each of those into ``n2``; with
 ``k2 = ceil((k + 1) / n1) - 1``, some first-level partition holds at most ``k2`` of the differences, so the two sets agree
 on all of at least ``n2 - k2`` of its parts. The signatures are the hashes of a set's content on every such choice of
-parts: linked sets share one. Small bands enumerate subsets (``k2 > 0``), large ones use many partitions (``k2 = 0``);
-those have ``SPARE`` more than needed, so that an empty partition need not be a signature unless a set has many.
-
-*Candidates without all pairs.* Under each signature the sets form a star around the smallest one, first inside each map
-task, then once more after the shuffle: as many candidate pairs as members less one, and a frequent signature reaches
-its key once a task. Each set's likeliest pair is verified first; components are formed; the other star pairs that
-cross components follow; components again. Signatures all of whose members are then in one component are finished.
-The few others are *open*: their members are compared across components by bit sketches whose distance never exceeds the
-sets' own difference (size-sorted, in blocks, inside tasks), and only what passes is verified: first the closest pairs of
-each two components, then, where these did not join them, all. So no link between components is missed, and none is
-assumed.
+parts: linked sets share one. Small bands enumerate subsets (``k2 > 0``), large ones use many partitions (``k2 = 0``).
+
+*Rarest signatures.* A large band has ``spare`` partitions more than needed, a quarter as many again. Linked sets then
+share at least ``spare + 1`` signatures, so each set may leave out its ``spare`` most frequent ones, in one order for
+all sets: the rarest of the shared ones is never left out. So a passage that many dissimilar texts share gives no
+signature, and a set that shares no more than ``spare`` signatures with any other set gives none at all. The order is:
+empty partitions, then *hot* signatures (those frequent in a bounded sample of the sets, known to every task), then the
+others by the number of sets that have them, counted under one shuffle; signatures of one set only fall away there.
+Hot ones need no count, so no task gets the rows of a frequent signature.
+
+*Candidates without all pairs.* Under each signature the sets form a star around the smallest one (hot signatures first
+inside each map task): as many candidate pairs as members less one. Each set's likeliest pair is verified first;
+components are formed; the other star pairs that cross components follow; components again. Signatures all of whose
+members are then in one component are finished. The few others are *open*: their members are compared across components
+by bit sketches whose distance never exceeds the sets' own difference (size-sorted, in blocks, inside tasks), and only
+what passes is verified: first the closest pairs of each two components, then, where these did not join them, all. So no
+link between components is missed, and none is assumed.
 
 *Verification* counts common shingles of the two sets exactly (64-bit hashes).
 
@@ -58,8 +64,12 @@ class Rule:
         return total * (self.den - self.num) // (self.den + self.num)
 
 
-#: Ratio of a band's sizes, spare partitions, largest number of signatures of a small band, bits of a sketch.
-RATIO, SPARE, SMALL, BITS = 1.5, 2, 24, 512
+#: Ratio of a band's sizes, spare partitions for each needed one, largest number of signatures of a small band, bits of a sketch.
+RATIO, SPARE, SMALL, BITS = 1.5, 0.25, 24, 512
+#: Distinct sets (about) whose signatures are counted to find hot ones, the count that makes one hot, and how many are kept.
+SAMPLE, HOT, MOST_HOT = 8_000, 8, 200_000
+#: Kinds of rows between the shuffles of signatures.
+MEMBER, PAIR, BUDGET, HUB = 0, 1, 2, 3
 #: Members of an open signature that one task compares at a time.
 BLOCK = 1024
 #: Pairs of two components that are verified first: if they link, the components' other pairs need no look.
@@ -74,18 +84,19 @@ def bands(largest: int) -> list[int]:
     return ends
 
 
-def plan(rule: Rule, low: int, high: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for the band of sizes ``low`` to ``high``: the most shingles in a signature for a bounded number of them."""
+def plan(rule: Rule, low: int, high: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for the band of sizes ``low`` to ``high``: the most shingles in a signature for a bounded number of them."""
     k = rule.allowed(2 * high)
-    best = (k + 1 + SPARE, 1, 0)
     if k == 0:
-        return 1, 1, 0
+        return 1, 1, 0, 0
+    spare = max(2, int(np.ceil(SPARE * (k + 1))))
+    best = (k + 1 + spare, 1, 0, spare)
     most = low / (k + 1)
     for n1 in range(1, k + 2):
         k2 = -(-(k + 1) // n1) - 1
         for n2 in range(k2 + 1, k2 + 4):
             if k2 and n1 * comb(n2, k2) <= SMALL and low * (n2 - k2) / (n1 * n2) > most:
-                best, most = (n1, n2, k2), low * (n2 - k2) / (n1 * n2)
+                best, most = (n1, n2, k2, 0), low * (n2 - k2) / (n1 * n2)
     return best
 
 
@@ -144,12 +155,14 @@ def _describe(rule: Rule, frames):
         )
 
 
-def signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets (``owner`` numbers them, ``size`` counts them) and the set that each belongs to."""
+def _signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets (``owner`` numbers them, ``size`` counts them), the set that each belongs to, and how many
+    more each set may leave out in its bands of even and of odd number (a signature's lowest bit tells which)."""
     ends = bands(int(size.max(initial=0)))
     starts = np.cumsum(size) - size
     own_band = np.searchsorted(ends, size, "right") - 1
     sigs, sets = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    left = np.zeros((len(size), 2), np.int64)
     for j in range(len(ends)):
         low = ends[j]
         high = (ends[j + 1] if j + 1 < len(ends) else max(low + 1, int(low * RATIO))) - 1
@@ -157,7 +170,7 @@ def signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -
         take = np.flatnonzero((size > 0) & ((own_band == j) | ((own_band < j) & (size >= smallest))))
         if not len(take):
             continue
-        n1, n2, k2 = plan(rule, smallest, high)
+        n1, n2, k2, spare = plan(rule, smallest, high)
         k = size[take]
         at = np.repeat(starts[take] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         number = np.repeat(np.arange(len(take)), k)
@@ -167,21 +180,45 @@ def signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -
         slot = (number * n1 + first) * n2 + second
         slots = len(take) * n1 * n2
         total = _sums(mix(h[at] ^ U(MIX_2)), slot, slots).reshape(len(take), n1, n2)
-        filled = np.bincount(slot, minlength=slots).reshape(len(take), n1, n2)
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             content = mix(total[:, :, chosen].sum(2, dtype=U))
             label = mix(np.arange(n1, dtype=U) * U(MIX_2) + U(((j + 1) * MIX_1 + c * BASE) & 0xFFFFFFFFFFFFFFFF))
-            sig = mix(content ^ label)
-            if k2 == 0 and n1 > 1:
-                empty = filled[:, :, chosen].sum(2) == 0
-                keep = ~empty | (empty.sum(1, keepdims=True) > SPARE)
-            else:
-                keep = np.ones_like(sig, bool)
+            sig = mix(content ^ label) & ~U(1) | U(j & 1)
+            keep = np.ones_like(sig, bool)
+            if spare:  # empty partitions are the most frequent signatures: the first to be left out
+                empty = np.bincount(slot, minlength=slots).reshape(len(take), n1) == 0
+                keep = ~empty | (empty.cumsum(1) > spare)
+                left[take, j & 1] = spare - np.minimum(empty.sum(1), spare)
             sigs.append(sig[keep])
             sets.append(np.broadcast_to(take[:, None], sig.shape)[keep])
     sig, own = np.concatenate(sigs), np.concatenate(sets)
     order = np.argsort(own, kind="stable")
-    return sig[order], own[order]
+    return sig[order], own[order], left
+
+
+def signatures(rule: Rule, h: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of the sets, and the set that each belongs to."""
+    return _signatures(rule, h, owner, size)[:2]
+
+
+def _of_batch(rule: Rule, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a batch's distinct sets, the node of each set, and what each may leave out."""
+    h, owner, count = _sets(rule, pdf["text"].tolist())
+    node = _node(h, owner, len(pdf), MIX_1).view(np.int64)
+    _, once = np.unique(node, return_index=True)
+    keep = np.zeros(len(pdf), bool)
+    keep[once] = True
+    sig, own, left = _signatures(rule, h[keep[owner]], owner[keep[owner]], np.where(keep, count, 0))
+    return sig, own, left, node
+
+
+def _position(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by ``keys`` (the first one last), and each ordered row's place among rows equal in all keys but the last two."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys[:-2]]) if len(order) else True
+    at = np.arange(len(order))
+    return order, at - np.maximum.accumulate(np.where(new, at, 0)) if len(order) else at
 
 
 def _stars(sig: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,56 +235,112 @@ def _stars(sig: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return is_hub, order[other], hub[other]
 
 
-def _map_side(rule: Rule, frames):
-    """Rows (sig, a, b): a node under a signature (b = a), or a star pair found inside the task."""
+def _rows_of(kind: int, sig, a, b) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "sig": np.asarray(sig).view(np.int64), "a": a, "b": b})
+
+
+def _sampled(rule: Rule, frames):
+    for pdf in batches(frames):
+        yield pd.DataFrame({"sig": _of_batch(rule, pdf)[0].view(np.int64)})
+
+
+def _map_side(rule: Rule, hot, frames):
+    """Rows (kind, sig, a, b): members of signatures that are not hot, what each set may still leave out (``b``), and of the
+    hot signatures that a set keeps the stars inside the task: hubs (b = a) and pairs."""
+    known, rank = hot.value
     held, size = [], 0
 
     def settle_held():
         sig, a = (np.concatenate(x) for x in zip(*held, strict=True))
         is_hub, other, hub = _stars(sig, a)
-        yield pd.DataFrame({"sig": sig[is_hub].view(np.int64), "a": a[is_hub], "b": a[is_hub]})
-        yield pd.DataFrame({"sig": sig[other].view(np.int64), "a": hub, "b": a[other]})
+        yield _rows_of(HUB, sig[is_hub], a[is_hub], a[is_hub])
+        yield _rows_of(PAIR, sig[other], hub, a[other])
 
     for pdf in batches(frames):
-        h, owner, count = _sets(rule, pdf["text"].tolist())
-        node = _node(h, owner, len(pdf), MIX_1).view(np.int64)
-        _, once = np.unique(node, return_index=True)
-        keep = np.zeros(len(pdf), bool)
-        keep[once] = True
-        h, owner = h[keep[owner]], owner[keep[owner]]
-        sig, own = signatures(rule, h, owner, np.where(keep, count, 0))
-        held.append((sig, node[own]))
-        size += len(sig)
-        if size > 2_000_000:
+        sig, own, left, node = _of_batch(rule, pdf)
+        at = np.searchsorted(known, sig)
+        at[at == len(known)] = 0
+        is_hot = known[at] == sig if len(known) else np.zeros(len(sig), bool)
+        warm = np.flatnonzero(is_hot)
+        odd = (sig[warm] & U(1)).astype(np.int64)
+        order, place = _position(own[warm], odd, rank[at[warm]], sig[warm])
+        warm, odd = warm[order], odd[order]
+        out = place < left[own[warm], odd]
+        np.subtract.at(left, (own[warm[out]], odd[out]), 1)
+        kept = warm[~out]
+        if len(kept):
+            held.append((sig[kept], node[own[kept]]))
+            size += len(kept)
+        yield _rows_of(MEMBER, sig[~is_hot], node[own[~is_hot]], np.zeros(np.count_nonzero(~is_hot), np.int64))
+        for odd in (0, 1):
+            some = np.flatnonzero(left[:, odd])
+            yield _rows_of(BUDGET, np.full(len(some), odd, np.int64), node[some], left[some, odd])
+        if size > 1_000_000:
             yield from settle_held()
             held, size = [], 0
     if held:
         yield from settle_held()
 
 
-def _by_signature(frames):
-    """Star pairs (sig, a, b) under each signature; pairs from map tasks pass through."""
+def _whole(frames, column: str):
+    """Cut a stream that is sorted by ``column`` into pieces that hold whole groups."""
     rest = None
-
-    def work(pdf):
-        through = pdf[pdf["b"] != pdf["a"]]
-        if len(through):
-            yield through
-        one = pdf[pdf["b"] == pdf["a"]]
-        sig, a = one["sig"].to_numpy(), one["a"].to_numpy()
-        _, other, hub = _stars(sig, a)
-        yield pd.DataFrame({"sig": sig[other], "a": hub, "b": a[other]})
-
     for pdf in frames:
         if rest is not None:
             pdf = pd.concat((rest, pdf), ignore_index=True)
-        sig = pdf["sig"].to_numpy()
-        edge = np.searchsorted(sig, sig[-1]) if len(sig) else 0
+        x = pdf[column].to_numpy()
+        edge = np.searchsorted(x, x[-1]) if len(x) else 0
         rest = pdf.iloc[edge:]
         if edge:
-            yield from work(pdf.iloc[:edge])
+            yield pdf.iloc[:edge]
     if rest is not None and len(rest):
-        yield from work(rest)
+        yield rest
+
+
+def _by_frequency(frames):
+    """Members with the number of sets under their signature (``b``), where there are two at least; other kinds pass."""
+    for pdf in _whole(frames, "sig"):
+        kind = pdf["kind"].to_numpy()
+        if (kind != MEMBER).any():
+            yield pdf[kind != MEMBER]
+        sig, a = (pdf[c].to_numpy()[kind == MEMBER] for c in ("sig", "a"))
+        order = np.lexsort((a, sig))
+        sig, a = sig[order], a[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (a[1:] != a[:-1])
+        sig, a = sig[new], a[new]
+        _, group, n = np.unique(sig, return_inverse=True, return_counts=True)
+        shared = n[group] > 1
+        yield _rows_of(MEMBER, sig[shared], a[shared], n[group][shared])
+
+
+def _by_node(frames):
+    """Each set leaves out its most frequent signatures; what it keeps are members (b = a). Hubs become members, pairs pass."""
+    for pdf in _whole(frames, "a"):
+        kind, sig, a, b = (pdf[c].to_numpy() for c in ("kind", "sig", "a", "b"))
+        yield _rows_of(PAIR, sig[kind == PAIR], a[kind == PAIR], b[kind == PAIR])
+        yield _rows_of(MEMBER, sig[kind == HUB], a[kind == HUB], a[kind == HUB])
+        nodes, number = np.unique(a, return_inverse=True)
+        left = np.zeros((len(nodes), 2), np.int64)
+        budget = kind == BUDGET
+        left[number[budget], sig[budget]] = b[budget]
+        member = kind == MEMBER
+        sig, number, n = sig[member], number[member], b[member]
+        odd = sig & 1
+        order, place = _position(number, odd, -n, sig)
+        keep = order[place >= left[number[order], odd[order]]]
+        yield _rows_of(MEMBER, sig[keep], nodes[number[keep]], nodes[number[keep]])
+
+
+def _by_signature(frames):
+    """Star pairs (sig, a, b) under each signature; pairs from map tasks pass through."""
+    for pdf in _whole(frames, "sig"):
+        kind = pdf["kind"].to_numpy()
+        if (kind == PAIR).any():
+            yield pdf.loc[kind == PAIR, ["sig", "a", "b"]]
+        sig, a = (pdf[c].to_numpy()[kind == MEMBER] for c in ("sig", "a"))
+        _, other, hub = _stars(sig, a)
+        yield pd.DataFrame({"sig": sig[other], "a": hub, "b": a[other]})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -333,10 +426,27 @@ class Join:
         classes = self.nodes.where("size > 0").groupBy("node", "check", "size")
         self.classes = settle(classes.agg(F.min("own").alias("own"), F.first("sketch").alias("sketch")))
 
+    def hot(self):
+        """A broadcast of the signatures that are frequent in a sample of the sets (at most ``MOST_HOT``), sorted, and their ranks."""
+        spark = self.docs.sparkSession
+        steps = 1 << 20
+        share = min(1.0, SAMPLE / max(1, self.classes.count()))
+        few = self.classes.where(F.pmod(F.xxhash64("node"), F.lit(steps)) < int(share * steps)).select("own.doc")
+        sampled = self.docs.join(F.broadcast(few), "doc", "left_semi").mapInPandas(partial(_sampled, self.rule), "sig long")
+        found = sampled.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "sig").limit(MOST_HOT).toPandas()
+        known = found["sig"].to_numpy(np.int64).view(U)
+        order = np.argsort(known)
+        return spark.sparkContext.broadcast((known[order], order))
+
     def stars(self) -> DataFrame:
-        rows = self.docs.where("text is not null").mapInPandas(partial(_map_side, self.rule), "sig long, a long, b long")
-        deal = F.when(F.col("a") == F.col("b"), F.col("sig")).otherwise(F.xxhash64("b"))
-        return settle(rows.repartition(deal).sortWithinPartitions("sig").mapInPandas(_by_signature, "sig long, a long, b long"))
+        schema = "kind int, sig long, a long, b long"
+        rows = self.docs.where("text is not null").mapInPandas(partial(_map_side, self.rule, self.hot()), schema)
+        by_sig = rows.repartition(F.when(F.col("kind") == MEMBER, F.col("sig")).otherwise(F.xxhash64("a", "b"))).sortWithinPartitions("sig")
+        counted = by_sig.mapInPandas(_by_frequency, schema)
+        by_node = counted.repartition(F.when(F.col("kind").isin(MEMBER, BUDGET), F.col("a")).otherwise(F.xxhash64("b", "sig"))).sortWithinPartitions("a")
+        kept = by_node.mapInPandas(_by_node, schema)
+        dealt = kept.repartition(F.when(F.col("kind") == MEMBER, F.col("sig")).otherwise(F.xxhash64("b"))).sortWithinPartitions("sig")
+        return settle(dealt.mapInPandas(_by_signature, "sig long, a long, b long"))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sizes and sketches allow a link."""
