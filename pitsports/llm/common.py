@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -28,9 +28,14 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``); set to an own one only if unset."""
+    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a folder of its own; a cluster must name one that all executors share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pitsports-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pitsports-{uuid.uuid4().hex}"
@@ -44,8 +49,19 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """``df`` with a distinct long ``_row`` for each row, settled, so that every later read sees the same keys."""
-    return settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    """``_doc`` (a struct of the columns of ``df``) and a distinct long ``_row`` for each row, settled, so that every later
+    read sees the same keys."""
+    return settle(packed(df).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``_doc``, a struct of its columns, so that none of their names can meet an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+
+
+def unpacked(df: DataFrame, without=(), **changed: Column) -> list[Column]:
+    """The columns inside ``_doc``, under their names and in their order, but for ``without``; those in ``changed`` replaced."""
+    return [changed.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in df.schema["_doc"].dataType.names if c not in without]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
