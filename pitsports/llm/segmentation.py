@@ -4,7 +4,9 @@
 a run of marks, so the text is a sequence of chunks with a lattice each: nodes are byte places, edges are pieces of the
 vocabulary, and the single bytes of characters that have no piece of their own, so every text can be
 encoded and decoded back byte for byte. An edge weighs ``-alpha * ln(rank + RANK_SHIFT)`` by the piece's rank in the
-vocabulary (frozen; bytes take the last rank). Lattices are built once per distinct chunk of a batch.
+vocabulary (frozen; bytes take the last rank). Lattices are built once per distinct chunk of a batch. A chunk longer than
+``LONG`` bytes is split into units at the places that no edge crosses: every segmentation passes there, so the units'
+lattices are independent, and text without spaces costs what words cost.
 
 *Sampling.* Segmentations have probability proportional to the product of their edges' weights. Backward sums turn edge
 weights into exact transition probabilities. Each segmentation's log-probability plus Gumbel noise is its key; the k
@@ -26,8 +28,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,13 +41,17 @@ from pyspark.sql import functions as F
 from pitsports.llm.common import BASE, MIX_1, MIX_2, U, mix, powers
 
 BLANK = b"\xfe"
-_CHUNK = re.compile(rb"\xfe*[^\xfe]+|\xfe+")
 SAMPLES = 2
 SEED = 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 #: Bytes of text that a task works on at a time.
 PIECE_BYTES = 1 << 19
+#: Bytes of a chunk from which it is split into units. In units no longer than this, products of weights stay within doubles;
+#: in longer ones the sums are made edge by edge from logarithms.
+LONG = 56
+#: Frequent chunks whose lattices a task keeps.
+KEPT = 60_000
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -76,16 +83,27 @@ class Vocabulary:
             prefixes.setdefault(len(raw), {})[raw] = i
         self.weight = -alpha * np.log(np.arange(n) + RANK_SHIFT)
         self.weight[self.byte_id] = -alpha * np.log(n + RANK_SHIFT)
+        self.factor = np.exp(self.weight)
+        self.in_range = float(-self.weight.min() * LONG) < 690  # whether products over LONG bytes stay within doubles
+        #: pieces of one and two bytes by their bytes; -2 where not even a prefix
+        self.short = [np.full(256, -2, np.int64), np.full(1 << 16, -2, np.int64)]
+        for length, table in enumerate(self.short, 1):
+            for raw, i in prefixes.get(length, {}).items():
+                table[int.from_bytes(raw, "big")] = i
         self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for length in sorted(prefixes):
+        for length in sorted(set(prefixes) - {1, 2}):
             ids = np.array(list(prefixes[length].values()), np.int64)
             h = _hash_of(np.frombuffer(b"".join(prefixes[length]), np.uint8), np.arange(len(ids)) * length, length)
             order = np.argsort(h)
             self.tables.append((length, h[order], ids[order]))
 
+    def marked(self, ids: np.ndarray) -> bytes:
+        """The marked text whose encoding ``ids`` are."""
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text whose encoding ``ids`` are."""
-        text = b"".join([self.pieces[i] for i in ids.tolist()]).replace(BLANK, b" ").decode("utf-8", "surrogatepass")
+        text = self.marked(ids).replace(BLANK, b" ").decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -132,13 +150,20 @@ class Lattices:
         width[buf == BLANK[0]] = 1
         covered = np.zeros(n, bool)
         s = start_of_char  # those from which the bytes so far are the start of some piece
-        for length, hashes, numbers in vocabulary.tables:
+        wide = buf.astype(np.int64)
+        tables = [(1, wide, vocabulary.short[0]), (2, (wide[:-1] << 8) + wide[1:], vocabulary.short[1]), *vocabulary.tables]
+        for length, hashes, numbers in tables:
             s = s[s + length < n]
-            h = mix((prefix[s + length] - prefix[s]) * down[s])
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            hit = hashes[at] == h
-            s, number = s[hit], numbers[at[hit]]
+            if length <= 2:
+                number = numbers[hashes[s]]
+                hit = number > -2
+                s, number = s[hit], number[hit]
+            else:
+                h = mix((prefix[s + length] - prefix[s]) * down[s])
+                at = np.searchsorted(hashes, h)
+                at[at == len(hashes)] = 0
+                hit = hashes[at] == h
+                s, number = s[hit], numbers[at[hit]]
             if not len(s):
                 break
             whole = number >= 0
@@ -156,56 +181,128 @@ class Lattices:
         src.append(place)
         dst.append(place + 1)
         ids.append(vocabulary.byte_id[buf[place]])
-        src, dst, ids = np.concatenate(src), np.concatenate(dst), np.concatenate(ids)
-        order = np.argsort(src, kind="stable")
-        self.src, self.dst, self.ids = src[order], dst[order], ids[order]
-        self.first = np.searchsorted(self.src, np.arange(n + 1))
-        weight = vocabulary.weight[self.ids]
-        # backward sums, by distance to the chunk's end: all places at one distance at a time
-        beta = np.full(n, -np.inf)
-        beta[self.end] = 0.0
-        to_end = np.repeat(self.end, sizes + 1) - np.arange(n)
-        rank = np.argsort(to_end[self.src], kind="stable")
-        far = to_end[self.src][rank]
-        cuts = np.searchsorted(far, np.arange(1, int(sizes.max(initial=0)) + 2))
+        # edges of one length leave different places, so each length fills one more slot of its places
+        degree = np.bincount(np.concatenate(src), minlength=n)
+        self.first = np.concatenate(([0], np.cumsum(degree)))
+        total, slot = int(self.first[-1]), self.first[:-1].copy()
+        self.src, self.dst, self.ids = np.repeat(np.arange(n), degree), np.empty(total, np.int64), np.empty(total, np.int64)
+        for a, b, i in zip(src, dst, ids, strict=True):
+            at = slot[a]
+            self.dst[at], self.ids[at] = b, i
+            slot[a] = at + 1
+        self._split(sizes)
+        # backward sums inside each unit, by distance to its end: all places at one distance at a time
+        stops = np.flatnonzero(self.stop)
+        stop_of = stops[np.searchsorted(stops, np.arange(n), "right").clip(max=len(stops) - 1)][self.src]
+        to_end = stop_of - self.src
+        inside = to_end <= LONG if vocabulary.in_range else np.zeros(total, bool)
+        factor = vocabulary.factor[self.ids]
+        mass = np.zeros(n)
+        mass[self.end] = 1.0
+        last = self.dst == stop_of
+        rank = np.argsort(np.where(inside, to_end, LONG + 1).astype(np.int16), kind="stable")
+        cuts = np.searchsorted(to_end[rank[: np.count_nonzero(inside)]], np.arange(1, LONG + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = rank[a:b]
-            if not len(e):
+            if a == b:
                 continue
-            value = weight[e] + beta[self.dst[e]]
+            e = rank[a:b]
+            value = factor[e] * np.where(last[e], 1.0, mass[self.dst[e]])
             node = self.src[e]
             new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            top = np.maximum.reduceat(value, new)
-            top[np.isneginf(top)] = 0.0
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(new, len(e))))), new)
-            with np.errstate(divide="ignore"):
-                beta[node[new]] = top + np.log(total)
-        with np.errstate(invalid="ignore"):
-            self.log_p = weight + beta[self.dst] - beta[self.src]
-        self.log_p[np.isnan(self.log_p)] = -np.inf
-        p = np.exp(self.log_p)
-        running = np.cumsum(p)
+            mass[node[new]] = np.add.reduceat(value, new)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.p = factor * np.where(last, 1.0, mass[self.dst]) / mass[self.src]
+        self._in_logarithms(np.flatnonzero(~inside), vocabulary.weight[self.ids], last)
+        self.p[np.isnan(self.p)] = 0.0
+        running = np.cumsum(self.p)
         base = np.concatenate(([0.0], running))[self.first[self.src]]
-        #: cumulative probability inside a node, plus the node's number: one sorted array to search in
-        self.cumulative = np.minimum(running - base, 1.0) + self.src
+        #: cumulative probability inside a node
+        self.cumulative = np.minimum(running - base, 1.0)
+
+    def __add__(self, other: Lattices) -> Lattices:
+        """Both lattices' chunks, ``other``'s after one's own."""
+        both = object.__new__(Lattices)
+        both.n = self.n + other.n
+        for name in ("root", "end", "unit", "src", "dst"):
+            setattr(both, name, np.concatenate((getattr(self, name), getattr(other, name) + self.n)))
+        for name in ("units", "stop", "ids", "p", "cumulative"):
+            setattr(both, name, np.concatenate((getattr(self, name), getattr(other, name))))
+        both.first_unit = np.concatenate((self.first_unit, other.first_unit + len(self.unit)))
+        both.first = np.concatenate((self.first[:-1], other.first + self.first[-1]))
+        return both
+
+    def _split(self, sizes: np.ndarray) -> None:
+        """``stop``: the places where units end; ``unit``: their first places; ``first_unit`` and ``units`` of each chunk."""
+        self.stop = np.zeros(self.n, bool)
+        self.stop[self.end] = True
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            change = np.bincount(self.src + 1, minlength=self.n + 1) - np.bincount(self.dst, minlength=self.n + 1)
+            free = np.cumsum(change)[: self.n] == 0  # places that no edge crosses
+            for c in long:
+                self.stop[self.root[c] + 1 : self.end[c]] = free[self.root[c] + 1 : self.end[c]]
+        begins = self.stop.copy()
+        begins[self.end] = False
+        begins[self.root] = True
+        self.unit = np.flatnonzero(begins)
+        self.first_unit = np.searchsorted(self.unit, self.root)
+        self.units = np.diff(np.append(self.first_unit, len(self.unit)))
+
+    def _in_logarithms(self, edges: np.ndarray, weight: np.ndarray, last: np.ndarray) -> None:
+        """Transition probabilities of ``edges``, all those of some units from some place to the places before it."""
+        total: dict[int, float] = {}
+        near: dict[int, float] = {}
+        whole = set(self.src[edges].tolist())
+
+        def beta(node: int) -> float:
+            if node in total or node in whole:
+                return total.get(node, -math.inf)
+            if node not in near:  # a place whose sum is a product of weights: take it from its own edges
+                x = [weight[e] + (0.0 if last[e] else beta(int(self.dst[e]))) for e in range(self.first[node], self.first[node + 1])]
+                near[node] = float(np.logaddexp.reduce(x)) if x else -math.inf
+            return near[node]
+
+        for e in edges[::-1].tolist():
+            node = int(self.src[e])
+            x, y = weight[e] + (0.0 if last[e] else beta(int(self.dst[e]))), total.get(node, -math.inf)
+            top = max(x, y)
+            total[node] = top if top == -math.inf else top + math.log(math.exp(x - top) + math.exp(y - top))
+        for e in edges.tolist():
+            x = weight[e] + (0.0 if last[e] else beta(int(self.dst[e])))
+            self.p[e] = 0.0 if x == -math.inf else math.exp(x - total[int(self.src[e])])
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge drawn at each node by a uniform number."""
-        e = np.searchsorted(self.cumulative, node + np.minimum(u, 1 - 1e-9), "right")
-        e = np.minimum(e, self.first[node + 1] - 1)
-        e = np.maximum(e, self.first[node])
-        bad = np.isneginf(self.log_p[e])
+        u = np.minimum(u, 1 - 1e-9)
+        e, top = self.first[node], self.first[node + 1] - 1
+        on = np.flatnonzero((self.cumulative[e] <= u) & (e < top))
+        while len(on):  # a node has two edges in the mean
+            e[on] += 1
+            on = on[(self.cumulative[e[on]] <= u[on]) & (e[on] < top[on])]
+        bad = self.p[e] == 0.0
         while bad.any():  # rounding led to an edge without mass
             e[bad] -= 1
             wrap = bad & (e < self.first[node])
             e[wrap] = self.first[node[wrap] + 1] - 1
-            bad = np.isneginf(self.log_p[e])
+            bad = self.p[e] == 0.0
         return e
 
 
-def _chunks(text: bytes) -> list[bytes]:
-    """Cut a marked text where a run of marks starts."""
-    return _CHUNK.findall(text)
+def _chunks(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Marked texts, cut where a run of marks starts: the distinct chunks, the number of each chunk, and the chunks of each text."""
+    raw = b"".join(texts)
+    buf = np.frombuffer(raw, np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    mark = buf == BLANK[0]
+    cut = mark.copy()
+    cut[1:] &= ~mark[:-1]
+    cut[begins[sizes > 0]] = True
+    starts = np.flatnonzero(cut)
+    offsets = np.append(starts, len(buf)).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    counts = np.searchsorted(starts, begins + sizes) - np.searchsorted(starts, begins)
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64), counts
 
 
 def _marked(text: str) -> bytes:
@@ -214,22 +311,18 @@ def _marked(text: str) -> bytes:
 
 
 def _paths(lat: Lattices, chunk_node: np.ndarray, key: np.ndarray, sample: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Draw every chunk from its node to its end: edges, and the chunk that each belongs to, in order."""
-    edges, owners, rounds = [], [], []
+    """Draw every unit from its node to its end: edges, and the unit that each belongs to, in order."""
+    edges, owners = [], []
     live = np.arange(len(chunk_node))
     node = chunk_node.copy()
     step = 0
-    is_end = np.zeros(lat.n, bool)
-    is_end[lat.end] = True
-    live = live[~is_end[node]]
     while len(live):
         u = _unit(_noise(key[live], 1, sample, (place[live] << 32) + step))
         e = lat.step(node[live], u)
         edges.append(e)
         owners.append(live)
-        rounds.append(np.full(len(live), step))
         node[live] = lat.dst[e]
-        live = live[~is_end[node[live]]]
+        live = live[~lat.stop[node[live]]]
         step += 1
     if not edges:
         z = np.zeros(0, np.int64)
@@ -250,20 +343,45 @@ class Sampler:
 
     def __init__(self, vocabulary: Vocabulary, samples: int = SAMPLES, seed: int = SEED):
         self.vocabulary, self.k, self.seed = vocabulary, samples, seed
+        self.known: dict[bytes, int] = {}
+        self.base: Lattices | None = None
+
+    def lattices(self, chunks: list[bytes], counts: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """The lattices of distinct ``chunks``, and the number of each chunk in them.
+
+        Chunks that are frequent in the first texts are kept, up to ``KEPT``, and need not be built again.
+        """
+        number = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(number < 0)
+        if len(self.known) < KEPT:
+            often = new[counts[new] > 1][: KEPT - len(self.known)]
+            if len(often):
+                self.known.update(zip([chunks[i] for i in often], range(len(self.known), len(self.known) + len(often)), strict=True))
+                more = Lattices(self.vocabulary, [chunks[i] for i in often])
+                self.base = more if self.base is None else self.base + more
+                number[often] = np.arange(len(self.known) - len(often), len(self.known))
+                new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
+        if self.base is None:
+            return Lattices(self.vocabulary, chunks), number
+        return (self.base + Lattices(self.vocabulary, [chunks[i] for i in new]) if len(new) else self.base), number
 
     def sample(self, texts: list[bytes], keys: np.ndarray) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each marked text: up to k of (ids, log-probability, key, inclusion), largest key first."""
-        cut = [_chunks(t) for t in texts]
-        number: dict[bytes, int] = {}
-        flat = np.array([number.setdefault(c, len(number)) for chunks in cut for c in chunks], np.int64)
-        lat = Lattices(self.vocabulary, list(number))
-        counts = np.array([len(c) for c in cut], np.int64)
+        chunks, flat, chunk_counts = _chunks(texts)
+        lat, number = self.lattices(chunks, np.bincount(flat, minlength=len(chunks)))
+        flat = number[flat]
+        chunk_stops = np.concatenate(([0], np.cumsum(chunk_counts)))
+        units = lat.units[flat]
+        unit_stops = np.concatenate(([0], np.cumsum(units)))
+        flat = np.repeat(lat.first_unit[flat] - unit_stops[:-1], units) + np.arange(unit_stops[-1])
+        counts = np.diff(unit_stops[chunk_stops])
         ends = np.cumsum(counts)
         begins = ends - counts
         text_of = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(flat)) - begins[text_of]
         key = mix(keys.astype(np.int64).view(U) ^ U(mix(np.array([self.seed], U))[0]))
-        nodes = lat.root[flat]
+        nodes = lat.unit[flat]
         n_texts = len(texts)
         top = -np.log(-np.log(_unit(_noise(key, 2, 0, np.zeros(n_texts, np.int64)))))
         # a queue for each text: (key, sample it left, step on that path, edges excluded there, log-mass)
@@ -276,11 +394,9 @@ class Sampler:
         start_node = np.full(n_texts, -1, np.int64)
         alive = np.arange(n_texts)
         threshold = np.full(n_texts, -np.inf)
-        is_end = np.zeros(lat.n, bool)
-        is_end[lat.end] = True
         sizes = np.diff(np.append(lat.first, len(lat.src)))
         for sample in range(self.k):
-            # draw the rest of each live text's path: from a node inside one chunk, then all later chunks
+            # draw the rest of each live text's path: from a node inside one unit, then all later units
             take = np.concatenate([np.arange(begins[t] + start_place[t], ends[t]) for t in alive]) if len(alive) else np.zeros(0, np.int64)
             where = nodes[take].copy()
             for_text = text_of[take]
@@ -305,11 +421,12 @@ class Sampler:
             starts = np.cumsum(lengths) - lengths
             nth_text = np.repeat(np.arange(len(alive)), lengths)
             at = np.arange(len(flat_path)) - starts[nth_text]
-            lp = lat.log_p[flat_path]
+            p = lat.p[flat_path]
+            lp = np.log(p)
             running = np.concatenate(([0.0], np.cumsum(lp)))
             before = running[:-1] - running[starts][nth_text]
             with np.errstate(divide="ignore"):
-                rest = before + np.log1p(-np.minimum(np.exp(lp), 1.0))
+                rest = before + np.log1p(-np.minimum(p, 1.0))
             rest[(sizes[lat.src[flat_path]] < 2) | (at < kept[nth_text] - 1)] = -np.inf
             gone: dict[int, tuple] = {}
             for i in np.flatnonzero(kept):
@@ -349,8 +466,8 @@ class Sampler:
                 e = self._other(lat, node, out, u)
                 top[t], excluded[t] = score, out
                 prefix_kept[t] = np.append(base[:step], e)
-                nth = int(np.count_nonzero(is_end[lat.dst[base[:step]]]))
-                if is_end[lat.dst[e]]:
+                nth = int(np.count_nonzero(lat.stop[lat.dst[base[:step]]]))
+                if lat.stop[lat.dst[e]]:
                     start_place[t], start_node[t] = nth + 1, -1
                 else:
                     start_place[t], start_node[t] = nth, lat.dst[e]
@@ -368,14 +485,14 @@ class Sampler:
     @staticmethod
     def _rest(lat: Lattices, node: int, gone: tuple) -> float:
         """Log-mass of a node's edges without those in ``gone``."""
-        lp = np.array([lat.log_p[e] for e in range(lat.first[node], lat.first[node + 1]) if e not in gone])
-        return float(np.logaddexp.reduce(lp)) if len(lp) else -np.inf
+        rest = sum(float(lat.p[e]) for e in range(lat.first[node], lat.first[node + 1]) if e not in gone)
+        return math.log(rest) if rest > 0 else -math.inf
 
     @staticmethod
     def _other(lat: Lattices, node: int, gone: tuple, u: float) -> int:
         """An edge of ``node`` outside ``gone``, by its share of the remaining mass."""
-        left = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in gone and np.isfinite(lat.log_p[e])]
-        p = np.exp(lat.log_p[left])
+        left = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in gone and lat.p[e] > 0]
+        p = lat.p[left]
         return left[min(int(np.searchsorted(np.cumsum(p) / p.sum(), u, "right")), len(left) - 1)]
 
 
@@ -400,10 +517,11 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED
                 doc_ids = piece.column("doc_id").to_pylist()
                 texts = ["" if t is None else t for t in piece.column("text").to_pylist()]
                 keys = np.array([-1 if k is None else k for k in doc_ids], np.int64)
-                found = sampler.sample([_marked(t) if t else b"" for t in texts], keys)
+                marked = [_marked(t) if t else b"" for t in texts]
+                found = sampler.sample(marked, keys)
                 out = [
-                    (doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.decode(ids) == text)
-                    for doc, text, some in zip(doc_ids, texts, found, strict=True)
+                    (doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.marked(ids) == text)
+                    for doc, text, some in zip(doc_ids, marked, found, strict=True)
                     for i, (ids, log_p, score, include) in enumerate(some, 1)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
