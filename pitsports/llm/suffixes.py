@@ -22,9 +22,9 @@ single windows, keyed by the window's own hash and compared by a second 64-bit h
 
 Marks are joined with the texts once, at the end. Nothing is dropped or capped.
 
-Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes keep all bytes; ids are taken to be
-unique (rows with equal ids, also null ones, share their marks: a place is removed from each of them if it is removed from
-one); rows with a null id come after all others; extra columns are ignored; an empty table gives no rows.
+Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes keep all bytes; rows are told apart by a row key,
+so that rows with equal or null ids are documents like others, in the order of their keys; rows with a null id come after
+all others; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.common import BASE, MIX_1, MIX_2, U, mix, powers, settle
+from pitsports.llm.common import BASE, MIX_1, MIX_2, U, mix, powers, settle, with_row_key
 
 LENGTH = 100
 GRAM = 24
 #: Different segments under one key from which the key counts as hot: in all, and inside one map task.
 HOT, HOT_IN_TASK = 128, 12
-ROWS = "kind int, key long, sig long, doc long, start int, n int"
+ROWS = "kind int, key long, sig long, doc long, row long, start int, n int"
 MARK, SEGMENT, HOT_SEGMENT, HOT_FLAG = 0, 1, 2, 3
 PIECE = 1 << 20
 
@@ -121,16 +121,16 @@ def window_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _first_of_each(key, sig, doc, start):
-    """Order by (key, sig, doc, start), and which rows are the first of their (key, sig)."""
-    order = np.lexsort((start, doc, sig, key))
+def _first_of_each(key, sig, doc, row, start):
+    """Order by (key, sig, doc, row, start), and which rows are the first of their (key, sig)."""
+    order = np.lexsort((start, row, doc, sig, key))
     k, s = key[order], sig[order]
     first = np.ones(len(order), bool)
     first[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     return order, first
 
 
-def _frame(kind, key, sig, doc, start, n):
+def _frame(kind, key, sig, doc, row, start, n):
     size = len(doc)
     return pd.DataFrame(
         {
@@ -138,29 +138,35 @@ def _frame(kind, key, sig, doc, start, n):
             "key": np.asarray(key).view(np.int64),
             "sig": np.asarray(sig).view(np.int64),
             "doc": np.asarray(doc, np.int64),
+            "row": np.asarray(row, np.int64),
             "start": np.asarray(start, np.int32),
             "n": np.asarray(n, np.int32),
         }
     )
 
 
-def _spread(doc: np.ndarray) -> np.ndarray:
+def _spread(row: np.ndarray) -> np.ndarray:
     """A key that deals rows out evenly, for rows that only pass through."""
-    return mix(doc.astype(np.int64).view(U) + U(BASE))
+    return mix(row.astype(np.int64).view(U) + U(BASE))
 
 
-def _joined_marks(doc, start, n):
+def _joined_marks(row, start, n):
     """Marks of neighbouring runs become one."""
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order].astype(np.int64), n[order].astype(np.int64)
-    if not len(doc):
-        return doc, start, n
+    order = np.lexsort((start, row))
+    row, start, n = row[order], start[order].astype(np.int64), n[order].astype(np.int64)
+    if not len(row):
+        return row, start, n
     stop = start + n
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
     at = np.flatnonzero(new)
     top = np.maximum.reduceat(stop, at)
-    return doc[at], start[at], top - start[at]
+    return row[at], start[at], top - start[at]
+
+
+def _marks(row, start, n) -> pd.DataFrame:
+    row, start, n = _joined_marks(row, start, n)
+    return _frame(MARK, _spread(row), np.zeros(len(row), U), row, row, start, n)
 
 
 def _map_side(frames):
@@ -168,32 +174,31 @@ def _map_side(frames):
     held, size = [], 0
 
     def settle_held():
-        own, start, n, key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first = _first_of_each(key, sig, own, start)
+        own, row, start, n, key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = _first_of_each(key, sig, own, row, start)
         again = order[~first]
-        d, s, k = _joined_marks(own[again], start[again], n[again])
-        yield _frame(MARK, _spread(d), np.zeros(len(d), U), d, s, k)
+        yield _marks(row[again], start[again], n[again])
         keep = order[first]
         same = np.ones(len(keep), bool)
         same[1:] = key[keep][1:] != key[keep][:-1]
         group = np.cumsum(same) - 1
         hot = np.bincount(group)[group] > HOT_IN_TASK if len(keep) else np.zeros(0, bool)
         cold = keep[~hot]
-        yield _frame(SEGMENT, key[cold], sig[cold], own[cold], start[cold], n[cold])
+        yield _frame(SEGMENT, key[cold], sig[cold], own[cold], row[cold], start[cold], n[cold])
         warm = keep[hot]
-        yield _frame(HOT_SEGMENT, _spread(own[warm]), np.zeros(len(warm), U), own[warm], start[warm], n[warm])
+        yield _frame(HOT_SEGMENT, _spread(row[warm]), np.zeros(len(warm), U), own[warm], row[warm], start[warm], n[warm])
         flag = keep[hot & same]
         zero = np.zeros(len(flag), np.int64)
-        yield _frame(HOT_FLAG, key[flag], zero.view(U), zero, zero, zero)
+        yield _frame(HOT_FLAG, key[flag], zero.view(U), zero, zero, zero, zero)
 
     for pdf in frames:
         texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-        docs = pdf["doc"].to_numpy(np.int64)
+        docs, rows = pdf["doc"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
         cut = np.cumsum([len(t) for t in texts]) // PIECE
         for piece in np.unique(cut):
             at = np.flatnonzero(cut == piece)
             own, start, n, key, sig = segments_of([texts[i] for i in at])
-            held.append((docs[at][own], start, n, key, sig))
+            held.append((docs[at][own], rows[at][own], start, n, key, sig))
             size += len(own)
         if size > 1_000_000:
             yield from settle_held()
@@ -227,14 +232,13 @@ def _by_key(frames):
         rows = pdf[(kind == SEGMENT) | (kind == HOT_FLAG)]
         if not len(rows):
             continue
-        key, sig, doc = rows["key"].to_numpy().view(U), rows["sig"].to_numpy().view(U), rows["doc"].to_numpy()
+        key, sig, doc, row = rows["key"].to_numpy().view(U), rows["sig"].to_numpy().view(U), rows["doc"].to_numpy(), rows["row"].to_numpy()
         start, n, flag = rows["start"].to_numpy(), rows["n"].to_numpy(), (rows["kind"] == HOT_FLAG).to_numpy()
         flagged = np.unique(key[flag])
-        key, sig, doc, start, n = (x[~flag] for x in (key, sig, doc, start, n))
-        order, first = _first_of_each(key, sig, doc, start)
+        key, sig, doc, row, start, n = (x[~flag] for x in (key, sig, doc, row, start, n))
+        order, first = _first_of_each(key, sig, doc, row, start)
         again = order[~first]
-        d, s, k = _joined_marks(doc[again], start[again], n[again])
-        yield _frame(MARK, _spread(d), np.zeros(len(d), U), d, s, k)
+        yield _marks(row[again], start[again], n[again])
         keep = order[first]
         if not len(keep):
             continue
@@ -244,9 +248,9 @@ def _by_key(frames):
         count = np.bincount(group)[group]
         hot = np.isin(key[keep], flagged) | (count > HOT)
         cold = keep[~hot & (count > 1)]
-        yield _frame(SEGMENT, key[cold], sig[cold], doc[cold], start[cold], n[cold])
+        yield _frame(SEGMENT, key[cold], sig[cold], doc[cold], row[cold], start[cold], n[cold])
         warm = keep[hot]
-        yield _frame(HOT_SEGMENT, _spread(doc[warm]), np.zeros(len(warm), U), doc[warm], start[warm], n[warm])
+        yield _frame(HOT_SEGMENT, _spread(row[warm]), np.zeros(len(warm), U), doc[warm], row[warm], start[warm], n[warm])
 
 
 def _cut_out(frames):
@@ -254,31 +258,31 @@ def _cut_out(frames):
     held, size = [], 0
 
     def settle_held():
-        key, sig, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first = _first_of_each(key, sig, doc, start)
+        key, sig, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = _first_of_each(key, sig, doc, row, start)
         again = order[~first]
-        d, s, k = _joined_marks(doc[again], start[again], np.ones(len(again), np.int64))
-        yield _frame(MARK, _spread(d), np.zeros(len(d), U), d, s, k).assign(bytes=None)
+        yield _marks(row[again], start[again], np.ones(len(again), np.int64)).assign(bytes=None)
         keep = order[first]
-        yield _frame(HOT_SEGMENT, key[keep], sig[keep], doc[keep], start[keep], np.ones(len(keep))).assign(bytes=None)
+        yield _frame(HOT_SEGMENT, key[keep], sig[keep], doc[keep], row[keep], start[keep], np.ones(len(keep))).assign(bytes=None)
 
     for pdf in frames:
-        cold, texts, docs, starts = [], [], [], []
-        for doc, text, segments in zip(pdf["doc"], pdf["text"], pdf["segments"], strict=True):
+        cold, texts, docs, rows, starts = [], [], [], [], []
+        for doc, row, text, segments in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["segments"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for x in segments:
                 a, n = x["start"], x["n"]
                 piece = raw[a : a + n - 1 + LENGTH]
                 if x["kind"] == SEGMENT:
-                    cold.append((SEGMENT, x["key"], 0, doc, a, n, piece))
+                    cold.append((SEGMENT, x["key"], 0, doc, row, a, n, piece))
                 else:
                     texts.append(piece)
                     docs.append(np.full(n, doc, np.int64))
+                    rows.append(np.full(n, row, np.int64))
                     starts.append(np.arange(a, a + n))
         if cold:
-            yield pd.DataFrame(cold, columns=["kind", "key", "sig", "doc", "start", "n", "bytes"])
+            yield pd.DataFrame(cold, columns=["kind", "key", "sig", "doc", "row", "start", "n", "bytes"])
         if texts:
-            held.append((*window_hashes(texts), np.concatenate(docs), np.concatenate(starts)))
+            held.append((*window_hashes(texts), np.concatenate(docs), np.concatenate(rows), np.concatenate(starts)))
             size += len(held[-1][0])
         if size > 1_000_000:
             yield from settle_held()
@@ -345,9 +349,9 @@ def _index(frames):
         kind = pdf["kind"].to_numpy()
         through = pdf[kind == MARK]
         if len(through):
-            yield through[["doc", "start", "n"]]
+            yield through[["row", "start", "n"]]
         if (kind == HOT_SEGMENT).any():
-            hot.append(pdf.loc[kind == HOT_SEGMENT, ["key", "sig", "doc", "start"]])
+            hot.append(pdf.loc[kind == HOT_SEGMENT, ["key", "sig", "doc", "row", "start"]])
         rows = pdf[kind == SEGMENT]
         for a in range(0, len(rows), 4000):
             part = rows.iloc[a : a + 4000]
@@ -358,38 +362,38 @@ def _index(frames):
             first[1:] = sorted_items[1:] != sorted_items[:-1]
             seen = family.scan(sorted_items[first])
             marked = order[~first | np.repeat(seen, np.diff(np.append(np.flatnonzero(first), len(order))))]
-            doc = part["doc"].to_numpy()[number[marked]]
+            row = part["row"].to_numpy()[number[marked]]
             start = part["start"].to_numpy()[number[marked]] + offset[marked]
-            d, s, k = _joined_marks(doc, start, np.ones(len(marked), np.int64))
-            yield pd.DataFrame({"doc": d, "start": s, "n": k})
+            yield _marks(row, start, np.ones(len(marked), np.int64))[["row", "start", "n"]]
     if hot:
-        key, sig, doc, start = (np.concatenate([x[c].to_numpy() for x in hot]) for c in ("key", "sig", "doc", "start"))
-        order, first = _first_of_each(key, sig, doc, start)
+        key, sig, doc, row, start = (np.concatenate([x[c].to_numpy() for x in hot]) for c in ("key", "sig", "doc", "row", "start"))
+        order, first = _first_of_each(key, sig, doc, row, start)
         again = order[~first]
-        d, s, k = _joined_marks(doc[again], start[again], np.ones(len(again), np.int64))
-        yield pd.DataFrame({"doc": d, "start": s, "n": k})
+        yield _marks(row[again], start[again], np.ones(len(again), np.int64))[["row", "start", "n"]]
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """Rows (doc, start, n): windows of ``docs`` (``doc``, ``text``) that also start earlier, as runs of n starts."""
+    """Rows (row, start, n): windows of ``docs`` (``row``, a key; ``doc``, its order; ``text``) that also start earlier, as runs of n starts."""
     found = docs.mapInPandas(_map_side, ROWS)
     found = found.repartition("key").sortWithinPartitions("key").mapInPandas(_by_key, ROWS)
     found = settle(found)
     wanted = (
         found.where(f"kind in ({SEGMENT}, {HOT_SEGMENT})")
-        .groupBy("doc")
+        .groupBy("row")
         .agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("segments"))
     )
-    cut = docs.join(wanted, "doc").mapInPandas(_cut_out, f"{ROWS}, bytes binary")
-    late = cut.repartition("key").sortWithinPartitions("doc", "start").mapInPandas(_index, "doc long, start int, n int")
-    return settle(found.where(f"kind = {MARK}").select("doc", "start", "n").unionByName(late))
+    cut = docs.join(wanted, "row").mapInPandas(_cut_out, f"{ROWS}, bytes binary")
+    late = cut.repartition("key").sortWithinPartitions("doc", "row", "start").mapInPandas(_index, "row long, start int, n int")
+    return settle(found.where(f"kind = {MARK}").select("row", "start", "n").unionByName(late))
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of each row of ``docs`` (``doc_id``, ``text``)."""
-    numbered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "doc_id", "text")
-    found = marks(numbered.select("doc", "text").where("text is not null"))
-    grouped = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    keyed = with_row_key(docs.select("doc_id", "text"))
+    doc_id = F.col("_doc.doc_id").cast("long").alias("doc_id")
+    numbered = keyed.select(F.col("_row").alias("row"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), doc_id, F.col("_doc.text").alias("text"))
+    found = marks(numbered.select("row", "doc", "text").where("text is not null"))
+    grouped = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def run(frames):
         for pdf in frames:
@@ -412,7 +416,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(raw), len(raw) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = numbered.join(grouped, "doc", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "runs")
+    joined = numbered.join(grouped, "row", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "runs")
     schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     return joined.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
