@@ -11,8 +11,8 @@ is not blank is a candidate, and the spread over sites alone decides.
 
 Edge cases: a null text stays null (no lines); a null site counts as no site; blank lines stay; a document all of
 whose lines go keeps an empty text; repeated rows are cleaned alike, also with equal or null ids, since rows are
-keyed by ``doc_id`` and text hash; columns of ``docs`` are carried through, whatever their names; empty tables give
-empty results.
+keyed by ``doc_id`` and text hash; columns of ``docs`` are carried through in a struct, whatever their names; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.common import settle
+from pitsports.llm.common import packed, settle, unpacked
 
 MIN_SITES = 10
 MIN_WORDS = 4
@@ -68,17 +68,17 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without boilerplate lines, plus ``_n_lines`` and ``_n_removed``. Needs ``doc_id``, ``text`` and the site column.
+def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_doc`` (a struct of the columns of ``docs``), ``_text`` without boilerplate lines, ``_n_lines`` and ``_n_removed``.
 
     Hashes of candidate lines, not texts, meet the boilerplate keys; each document then gets the numbers of the lines it
-    loses. Texts move once, to meet those numbers (not at all where few documents lose any and Spark broadcasts them).
+    loses. Texts move once, to meet those numbers.
     """
-    keys = settle(boilerplate(docs, site, min_sites, min_words)).select("_h1", "_h2")
-    same_row = (F.coalesce(F.col("doc_id"), F.lit(-1)), F.xxhash64("text"))
-    places = docs.select(
-        same_row[0].alias("_id"),
-        same_row[1].alias("_key"),
+    plain = docs.select("doc_id", "text", F.col(site).alias("_site"))
+    keys = settle(boilerplate(plain, "_site", min_sites, min_words)).select("_h1", "_h2")
+    places = plain.select(
+        F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"),
+        F.xxhash64("text").alias("_key"),
         F.posexplode(_lines(F.col("text"))).alias("_at", "_line"),
     ).where(_is_candidate(F.col("_line"), min_words))
     lost = (
@@ -88,16 +88,24 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min
         .agg(F.collect_set("_at").alias("_lost"))
     )
     lost = settle(lost).hint("merge")  # grows with the corpus: never broadcast
-    out = docs.join(lost, (F.coalesce(docs["doc_id"], F.lit(-1)) == lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_key"]), "left").drop("_id", "_key")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
-    return (
-        out.withColumn("_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept))
-        .drop("_lost")
+    text = F.col("_doc.text")
+    same = (F.coalesce(F.col("_doc.doc_id"), F.lit(-1)) == F.col("_id")) & (F.xxhash64(text) == F.col("_key"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
+    return packed(docs).join(lost, same, "left").select(
+        "_doc",
+        F.when(F.col("_lost").isNull(), text).otherwise(kept).alias("_text"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("_n_lines"),
+        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
+def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without boilerplate lines, plus ``_n_lines`` and ``_n_removed`` (in the place of columns so named). Needs
+    ``doc_id``, ``text`` and the site column."""
+    out = cleaned(docs, site, min_sites, min_words)
+    return out.select(*unpacked(out, ("_n_lines", "_n_removed"), text=F.col("_text")), "_n_lines", "_n_removed")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = clean(docs, min_words=1)
