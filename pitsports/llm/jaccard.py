@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, distinct_per_owner, mix, settle, shingle_hashes, with_row_key, word_hashes
+from pitsports.llm.common import BASE, MIX_1, MIX_2, U, batches, distinct_per_owner, mix, settle, shingle_hashes, unpacked, with_row_key, word_hashes
 
 
 
@@ -557,7 +557,7 @@ class Join:
 
 
 def _rows(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.col("_row").alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
+    return keyed.select(F.col("_row").alias("doc"), F.col("_doc.doc_id").cast("long").alias("id"), F.col("_doc.text").alias("text"))
 
 
 def connect(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -571,7 +571,7 @@ def first_of_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa:
     keyed = with_row_key(docs)
     found = Join(_rows(keyed), rule).by_document().where("own.doc = component.doc")
     first = settle(found.select(F.col("own.doc").alias("_row"))).hint("merge")  # nearly all rows
-    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
+    return keyed.join(first, "_row", "left_semi").select(*unpacked(keyed))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
