@@ -5,7 +5,8 @@ words (words are stripped of digits and symbols first, so that noise does not hi
 lies in.
 
 Pass 1 decides each block alone. *Bad*: it lies in a boilerplate container (nav, footer, aside, form, ..., or an element
-whose class, id or role names one), or most of its characters are links. *Good*: long enough and dense enough in stop
+whose class, id or role names one: a container by any part of a name, a paragraph, heading, list item or cell by a whole
+name alone, so that ``share-price`` is text), or most of its characters are links. *Good*: long enough and dense enough in stop
 words. *Near*: long with some stop words, or any long block inside the page's article container. *Short*: all else.
 If the page has an article container, blocks outside it are bad.
 
@@ -14,6 +15,8 @@ within the same container, of both sides if they agree, else the good one if the
 a heading looks forward only. Where no block is decided, blocks of an article
 container, near blocks and blocks without links are good.
 
+Both passes are linear in the page: open elements are counted, not walked over, and decided neighbours are carried along.
+
 White space inside a block becomes one space, blocks are joined by a newline in page order, character references are
 decoded; nothing is cut off or capped.
 
@@ -39,6 +42,8 @@ BLOCK = {
     "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold text rather than other blocks.
+TEXT = {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "caption", "figcaption", "summary", "legend", "address", *HEADINGS}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 BOILERPLATE_WORDS = {
@@ -68,10 +73,11 @@ NEAR_STOPS = 0.10
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|$)",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?P<close>>|$)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ENDED_BY_P, _ENDED_BY_LI = {"p"} | HEADINGS, {"p", "li"} | HEADINGS
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "iframe", "noscript", "template", "svg", "canvas")}
 
@@ -92,34 +98,55 @@ def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in ("body", "html", "article", "main") or not attrs:
         return False
     for m in _ATTRIBUTE.finditer(attrs):
-        if BOILERPLATE_WORDS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())):
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower()
+        if BOILERPLATE_WORDS.intersection(value.split() if tag in TEXT else re.split(r"[^a-z]+", value)):
             return True
     return False
 
 
+class _Open:
+    """The open block elements, with counts of those of each tag and of each property."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, article, container
+        self.tags: dict[str, int] = {}
+        self.boilerplate = self.articles = self.headings = 0
+
+    def push(self, tag: str, boilerplate: bool, article: bool, container: int) -> None:
+        self.stack.append((tag, boilerplate, article, container))
+        self._count(tag, boilerplate, article, 1)
+
+    def pop(self) -> str:
+        tag, boilerplate, article, _ = self.stack.pop()
+        self._count(tag, boilerplate, article, -1)
+        return tag
+
+    def _count(self, tag: str, boilerplate: bool, article: bool, by: int) -> None:
+        self.tags[tag] = self.tags.get(tag, 0) + by
+        self.boilerplate += by * boilerplate
+        self.articles += by * article
+        self.headings += by * (tag in HEADINGS)
+
+    @property
+    def container(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, empty ones left out."""
     out: list[Block] = []
     parts: list[str] = []
     state = {"links": 0}
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, article, container
+    opened = _Open()
     anchors = serial = 0
-    boiler = article = heading = False
-    container = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, state["links"], heading, container, article, boiler))
+            out.append(Block(text, state["links"], opened.headings > 0, opened.container, opened.articles > 0, opened.boilerplate > 0))
         parts.clear()
         state["links"] = 0
 
-    def settle() -> None:
-        nonlocal boiler, article, heading, container
-        boiler, article = any(x[1] for x in stack), any(x[2] for x in stack)
-        heading = any(x[0] in HEADINGS for x in stack)
-        container = stack[-1][3] if stack else 0
-
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -141,10 +168,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCK or tag in BOILERPLATE_TAGS:
                 flush()
                 anchors = 0
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if k is not None:
-                    del stack[k:]
-                    settle()
+                while opened.tags.get(tag) and opened.pop() != tag:
+                    pass
             continue
         if tag in _RAW_END and not m["attrs"].rstrip().endswith("/"):
             if tag not in ("svg", "canvas"):
@@ -164,17 +189,14 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             anchors = 0
             if tag == "p" or tag in HEADINGS or tag == "li":  # an open one of the same kind ends here
-                while stack and stack[-1][0] in ({"p"} | HEADINGS if tag != "li" else {"p", "li"} | HEADINGS):
-                    stack.pop()
+                while opened.stack and opened.stack[-1][0] in (_ENDED_BY_P if tag != "li" else _ENDED_BY_LI):
+                    opened.pop()
             if tag not in VOID:
-                inside = any(x[2] for x in stack)
-                if tag in ("p", "li", *HEADINGS):
-                    own = stack[-1][3] if stack else 0
-                else:
+                own = opened.container
+                if tag not in ("p", "li", *HEADINGS):
                     serial += 1
                     own = serial
-                stack.append((tag, _is_boilerplate(tag, m["attrs"], inside), tag in ("article", "main"), own))
-            settle()
+                opened.push(tag, _is_boilerplate(tag, m["attrs"], opened.articles > 0), tag in ("article", "main"), own)
     flush()
     return out
 
@@ -184,9 +206,8 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page; see the module's text."""
-    blocks = blocks_of(page or "")
+def first_labels(blocks: list[Block]) -> list[str]:
+    """Pass 1: good, bad, near or short for each block."""
     has_article = any(b.article and not b.boilerplate for b in blocks)
     labels: list[str] = []
     for b in blocks:
@@ -200,13 +221,31 @@ def extract(page: str | None) -> str:
             labels.append("near")
         else:
             labels.append("short")
+    return labels
+
+
+def _decided_before(blocks: list[Block], labels: list[str], order) -> list[int | None]:
+    """For each block the last decided block met in ``order`` before it: for one of an article, the last of an article."""
+    found: list[int | None] = [None] * len(blocks)
+    nearest = of_article = None
+    for i in order:
+        found[i] = of_article if blocks[i].article else nearest
+        if labels[i] in ("good", "bad"):
+            nearest = i
+            if blocks[i].article and not blocks[i].boilerplate:
+                of_article = i
+    return found
+
+
+def final_labels(blocks: list[Block], labels: list[str]) -> list[str]:
+    """Pass 2: ambiguous blocks take the labels of their nearest decided neighbours."""
     final = list(labels)
+    befores = _decided_before(blocks, labels, range(len(blocks)))
+    afters = _decided_before(blocks, labels, range(len(blocks) - 1, -1, -1))
     for i, b in enumerate(blocks):
         if labels[i] in ("good", "bad"):
             continue
-        same = (lambda j: blocks[j].article and not blocks[j].boilerplate) if b.article else (lambda j: True)
-        after = next((j for j in range(i + 1, len(blocks)) if labels[j] in ("good", "bad") and same(j)), None)
-        before = next((j for j in range(i - 1, -1, -1) if labels[j] in ("good", "bad") and same(j)), None)
+        before, after = befores[i], afters[i]
         if b.heading and after is not None:
             before = None
         sides = {labels[j] for j in (before, after) if j is not None}
@@ -218,7 +257,13 @@ def extract(page: str | None) -> str:
             final[i] = "good"
         else:
             final[i] = labels[before] if i - before <= after - i else labels[after]
-    return "\n".join(b.text for b, label in zip(blocks, final, strict=True) if label == "good")
+    return final
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page; see the module's text."""
+    blocks = blocks_of(page or "")
+    return "\n".join(b.text for b, label in zip(blocks, final_labels(blocks, first_labels(blocks)), strict=True) if label == "good")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
