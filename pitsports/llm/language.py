@@ -1,14 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a variable-order context tree over bytes is counted: for every context of 0 to 3 bytes, how often each
-byte followed it. A byte is predicted by the longest context seen; a symbol new there costs an escape (method C: the
-number of distinct symbols seen against the number of symbols) and is then predicted by the next shorter context without
-the symbols already excluded; below order 0 all bytes are equal. The statistics are frozen after training, so a text's
-code length in bits is a sum of table entries, and the language with the shortest code wins.
+byte followed it. A byte is predicted by the longest context seen; a byte new there costs an escape (method C: the number
+of distinct bytes seen against the number of bytes) and is then predicted by the next shorter context, where the bytes
+already excluded no longer count; below order 0 all bytes not seen at all are equal. The statistics are frozen after
+training, so a text's code length in bits is a sum over its bytes, exact for the tree, and the language with the shortest
+code wins.
 
-Training takes a bounded sample of labelled documents (``sample`` a language, whole texts, those whose id hashes lowest)
-and keeps the ``contexts`` most frequent order-3 contexts, so the model's size does not depend on the corpus. Counting
-runs on Spark; only the summed counts of the bounded sample come to the driver. Scoring visits every whole text.
+Training takes a bounded sample of labelled documents (``sample`` a language and ``TOTAL`` in all, whole texts, those
+whose id hashes lowest); every language has its share, and every context of the sample is kept. Counting runs on Spark;
+only the summed counts of the bounded sample come to the driver. Scoring visits every whole text.
+
+*Scoring.* The code lengths of all four-byte strings met in training are worked out once for all languages and found
+through a hash table; other strings are looked up in the trees, each distinct one of a batch once.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the language first in the alphabet;
 rows with null ids or null languages are scored but not learned from; an empty training set predicts ``und`` for all;
@@ -25,11 +29,8 @@ from pyspark.sql import functions as F
 from pitsports.llm.common import batches
 
 ORDER = 3
-#: Documents of each language that are learned from (a documented bound), and order-3 contexts that are kept.
-SAMPLE = 2_000
-CONTEXTS = 20_000
-#: Bytes that are told apart (the most frequent of the sample); all others count as one symbol.
-SYMBOLS = 127
+#: Documents that are learned from (documented bounds): of each language, and of all languages together.
+SAMPLE, TOTAL = 2_000, 200_000
 
 
 def _grams(frames):
@@ -48,91 +49,141 @@ def _grams(frames):
 
 def count(docs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     """Order-3 counts (lang, gram, n) of the training sample of ``docs`` (``doc_id``, ``text``, ``lang``)."""
-    usable = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not sizes:
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("in_lang"))
+    n_langs = sizes.count()
+    if not n_langs:
         return pd.DataFrame({"lang": [], "gram": [], "n": []})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
+    each = max(1, min(sample, TOTAL // n_langs))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = usable.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    return chosen.select("text", "lang").mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    chosen = usable.select("doc_id", "lang").join(F.broadcast(sizes) if n_langs <= TOTAL else sizes, "lang")
+    chosen = chosen.where(place < F.lit(float(each)) / F.col("in_lang")).select("doc_id", "lang")
+    texts = usable.join(F.broadcast(chosen) if n_langs <= TOTAL else chosen, ["doc_id", "lang"], "left_semi")
+    return texts.select("text", "lang").mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and which of them are there."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``n`` for each."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, n)
+
+
+class Tree:
+    """The context tree of one language. A string of a context of k bytes and the byte after it is one number."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        #: by order: strings and their counts
+        self.strings = [_summed(gram & ((1 << 8 * (k + 1)) - 1), n) for k in range(ORDER + 1)]
+        #: by order: contexts, the bytes after each, the distinct ones, and both of the next shorter context without these
+        self.contexts = []
+        for k, (strings, counts) in enumerate(self.strings):
+            contexts, at = np.unique(strings >> 8, return_inverse=True)
+            total, distinct = np.bincount(at, counts), np.bincount(at).astype(float)
+            shorter_total = shorter_distinct = np.zeros(len(contexts))
+            if k:
+                below, below_counts = self.strings[k - 1]
+                excluded = np.bincount(at, below_counts[_at(below, strings & ((1 << 8 * k) - 1))[0]])
+                up, _ = _at(self.contexts[k - 1][0], contexts & ((1 << 8 * (k - 1)) - 1))
+                shorter_total = self.contexts[k - 1][1][up] - excluded
+                shorter_distinct = self.contexts[k - 1][2][up] - distinct
+            self.contexts.append((contexts, total, distinct, shorter_total, shorter_distinct))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each four-byte string after the three before it."""
+        out = np.zeros(len(gram))
+        live = np.arange(len(gram))
+        total = distinct = np.full(len(gram), -1.0)  # of the context at hand, exclusions made; -1: as counted
+        for k in range(ORDER, -1, -1):
+            g = gram[live] & ((1 << 8 * (k + 1)) - 1)
+            contexts, all_total, all_distinct, next_total, next_distinct = self.contexts[k]
+            c, known = _at(contexts, g >> 8)
+            t = np.where(total < 0, all_total[c], total)
+            d = np.where(total < 0, all_distinct[c], distinct)
+            s, hit = _at(self.strings[k][0], g)
+            hit &= known
+            out[live[hit]] -= np.log2(self.strings[k][1][s[hit]] / (t[hit] + d[hit]))
+            escaped = known & ~hit & (d > 0)  # where nothing is left but excluded bytes, the escape is certain
+            out[live[escaped]] -= np.log2(d[escaped] / (t[escaped] + d[escaped]))
+            total = np.where(known, next_total[c], total)[~hit]
+            distinct = np.where(known, next_distinct[c], distinct)[~hit]
+            live = live[~hit]
+        out[live] += np.log2(256 - self.contexts[0][2][0])
+        return out
+
+
+class Table:
+    """Places of distinct 32-bit keys: open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint32)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full((1 << self.bits) + 1, -1, np.int32)
+        at, left = self._first(self.keys), np.arange(len(keys))
+        while len(left):
+            free = self.slots[at] < 0
+            where, first = np.unique(at[free], return_index=True)
+            self.slots[where] = left[free][first]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        keys = keys.astype(np.uint32)
+        at = self._first(keys)
+        found = self.slots[at]
+        live = np.flatnonzero((found >= 0) & (self.keys[found] != keys)) if len(self.keys) else np.zeros(0, np.int64)
+        while len(live):
+            at[live] = (at[live] + 1) & ((1 << self.bits) - 1)
+            found[live] = self.slots[at[live]]
+            live = live[(found[live] >= 0) & (self.keys[found[live]] != keys[live])]
+        return found
 
 
 class Model:
-    """Frozen code lengths: a row of bits (one for each language) for each (context state, next symbol).
+    """Frozen code lengths: a tree for each language, and the bits of all trained strings, a column for each language."""
 
-    Symbols are the bytes most frequent in training, numbered from 1; 0 stands for the start and for any other byte. States are
-    numbered: 0 is the empty context, then contexts of one, two and three symbols.
-    """
+    size = 256
 
-    def __init__(self, counts: pd.DataFrame, contexts: int = CONTEXTS):
+    def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        n_langs = len(self.langs)
-        gram = counts["gram"].to_numpy(np.int64)
-        lang = np.searchsorted(self.langs, counts["lang"]) if n_langs else np.zeros(0, np.int64)
-        n = counts["n"].to_numpy(np.float64)
-        by_byte = np.bincount(gram & 255, n, 256) if len(n) else np.zeros(256)
-        seen = np.sort(np.argsort(-by_byte, kind="stable")[:SYMBOLS])
-        seen = seen[by_byte[seen] > 0]
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        s = self.size = len(seen) + 1
-        cols = [self.symbol[(gram >> shift) & 255] for shift in (24, 16, 8, 0)]
-        # context numbers: orders 1 and 2 in full, order 3 for the most frequent ones
-        three = (cols[0] * s + cols[1]) * s + cols[2]
-        total = np.bincount(three, n, s**3) if len(n) else np.zeros(s**3)
-        often = np.sort(np.argsort(-total, kind="stable")[:contexts])
-        often = often[total[often] > 0]
-        first = [0, 1, 1 + s, 1 + s + s * s]
-        self.state = np.full(s**3, -1, np.int32)
-        self.state[often] = first[3] + np.arange(len(often))
-        keys = np.arange(s**3)
-        rest = self.state < 0
-        self.state[rest] = first[2] + (keys % (s * s))[rest]
-        self.bits = np.zeros(((first[3] + len(often)) * s, n_langs), np.float32)
-        for j in range(n_langs):
-            own = lang == j
-            b, c, d = cols[1][own], cols[2][own], cols[3][own]
-            w = n[own]
-            zero = np.bincount(d, w, s)
-            one = np.bincount(c * s + d, w, s * s).reshape(s, s)
-            two = np.bincount((b * s + c) * s + d, w, s**3).reshape(s * s, s)
-            number = np.full(s**3, -1, np.int64)
-            number[often] = np.arange(len(often))
-            at = number[three[own]]
-            top = np.bincount((at * s + d)[at >= 0], w[at >= 0], len(often) * s).reshape(len(often), s)
-            suffix = np.arange(s * s) % s
-            p0 = self._mixed(zero[None, :], np.full((1, s), 1.0 / s))
-            p1 = self._mixed(one, p0[np.zeros(s, np.int64)])
-            p2 = self._mixed(two, p1[suffix])
-            p3 = self._mixed(top, p2[often % (s * s)])
-            self.bits[:, j] = -np.log2(np.concatenate((p0, p1, p2, p3))).astype(np.float32).ravel()
-
-    @staticmethod
-    def _mixed(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probabilities of all symbols in each context, from its counts and the probabilities ``base`` one byte shorter.
-
-        Seen symbols: count / (total + distinct). The escape mass distinct / (total + distinct) is dealt out among the
-        unseen symbols in proportion to ``base`` once the seen ones are excluded from it.
-        """
-        seen = counts > 0
-        total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        left = np.where(seen, 0.0, base)
-        mass = left.sum(1, keepdims=True)
-        escape = np.where(distinct == 0, 1.0, np.where(mass > 0, distinct / np.maximum(total + distinct, 1), 0.0))
-        own = counts / np.maximum(total, 1) * (1 - escape)
-        return own + left * np.divide(escape, mass, out=np.zeros_like(mass), where=mass > 0)
+        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+        own = [(counts["lang"] == lang).to_numpy() for lang in self.langs]
+        self.trees = [Tree(gram[x], n[x]) for x in own]
+        self.grams = np.unique(gram)
+        self.table = Table(self.grams)
+        self.known = self._of(self.grams).astype(np.float32)
+
+    def _of(self, gram: np.ndarray) -> np.ndarray:
+        return np.column_stack([t.bits(gram) for t in self.trees]) if self.trees else np.zeros((len(gram), 0))
+
+    @property
+    def bits(self) -> np.ndarray:
+        """Code lengths of all ``size`` bytes after each context of ``ORDER`` bytes met in training, for each language."""
+        return self._of(((np.unique(self.grams >> 8)[:, None] << 8) + np.arange(self.size)).ravel())
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of every text under every language."""
         enc = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = np.frombuffer(b"".join(b"\0" * ORDER + e for e in enc), np.uint8)
+        raw = np.frombuffer(b"".join(b"\0" * ORDER + e for e in enc), np.uint8).astype(np.uint32)
         starts = np.cumsum([0, *[len(e) + ORDER for e in enc]])[:-1]
-        x = self.symbol[raw]
-        s = self.size
-        row = self.state[(x[:-3] * s + x[1:-2]) * s + x[2:-1]] * s + x[3:]
+        gram = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+        row = self.table.find(gram)
+        each = self.known[row] if len(self.known) else np.zeros((len(gram), len(self.langs)), np.float32)
+        new = row < 0
+        rare, at = np.unique(gram[new].astype(np.int64), return_inverse=True)
+        each[new] = self._of(rare)[at]
         bits = np.zeros((len(raw) + 1, len(self.langs)))
-        np.cumsum(self.bits[row], axis=0, dtype=np.float64, out=bits[ORDER + 1 :])
+        np.cumsum(each, axis=0, dtype=np.float64, out=bits[ORDER + 1 :])
         stops = np.append(starts[1:], len(raw))
         return bits[stops] - bits[starts + ORDER]
 
@@ -164,8 +215,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Model:
-    return Model(count(docs, sample), contexts)
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    return Model(count(docs, sample))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
