@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsports.llm import contamination, jaccard, lines, quality, segmentation
-from pitsports.llm.common import settle, with_row_key
+from pitsports.llm.common import settle, unpacked, with_row_key
 
 #: SQL can express neither the hashed model of the first stage nor the sampling of the last.
 ORACLE_SQL = None
@@ -23,13 +23,14 @@ NEAR = jaccard.Rule(width=5, num=80, den=100)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return quality.judge(docs, labels).where("kept").select(*docs.columns)
+    kept = quality.judged(docs, labels).where("kept")
+    return kept.select(*unpacked(kept))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their boilerplate lines; n_chars follows the text. Documents left without text go."""
-    out = lines.clean(docs, min_words=1).where("_n_removed = 0 or trim(text) <> ''")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = lines.cleaned(docs, min_words=1).where("_n_removed = 0 or trim(_text) <> ''")
+    return out.select(*unpacked(out, text=F.col("_text"), n_chars=F.length("_text").cast(docs.schema["n_chars"].dataType)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark item, told apart by row key: ids may be null or repeated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = with_row_key(docs)
-    found = contamination.search(keyed.select(F.col("_row").alias("doc_id"), "text"), items)
+    found = contamination.search(keyed.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), items)
     found = settle(found.select(F.col("doc_id").alias("_row")).distinct())
-    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(found, "_row", "left_anti").select(*unpacked(keyed))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
