@@ -46,12 +46,12 @@ SEED = 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 #: Bytes of text that a task works on at a time.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 #: Bytes of a chunk from which it is split into units. In units no longer than this, products of weights stay within doubles;
 #: in longer ones the sums are made edge by edge from logarithms.
 LONG = 56
 #: Frequent chunks whose lattices a task keeps.
-KEPT = 60_000
+KEPT = 40_000
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -185,7 +185,7 @@ class Lattices:
         degree = np.bincount(np.concatenate(src), minlength=n)
         self.first = np.concatenate(([0], np.cumsum(degree)))
         total, slot = int(self.first[-1]), self.first[:-1].copy()
-        self.src, self.dst, self.ids = np.repeat(np.arange(n), degree), np.empty(total, np.int64), np.empty(total, np.int64)
+        self.src, self.dst, self.ids = np.repeat(np.arange(n, dtype=np.int32), degree), np.empty(total, np.int32), np.empty(total, np.int32)
         for a, b, i in zip(src, dst, ids, strict=True):
             at = slot[a]
             self.dst[at], self.ids[at] = b, i
@@ -500,9 +500,9 @@ _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
 def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """Rows (doc_id, sample, ids, log_prob, score, inclusion, round_trip) for each row of ``docs`` (``doc_id``, ``text``).
+    """Rows (doc_id, sample, ids, ids_crc32, log_prob, score, inclusion, round_trip) for each row of ``docs`` (``doc_id``, ``text``).
 
-    ``round_trip`` tells whether decoding the ids gave the text back.
+    ``ids_crc32`` is of the ids' little-endian 32-bit form; ``round_trip`` tells whether decoding the ids gave the text back.
     """
 
     def run(frames):
@@ -520,26 +520,21 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, seed: int = SEED
                 marked = [_marked(t) if t else b"" for t in texts]
                 found = sampler.sample(marked, keys)
                 out = [
-                    (doc, i, ids.astype(np.int32), log_p, score, include, vocabulary.marked(ids) == text)
+                    (doc, i, ids.astype("<i4"), zlib.crc32(ids.astype("<i4").tobytes()), log_p, score, include, vocabulary.marked(ids) == text)
                     for doc, text, some in zip(doc_ids, marked, found, strict=True)
                     for i, (ids, log_p, score, include) in enumerate(some, 1)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    names = ["doc_id", "sample", "ids", "log_prob", "score", "inclusion", "round_trip"]
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-    schema = "doc_id long, sample int, ids array<int>, log_prob double, score double, inclusion double, round_trip boolean"
+    names = ["doc_id", "sample", "ids", "ids_crc32", "log_prob", "score", "inclusion", "round_trip"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    schema = "doc_id long, sample int, ids array<int>, ids_crc32 long, log_prob double, score double, inclusion double, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def with_digest(found: DataFrame) -> DataFrame:
-    """``found`` with n_tokens and ids_crc32 (of their little-endian 32-bit form) beside ``ids``, derived from them."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
-
-    return found.select("doc_id", "sample", "ids", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"), "log_prob", "score", "inclusion", "round_trip")
+    """``found`` with n_tokens beside ``ids`` and ``ids_crc32``."""
+    return found.select("doc_id", "sample", "ids", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", "log_prob", "score", "inclusion", "round_trip")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
