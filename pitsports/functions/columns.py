@@ -134,3 +134,21 @@ def capped_mean(mean: Column, sd: Column, cap: Column) -> Column:
 
 def missing_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
+
+
+def any_national(broadcasts: Column, names: list[str]) -> Column:
+    """Whether any broadcast (name, type, isNational) is national: by its flag, its type or its name."""
+    return F.exists(broadcasts, lambda b: F.coalesce(b["isNational"], F.lit(False)) | (F.upper(b["type"]) == "NATIONAL") | F.trim(b["name"]).isin(names))
+
+
+def first_five(innings: Column) -> Column:
+    """Runs of the first five innings (num, runs); null unless all five are there with their runs."""
+    five = F.filter(innings, lambda x: x["num"] <= 5)
+    whole = (F.size(five) >= 5) & ~F.exists(five, lambda x: x["runs"].isNull())
+    return F.when(whole, F.aggregate(five, F.lit(0).cast("long"), lambda acc, x: acc + x["runs"]))
+
+
+def woba(ab: Column, bb: Column, hbp: Column, sf: Column, hits: Column, doubles: Column, triples: Column, homers: Column) -> Column:
+    """Weighted on-base average from counting stats, walks without intentional ones; null without any."""
+    top = 0.690 * bb + 0.722 * hbp + 0.888 * (hits - doubles - triples - homers) + 1.271 * doubles + 1.616 * triples + 2.101 * homers
+    return top / F.nullif(ab + bb + sf + hbp, F.lit(0))

@@ -68,3 +68,28 @@ def sequence_numbers(rows: DataFrame, keys: Sequence[str], order: Sequence[Colum
 def serve_seasons(facts: DataFrame, season: str, lags: int) -> DataFrame:
     """Each fact once for each later season that it serves: ``target`` season and ``lag`` 1 to ``lags``."""
     return facts.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("target", F.col(season) + F.col("lag"))
+
+
+def trailing_totals(questions: DataFrame, daily: DataFrame, by: Sequence[str], cutoff: str, day: str, days: int, totals: dict[str, Column | tuple[int, Column]]) -> DataFrame:
+    """Each distinct question (``by``, ``cutoff``) with aggregates over the ``daily`` rows of its keys in ``[cutoff - days, cutoff)``.
+
+    Questions and daily rows are stacked and sorted once, and a range window does the rest: nothing fans out. Questions
+    without a row in their window are left out, as in an inner join. ``totals`` are aggregates of ``daily``'s columns, over
+    the window or, as a pair (days, aggregate), over another number of days.
+    """
+    asked = questions.select(*by, F.col(cutoff).alias("_at")).distinct().withColumn("_asked", F.lit(True))
+    both = asked.unionByName(daily.withColumn("_at", F.col(day)), allowMissingColumns=True)
+    window = lambda n: Window.partitionBy(*by).orderBy(F.unix_date("_at")).rangeBetween(-n, -1)
+    wanted = {name: c if isinstance(c, tuple) else (days, c) for name, c in totals.items()}
+    out = both.select(*by, "_at", "_asked", F.count(day).over(window(days)).alias("_seen"), *[c.over(window(n)).alias(name) for name, (n, c) in wanted.items()])
+    return out.where("_asked and _seen > 0").select(*by, F.col("_at").alias(cutoff), *totals)
+
+
+def at_cutoffs(questions: DataFrame, daily: DataFrame, by: Sequence[str], cutoff: str, day: str) -> DataFrame:
+    """``questions`` with the latest row of the small table ``daily`` before their cutoff.
+
+    For tables with few keys, such as a league's days: only the distinct cutoffs meet them in an as-of join, and the
+    questions join its result by key and cutoff, so no key's questions are one partition.
+    """
+    found = asof_join(questions.select(*by, cutoff).distinct(), daily, by, cutoff, day)
+    return questions.join(found, [*by, cutoff], "left")

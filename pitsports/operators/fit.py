@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def _solve(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
@@ -26,39 +27,47 @@ def weighted_least_squares(rows: DataFrame, y: Column, terms: Sequence[Column],
     return _solve(a, np.array([m[f"b{i}"] or 0.0 for i in range(k)]), ridge).tolist()
 
 
-def logistic(rows: DataFrame, y: Column, terms: Sequence[Column], ridge: float = 1e-6, steps: int = 8, tolerance: float = 1e-10) -> list[float]:
-    """Coefficients (intercept first) of a logistic model by Newton's method; each step is one aggregation."""
-    x = [F.lit(1.0), *terms]
+def _cells(rows: DataFrame, y: Column, x: Sequence[Column], discrete: bool) -> DataFrame:
+    """y, the terms and ``n``, persisted for the steps of a fit: rows, or, of discrete terms, their distinct values counted."""
     rows = rows.select(y.cast("double").alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)]).dropna()
+    cells = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n")) if discrete else rows.withColumn("n", F.lit(1.0))
+    return cells.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def logistic(rows: DataFrame, y: Column, terms: Sequence[Column], ridge: float = 1e-6, steps: int = 8, tolerance: float = 1e-10, discrete: bool = False) -> list[float]:
+    """Coefficients (intercept first) of a logistic model by Newton's method; each step is one aggregation of the cells."""
+    x = [F.lit(1.0), *terms]
+    rows = _cells(rows, y, x, discrete)
     k, beta = len(x), np.zeros(len(x))
     for _ in range(steps):
         eta = sum((float(b) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
         p = rows.withColumn("p", 1 / (1 + F.exp(-eta)))
-        v = F.col("p") * (1 - F.col("p"))
+        v = F.col("n") * F.col("p") * (1 - F.col("p"))
         sums = [F.sum(v * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-        sums += [F.sum((F.col("y") - F.col("p")) * F.col(f"x{i}")).alias(f"b{i}") for i in range(k)]
+        sums += [F.sum(F.col("n") * (F.col("y") - F.col("p")) * F.col(f"x{i}")).alias(f"b{i}") for i in range(k)]
         m = p.agg(*sums).first()
         a = np.array([[m[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         step = _solve(a, np.array([m[f"b{i}"] or 0.0 for i in range(k)]) - ridge * beta, ridge)
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
+    rows.unpersist()
     return beta.tolist()
 
 
-def count_regression(rows: DataFrame, y: Column, terms: Sequence[Column], dispersion: float, steps: int = 10, ridge: float = 1e-6) -> list[float]:
-    """Negative binomial regression with log link and fixed dispersion by Fisher scoring; each step is one aggregation."""
+def count_regression(rows: DataFrame, y: Column, terms: Sequence[Column], dispersion: float, steps: int = 10, ridge: float = 1e-6, discrete: bool = False) -> list[float]:
+    """Negative binomial regression with log link and fixed dispersion by Fisher scoring; each step is one aggregation of the cells."""
     x = [F.lit(1.0), *terms]
-    rows = rows.select(y.cast("double").alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)]).dropna()
+    rows = _cells(rows, y, x, discrete)
     k = len(x)
-    mean = rows.agg(F.avg("y")).first()[0] or 1.0
+    mean = rows.agg(F.sum(F.col("n") * F.col("y")) / F.sum("n")).first()[0] or 1.0
     beta = np.zeros(k)
     beta[0] = np.log(max(mean, 1e-9))
     for _ in range(steps):
         eta = sum((float(b) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
         p = rows.withColumn("m", F.exp(eta))
-        w = F.col("m") / (1 + dispersion * F.col("m"))
-        g = (F.col("y") - F.col("m")) / (1 + dispersion * F.col("m"))
+        w = F.col("n") * F.col("m") / (1 + dispersion * F.col("m"))
+        g = F.col("n") * (F.col("y") - F.col("m")) / (1 + dispersion * F.col("m"))
         sums = [F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
         sums += [F.sum(g * F.col(f"x{i}")).alias(f"b{i}") for i in range(k)]
         m = p.agg(*sums).first()
@@ -67,6 +76,7 @@ def count_regression(rows: DataFrame, y: Column, terms: Sequence[Column], disper
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
+    rows.unpersist()
     return beta.tolist()
 
 

@@ -56,3 +56,13 @@ def columns_present(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.limit(0).agg(F.count("*").alias("_n")).select(
         F.lit("required columns").alias("check"), F.lit(float(len(missing))).alias("value"), F.lit(not missing).alias("passed")
     )
+
+
+def fresh(rows: DataFrame, day: Column, today: Column, most: int, name: str = "fresh") -> DataFrame:
+    """The newest ``day`` lies at most ``most`` days before ``today``; an empty table fails."""
+    return gate(rows, name, F.datediff(today, F.max(day)), lambda v: v <= most)
+
+
+def reconciles(rows: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
+    """No row in which two totals differ."""
+    return gate(rows, name, F.count(F.when(~a.eqNullSafe(b), 1)), lambda v: v == 0)

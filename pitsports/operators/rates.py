@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitsports.operators import asof
+
 #: Weights of the three seasons before, latest first (fixed values).
 SEASON_WEIGHTS = (0.8, 0.6, 0.4)
 
@@ -68,3 +70,29 @@ def centred(rows: DataFrame, value: str, group: Sequence[str], name: str) -> Dat
     """``value`` less its group's mean."""
     means = rows.groupBy(*group).agg(F.avg(value).alias("_mean"))
     return rows.join(means, list(group)).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
+
+
+def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, weights: Sequence[float]) -> DataFrame:
+    """Shrunk, centred rate of each question (``who``, ``season``, ``cutoff``): value, cur_n, pri_n.
+
+    ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are sums by day. This season counts up to the day before the
+    cutoff, less the league's rate up to then; the last seasons count in full, each less its own league rate, by ``weights``
+    (last season first). The sum is divided by the weighted number of facts plus ``k``. League totals are summed by day
+    and met by (season, cutoff), so no season is one partition.
+    """
+    facts = facts.groupBy(who, "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    asked = questions.select(who, "season", "cutoff").distinct()
+    run = asof.running_totals(facts, [who, "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select(who, "season", "day", "cum_s", "cum_n")
+    own = asof.asof_join(asked, run, [who, "season"], "cutoff", "day")
+    by_day = facts.groupBy("season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))  # a row a day from here
+    league_run = asof.running_totals(by_day, ["season"], "day", {"s": F.col("s"), "n": F.col("n")})
+    league_run = league_run.select("season", "day", (F.col("cum_s") / F.col("cum_n")).alias("league"))
+    whole = by_day.groupBy("season").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    seasons = facts.groupBy(who, "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(whole, "season")
+    seasons = seasons.select(who, "season", (F.col("s") - F.col("n") * F.col("mean")).alias("rc"), "n")
+    served = asof.serve_seasons(seasons, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
+    prior = served.groupBy(who, F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("rc")).alias("pri_rc"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
+    out = asof.at_cutoffs(own.drop("day"), league_run, ["season"], "cutoff", "day").join(prior, [who, "season"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    value = (zero("cum_s") - zero("cum_n") * zero("league") + zero("pri_rc")) / (zero("cum_n") + zero("pri_n") + k)
+    return out.select(who, "season", "cutoff", value.alias("value"), zero("cum_n").alias("cur_n"), zero("pri_n").alias("pri_n"))

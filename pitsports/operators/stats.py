@@ -6,18 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells of the range of probabilities that are ranked apart.
+CELLS = 1000
+
+
+#: A prime and three multipliers of the minimal-standard generators (fixed values).
+PRIME, STEPS = 2147483647, (48271, 69621, 16807)
+
+
+def drawn(seed: int, draw: Column, i: Column) -> Column:
+    """A long in [0, PRIME) for each (seed, draw, i), by modular products, so that any SQL engine draws the same."""
+    a, b, c = STEPS
+    x = (draw.cast("long") * a + i.cast("long") * b + (seed + 1) * c) % PRIME
+    for step in STEPS:
+        x = (x * step + draw.cast("long") * 7919 + i.cast("long") * 104729) % PRIME
+    return x
+
+
 def block_bootstrap(rows: DataFrame, value: str, weight: str, block: str, draws: int, seed: int = 7) -> DataFrame:
     """Weighted means of ``draws`` resamples of whole blocks: (draw, mean).
 
-    Rows are first summed by block. Block i of a resample is drawn by a hash of (seed, draw, i), so the result does not
-    depend on partitions. Only block sums meet the draws.
+    Rows are first summed by block. Block i of a resample is drawn by :func:`drawn` from (seed, draw, i), so the result
+    does not depend on partitions. Only block sums meet the draws.
     """
     sums = rows.groupBy(block).agg(F.sum(F.col(weight) * F.col(value)).alias("x"), F.sum(weight).alias("w"))
     numbered = sums.withColumn("i", F.row_number().over(Window.orderBy(block)) - 1)  # a row a block, not a row a fact
     n = sums.agg(F.count("*").alias("n"))
     places = numbered.select("i").crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    drawn = places.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "draw", "i"), F.col("n")).cast("int"))
-    picked = drawn.join(numbered.select(F.col("i").alias("pick"), "x", "w"), "pick")
+    picks = places.withColumn("pick", (drawn(seed, F.col("draw"), F.col("i")) % F.col("n")).cast("int"))
+    picked = picks.join(numbered.select(F.col("i").alias("pick"), "x", "w"), "pick")
     return picked.groupBy("draw").agg((F.sum("x") / F.sum("w")).alias("mean"))
 
 
@@ -32,9 +49,17 @@ def interval(draws: DataFrame, level: float = 0.9) -> DataFrame:
 def reliability(rows: DataFrame, p: str, y: str, order: list[str], bins: int = 10) -> DataFrame:
     """Equal-count bins by predicted probability: bin, n, mean_p, mean_y.
 
-    Each bin's share is fixed by rank; ranks come from a count of each distinct (p, tie-break) value, summed in order.
+    Each bin's share is fixed by rank. Rows fall into ``CELLS`` cells of the range of ``p`` (nulls have none); the rows in
+    lower cells are a sum over cells, and only the rows of a cell are ranked together.
     """
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(p, *order)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    ends = rows.agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"), F.count(p).alias("_n"))
+    step = (F.col("_hi") - F.col("_lo")) / CELLS
+    cell = F.when(step > 0, F.least(F.floor((F.col(p) - F.col("_lo")) / step), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("long")
+    placed = rows.where(F.col(p).isNotNull()).crossJoin(F.broadcast(ends)).withColumn("_cell", cell)
+    sizes = placed.groupBy("_cell").agg(F.count("*").alias("_in"))
+    before = sizes.select("_cell", (F.sum("_in").over(Window.orderBy("_cell")) - F.col("_in")).alias("_before"))  # CELLS rows at most
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(p, *order)) - 1
+    ranked = placed.join(F.broadcast(before), "_cell").withColumn("_i", F.col("_before") + inside)
     binned = ranked.withColumn("bin", F.floor(F.col("_i") * bins / F.col("_n")).cast("long"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 

@@ -1,6 +1,7 @@
 """Table operations: conforming, latest-wins merges, upserts, compaction, snapshots and checked overwrites.
 
-Tables are Parquet folders. A write goes to a new folder first and is swapped in only when its checks pass.
+Tables are Parquet folders. A checked write goes to a new folder first; ``write_version`` switches readers to it by one
+pointer file, ``checked_overwrite`` copies it into place.
 """
 
 from __future__ import annotations
@@ -96,7 +97,10 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked_overwrite(df: DataFrame, gates: Sequence[Callable[[DataFrame], DataFrame]], path: str) -> DataFrame:
-    """Stage ``df``, run the gates on what was written, and replace ``path`` only if all pass; returns the gates' rows."""
+    """Stage ``df``, run the gates on what was written, and replace ``path`` only if all pass; returns the gates' rows.
+
+    The last step overwrites ``path`` in place; where readers must never see it half written, use :func:`write_version`.
+    """
     spark = df.sparkSession
     staged = f"{path}__staged"
     df.write.mode("overwrite").parquet(staged)
@@ -109,3 +113,37 @@ def checked_overwrite(df: DataFrame, gates: Sequence[Callable[[DataFrame], DataF
         return results
     written.write.mode("overwrite").parquet(path)
     return results
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    """Number of the version that the table's pointer names; 0 if there is none."""
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        return 0
+    return max((int(x.getPath().getName()) for x in fs.listStatus(pointer)), default=0)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table written by :func:`write_version`."""
+    return spark.read.parquet(f"{path}/version={_version(spark, path)}")
+
+
+def write_version(df: DataFrame, path: str, gates: Sequence[Callable[[DataFrame], DataFrame]]) -> bool:
+    """Write ``df`` as a new version of the table at ``path`` and switch to it if all gates pass on what was written.
+
+    The switch is the creation of one empty pointer file named by the version, so a reader sees the old version or the
+    new one, whole; a failure before it leaves the old one in place. Refused versions are removed.
+    """
+    spark = df.sparkSession
+    version = _version(spark, path) + 1
+    folder = f"{path}/version={version}"
+    df.write.mode("overwrite").parquet(folder)
+    written = spark.read.parquet(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if any(gate(written).where("not passed").limit(1).count() for gate in gates):
+        fs.delete(hadoop(folder), True)
+        return False
+    fs.mkdirs(hadoop(f"{path}/_current"))
+    return bool(fs.createNewFile(hadoop(f"{path}/_current/{version}")))

@@ -321,9 +321,9 @@ def union_distinct(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf, "supplier").select("s_nationkey")).distinct()
 
 
-@query("set4_set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20")
+@query("set4_set_difference", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05")
 def difference(spark, sf):
-    p, line = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_quantity > 20")
+    p, line = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_quantity > 49 and l_discount > 0.05")
     return p.join(line, p["p_partkey"] == line["l_partkey"], "left_anti").select("p_partkey")
 
 

@@ -68,16 +68,18 @@ LEFT JOIN league l ON l.season = a.season
 """,
 )
 def decayed_shrunk_rate(spark, sf):
-    p = pitches(spark, sf).select("pitcher_id", "season", "date", "data_date", "result")
-    cur = asof.running_totals(p, ["pitcher_id", "season"], "data_date", {"k": F.when(F.col("result") == "R", 1).otherwise(0), "n": F.lit(1)})
-    totals = cur.groupBy("pitcher_id", "season").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    """One pass over the facts: each is a fact on its availability day and a question on its own; both are summed by day,
+    and a window in that order gives every question the facts before it."""
+    hit = F.when(F.col("result") == "R", 1).otherwise(0)
+    event = F.explode(F.array(F.struct(F.col("date").alias("at"), F.lit(0).alias("fact"), F.lit(0).alias("k"), F.lit(0).alias("n")), F.struct(F.col("data_date").alias("at"), F.lit(1).alias("fact"), hit.alias("k"), F.lit(1).alias("n"))))
+    daily = pitches(spark, sf).select("pitcher_id", "season", event.alias("e")).groupBy("pitcher_id", "season", "e.at", "e.fact").agg(F.sum("e.k").alias("k"), F.sum("e.n").alias("n"))
+    before = Window.partitionBy("pitcher_id", "season").orderBy("at", "fact").rowsBetween(Window.unboundedPreceding, 0)
+    asked = daily.withColumns({"cum_k": F.sum("k").over(before), "cum_n": F.sum("n").over(before)}).where("fact = 0")
+    totals = daily.groupBy("pitcher_id", "season").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     lags = asof.serve_seasons(totals, "season", 3).groupBy("pitcher_id", F.col("target").alias("season"))
     prior = lags.agg(*[F.sum(F.when(F.col("lag") == s, F.col(c))).alias(f"{c}{s}") for s in (1, 2, 3) for c in ("k", "n")])
     league = totals.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("k") / F.sum("n")).alias("mu"))
-    keys = p.select("pitcher_id", "season", F.col("date").alias("cutoff")).distinct()
-    facts = cur.select("pitcher_id", "season", "data_date", "cum_k", "cum_n")
-    asked = asof.asof_join(keys, facts, ["pitcher_id", "season"], "cutoff", "data_date")
-    asked = asked.join(prior, ["pitcher_id", "season"], "left").join(league, "season", "left")
+    asked = asked.select("pitcher_id", "season", F.col("at").alias("cutoff"), "cum_k", "cum_n").join(prior, ["pitcher_id", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
     rate = rates.shrunk_rate(F.col("cum_k"), F.col("cum_n"), 60.0, F.coalesce("mu", F.lit(0.25)), [(w, F.col(f"k{s}"), F.col(f"n{s}")) for s, w in enumerate(rates.SEASON_WEIGHTS, 1)])
     return asked.select("pitcher_id", "season", F.col("cutoff").cast("string").alias("cutoff"), r(rate).alias("rate"))
 
@@ -209,38 +211,48 @@ def park_factor(spark, sf):
     "survey_op32_team_form",
     f"""{WITH_TEAM_GAMES}, f AS (
   SELECT team, season, date, sum(CASE WHEN runs > allowed THEN 1 ELSE 0 END) AS w, count(*) AS n, sum(runs - allowed) AS diff FROM team_games GROUP BY ALL
-), c AS (SELECT team, season, date, sum(w) OVER x AS w, sum(n) OVER x AS n, sum(diff) OVER x AS diff FROM f WINDOW x AS (PARTITION BY team, season ORDER BY date))
+), c AS (SELECT team, season, date, sum(w) OVER x AS w, sum(n) OVER x AS n, sum(diff) OVER x AS diff FROM f WINDOW x AS (PARTITION BY team, season ORDER BY date)),
+o AS (SELECT *, sum(CASE WHEN runs > allowed THEN 1 ELSE 0 END) OVER l AS w10, count(*) OVER l AS n10, sum(runs - allowed) OVER l AS d10 FROM team_games WINDOW l AS (PARTITION BY team, season ORDER BY date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT q.game_id, q.team, CAST(c.w AS BIGINT) AS wins, CAST(c.n - c.w AS BIGINT) AS losses, CAST(c.diff AS BIGINT) AS run_diff,
-  CASE WHEN c.n IS NOT NULL THEN CAST(CAST(c.w AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c.n - c.w AS BIGINT) AS VARCHAR) END AS record
-FROM team_games q ASOF LEFT JOIN c ON q.team = c.team AND q.season = c.season AND q.date > c.date""",
+  CASE WHEN c.n IS NOT NULL THEN CAST(CAST(c.w AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c.n - c.w AS BIGINT) AS VARCHAR) END AS record,
+  CASE WHEN n10 > 0 THEN CAST(CAST(w10 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(n10 - w10 AS BIGINT) AS VARCHAR) END AS record_last_10, CASE WHEN n10 > 0 THEN CAST(d10 AS BIGINT) END AS run_diff_last_10
+FROM o q ASOF LEFT JOIN c ON q.team = c.team AND q.season = c.season AND q.date > c.date""",
 )
 def team_form(spark, sf):
+    """Record and run difference to date (days before only) and over the last ten games."""
     t = team_games(spark, sf)
     win = F.when(F.col("runs") > F.col("allowed"), 1).otherwise(0)
     run = asof.running_totals(t.withColumnRenamed("date", "day"), ["team", "season"], "day", {"w": win, "n": F.lit(1), "d": F.col("runs") - F.col("allowed")})
-    out = asof.asof_join(t.select("game_id", "team", "season", "date"), run.select("team", "season", "day", "cum_w", "cum_n", "cum_d"), ["team", "season"], "date", "day")
-    wins, losses = F.col("cum_w"), F.col("cum_n") - F.col("cum_w")
-    record = F.when(wins.isNotNull(), F.concat_ws("-", wins.cast("string"), losses.cast("string")))
-    return out.select("game_id", "team", wins.alias("wins"), losses.alias("losses"), F.col("cum_d").alias("run_diff"), record.alias("record"))
+    ten = Window.partitionBy("team", "season").orderBy("date", "game_id").rowsBetween(-10, -1)
+    asked = t.select("game_id", "team", "season", "date", F.sum(win).over(ten).alias("w10"), F.count("*").over(ten).alias("n10"), F.sum(F.col("runs") - F.col("allowed")).over(ten).alias("d10"))
+    out = asof.asof_join(asked, run.select("team", "season", "day", "cum_w", "cum_n", "cum_d"), ["team", "season"], "date", "day")
+    text = lambda w, n: F.concat_ws("-", F.col(w).cast("string"), (F.col(n) - F.col(w)).cast("string"))
+    some = F.col("n10") > 0
+    return out.select(
+        "game_id", "team", F.col("cum_w").alias("wins"), (F.col("cum_n") - F.col("cum_w")).alias("losses"), F.col("cum_d").alias("run_diff"), F.when(F.col("cum_w").isNotNull(), text("cum_w", "cum_n")).alias("record"),
+        F.when(some, text("w10", "n10")).alias("record_last_10"), F.when(some, F.col("d10")).alias("run_diff_last_10"),
+    )
 
 
 @query(
     "survey_op34_pitcher_form",
-    f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date, sum(velo) AS v, count(*) AS n, sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS k FROM pitches GROUP BY ALL),
+    f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date, sum(velo) AS v, count(*) AS n, sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS k, sum(CASE WHEN result = 'N' THEN 1 ELSE 0 END) AS gb FROM pitches GROUP BY ALL),
 q AS (SELECT DISTINCT pitcher_id, date FROM pitches)
-SELECT q.pitcher_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 6) AS velo, round(100.0 * sum(k) / sum(n), 6) AS whiff_pct,
-  CAST(q.date - max(data_date) AS BIGINT) AS days_rest
+SELECT q.pitcher_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 6) AS velo, round(100.0 * sum(k) / sum(n), 6) AS whiff_pct, round(100.0 * sum(gb) / sum(n), 6) AS gb_pct,
+  round(sum(v) FILTER (WHERE data_date >= q.date - 10) / sum(n) FILTER (WHERE data_date >= q.date - 10) - sum(v) / sum(n), 6) AS velo_trend, CAST(q.date - max(data_date) AS BIGINT) AS days_rest, CAST(arg_max(n, data_date) AS BIGINT) AS last_outing
 FROM q JOIN d ON d.pitcher_id = q.pitcher_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.pitcher_id, q.date""",
 )
 def pitcher_form(spark, sf):
+    """Thirty days before each outing: velocity and its trend of ten days, shares, days of rest, pitches of the last outing."""
     p = pitches(spark, sf)
-    d = p.groupBy("pitcher_id", F.col("data_date").alias("day")).agg(F.sum("velo").alias("v"), F.count("*").alias("n"), F.sum(F.when(F.col("result") == "R", 1).otherwise(0)).alias("k"))
-    q = p.select("pitcher_id", F.col("date").alias("cutoff")).distinct()
-    out = asof.trailing_join(q, d, ["pitcher_id"], "cutoff", "day", 30).groupBy("pitcher_id", "cutoff")
-    out = out.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("k").alias("k"), F.max("day").alias("last"))
+    n = lambda kind: F.sum(F.when(F.col("result") == kind, 1).otherwise(0))
+    d = p.groupBy("pitcher_id", F.col("data_date").alias("day")).agg(F.sum("velo").alias("v"), F.count("*").alias("c"), n("R").alias("w"), n("N").alias("g"))
+    sums = {"n": F.sum("c"), "s": F.sum("v"), "k": F.sum("w"), "gb": F.sum("g"), "s10": (10, F.sum("v")), "n10": (10, F.sum("c")), "last": F.max("day"), "outing": F.max_by("c", "day")}
+    out = asof.trailing_totals(p.select("pitcher_id", F.col("date").alias("cutoff")), d, ["pitcher_id"], "cutoff", "day", 30, sums)
+    share = lambda c: r(100.0 * F.col(c) / F.col("n"))
     return out.select(
-        "pitcher_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("v") / F.col("n")).alias("velo"), r(100.0 * F.col("k") / F.col("n")).alias("whiff_pct"),
-        F.datediff("cutoff", "last").cast("long").alias("days_rest"),
+        "pitcher_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("s") / F.col("n")).alias("velo"), share("k").alias("whiff_pct"), share("gb").alias("gb_pct"),
+        r(F.col("s10") / F.col("n10") - F.col("s") / F.col("n")).alias("velo_trend"), F.datediff("cutoff", "last").cast("long").alias("days_rest"), F.col("outing").alias("last_outing"),
     )
 
 

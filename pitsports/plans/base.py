@@ -36,6 +36,20 @@ team_games AS (
   UNION ALL
   SELECT game_id, date, season, venue_id, away_team, home_team, FALSE, away_final, home_final FROM games
 )"""
+#: SQL of ``operators.rates.centred_rate`` over views ``q`` (who, season, cutoff) and ``f`` (who, season, day, s, n).
+CENTRED = """
+q0 AS (SELECT DISTINCT who, season, cutoff FROM q),
+fd AS (SELECT who, season, day, sum(s) AS s, sum(n) AS n FROM f GROUP BY ALL),
+fr AS (SELECT who, season, day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM fd WINDOW w AS (PARTITION BY who, season ORDER BY day)),
+ld AS (SELECT season, day, sum(s) AS s, sum(n) AS n FROM fd GROUP BY ALL),
+lr AS (SELECT season, day, sum(s) OVER w / sum(n) OVER w AS l FROM ld WINDOW w AS (PARTITION BY season ORDER BY day)),
+ls AS (SELECT season, sum(s) / sum(n) AS m FROM ld GROUP BY season),
+fs AS (SELECT who, fd.season, sum(s) - sum(n) * any_value(m) AS rc, sum(n) AS n FROM fd JOIN ls ON ls.season = fd.season GROUP BY ALL),
+pr AS (SELECT k.who, k.season, sum(w * rc) AS rc, sum(w * n) AS n FROM (SELECT DISTINCT who, season FROM q) k JOIN fs ON fs.who = k.who JOIN (VALUES (1, 0.8), (2, 0.6), (3, 0.4)) v(lag, w) ON fs.season = k.season - lag GROUP BY ALL),
+rate AS (SELECT q0.who, q0.season, q0.cutoff, coalesce(fr.n, 0) AS cur_n, coalesce(pr.n, 0) AS pri_n,
+  (coalesce(fr.s, 0) - coalesce(fr.n, 0) * coalesce(lr.l, 0) + coalesce(pr.rc, 0)) / (coalesce(fr.n, 0) + coalesce(pr.n, 0) + {k}) AS value
+  FROM q0 ASOF LEFT JOIN fr ON fr.who = q0.who AND fr.season = q0.season AND q0.cutoff > fr.day
+  ASOF LEFT JOIN lr ON lr.season = q0.season AND q0.cutoff > lr.day LEFT JOIN pr ON pr.who = q0.who AND pr.season = q0.season)"""
 WITH_GAMES = f"WITH {GAMES}"
 WITH_PITCHES = f"WITH {GAMES}, {PITCHES}"
 WITH_TEAM_GAMES = f"WITH {GAMES}, {TEAM_GAMES}"
@@ -110,3 +124,29 @@ def team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r(c, places: int = 6):
     return F.round(c, places)
+
+
+def drawn_sql(seed: int, draw: str = "draw", i: str = "i") -> str:
+    """SQL of :func:`pitsports.operators.stats.drawn`."""
+    x = f"(({draw} * 48271 + {i} * 69621 + {seed + 1} * 16807) % 2147483647)"
+    for step in (48271, 69621, 16807):
+        x = f"(({x} * {step} + {draw} * 7919 + {i} * 104729) % 2147483647)"
+    return x
+
+
+def bootstrap_sql(source: str, draws: int, seed: int, name: str) -> str:
+    """CTEs of :func:`pitsports.operators.stats.block_bootstrap` over ``source`` (x, w, block): ``<name>`` has (draw, mean)."""
+    return f"""{name}_s AS (SELECT block, sum(w * x) AS x, sum(w) AS w, row_number() OVER (ORDER BY block) - 1 AS i FROM {source} GROUP BY block), {name}_n AS (SELECT count(*) AS n FROM {name}_s),
+{name}_p AS (SELECT draw, {drawn_sql(seed)} % n AS pick FROM {name}_s, {name}_n, (SELECT CAST(unnest(range(0, {draws})) AS BIGINT) AS draw)), {name} AS (SELECT draw, sum(x) / sum(w) AS mean FROM {name}_p JOIN {name}_s ON {name}_s.i = pick GROUP BY draw)"""
+
+
+def eliminated_sql(name: str, k: int, carry: str = "") -> str:
+    """CTEs that solve the k equations in the columns a<i>_<j> of the one-row ``name`` (right side: a<i>_<k>) by elimination;
+    the solution is a<i>_<k> of ``<name>_<k>``. Columns ``carry`` are passed on."""
+    out, before = [], name
+    for p in range(k):
+        columns = [f"a{p}_{j} / a{p}_{p} AS a{p}_{j}" for j in range(p, k + 1)]
+        columns += [f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(k) if i != p for j in range(p, k + 1)]
+        out.append(f"{name}_{p + 1} AS (SELECT {', '.join(columns)}{', ' + carry if carry else ''} FROM {before})")
+        before = f"{name}_{p + 1}"
+    return ", ".join(out)

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
-from pitsports.operators import fit, rates, stats
-from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
+from pitsports.operators import asof, fit, rates, stats
+from pitsports.plans.base import CENTRED, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, eliminated_sql, games, pitches, query, r, table, team_games
 
 
 @query(
@@ -58,12 +58,17 @@ SELECT round((sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw, 2) AS
 def wls(spark, sf):
     t = pitches(spark, sf).groupBy("pitcher_id", "season").agg(F.avg("value").alias("y"), F.avg("velo").alias("x"), F.count("*").alias("w"))
     b = fit.weighted_least_squares(t, F.col("y"), [F.col("x")], F.col("w"))
-    return t.limit(1).select(F.lit(round(b[0], 2)).alias("intercept"), F.lit(round(b[1], 3)).alias("slope"))
+    return spark.range(1).select(F.lit(round(b[0], 2)).alias("intercept"), F.lit(round(b[1], 3)).alias("slope"))
 
 
-@query("survey_op9_expected_length_ols")
+@query(
+    "survey_op9_expected_length_ols",
+    f"""{WITH_PITCHES}, a AS (SELECT game_id, pitcher_id, CAST(count(*) AS DOUBLE) AS y, 1.0::DOUBLE AS x0, avg(velo) AS x1, CASE WHEN min(pitch_no) = 1 THEN 1.0::DOUBLE ELSE 0 END AS x2, CASE WHEN min(pitch_no) > 4 THEN 1.0::DOUBLE ELSE 0 END AS x3 FROM pitches GROUP BY ALL),
+m AS (SELECT {", ".join(f"sum(x{i} * x{j}) AS a{i}_{j}" for i in range(4) for j in range(4))}, {", ".join(f"sum(x{i} * y) AS a{i}_4" for i in range(4))} FROM a), {eliminated_sql("m", 4)}
+SELECT game_id, pitcher_id, CAST(y AS BIGINT) AS n, round(least(greatest(a0_4 + a1_4 * x1 + a2_4 * x2 + a3_4 * x3, 0.5), 7.0), 6) AS expected FROM a, m_4""",
+)
 def ols(spark, sf):
-    """Batters faced by rest bucket dummies and velocity: fitted, clipped prediction for every appearance (no SQL: a fit)."""
+    """Batters faced by rest bucket dummies and velocity: fitted, clipped prediction for every appearance."""
     a = pitches(spark, sf).groupBy("game_id", "pitcher_id").agg(F.count("*").alias("n"), F.avg("velo").alias("v"), F.min("pitch_no").alias("first"))
     terms = [F.col("v"), F.when(F.col("first") == 1, 1.0).otherwise(0.0), F.when(F.col("first") > 4, 1.0).otherwise(0.0)]
     beta = fit.weighted_least_squares(a, F.col("n"), terms)
@@ -139,15 +144,16 @@ def blurred(spark, sf):
 
 @query(
     "survey_op22_centred_pooled_residual",
-    f"""{WITH_PITCHES}, e AS (SELECT season, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS m FROM pitches GROUP BY ALL), a AS (SELECT pitcher_id, p.season, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END - m) AS s, count(*) AS n FROM pitches p JOIN e ON e.season = p.season GROUP BY ALL)
-SELECT a.pitcher_id, a.season, round((a.s + 0.8 * coalesce(b.s, 0)) / (a.n + 0.8 * coalesce(b.n, 0) + 100), 8) AS effect FROM a LEFT JOIN a b ON b.pitcher_id = a.pitcher_id AND b.season = a.season - 1""",
+    f"""{WITH_PITCHES}, f AS (SELECT pitcher_id AS who, season, data_date AS day, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT pitcher_id AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=100)}
+SELECT who AS pitcher_id, season, CAST(cutoff AS VARCHAR) AS cutoff, round(value, 8) AS effect FROM rate""",
 )
 def residual(spark, sf):
-    p = pitches(spark, sf).select("pitcher_id", "season", F.when(F.col("result") == "R", 1.0).otherwise(0.0).alias("y"))
-    a = rates.centred(p, "y", ["season"], "rel").groupBy("pitcher_id", "season").agg(F.sum("rel").alias("s"), F.count("*").alias("n"))
-    b = a.select("pitcher_id", (F.col("season") + 1).alias("season"), F.col("s").alias("s1"), F.col("n").alias("n1"))
-    effect = rates.shrunk_rate(F.col("s"), F.col("n"), 100.0, F.lit(0.0), [(0.8, F.col("s1"), F.col("n1"))])
-    return a.join(b, ["pitcher_id", "season"], "left").select("pitcher_id", "season", r(effect, 8).alias("effect"))
+    """Outcomes above the league's, pooled over seasons, as of each game: this season and its league mean up to the day before."""
+    p = pitches(spark, sf)
+    y = F.when(F.col("result") == "R", 1.0).otherwise(0.0)
+    facts = p.groupBy("pitcher_id", "season", F.col("data_date").alias("day")).agg(F.sum(y).alias("s"), F.count("*").cast("double").alias("n"))
+    rate = rates.centred_rate(p.select("pitcher_id", "season", F.col("date").alias("cutoff")), facts, "pitcher_id", 100.0, rates.SEASON_WEIGHTS)
+    return rate.select("pitcher_id", "season", F.col("cutoff").cast("string").alias("cutoff"), r(F.col("value"), 8).alias("effect"))
 
 
 @query(
@@ -158,19 +164,25 @@ SELECT s.team, s.season, s.game_id, s.i, s.zone, CASE WHEN s.zone > c.body THEN
 SELECT team, game_id, CAST(zone - body AS BIGINT) AS lag FROM c""",
 )
 def body_clock(spark, sf):
-    """A fold over each team-season's games in order: the body's zone moves one zone a day towards the venue's."""
-    t = team_games(spark, sf).select("team", "season", F.struct("date", "game_id", (F.col("venue_id") % 4).cast("long").alias("zone")).alias("g"))
-    t = t.groupBy("team", "season").agg(F.array_sort(F.collect_list("g")).alias("gs"))
+    """A fold over each team-season's games in order: the body's zone moves one zone a day towards the venue's.
 
-    def step(acc, g):
-        gap = F.coalesce(F.datediff(g["date"], acc["last"]), F.lit(0)).cast("long")
-        body = F.when(acc["last"].isNull(), g["zone"]).when(g["zone"] > acc["body"], F.least(g["zone"], acc["body"] + gap)).otherwise(F.greatest(g["zone"], acc["body"] - gap))
-        out = F.struct(g["game_id"].alias("game_id"), (g["zone"] - body).alias("lag"))
-        return F.struct(g["date"].alias("last"), body.alias("body"), F.concat(acc["out"], F.array(out)).alias("out"))
+    Games stream through a task in order; only the last game's state is held from one batch to the next.
+    """
+    t = team_games(spark, sf).select("team", "season", "game_id", F.unix_date("date").alias("day"), (F.col("venue_id") % 4).cast("long").alias("zone"))
 
-    start = F.struct(F.lit(None).cast("date").alias("last"), F.lit(0).cast("long").alias("body"), F.array().cast("array<struct<game_id:bigint,lag:bigint>>").alias("out"))
-    lags = t.select("team", F.explode(F.aggregate("gs", start, step, lambda acc: acc["out"])).alias("o"))
-    return lags.select("team", "o.game_id", "o.lag")
+    def fold(frames):
+        who, body, last = None, 0, 0
+        for pdf in frames:
+            lags = []
+            for team, season, day, zone in zip(pdf["team"].tolist(), pdf["season"].tolist(), pdf["day"].tolist(), pdf["zone"].tolist(), strict=True):
+                gap = day - last
+                body = zone if (team, season) != who else min(zone, body + gap) if zone > body else max(zone, body - gap)
+                who, last = (team, season), day
+                lags.append(zone - body)
+            yield pdf[["team", "game_id"]].assign(lag=lags)
+
+    ordered = t.repartition("team", "season").sortWithinPartitions("team", "season", "day", "game_id")
+    return ordered.mapInPandas(fold, "team int, game_id long, lag long")
 
 
 @query(
@@ -194,23 +206,31 @@ def targets(spark, sf):
     f"{WITH_PITCHES}, d AS (SELECT batter_id, data_date, sum(value) AS v, count(*) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT batter_id, date FROM pitches) SELECT q.batter_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 8) AS value FROM q JOIN d ON d.batter_id = q.batter_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.batter_id, q.date",
 )
 def batter_form(spark, sf):
-    from pitsports.operators.asof import trailing_join
-
     p = pitches(spark, sf)
-    d = p.groupBy("batter_id", F.col("data_date").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
-    q = p.select("batter_id", F.col("date").alias("cutoff")).distinct()
-    out = trailing_join(q, d, ["batter_id"], "cutoff", "day", 30).groupBy("batter_id", "cutoff").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    return out.select("batter_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("v") / F.col("n"), 8).alias("value"))
+    d = p.groupBy("batter_id", F.col("data_date").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("c"))
+    q = p.select("batter_id", F.col("date").alias("cutoff"))
+    out = asof.trailing_totals(q, d, ["batter_id"], "cutoff", "day", 30, {"n": F.sum("c"), "s": F.sum("v")})
+    return out.select("batter_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("s") / F.col("n"), 8).alias("value"))
+
+
+def _boost(kind: str) -> str:
+    """CTEs of an umpire's rate of ``kind`` above the league's as of each date, in ``rate``."""
+    return f"""{WITH_PITCHES}, f AS (SELECT CAST(game_id % 12 AS INT) AS who, season, data_date AS day, sum(CASE WHEN result = '{kind}' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT CAST(game_id % 12 AS INT) AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=200)}"""
 
 
 @query(
     "survey_op35_umpire_season_stats",
-    f"{WITH_PITCHES}, u AS (SELECT season, CAST(game_id % 12 AS INT) AS umpire, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS k, count(*) AS n FROM pitches GROUP BY ALL), l AS (SELECT season, avg(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS k FROM pitches GROUP BY ALL) SELECT u.season, umpire, n, round(u.k - l.k, 6) AS k_boost FROM u JOIN l ON l.season = u.season",
+    f"SELECT a.who AS umpire, a.season, CAST(a.cutoff AS VARCHAR) AS cutoff, CAST(a.cur_n AS BIGINT) AS n, round(a.value, 8) AS k_boost, round(b.value, 8) AS bb_boost FROM ({_boost('R')} SELECT * FROM rate) a JOIN ({_boost('N')} SELECT * FROM rate) b ON a.who = b.who AND a.season = b.season AND a.cutoff = b.cutoff",
 )
 def umpires(spark, sf):
-    p = pitches(spark, sf).select("season", (F.col("game_id") % 12).cast("int").alias("umpire"), F.when(F.col("result") == "R", 1.0).otherwise(0.0).alias("k"))
-    league = p.groupBy("season").agg(F.avg("k").alias("lk"))
-    return p.groupBy("season", "umpire").agg(F.avg("k").alias("k"), F.count("*").alias("n")).join(league, "season").select("season", "umpire", "n", r(F.col("k") - F.col("lk")).alias("k_boost"))
+    """Strikeout and walk rates of an umpire above the league's, as of each of the umpire's dates."""
+    p = pitches(spark, sf).withColumn("umpire", (F.col("game_id") % 12).cast("int"))
+    asked = p.select("umpire", "season", F.col("date").alias("cutoff"))
+    n = lambda kind: F.sum(F.when(F.col("result") == kind, 1.0).otherwise(0.0))
+    facts = p.groupBy("umpire", "season", F.col("data_date").alias("day")).agg(n("R").alias("k"), n("N").alias("b"), F.count("*").cast("double").alias("n"))
+    k, b = (rates.centred_rate(asked, facts.withColumn("s", F.col(c)), "umpire", 200.0, rates.SEASON_WEIGHTS).withColumnRenamed("value", c) for c in ("k", "b"))
+    both = k.join(b.select("umpire", "season", "cutoff", "b"), ["umpire", "season", "cutoff"])
+    return both.select("umpire", "season", F.col("cutoff").cast("string").alias("cutoff"), F.col("cur_n").cast("long").alias("n"), r(F.col("k"), 8).alias("k_boost"), r(F.col("b"), 8).alias("bb_boost"))
 
 
 @query("survey_op36_resumed_games", f"{WITH_PITCHES} SELECT game_id, CAST(min(date) AS VARCHAR) AS original, CAST(max(ship_date) AS VARCHAR) AS resumed FROM pitches GROUP BY game_id HAVING max(ship_date) > min(date)")
@@ -228,15 +248,24 @@ def dedupe(spark, sf):
 
 @query(
     "survey_op39_odds_exclusions",
-    """WITH q AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_discount AS a, l_tax AS b FROM lineitem), m AS (SELECT l_orderkey, quantile_cont(a, 0.5) AS med FROM q GROUP BY ALL)
-SELECT l_linenumber, l_suppkey, l_partkey, l_extendedprice, q.l_orderkey, abs(a - med) > 0.03 AS off_market, a + b > 0.15 OR a + b < 0.01 AS incoherent FROM q JOIN m ON m.l_orderkey = q.l_orderkey WHERE abs(a - med) > 0.03 OR a + b > 0.15 OR a + b < 0.01""",
+    """WITH q AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_discount AS a, l_tax AS b, CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS age FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT l_orderkey, quantile_cont(a, 0.5) AS med FROM q GROUP BY ALL),
+c AS (SELECT l_orderkey, b, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, b) AS k FROM q GROUP BY l_orderkey, b),
+e AS (SELECT q.*, age > 110 AS stale, abs(q.b - c.b) > 0.05 AS alternate, abs(a - med) > 0.03 AS off_market, a + q.b > 0.15 OR a + q.b < 0.01 AS incoherent FROM q JOIN m ON m.l_orderkey = q.l_orderkey JOIN c ON c.l_orderkey = q.l_orderkey AND c.k = 1)
+SELECT l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_orderkey, stale, alternate, off_market, incoherent FROM e WHERE stale OR alternate OR off_market OR incoherent""",
 )
 def odds_exclusions(spark, sf):
-    q = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
-    m = q.groupBy("l_orderkey").agg(F.median("a").alias("med"))
-    off, bad = F.abs(F.col("a") - F.col("med")) > 0.03, (F.col("a") + F.col("b") > 0.15) | (F.col("a") + F.col("b") < 0.01)
-    out = q.join(m, "l_orderkey").withColumns({"off_market": off, "incoherent": bad}).where("off_market or incoherent")
-    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "off_market", "incoherent")
+    """Four rules: a stale close, an alternate line (far from the one most books quote), off the median, an incoherent sum."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("made"))
+    q = table(spark, sf, "lineitem").join(o, "l_orderkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), F.datediff(F.to_date("l_shipdate"), "made").alias("age"))
+    lines = q.groupBy("l_orderkey", "b").agg(F.count("*").alias("n"), F.collect_list("a").alias("as"))
+    per = lines.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "b")).alias("x"), F.sort_array(F.flatten(F.collect_list("as"))).alias("s"))
+    half = F.size("s") / 2
+    median = (F.get("s", F.floor((F.size("s") - 1) / 2).cast("int")) + F.get("s", F.floor(half).cast("int"))) / 2  # a game has a few quotes
+    m = per.select("l_orderkey", F.col("x.b").alias("line"), median.alias("med"))
+    both = F.col("a") + F.col("b")
+    flags = {"stale": F.col("age") > 110, "alternate": F.abs(F.col("b") - F.col("line")) > 0.05, "off_market": F.abs(F.col("a") - F.col("med")) > 0.03, "incoherent": (both > 0.15) | (both < 0.01)}
+    out = q.join(m, "l_orderkey").withColumns(flags).where("stale or alternate or off_market or incoherent")
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", *flags)
 
 
 PRICES = "SELECT l_orderkey AS game_id, l_linenumber AS book, 0.40 + l_quantity / 200 AS a, 0.65 - l_quantity / 200 AS b, l_discount AS line FROM lineitem"
@@ -245,12 +274,16 @@ PRICES = "SELECT l_orderkey AS game_id, l_linenumber AS book, 0.40 + l_quantity
 @query(
     "survey_op41_market_table",
     f"""WITH q AS ({PRICES}), c AS (SELECT game_id, line, count(*) AS n FROM q GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY n DESC, line) AS i FROM c)
-SELECT q.game_id, round(avg(a / (a + b)), 6) AS fair, round(min(a), 6) AS best_a, round(quantile_cont(b, 0.5), 6) AS med_b, any_value(k.line) AS line FROM q JOIN k ON k.game_id = q.game_id AND k.i = 1 GROUP BY q.game_id""",
+SELECT q.game_id, round(avg(a / (a + b)), 6) AS fair, round(min(a) FILTER (WHERE book <= 3), 6) AS best_a, round(min(b) FILTER (WHERE book <= 3), 6) AS best_b, round(quantile_cont(a, 0.5), 6) AS med_a, round(quantile_cont(b, 0.5), 6) AS med_b, any_value(k.line) AS line, count(*) FILTER (WHERE q.line = k.line) AS on_line FROM q JOIN k ON k.game_id = q.game_id AND k.i = 1 GROUP BY q.game_id""",
 )
 def market(spark, sf):
-    q = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), (0.40 + F.col("l_quantity") / 200).alias("a"), (0.65 - F.col("l_quantity") / 200).alias("b"), F.col("l_discount").alias("line"))
-    lines = q.groupBy("game_id", "line").agg(F.count("*").alias("n")).groupBy("game_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "line")).alias("x")).select("game_id", "x.line")
-    m = q.groupBy("game_id").agg(r(F.avg(fn.devig_multiplicative(F.col("a"), F.col("b")))).alias("fair"), r(F.min("a")).alias("best_a"), r(F.median("b")).alias("med_b"))
+    """Mean fair probability and medians over all books, best prices of three books, the line that most books quote."""
+    q = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("book"), (0.40 + F.col("l_quantity") / 200).alias("a"), (0.65 - F.col("l_quantity") / 200).alias("b"), F.col("l_discount").alias("line"))
+    lines = q.groupBy("game_id", "line").agg(F.count("*").alias("n")).groupBy("game_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "line")).alias("x")).select("game_id", "x.line", (-F.col("x.m")).alias("on_line"))
+    best = lambda c: r(F.min(F.when(F.col("book") <= 3, F.col(c))))
+    m = q.groupBy("game_id").agg(
+        r(F.avg(fn.devig_multiplicative(F.col("a"), F.col("b")))).alias("fair"), best("a").alias("best_a"), best("b").alias("best_b"), r(F.median("a")).alias("med_a"), r(F.median("b")).alias("med_b")
+    )
     return m.join(lines, "game_id")
 
 
@@ -271,17 +304,27 @@ def bets(spark, sf):
 
 @query(
     "survey_op44_devig_by_log_loss",
-    f"""WITH q AS ({PRICES}), f AS (SELECT CASE WHEN game_id % 3 = 0 THEN 1 ELSE 0 END AS y, a / (a + b) AS mul, a - (a + b - 1) / 2 AS add FROM q) SELECT 'multiplicative' AS method, round(avg(-(y * ln(mul) + (1 - y) * ln(1 - mul))), 6) AS loss FROM f UNION ALL SELECT 'additive', round(avg(-(y * ln(add) + (1 - y) * ln(1 - add))), 6) FROM f""",
+    f"""WITH RECURSIVE q AS ({PRICES}), pairs AS (SELECT DISTINCT a, b FROM q), bis AS (SELECT a, b, CAST(0.2 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi, 0 AS i FROM pairs UNION ALL SELECT a, b, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM bis WHERE i < 60),
+f AS (SELECT CASE WHEN game_id % 3 = 0 THEN 1 ELSE 0 END AS y, q.a / (q.a + q.b) AS mul, q.a - (q.a + q.b - 1) / 2 AS add, pow(q.a, (lo + hi) / 2) AS pw FROM q JOIN bis ON bis.a = q.a AND bis.b = q.b AND i = 60)
+SELECT 'multiplicative' AS method, round(avg(-(y * ln(mul) + (1 - y) * ln(1 - mul))), 6) AS loss FROM f UNION ALL SELECT 'additive', round(avg(-(y * ln(add) + (1 - y) * ln(1 - add))), 6) FROM f UNION ALL SELECT 'power', round(avg(-(y * ln(pw) + (1 - y) * ln(1 - pw))), 6) FROM f""",
 )
 def devig_losses(spark, sf):
+    """Three ways to take the margin out of two prices, by log loss; each distinct pair of prices is solved once."""
     q = table(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0).alias("y"), (0.40 + F.col("l_quantity") / 200).alias("a"), (0.65 - F.col("l_quantity") / 200).alias("b"))
-    q = q.select("y", fn.devig_multiplicative(F.col("a"), F.col("b")).alias("multiplicative"), fn.devig_additive(F.col("a"), F.col("b")).alias("additive"))
-    return q.unpivot("y", ["multiplicative", "additive"], "method", "p").groupBy("method").agg(r(F.avg(fn.log_loss(F.col("y"), F.col("p")))).alias("loss"))
+    q = q.groupBy("a", "b", "y").agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    q = q.select("y", "n", fn.devig_multiplicative(a, b).alias("multiplicative"), fn.devig_additive(a, b).alias("additive"), fn.devig_power(a, b).alias("power"))
+    long = q.unpivot(["y", "n"], ["multiplicative", "additive", "power"], "method", "p")
+    return long.groupBy("method").agg(r(F.sum(F.col("n") * fn.log_loss(F.col("y"), F.col("p"))) / F.sum("n")).alias("loss"))
 
 
-@query("survey_op45_block_bootstrap")
+@query(
+    "survey_op45_block_bootstrap",
+    f"""{WITH_TEAM_GAMES}, src AS (SELECT runs - 4.0 AS x, 1.0 AS w, (date - DATE '1970-01-01') // 7 AS block FROM team_games), {bootstrap_sql("src", 500, 7, "b")}
+SELECT round(quantile_cont(mean, 0.05), 6) AS lo, round(quantile_cont(mean, 0.95), 6) AS hi, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0 END) AS above FROM b""",
+)
 def bootstrap(spark, sf):
-    """Means of 500 resamples of 7-day blocks of team runs above 4, and their interval (hashed draws, so no SQL)."""
+    """Means of 500 resamples of 7-day blocks of team runs above 4, and their interval."""
     t = team_games(spark, sf).select((F.col("runs") - 4.0).alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
     draws = stats.block_bootstrap(t, "x", "w", "block", 500)
     return stats.interval(draws).select(r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"), "above")
@@ -289,11 +332,19 @@ def bootstrap(spark, sf):
 
 @query(
     "survey_op47_bet_summary",
-    f"{WITH_TEAM_GAMES} SELECT is_home, count(*) AS bets, round(avg(runs - allowed), 6) AS mean, CAST(sum(runs - allowed) AS BIGINT) AS units, round(avg(CASE WHEN runs > allowed THEN 1.0 ELSE 0 END), 6) AS won FROM team_games GROUP BY is_home",
+    f"""{WITH_TEAM_GAMES}, bets AS (SELECT is_home, CAST(runs - allowed AS DOUBLE) AS x, 1.0 AS w, (date - DATE '1970-01-01') // 7 AS block FROM team_games), h AS (SELECT * FROM bets WHERE is_home), a AS (SELECT * FROM bets WHERE NOT is_home), {bootstrap_sql("h", 200, 1, "bh")}, {bootstrap_sql("a", 200, 2, "ba")},
+i AS (SELECT TRUE AS is_home, round(quantile_cont(mean, 0.05), 6) AS lo, round(quantile_cont(mean, 0.95), 6) AS hi FROM bh UNION ALL SELECT FALSE, round(quantile_cont(mean, 0.05), 6), round(quantile_cont(mean, 0.95), 6) FROM ba),
+s AS (SELECT is_home, count(*) AS bets, round(avg(x), 6) AS mean, CAST(sum(x) AS BIGINT) AS units, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END), 6) AS won FROM bets GROUP BY is_home) SELECT s.*, lo, hi FROM s JOIN i ON i.is_home = s.is_home""",
 )
 def bet_summary(spark, sf):
-    d = F.col("runs") - F.col("allowed")
-    return team_games(spark, sf).groupBy("is_home").agg(F.count("*").alias("bets"), r(F.avg(d)).alias("mean"), F.sum(d).alias("units"), r(F.avg(F.when(d > 0, 1.0).otherwise(0.0))).alias("won"))
+    """Bets, mean, units, share won, and the interval of the mean by resampled weeks, at home and away."""
+    t = team_games(spark, sf).select("is_home", (F.col("runs") - F.col("allowed")).cast("double").alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
+    out = t.groupBy("is_home").agg(F.count("*").alias("bets"), r(F.avg("x")).alias("mean"), F.sum("x").cast("long").alias("units"), r(F.avg(F.when(F.col("x") > 0, 1.0).otherwise(0.0))).alias("won"))
+    ranges = None
+    for home, seed in ((True, 1), (False, 2)):
+        one = stats.interval(stats.block_bootstrap(t.where(F.col("is_home") == home), "x", "w", "block", 200, seed)).select(F.lit(home).alias("is_home"), r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"))
+        ranges = one if ranges is None else ranges.unionByName(one)
+    return out.join(F.broadcast(ranges), "is_home")
 
 
 @query(
@@ -317,20 +368,49 @@ def reliability(spark, sf):
     return out.select("bin", "n", r(F.col("mean_p")).alias("mean_p"), r(F.col("mean_y")).alias("mean_y"))
 
 
-@query("survey_op50_calibration_fit")
+def _newton_sql(steps: int) -> str:
+    """CTEs s0, s1, ...: Newton steps of a logistic fit of y on an intercept and x (with n) in ``cells``, ridge 1e-6."""
+    out = "s0 AS (SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1)"
+    for i in range(steps):
+        out += f""", g{i} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(n * p * (1 - p)) + 1e-6 AS a00, sum(n * p * (1 - p) * x) AS a01, sum(n * p * (1 - p) * x * x) + 1e-6 AS a11,
+  sum(n * (y - p)) - 1e-6 * any_value(b0) AS h0, sum(n * (y - p) * x) - 1e-6 * any_value(b1) AS h1 FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM cells, s{i})),
+s{i + 1} AS (SELECT b0 + (a11 * h0 - a01 * h1) / (a00 * a11 - a01 * a01) AS b0, b1 + (a00 * h1 - a01 * h0) / (a00 * a11 - a01 * a01) AS b1 FROM g{i})"""
+    return out
+
+
+@query(
+    "survey_op50_calibration_fit",
+    f"""WITH c AS (SELECT ln((0.2 + (o_orderkey % 997) / 1700.0) / (1 - (0.2 + (o_orderkey % 997) / 1700.0))) AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders), cells AS (SELECT x, y, count(*) AS n FROM c GROUP BY ALL), {_newton_sql(8)}
+SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM s8""",
+)
 def calibration(spark, sf):
-    """Slope and intercept of outcomes on the logit of a forecast, by Newton steps over aggregated sums."""
+    """Slope and intercept of outcomes on the logit of a forecast, by Newton steps over counted cells."""
     c = table(spark, sf, "orders").select((0.2 + (F.col("o_orderkey") % 997) / 1700.0).alias("p"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"))
-    b = fit.logistic(c, F.col("y"), [fn.logit(F.col("p"))])
-    return c.limit(1).select(F.lit(round(b[0], 6)).alias("intercept"), F.lit(round(b[1], 6)).alias("slope"))
+    b = fit.logistic(c, F.col("y"), [fn.logit(F.col("p"))], discrete=True)
+    return spark.range(1).select(F.lit(round(b[0], 6)).alias("intercept"), F.lit(round(b[1], 6)).alias("slope"))
+
+
+def _scoring_sql(steps: int) -> str:
+    """CTEs c0, c1, ...: Fisher scoring of counts y on x0, x1, x2 in ``cells``, dispersion 0.2, ridge 1e-6."""
+    out = "c0 AS (SELECT ln(sum(n * y) / sum(n)) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM cells)"
+    for s in range(steps):
+        ridge = lambda i, j: " + 1e-6" if i == j else ""
+        sums = ", ".join(f"sum(n * m / (1 + 0.2 * m) * x{i} * x{j}){ridge(i, j)} AS a{i}_{j}" for i in range(3) for j in range(3))
+        right = ", ".join(f"sum(n * (y - m) / (1 + 0.2 * m) * x{i}) - 1e-6 * any_value(b{i}) AS a{i}_3, any_value(b{i}) AS b{i}" for i in range(3))
+        out += f", h{s} AS (SELECT {sums}, {right} FROM (SELECT *, exp(b0 + b1 * x1 + b2 * x2) AS m FROM cells, c{s})), {eliminated_sql(f'h{s}', 3, 'b0, b1, b2')}, c{s + 1} AS (SELECT b0 + a0_3 AS b0, b1 + a1_3 AS b1, b2 + a2_3 AS b2 FROM h{s}_3)"
+    return out
 
 
-@query("survey_op51_count_regression")
+@query(
+    "survey_op51_count_regression",
+    f"""{WITH_TEAM_GAMES}, cells AS (SELECT 1.0::DOUBLE AS x0, CASE WHEN is_home THEN 1.0::DOUBLE ELSE 0 END AS x1, venue_id % 5 / 5.0 AS x2, CAST(runs AS DOUBLE) AS y, count(*) AS n FROM team_games GROUP BY ALL), {_scoring_sql(10)}
+SELECT x1 AS h, x2 AS v, CAST(sum(n) AS BIGINT) AS n, round(sum(n * y) / sum(n), 6) AS mean, round(exp(any_value(b0 + b1 * x1 + b2 * x2)), 5) AS fitted FROM cells, c10 GROUP BY x1, x2""",
+)
 def count_fit(spark, sf):
     """Runs on home field and venue group: fitted means of every cell (negative binomial, log link)."""
     t = team_games(spark, sf).withColumn("h", F.col("is_home").cast("double")).withColumn("v", F.col("venue_id") % 5 / 5.0)
     terms = [F.col("h"), F.col("v")]
-    beta = fit.count_regression(t, F.col("runs"), terms, 0.2)
+    beta = fit.count_regression(t, F.col("runs"), terms, 0.2, discrete=True)
     return t.groupBy("h", "v").agg(F.count("*").alias("n"), r(F.avg("runs")).alias("mean")).withColumn("fitted", r(F.exp(fit.predict(beta, terms)), 5))
 
 
@@ -348,10 +428,7 @@ def late(spark, sf):
     return pitches(spark, sf).groupBy("game_id", "half").agg(part(F.col("pitch_no") < 4).alias("going_in"), part(F.col("pitch_no") >= 4).alias("scored"))
 
 
-@query(
-    "survey_op61_leak_test",
-    None,
-)
+@query("survey_op61_leak_test", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) WHERE day <= DATE '2024-01-20'")
 def leak(spark, sf):
     """Perturb every fact on or after a day, rebuild running rates, and count rows before that day that changed (must be 0)."""
     from pitsports.operators.asof import asof_join, running_totals

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, fit, gates, rates, stats, tables
-from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
+from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 
 STARTS = """starts AS (
@@ -100,22 +100,27 @@ def environment(spark, sf):
     t, g = team_games(spark, sf), games(spark, sf)
     run = asof.running_totals(t.withColumnRenamed("date", "day"), ["season"], "day", {"x": F.col("runs"), "n": F.lit(1)}).select("season", "day", "cum_x", "cum_n")
     last = t.groupBy((F.col("season") + 1).alias("season")).agg(F.avg("runs").alias("m"))
-    out = asof.asof_join(g, run, ["season"], "date", "day").join(last, "season", "left")
+    out = asof.at_cutoffs(g, run, ["season"], "date", "day").join(F.broadcast(last), "season", "left")
     roof = F.col("venue_id") % 7 == 0
     return out.select("game_id", F.when(roof, 72.0).otherwise(50.0 + F.col("game_id") % 40).alias("temp"), roof.alias("roof"), r(F.coalesce(F.col("cum_x") / F.col("cum_n"), F.col("m"))).alias("level"))
 
 
 @query(
     "survey_op19_factor_by_side",
-    f"""{WITH_PITCHES}, c AS (SELECT season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), a AS (SELECT season, side, sum(v) / sum(n) AS m FROM c GROUP BY ALL)
-SELECT c.season, venue_id, c.side, n, round(ln(1 + (v / n / m - 1) * n / (n + 500.0)), 8) AS log_factor FROM c JOIN a ON a.season = c.season AND a.side = c.side""",
+    f"""{WITH_PITCHES}, c AS (SELECT season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), k AS (SELECT DISTINCT season FROM pitches),
+w AS (SELECT k.season, venue_id, side, sum(n) AS n, sum(v) AS v FROM k JOIN c ON c.season BETWEEN k.season - 3 AND k.season - 1 GROUP BY ALL), a AS (SELECT season, side, sum(v) / sum(n) AS m FROM w GROUP BY ALL)
+SELECT w.season, venue_id, w.side, CAST(n AS BIGINT) AS n, round(ln(1 + (v / n / m - 1) * n / (n + 500.0)), 8) AS log_factor FROM w JOIN a ON a.season = w.season AND a.side = w.side""",
 )
 def factor_by_side(spark, sf):
+    """A venue's factor for each batting side from the three seasons before; the season itself does not count."""
     side = F.when(F.col("batter_id") % 2 == 0, "L").otherwise("R").alias("side")
-    c = pitches(spark, sf).groupBy("season", "venue_id", side).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    a = c.groupBy("season", "side").agg((F.sum("v") / F.sum("n")).alias("m"))
+    p = pitches(spark, sf)
+    c = p.groupBy("season", "venue_id", side).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    served = asof.serve_seasons(c, "season", 3).groupBy(F.col("target").alias("season"), "venue_id", "side").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    served = served.join(F.broadcast(c.select("season").distinct()), "season", "left_semi")
+    a = served.groupBy("season", "side").agg((F.sum("v") / F.sum("n")).alias("m"))
     factor = rates.ratio_factor(F.col("v") / F.col("n"), F.col("m"), F.col("n"), 500.0, 0)
-    return c.join(a, ["season", "side"]).select("season", "venue_id", "side", "n", r(F.log(factor), 8).alias("log_factor"))
+    return served.join(a, ["season", "side"]).select("season", "venue_id", "side", "n", r(F.log(factor), 8).alias("log_factor"))
 
 
 @query(
@@ -221,7 +226,12 @@ def sweep(spark, sf):
     return x.groupBy("k").agg(r(F.avg(F.pow(F.col("next") - (F.col("s") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k")), 2)), 8).alias("mse"))
 
 
-@query("survey_op60_adoption_rule")
+@query(
+    "survey_op60_adoption_rule",
+    f"""{WITH_TEAM_GAMES}, src AS (SELECT venue_id % 4 AS g, runs - 3.9 AS x, 1.0 AS w, (date - DATE '1970-01-01') // 7 AS block FROM team_games), {", ".join(f"t{g} AS (SELECT * FROM src WHERE g = {g}), " + bootstrap_sql(f"t{g}", 200, g, f"b{g}") for g in range(4))},
+p AS ({" UNION ALL ".join(f"SELECT {g} AS g, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0 END) AS p FROM b{g}" for g in range(4))}), k AS (SELECT *, row_number() OVER (ORDER BY p, g) AS rank FROM p)
+SELECT g, p, CAST(rank AS INT) AS rank, max(CASE WHEN p <= 0.10 / (5 - rank) THEN 0 ELSE 1 END) OVER (ORDER BY rank) = 0 AS adopted FROM k""",
+)
 def adoption(spark, sf):
     """Holm ordering of groups by the share of bootstrap draws at or below 0: rank, share, adopted at 10 %."""
     t = team_games(spark, sf).select((F.col("venue_id") % 4).alias("g"), (F.col("runs") - 3.9).alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
@@ -230,7 +240,8 @@ def adoption(spark, sf):
         one = stats.block_bootstrap(t.where(F.col("g") == g), "x", "w", "block", 200, seed=g).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p")).select(F.lit(g).alias("g"), "p")
         out = one if out is None else out.unionByName(one)
     rank = F.row_number().over(Window.orderBy("p", "g"))
-    held = F.max(F.when(F.col("p") <= 0.10 / (5 - F.col("rank")), 0).otherwise(1)).over(Window.orderBy("rank"))
+    groups = F.count("*").over(Window.partitionBy())  # a row a group
+    held = F.max(F.when(F.col("p") <= 0.10 / (groups + 1 - F.col("rank")), 0).otherwise(1)).over(Window.orderBy("rank"))
     return out.withColumn("rank", rank).withColumn("adopted", held == 0)
 
 

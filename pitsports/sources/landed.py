@@ -50,3 +50,15 @@ def weeks(start: str, end: str, spark: SparkSession, days: int = 7) -> DataFrame
     """Chunks (lo, hi) of a date range, ``hi`` inclusive."""
     one = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {days} days"))).alias("lo"))
     return one.select("lo", F.least(F.date_add("lo", days - 1), F.lit(end).cast("date")).alias("hi"))
+
+
+def season_frame(facts: DataFrame, season: int, keys: Sequence[str]) -> DataFrame:
+    """The facts of one season; fails if there are none or if a key is null in all of them."""
+    rows = facts.where(F.col("season") == season)
+    seen = rows.agg(F.count("*").alias("n"), *[F.count(k).alias(k) for k in keys]).first()
+    if not seen["n"]:
+        raise FileNotFoundError(f"no facts of season {season}")
+    empty = [k for k in keys if not seen[k]]
+    if empty:
+        raise ValueError(f"season {season}: {', '.join(empty)} has no value")
+    return rows

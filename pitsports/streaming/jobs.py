@@ -15,31 +15,41 @@ from pyspark.sql.streaming import StreamingQuery
 from pitsports.operators.tables import merge_latest
 
 
-def merged_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a merged table, or None before the first batch."""
-    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(marks):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(marks) if fs.exists(type_path(spark, f"{path}/{s.getPath().getName()}/_SUCCESS"))]
-    versions = [int(x.split("=")[1]) for x in done if x.startswith("batch=")]
-    return spark.read.parquet(f"{path}/batch={max(versions)}").drop("batch") if versions else None
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def type_path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a merged table."""
+    root = hadoop_path(spark, path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(root) if fs.exists(hadoop_path(spark, f"{path}/{x.getPath().getName()}/_SUCCESS"))]
+    return [int(x.split("=")[1]) for x in names if x.startswith("batch=")]
+
+
+def merged_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a merged table, or None before the first batch."""
+    done = versions(spark, path)
+    return spark.read.parquet(f"{path}/batch={max(done)}").drop("batch") if done else None
 
 
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> StreamingQuery:
     """Merge each micro-batch latest-wins into ``path``: version ``batch=<id>`` holds the whole table after that batch.
 
-    A replayed batch overwrites its own version from the one before it, so the job is idempotent by batch id.
+    A replayed batch overwrites its own version from the newest one before it, so the job is idempotent by batch id.
+    Versions before the last two are removed once a newer one is complete.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else batch.limit(0)
+        before = [v for v in versions(spark, path) if v < batch_id]
+        old = spark.read.parquet(f"{path}/batch={max(before)}") if before else batch.limit(0)
         merge_latest(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for version in sorted(before)[:-1]:
+            place = hadoop_path(spark, f"{path}/batch={version}")
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
