@@ -17,6 +17,10 @@ to the tasks that own their keys. Each batch gets a suffix array: its window suf
 least ``LENGTH`` bytes, those are marked, the rest become a new level, and levels of equal size merge, so a task holds
 a logarithmic number of sorted arrays.
 
+*Batches of documents.* ``add_batch`` keeps the family of a growing corpus as tables: each level holds the segments that
+some batches left, with their bytes. A new batch is scanned against all levels, whose segments count as earlier
+documents, and its own new segments become a level; while two levels have one number they merge into the next.
+
 *Hot keys.* A key that holds more than ``HOT`` different segments would load one task. Its segments are split into
 single windows, keyed by the window's own hash and compared by a second 64-bit hash, again first inside each map task.
 
@@ -192,7 +196,7 @@ def _map_side(frames):
         yield _frame(HOT_FLAG, key[flag], zero.view(U), zero, zero, zero, zero)
 
     for pdf in frames:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+        texts = pdf["text"].tolist()
         docs, rows = pdf["doc"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
         cut = np.cumsum([len(t) for t in texts]) // PIECE
         for piece in np.unique(cut):
@@ -268,10 +272,9 @@ def _cut_out(frames):
     for pdf in frames:
         cold, texts, docs, rows, starts = [], [], [], [], []
         for doc, row, text, segments in zip(pdf["doc"], pdf["row"], pdf["text"], pdf["segments"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
             for x in segments:
                 a, n = x["start"], x["n"]
-                piece = raw[a : a + n - 1 + LENGTH]
+                piece = text[a : a + n - 1 + LENGTH]
                 if x["kind"] == SEGMENT:
                     cold.append((SEGMENT, x["key"], 0, doc, row, a, n, piece))
                 else:
@@ -304,8 +307,11 @@ class Level:
         return self.items[at] == sorted_items if len(self.items) else np.zeros(len(sorted_items), bool)
 
     def merged(self, other: Level) -> Level:
-        both = np.concatenate((self.items, other.items))
-        both.sort(kind="stable")
+        both = np.empty(len(self.items) + len(other.items), self.items.dtype)
+        at = np.searchsorted(self.items, other.items, "right") + np.arange(len(other.items))
+        rest = np.ones(len(both), bool)
+        rest[at] = False
+        both[at], both[rest] = other.items, self.items
         return Level(both)
 
 
@@ -373,7 +379,8 @@ def _index(frames):
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """Rows (row, start, n): windows of ``docs`` (``row``, a key; ``doc``, its order; ``text``) that also start earlier, as runs of n starts."""
+    """Rows (row, start, n): windows of ``docs`` (``row``, a key; ``doc``, its order; ``text``, binary) that also start earlier,
+    as runs of n starts."""
     found = docs.mapInPandas(_map_side, ROWS)
     found = found.repartition("key").sortWithinPartitions("key").mapInPandas(_by_key, ROWS)
     found = settle(found)
@@ -387,19 +394,67 @@ def marks(docs: DataFrame) -> DataFrame:
     return settle(found.where(f"kind = {MARK}").select("row", "start", "n").unionByName(late))
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of each row of ``docs`` (``doc_id``, ``text``)."""
+def _numbered(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs.select("doc_id", "text"))
     doc_id = F.col("_doc.doc_id").cast("long").alias("doc_id")
-    numbered = keyed.select(F.col("_row").alias("row"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), doc_id, F.col("_doc.text").alias("text"))
-    found = marks(numbered.select("row", "doc", "text").where("text is not null"))
+    return keyed.select(F.col("_row").alias("row"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), doc_id, F.col("_doc.text").cast("binary").alias("text"))
+
+
+def remove(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 of each row of ``docs`` (``doc_id``, ``text``)."""
+    numbered = _numbered(docs)
+    return _without(numbered, marks(numbered.select("row", "doc", "text").where("text is not null")))
+
+
+def _segments(frames):
+    """Bytes of each text's segments, once for each signature of a batch."""
+    for pdf in frames:
+        texts = pdf["text"].tolist()
+        own, start, n, key, sig = segments_of(texts)
+        _, once = np.unique(np.stack((key, sig)), axis=1, return_index=True)
+        cut = [texts[own[i]][start[i] : start[i] + n[i] - 1 + LENGTH] for i in once]
+        yield pd.DataFrame({"key": key[once].view(np.int64), "sig": sig[once].view(np.int64), "text": cut})
+
+
+def add_batch(docs: DataFrame, store: str) -> DataFrame:
+    """As :func:`remove`, for the next batch of a corpus: what earlier batches hold counts as earlier, and the batch joins them.
+
+    ``store`` is a folder that all executors share; it holds a table for each level. The order of batches is the order of
+    the calls; each call reads every level once.
+    """
+    spark = docs.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(hadoop(store))] if fs.exists(hadoop(store)) else []
+    levels = {int(x.split("=")[1]): spark.read.parquet(f"{store}/{x}") for x in names if x.startswith("level=")}
+    numbered = _numbered(docs)
+    rows = numbered.select("row", "doc", "text").where("text is not null")
+    every = rows
+    for level in levels.values():
+        every = every.unionByName(level.select((-1 - F.col("place")).alias("row"), F.lit(-(2**62)).alias("doc"), "text"))
+    out = settle(_without(numbered, marks(every).where("row >= 0")))
+    new = rows.select("text").mapInPandas(_segments, "key long, sig long, text binary")
+    i = 0
+    while i in levels:
+        new = new.unionByName(levels.pop(i).select("key", "sig", "text"))
+        i += 1
+    merged = new.dropDuplicates(["key", "sig"]).repartition("key").sortWithinPartitions("key", "sig")
+    settled = settle(merged.withColumn("place", F.monotonically_increasing_id() + F.lit(i) * F.lit(1 << 55)))
+    settled.write.parquet(f"{store}/level={i}")
+    for j in range(i):  # a call that is lost before this leaves segments twice, which changes no result
+        fs.delete(hadoop(f"{store}/level={j}"), True)
+    return out
+
+
+def _without(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` without the windows ``found``."""
     grouped = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def run(frames):
         for pdf in frames:
             out = []
             for doc_id, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-                raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+                raw = b"" if text is None else text
                 spans = []
                 if runs is not None:
                     for a, b in sorted((r["start"], r["start"] + r["n"] - 1 + LENGTH) for r in runs):

@@ -137,6 +137,25 @@ def test_suffix_dedup_of_odd_ids(odd, none):
     assert suffixes.remove(none).count() == 0
 
 
+def test_suffix_index_takes_further_batches(spark):
+    rows = sorted((d, t) for d, t, *_ in documents())
+    store, got = scratch(spark), {}
+    for a in range(0, len(rows), 25):
+        part = spark.createDataFrame(rows[a : a + 25], "doc_id long, text string").repartition(2)
+        got |= {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in suffixes.add_batch(part, store).collect()}
+    assert got == {int(d): (n, gone, sha) for d, n, gone, sha in brute_marks(rows)}
+    import os
+
+    n = -(-len(rows) // 25)
+    assert sorted(x for x in os.listdir(store) if x.startswith("level")) == [f"level={i}" for i in range(8) if n >> i & 1]
+
+
+def test_levels_merge_in_order():
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(rng.integers(0, 500, 100).astype("S8")) for _ in range(2))
+    assert suffixes.Level(a).merged(suffixes.Level(b)).items.tolist() == sorted([*a.tolist(), *b.tolist()])
+
+
 def test_jaccard_of_clashing_columns(odd, none):
     kept = jaccard.first_of_groups(odd)
     assert kept.columns == odd.columns and kept.count() == len(EVERY) - 2  # one text in three rows; sets that are empty link with none
