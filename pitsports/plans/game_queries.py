@@ -111,7 +111,7 @@ y AS (SELECT who, season + 1 AS season, sum(apps) AS apps, sum(starts) AS starts
 j AS (SELECT st.game_id, st.fld_team, st.who, (coalesce(c.k, 0) + 0.6 * coalesce(y.k, 0) + 60 * coalesce(m.k, 0.2)) / (coalesce(c.n, 0) + 0.6 * coalesce(y.n, 0) + 60) AS k_rate, m.k AS mu, y.n IS NULL AS rookie, CASE WHEN c.n >= 3 AND y.n IS NOT NULL THEN c.v / c.n - y.v / y.n END AS velo_delta,
   (coalesce(c.bf, 0) + 3.0 * CASE WHEN y.starts > 0 THEN y.bf * 1.0 / y.starts ELSE 1.6 END) / (coalesce(c.starts, 0) + 3) AS e, st.date - c.day AS rest, c.last_started, c.apps AS ca, c.starts AS cs, y.apps AS ya, y.starts AS ys
   FROM st ASOF LEFT JOIN c ON c.who = st.who AND c.season = st.season AND st.date > c.day LEFT JOIN y ON y.who = st.who AND y.season = st.season LEFT JOIN m ON m.season = st.season)
-SELECT game_id, fld_team, who AS starter_id, round(3 * (k_rate - coalesce(mu, 0.2)) + CASE WHEN rookie THEN 0.1 ELSE 0 END, 6) AS skill, rookie, round(velo_delta, 6) AS velo_delta, round(e, 6) AS exp_bf, CASE WHEN rest IS NULL THEN 'first' WHEN rest <= 4 THEN 'short' WHEN rest <= 6 THEN 'usual' ELSE 'long' END AS rest_bucket,
+SELECT game_id, fld_team, who AS starter_id, round(3 * (k_rate - coalesce(mu, 0.2)) + CASE WHEN rookie THEN 0.1 ELSE 0 END, 10) AS skill, rookie, round(velo_delta, 10) AS velo_delta, round(e, 10) AS exp_bf, CASE WHEN rest IS NULL THEN 'first' WHEN rest <= 4 THEN 'short' WHEN rest <= 6 THEN 'usual' ELSE 'long' END AS rest_bucket,
   round(e - {_excess("2.0")}, 5) AS share_f5, round({_excess("1.5")} - {_excess("2.5")}, 5) AS third_time,
   coalesce((NOT last_started AND rest <= 4) OR CASE WHEN ca > 0 THEN cs * 1.0 / ca WHEN ya > 0 THEN ys * 1.0 / ya END < 0.3 OR e < 1.3, FALSE) AS opener FROM j""",
 )
@@ -143,8 +143,8 @@ def starter_row(spark, sf):
     opener = (~F.col("last_started") & (F.col("rest") <= 4)) | (share < 0.3) | (F.col("e") < 1.3)
     rookie = F.col("y_n").isNull()
     return x.select(
-        "game_id", "fld_team", F.col("who").alias("starter_id"), r(3 * (k_rate - mu) + F.when(rookie, 0.1).otherwise(0.0)).alias("skill"), rookie.alias("rookie"),
-        r(F.when((F.col("cum_n") >= 3) & ~rookie, F.col("cum_v") / F.col("cum_n") - F.col("y_v") / F.col("y_n"))).alias("velo_delta"), r(F.col("e")).alias("exp_bf"),
+        "game_id", "fld_team", F.col("who").alias("starter_id"), r(3 * (k_rate - mu) + F.when(rookie, 0.1).otherwise(0.0), 10).alias("skill"), rookie.alias("rookie"),
+        r(F.when((F.col("cum_n") >= 3) & ~rookie, F.col("cum_v") / F.col("cum_n") - F.col("y_v") / F.col("y_n")), 10).alias("velo_delta"), r(F.col("e"), 10).alias("exp_bf"),
         F.when(F.col("rest").isNull(), "first").when(F.col("rest") <= 4, "short").when(F.col("rest") <= 6, "usual").otherwise("long").alias("rest_bucket"),
         r(F.col("e") - excess(2.0), 5).alias("share_f5"), r(excess(1.5) - excess(2.5), 5).alias("third_time"), F.coalesce(opener, F.lit(False)).alias("opener"),
     )
