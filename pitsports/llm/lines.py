@@ -6,8 +6,8 @@ one shuffle of keys). A line whose estimate lies within the sketch's error of th
 only those, the distinct sites are counted exactly. Lines on ``min_sites`` sites or more are boilerplate and are removed
 from every document; all other lines stay as they are.
 
-``min_words`` keeps shorter lines from being candidates. ``op3_line_dedup`` and the pipeline set it to 1: every line that
-is not blank is a candidate, and the spread over sites alone decides.
+Every line that is not blank is a candidate, and the spread over sites alone decides; ``min_words`` can keep shorter lines
+from being candidates.
 
 Edge cases: a null text stays null (no lines); a null site counts as no site; blank lines stay; a document all of
 whose lines go keeps an empty text; repeated rows are cleaned alike, also with equal or null ids, since rows are
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pitsports.llm.common import packed, settle, unpacked
 
 MIN_SITES = 10
-MIN_WORDS = 4
+MIN_WORDS = 1
 #: log2 of the sketch's buckets; its relative standard error is about 0.83 / sqrt(2 ** LOG_BUCKETS) in dense mode.
 LOG_BUCKETS = 10
 TRIM = " \t\n\x0b\f\r"
