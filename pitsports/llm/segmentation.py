@@ -46,12 +46,12 @@ SEED = 20
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 #: Bytes of text that a task works on at a time.
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 19
 #: Bytes of a chunk from which it is split into units. In units no longer than this, products of weights stay within doubles;
 #: in longer ones the sums are made edge by edge from logarithms.
 LONG = 56
 #: Frequent chunks whose lattices a task keeps.
-KEPT = 40_000
+KEPT = 60_000
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -250,6 +250,8 @@ class Lattices:
 
     def _in_logarithms(self, edges: np.ndarray, weight: np.ndarray, last: np.ndarray) -> None:
         """Transition probabilities of ``edges``, all those of some units from some place to the places before it."""
+        if not len(edges):
+            return
         total: dict[int, float] = {}
         near: dict[int, float] = {}
         whole = set(self.src[edges].tolist())
@@ -270,6 +272,7 @@ class Lattices:
         for e in edges.tolist():
             x = weight[e] + (0.0 if last[e] else beta(int(self.dst[e])))
             self.p[e] = 0.0 if x == -math.inf else math.exp(x - total[int(self.src[e])])
+        beta = None  # else the function refers to itself, and the arrays stay until cycles are collected
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge drawn at each node by a uniform number."""
