@@ -75,7 +75,8 @@ def centred(rows: DataFrame, value: str, group: Sequence[str], name: str) -> Dat
 def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, weights: Sequence[float]) -> DataFrame:
     """Shrunk, centred rate of each question (``who``, ``season``, ``cutoff``): value, cur_n, pri_n.
 
-    ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are sums by day. This season counts up to the day before the
+    ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are sums by the day on which they became known; ``season`` is that
+    day's, so that a fact that came late is no part of an earlier season. This season counts up to the day before the
     cutoff, less the league's rate up to then; the last seasons count in full, each less its own league rate, by ``weights``
     (last season first). The sum is divided by the weighted number of facts plus ``k``. League totals are summed by day
     and met by (season, cutoff), so no season is one partition.

@@ -46,7 +46,7 @@ def running(spark, sf):
 @query(
     "survey_op1_decayed_shrunk_rate",
     f"""{WITH_PITCHES}, base AS (
-  SELECT pitcher_id, season, data_date, CAST(sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k, count(*) AS n FROM pitches GROUP BY ALL
+  SELECT pitcher_id, CAST(year(data_date) AS INT) AS season, data_date, CAST(sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k, count(*) AS n FROM pitches GROUP BY ALL
 ), cur AS (
   SELECT pitcher_id, season, data_date, sum(k) OVER w AS ck, sum(n) OVER w AS cn FROM base
   WINDOW w AS (PARTITION BY pitcher_id, season ORDER BY data_date ROWS UNBOUNDED PRECEDING)
@@ -68,11 +68,12 @@ LEFT JOIN league l ON l.season = a.season
 """,
 )
 def decayed_shrunk_rate(spark, sf):
-    """One pass over the facts: each is a fact on its availability day and a question on its own; both are summed by day,
-    and a window in that order gives every question the facts before it."""
+    """One pass over the facts: each is a fact on its availability day, in that day's season, and a question on its own; both
+    are summed by day, and a window in that order gives every question the facts before it."""
     hit = F.when(F.col("result") == "R", 1).otherwise(0)
-    event = F.explode(F.array(F.struct(F.col("date").alias("at"), F.lit(0).alias("fact"), F.lit(0).alias("k"), F.lit(0).alias("n")), F.struct(F.col("data_date").alias("at"), F.lit(1).alias("fact"), hit.alias("k"), F.lit(1).alias("n"))))
-    daily = pitches(spark, sf).select("pitcher_id", "season", event.alias("e")).groupBy("pitcher_id", "season", "e.at", "e.fact").agg(F.sum("e.k").alias("k"), F.sum("e.n").alias("n"))
+    asks = F.struct("season", F.col("date").alias("at"), F.lit(0).alias("fact"), F.lit(0).alias("k"), F.lit(0).alias("n"))
+    tells = F.struct(F.year("data_date").alias("season"), F.col("data_date").alias("at"), F.lit(1).alias("fact"), hit.alias("k"), F.lit(1).alias("n"))
+    daily = pitches(spark, sf).select("pitcher_id", F.explode(F.array(asks, tells)).alias("e")).groupBy("pitcher_id", "e.season", "e.at", "e.fact").agg(F.sum("e.k").alias("k"), F.sum("e.n").alias("n"))
     before = Window.partitionBy("pitcher_id", "season").orderBy("at", "fact").rowsBetween(Window.unboundedPreceding, 0)
     asked = daily.withColumns({"cum_k": F.sum("k").over(before), "cum_n": F.sum("n").over(before)}).where("fact = 0")
     totals = daily.groupBy("pitcher_id", "season").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))

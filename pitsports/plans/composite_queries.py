@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, fit, rates, stats
-from pitsports.plans.base import CENTRED, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, eliminated_sql, games, pitches, query, r, table, team_games
+from pitsports.plans import domain_queries  # noqa: F401  (its SQL is part of the leak test's)
+from pitsports.plans.base import CENTRED, ORACLE_SQL, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, eliminated_sql, games, pitches, query, r, table, team_games
 
 
 @query(
@@ -144,14 +145,17 @@ def blurred(spark, sf):
 
 @query(
     "survey_op22_centred_pooled_residual",
-    f"""{WITH_PITCHES}, f AS (SELECT pitcher_id AS who, season, data_date AS day, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT pitcher_id AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=100)}
+    f"""{WITH_PITCHES}, f AS (SELECT pitcher_id AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT pitcher_id AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=100)}
 SELECT who AS pitcher_id, season, CAST(cutoff AS VARCHAR) AS cutoff, round(value, 8) AS effect FROM rate""",
 )
 def residual(spark, sf):
     """Outcomes above the league's, pooled over seasons, as of each game: this season and its league mean up to the day before."""
-    p = pitches(spark, sf)
+    return residuals(pitches(spark, sf))
+
+
+def residuals(p):
     y = F.when(F.col("result") == "R", 1.0).otherwise(0.0)
-    facts = p.groupBy("pitcher_id", "season", F.col("data_date").alias("day")).agg(F.sum(y).alias("s"), F.count("*").cast("double").alias("n"))
+    facts = p.groupBy("pitcher_id", F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(y).alias("s"), F.count("*").cast("double").alias("n"))
     rate = rates.centred_rate(p.select("pitcher_id", "season", F.col("date").alias("cutoff")), facts, "pitcher_id", 100.0, rates.SEASON_WEIGHTS)
     return rate.select("pitcher_id", "season", F.col("cutoff").cast("string").alias("cutoff"), r(F.col("value"), 8).alias("effect"))
 
@@ -215,7 +219,7 @@ def batter_form(spark, sf):
 
 def _boost(kind: str) -> str:
     """CTEs of an umpire's rate of ``kind`` above the league's as of each date, in ``rate``."""
-    return f"""{WITH_PITCHES}, f AS (SELECT CAST(game_id % 12 AS INT) AS who, season, data_date AS day, sum(CASE WHEN result = '{kind}' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT CAST(game_id % 12 AS INT) AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=200)}"""
+    return f"""{WITH_PITCHES}, f AS (SELECT CAST(game_id % 12 AS INT) AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = '{kind}' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT CAST(game_id % 12 AS INT) AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=200)}"""
 
 
 @query(
@@ -227,7 +231,7 @@ def umpires(spark, sf):
     p = pitches(spark, sf).withColumn("umpire", (F.col("game_id") % 12).cast("int"))
     asked = p.select("umpire", "season", F.col("date").alias("cutoff"))
     n = lambda kind: F.sum(F.when(F.col("result") == kind, 1.0).otherwise(0.0))
-    facts = p.groupBy("umpire", "season", F.col("data_date").alias("day")).agg(n("R").alias("k"), n("N").alias("b"), F.count("*").cast("double").alias("n"))
+    facts = p.groupBy("umpire", F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(n("R").alias("k"), n("N").alias("b"), F.count("*").cast("double").alias("n"))
     k, b = (rates.centred_rate(asked, facts.withColumn("s", F.col(c)), "umpire", 200.0, rates.SEASON_WEIGHTS).withColumnRenamed("value", c) for c in ("k", "b"))
     both = k.join(b.select("umpire", "season", "cutoff", "b"), ["umpire", "season", "cutoff"])
     return both.select("umpire", "season", F.col("cutoff").cast("string").alias("cutoff"), F.col("cur_n").cast("long").alias("n"), r(F.col("k"), 8).alias("k_boost"), r(F.col("b"), 8).alias("bb_boost"))
@@ -428,19 +432,32 @@ def late(spark, sf):
     return pitches(spark, sf).groupBy("game_id", "half").agg(part(F.col("pitch_no") < 4).alias("going_in"), part(F.col("pitch_no") >= 4).alias("scored"))
 
 
-@query("survey_op61_leak_test", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) WHERE day <= DATE '2024-01-20'")
+@query(
+    "survey_op61_leak_test",
+    f"""SELECT 'running totals' AS build, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) WHERE day <= DATE '2024-01-20'
+UNION ALL SELECT 'residuals', count(*), 0 FROM ({WITH_PITCHES} SELECT DISTINCT pitcher_id, season, date FROM pitches WHERE date <= DATE '1997-06-01')
+UNION ALL SELECT 'side factors', count(*), 0 FROM ({ORACLE_SQL["survey_op19_factor_by_side"]}) WHERE season <= 1997""",
+)
 def leak(spark, sf):
-    """Perturb every fact on or after a day, rebuild running rates, and count rows before that day that changed (must be 0)."""
+    """Perturb every fact on or after a day, rebuild, and count rows up to that day that changed (must be 0): running totals,
+    centred residuals, and a venue's factors by side."""
     from pitsports.operators.asof import asof_join, running_totals
+    from pitsports.plans.domain_queries import side_factors
+
+    def compared(name, before, after, keys, value, until):
+        both = before.where(until).join(after.where(until).withColumnRenamed(value, "_after"), keys, "full")
+        return both.agg(F.count("*").alias("rows"), F.sum((~F.col(value).eqNullSafe(F.col("_after"))).cast("long")).alias("changed")).select(F.lit(name).alias("build"), "rows", "changed")
 
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     cut = F.lit("2024-01-20").cast("date")
 
-    def build(facts):
+    def totals(facts):
         run = running_totals(facts, ["user_id"], "day", {"v": F.round(F.col("value") * 100).cast("long")})
         return asof_join(run.select("user_id", "day"), run.select("user_id", F.col("day").alias("fact_day"), "cum_v"), ["user_id"], "day", "fact_day")
 
-    before = build(e)
-    after = build(e.withColumn("value", F.when(F.col("day") >= cut, F.col("value") * 3 + 1).otherwise(F.col("value"))))
-    both = before.join(after.withColumnRenamed("cum_v", "cum_after"), ["user_id", "day"], "full").where(F.col("day") <= cut)
-    return both.agg(F.count("*").alias("rows"), F.sum((~F.col("cum_v").eqNullSafe(F.col("cum_after"))).cast("long")).alias("changed"))
+    out = compared("running totals", totals(e), totals(e.withColumn("value", F.when(F.col("day") >= cut, F.col("value") * 3 + 1).otherwise(F.col("value")))), ["user_id", "day"], "cum_v", F.col("day") <= cut)
+    p = pitches(spark, sf)
+    later = p.withColumn("result", F.when(F.col("data_date") >= F.lit("1997-06-01").cast("date"), "R").otherwise(F.col("result")))
+    out = out.unionByName(compared("residuals", residuals(p), residuals(later), ["pitcher_id", "season", "cutoff"], "effect", F.col("cutoff") <= "1997-06-01"))
+    dearer = p.withColumn("value", F.when(F.year("data_date") >= 1997, F.col("value") * 3 + F.col("venue_id")).otherwise(F.col("value")))
+    return out.unionByName(compared("side factors", side_factors(p), side_factors(dearer), ["season", "venue_id", "side"], "log_factor", F.col("season") <= 1997))

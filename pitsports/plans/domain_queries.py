@@ -107,17 +107,20 @@ def environment(spark, sf):
 
 @query(
     "survey_op19_factor_by_side",
-    f"""{WITH_PITCHES}, c AS (SELECT season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), k AS (SELECT DISTINCT season FROM pitches),
+    f"""{WITH_PITCHES}, c AS (SELECT CAST(year(data_date) AS INT) AS season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), k AS (SELECT DISTINCT season FROM pitches),
 w AS (SELECT k.season, venue_id, side, sum(n) AS n, sum(v) AS v FROM k JOIN c ON c.season BETWEEN k.season - 3 AND k.season - 1 GROUP BY ALL), a AS (SELECT season, side, sum(v) / sum(n) AS m FROM w GROUP BY ALL)
 SELECT w.season, venue_id, w.side, CAST(n AS BIGINT) AS n, round(ln(1 + (v / n / m - 1) * n / (n + 500.0)), 8) AS log_factor FROM w JOIN a ON a.season = w.season AND a.side = w.side""",
 )
 def factor_by_side(spark, sf):
-    """A venue's factor for each batting side from the three seasons before; the season itself does not count."""
+    """A venue's factor for each batting side from what became known in the three years before the season."""
+    return side_factors(pitches(spark, sf))
+
+
+def side_factors(p):
     side = F.when(F.col("batter_id") % 2 == 0, "L").otherwise("R").alias("side")
-    p = pitches(spark, sf)
-    c = p.groupBy("season", "venue_id", side).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    c = p.groupBy(F.year("data_date").alias("season"), "venue_id", side).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     served = asof.serve_seasons(c, "season", 3).groupBy(F.col("target").alias("season"), "venue_id", "side").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    served = served.join(F.broadcast(c.select("season").distinct()), "season", "left_semi")
+    served = served.join(F.broadcast(p.select("season").distinct()), "season", "left_semi")
     a = served.groupBy("season", "side").agg((F.sum("v") / F.sum("n")).alias("m"))
     factor = rates.ratio_factor(F.col("v") / F.col("n"), F.col("m"), F.col("n"), 500.0, 0)
     return served.join(a, ["season", "side"]).select("season", "venue_id", "side", "n", r(F.log(factor), 8).alias("log_factor"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, gates, rates, tables
-from pitsports.plans.base import CENTRED, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
+from pitsports.plans import asof_queries, composite_queries, domain_queries  # noqa: F401  (rows of the assembly)
+from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
 from pitsports.streaming import jobs
@@ -20,7 +21,7 @@ from pitsports.streaming import jobs
     "survey_op23_catcher_framing",
     f"""{WITH_PITCHES}, grid AS (SELECT px, pz, (sum(CASE WHEN result = 'A' THEN 1 ELSE 0 END) + 1.0) / (count(*) + 2) AS p FROM pitches WHERE result <> 'R' GROUP BY ALL),
 c AS (SELECT game_id, fld_team, CASE WHEN min(batter_id) % 25 > 0 THEN min(batter_id) % 25 END AS who FROM pitches GROUP BY ALL),
-f AS (SELECT c.who, season, data_date AS day, sum(CASE WHEN result = 'A' THEN 1 ELSE 0 END - p) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches t JOIN grid ON grid.px = t.px AND grid.pz = t.pz JOIN c ON c.game_id = t.game_id AND c.fld_team = t.fld_team WHERE result <> 'R' AND c.who IS NOT NULL GROUP BY ALL),
+f AS (SELECT c.who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = 'A' THEN 1 ELSE 0 END - p) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches t JOIN grid ON grid.px = t.px AND grid.pz = t.pz JOIN c ON c.game_id = t.game_id AND c.fld_team = t.fld_team WHERE result <> 'R' AND c.who IS NOT NULL GROUP BY ALL),
 tg AS (SELECT DISTINCT t.game_id, t.fld_team, t.season, t.date AS cutoff, c.who FROM pitches t JOIN c ON c.game_id = t.game_id AND c.fld_team = t.fld_team), q AS (SELECT who, season, cutoff FROM tg WHERE who IS NOT NULL), {CENTRED.format(k=500)}
 SELECT tg.game_id, tg.fld_team, tg.who AS catcher_id, round(0.13 * 100 * coalesce(value, 0), 6) AS frm_runs, tg.who IS NULL AS frm_missing FROM tg LEFT JOIN rate ON rate.who = tg.who AND rate.season = tg.season AND rate.cutoff = tg.cutoff""",
 )
@@ -33,7 +34,7 @@ def catcher_framing(spark, sf):
     first = F.min("batter_id") % 25
     catcher = p.groupBy("game_id", "fld_team").agg(F.when(first > 0, first).alias("who"))
     facts = taken.join(F.broadcast(grid), ["px", "pz"]).join(catcher, ["game_id", "fld_team"]).where("who is not null")
-    facts = facts.groupBy("who", "season", F.col("data_date").alias("day")).agg(F.sum(strike - F.col("p")).alias("s"), F.count("*").cast("double").alias("n"))
+    facts = facts.groupBy("who", F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(strike - F.col("p")).alias("s"), F.count("*").cast("double").alias("n"))
     asked = p.select("game_id", "fld_team", "season", F.col("date").alias("cutoff")).distinct().join(catcher, ["game_id", "fld_team"])
     rate = rates.centred_rate(asked.where("who is not null"), facts, "who", 500.0, rates.SEASON_WEIGHTS)
     out = asked.join(rate, ["who", "season", "cutoff"], "left")
@@ -52,7 +53,7 @@ def _starter(p: DataFrame) -> DataFrame:
 
 @query(
     "survey_op26_stuff_rates",
-    f"""{WITH_PITCHES}, {STARTER}, f AS (SELECT pitcher_id AS who, season, data_date AS day, CAST(sum({SCORE}) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL),
+    f"""{WITH_PITCHES}, {STARTER}, f AS (SELECT pitcher_id AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, CAST(sum({SCORE}) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL),
 u AS (SELECT p.fld_team, p.pitcher_id AS who, p.date AS day, count(*) AS bf, count(*) FILTER (WHERE pitch_no >= 5) AS late, count(*) AS n FROM pitches p JOIN st ON st.game_id = p.game_id AND st.fld_team = p.fld_team AND st.who <> p.pitcher_id GROUP BY ALL),
 tq AS (SELECT DISTINCT fld_team, season, date AS cutoff FROM pitches),
 pool AS (SELECT tq.fld_team, tq.season, tq.cutoff, u.who, sum(bf) AS bf, sum(late) AS late, bool_or(cutoff - day = 1) AS d1, bool_or(cutoff - day = 2) AS d2, coalesce(sum(n) FILTER (WHERE cutoff - day = 1), 0) AS p1 FROM tq JOIN u ON u.fld_team = tq.fld_team AND u.day < cutoff AND u.day >= cutoff - 30 GROUP BY ALL),
@@ -65,7 +66,7 @@ def stuff_rates(spark, sf):
     """Integer pitch scores as centred rates, for the starter and, by share of late work, for the relievers who can pitch."""
     p = pitches(spark, sf)
     score = F.round((F.col("velo") - 25) * 100 + F.col("px") * 2000 - F.col("pz") * 1500).cast("long")
-    facts = p.groupBy(F.col("pitcher_id").alias("who"), "season", F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
+    facts = p.groupBy(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     starter = _starter(p)
     late = F.count(F.when(F.col("pitch_no") >= 5, 1)).alias("late")
     used = p.join(starter.select("game_id", "fld_team", "who"), ["game_id", "fld_team"]).where("who <> pitcher_id")
@@ -506,3 +507,40 @@ def freshness(spark, sf):
     events.select("ts").writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     late = F.datediff(F.lit("2024-02-01").cast("date"), F.max(F.to_date("ts")))
     return spark.read.schema("ts timestamp").parquet(path).agg(F.count("*").alias("rows"), late.cast("long").alias("days_behind"), (late <= 3).alias("fresh"))
+
+
+# assembly
+
+
+ASSEMBLY = {
+    "survey_op10_starter_row": (["game_id", "fld_team"], ["skill", "exp_bf", "opener"]),
+    "survey_op23_catcher_framing": (["game_id", "fld_team"], ["frm_runs"]),
+    "survey_op26_stuff_rates": (["game_id", "fld_team"], ["sp_stuff", "pen_stuff"]),
+    "survey_op7_team_hook": (["game_id", "fld_team"], ["hook"]),
+    "survey_op11_bullpen_pool": (["game_id", "fld_team"], ["pool"]),
+    "survey_op14_lineup_features": (["game_id", "bat_team"], ["strength", "rookies"]),
+    "survey_op31_team_game_targets": (["game_id", "bat_team"], ["runs_f5"]),
+    "survey_op38_game_weather": (["game_id"], ["temp_f", "wind_effect"]),
+    "survey_op17_environment": (["game_id"], ["level"]),
+    "survey_op32_team_form": (["game_id", "bat_team"], ["record_last_10"]),
+}
+
+
+def _assembly_sql() -> str:
+    joins = "".join(
+        f" LEFT JOIN (SELECT {', '.join(c for c in keys if c != 'bat_team' or 'team_form' not in name)}{', team AS bat_team' if 'team_form' in name else ''}, {', '.join(columns)} FROM ({ORACLE_SQL[name]})) USING ({', '.join(keys)})"
+        for name, (keys, columns) in ASSEMBLY.items()
+    )
+    return f"SELECT game_id, fld_team, bat_team, {', '.join(c for _, columns in ASSEMBLY.values() for c in columns)} FROM ({WITH_PITCHES} SELECT DISTINCT game_id, fld_team, bat_team FROM pitches){joins}"
+
+
+@query("jn2_full_assembly", _assembly_sql())
+def full_assembly(spark, sf):
+    """One row for each team-game with ten left joins of feature rows, each unique by its keys."""
+    out = pitches(spark, sf).select("game_id", "fld_team", "bat_team").distinct()
+    for name, (keys, columns) in ASSEMBLY.items():
+        rows = QUERIES[name](spark, sf)
+        if "team" in rows.columns:
+            rows = rows.withColumnRenamed("team", "bat_team")
+        out = out.join(rows.select(*keys, *columns), keys, "left")
+    return out.select("game_id", "fld_team", "bat_team", *[c for _, columns in ASSEMBLY.values() for c in columns])
