@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import datetime as dt
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, fit, gates, rates, stats, tables
+from pitsports.sources import landed
 
 D = dt.date
 
@@ -124,3 +128,68 @@ def test_bootstrap_is_deterministic_and_centred(spark):
     a = stats.block_bootstrap(df, "x", "w", "block", 200).agg(F.avg("mean")).first()[0]
     b = stats.block_bootstrap(df.repartition(7), "x", "w", "block", 200).agg(F.avg("mean")).first()[0]
     assert abs(a - b) < 1e-9 and abs(a - np.mean([i % 7 for i in range(500)])) < 0.1
+
+
+def test_trailing_totals_against_brute_force(spark):
+    rng = random.Random(3)
+    facts = [(k, datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(90)), rng.randrange(9)) for k in (1, 2) for _ in range(60)]
+    daily = spark.createDataFrame(facts, "k int, day date, v int").groupBy("k", "day").agg(F.sum("v").alias("v"))
+    asked = spark.createDataFrame([(k, datetime.date(2024, 1, 1) + datetime.timedelta(days=d)) for k in (1, 2, 3) for d in range(0, 100, 7)] * 2, "k int, cutoff date")
+    got = {(x.k, x.cutoff): (x.s, x.s5) for x in asof.trailing_totals(asked, daily, ["k"], "cutoff", "day", 20, {"s": F.sum("v"), "s5": (5, F.sum("v"))}).collect()}
+    expected = {}
+    for k, cutoff in {(x.k, x.cutoff) for x in asked.collect()}:
+        inside = lambda days: [v for kk, d, v in facts if kk == k and 0 < (cutoff - d).days <= days]  # noqa: B023, E731
+        if inside(20):
+            expected[k, cutoff] = (sum(inside(20)), sum(inside(5)) if inside(5) else None)
+    assert got == expected
+
+
+def test_centred_rate_against_brute_force(spark):
+    rng = random.Random(4)
+    day = lambda y: datetime.date(y, 1, 1) + datetime.timedelta(days=rng.randrange(360))
+    facts = [(w, y, day(y), float(rng.random() < 0.3), 1.0) for w in (1, 2, 3) for y in (2020, 2021, 2022) for _ in range(15)]
+    asked = [(w, y, day(y)) for w in (1, 2, 4) for y in (2020, 2021, 2022) for _ in range(4)]
+    f = spark.createDataFrame(facts, "who int, season int, day date, s double, n double")
+    got = {(x.who, x.season, x.cutoff): x.value for x in rates.centred_rate(spark.createDataFrame(asked, "who int, season int, cutoff date"), f, "who", 10.0, (0.8, 0.6)).collect()}
+    mean = lambda rows: sum(x[3] for x in rows) / len(rows) if rows else 0.0
+    for w, y, cutoff in asked:
+        now = [x for x in facts if x[1] == y and x[2] < cutoff]
+        own = [x for x in now if x[0] == w]
+        top, bottom = sum(x[3] for x in own) - len(own) * mean(now), len(own) + 10.0
+        for lag, weight in ((1, 0.8), (2, 0.6)):
+            before = [x for x in facts if x[1] == y - lag]
+            mine = [x for x in before if x[0] == w]
+            top, bottom = top + weight * (sum(x[3] for x in mine) - len(mine) * mean(before)), bottom + weight * len(mine)
+        assert abs(got[w, y, cutoff] - top / bottom) < 1e-9
+
+
+def test_versions_switch_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(10).toDF("k")
+    assert tables.write_version(rows, path, []) and tables.current(spark, path).count() == 10
+    assert not tables.write_version(rows.where("k < 5"), path, [lambda new: gates.no_shrink(tables.current(spark, path), new)])
+    assert tables.current(spark, path).count() == 10
+    assert tables.write_version(rows.union(rows), path, [lambda new: gates.no_shrink(tables.current(spark, path), new)]) and tables.current(spark, path).count() == 20
+    with pytest.raises(Exception, match="boom"):
+        tables.write_version(rows.select(F.raise_error(F.lit("boom")).alias("k")), path, [])
+    assert tables.current(spark, path).count() == 20
+
+
+def test_reliability_bins_are_equal_counts(spark):
+    for values in ([0.5] * 100, [i / 1000 for i in range(1000)], [0.1, 0.1, 0.9] * 7):
+        rows = spark.createDataFrame([(i, p, 1.0) for i, p in enumerate(values)], "i int, p double, y double").repartition(3)
+        out = sorted((x.bin, x.n) for x in stats.reliability(rows, "p", "y", ["i"]).collect())
+        assert [b for b, _ in out] == list(range(10)) and max(n for _, n in out) - min(n for _, n in out) <= 1
+
+
+def test_draws_are_even(spark):
+    out = spark.range(20000).select((stats.drawn(3, F.col("id") % 200, F.floor(F.col("id") / 200)) % 10).alias("x")).groupBy("x").count().collect()
+    assert len(out) == 10 and all(1700 < x["count"] < 2300 for x in out)
+
+
+def test_season_source_fails_without_facts(spark):
+    rows = spark.createDataFrame([(None, 2020)], "game_id int, season int")
+    with pytest.raises(FileNotFoundError):
+        landed.season_frame(rows, 2021, ["game_id"])
+    with pytest.raises(ValueError, match="game_id"):
+        landed.season_frame(rows, 2020, ["game_id"])
