@@ -30,7 +30,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def scratch(spark: SparkSession) -> str:
     """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Where it is unset, a local session gets a folder of its own; a cluster must name one that all executors share.
+    Where it is unset, a local session gets a folder of its own; a cluster must name one that all executors share. All
+    paths of an application lie in one folder, which its driver deletes when it ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -38,7 +39,13 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pitsports-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/pitsports-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/pitsports-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, *partition_by: str) -> DataFrame:
