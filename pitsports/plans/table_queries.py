@@ -18,14 +18,23 @@ ORDER = ("l_shipdate", "l_suppkey", "l_partkey", "l_extendedprice")
 
 
 def _scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Unset, a local session gets one of its own."""
+    """A new path below spark.checkpoint.dir, which all executors share. Unset, a local session gets one of its own.
+
+    All paths of an application lie in one folder, which its driver deletes when it ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pitsports-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 @query(
