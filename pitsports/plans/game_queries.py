@@ -472,17 +472,26 @@ def coverage_gates(spark, sf):
 # streams
 
 
-@query("str2_late_facts", "SELECT l_orderkey AS game_id, l_linenumber AS pitch_no, CAST(CASE WHEN l_orderkey % 10 = 0 THEN CAST(l_shipdate AS DATE) + 60 ELSE CAST(l_shipdate AS DATE) END AS VARCHAR) AS available FROM lineitem")
+@query(
+    "str2_late_facts",
+    """SELECT l_orderkey AS game_id, l_linenumber AS pitch_no, CAST(CASE WHEN l_orderkey % 20 = 0 THEN any_value(o_orderdate) + INTERVAL 200 DAY WHEN l_orderkey % 30 = 0 THEN any_value(o_orderdate) + INTERVAL 100 DAY
+WHEN l_orderkey % 10 = 0 THEN any_value(o_orderdate) + INTERVAL 150 DAY ELSE max(l_shipdate) END AS DATE)::VARCHAR AS available FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_linenumber""",
+)
 def late_facts(spark, sf):
-    """A stream of facts whose games may be resumed months later: each batch meets the schedule, no watermark drops a row."""
-    source, path, mark = _scratch(spark), _scratch(spark), _scratch(spark)
+    """Facts and resumptions as one stream: of the resumptions some come before their game's facts, some after the facts were
+    written, and some again with a later day; each moves all facts of its game, months later too."""
+    facts_in, moves_in, path, mark = (_scratch(spark) for _ in range(4))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("date"))
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("pitch_no"), F.to_date("l_shipdate").alias("day"))
-    line.repartition(4, "game_id").write.parquet(source)
-    resumed = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("game_id"), F.lit(60).alias("later"))
-    stream = spark.readStream.schema(line.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    dated = stream.join(resumed, "game_id", "left").select("game_id", "pitch_no", F.date_add("day", F.coalesce("later", F.lit(0))).cast("string").alias("available"))
-    dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(dated.schema).parquet(path)
+    line = line.join(o.select("game_id"), "game_id", "left_semi")
+    early, every, again = F.col("game_id") % 30 == 0, F.col("game_id") % 10 == 0, F.col("game_id") % 20 == 0
+    for part in (F.col("game_id") % 4 < 2, F.col("game_id") % 4 >= 2):
+        line.where(part).coalesce(1).write.mode("append").parquet(facts_in)
+    for part, days in ((early, 100), (every & ~early, 150), (again, 200)):
+        o.where(part).select("game_id", F.date_add("date", days).alias("to")).coalesce(1).write.mode("append").parquet(moves_in)
+    facts, moves = (spark.readStream.schema(x).option("maxFilesPerTrigger", 1).parquet(at) for x, at in ((line.schema, facts_in), ("game_id long, to date", moves_in)))
+    jobs.dated_stream(facts, moves, path, mark, "game_id", "day", "to", ["game_id", "pitch_no"], [F.col("day")]).awaitTermination()
+    return jobs.merged_table(spark, f"{path}/facts").select("game_id", "pitch_no", F.col("available").cast("string").alias("available"))
 
 
 @query("str3_replayed_days", "SELECT user_id, CAST(day AS VARCHAR) AS day, n FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) * 2 AS n FROM events GROUP BY ALL)")
