@@ -9,8 +9,10 @@ more length is cut and its rest waits again. At a task's end the ids that do not
 are powers of two, filled alike. So no sequence has any padding, documents move nowhere, and a task holds the ids of one
 block; nothing depends on how keys, sources or lengths are distributed.
 
-Byte-level BPE pieces do not depend on what stands before white space that follows other characters, nor on what follows a
-lone line feed. Texts are cut there, and a worker remembers the ids of the pieces met (a bounded number of short ones).
+Byte-level BPE pieces do not depend on what stands before white space that follows other characters, on what follows a
+lone line feed, or on what is across the border of ASCII letters or digits and punctuation (but for the apostrophe and what
+special tokens are written with). Texts are cut there, and a worker remembers the ids of the pieces met (a bounded number
+of short ones).
 
 Edge cases: a null or empty text has only the end id; repeated rows and null ids are packed like others; texts of any
 length are encoded in slices; extra columns are ignored; an empty table gives no rows.
@@ -20,17 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsports.llm.tokens import END_ID, MEMORY, WordEncoder, _gathered
+from pitsports.llm.tokens import END_ID, MEMORY, TOGETHER, WordEncoder, _gathered
 
 WINDOW = 2048
 #: Waiting ids at which windows are filled, the share of them that then goes on waiting, bytes encoded at a time, and bytes
 #: of the longest piece that is remembered.
-BLOCK, KEEP, SLICE, SHORT = 1 << 20, 0.2, 4 << 20, 48
+BLOCK, KEEP, SLICE, SHORT = 1 << 20, 0.2, 8 << 20, 48
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: ASCII characters that are not white space, and first bytes of two-byte characters without white space (U+00C0 to U+07FF).
 _SOLID = np.zeros(256, bool)
@@ -47,18 +48,46 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 class PieceEncoder(WordEncoder):
     """Encodes texts by the pieces between safe cuts through a bounded memory of pieces already encoded."""
 
-    @staticmethod
-    def cuts(data: np.ndarray) -> np.ndarray:
-        """Places in UTF-8 ``data`` where a text can be cut without changing its ids."""
-        if len(data) < 3:
-            return np.zeros(0, np.int64)
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins_word = np.zeros(len(self.ends_word), bool)
+        self.begins_word[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True  # how a space is written
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if any(c.isspace() for c in added):
+            raise ValueError("a special token with white space cannot be kept in one piece")
+        self.kind = np.zeros(256, np.uint8)  # 1: letters and digits, 2: punctuation that is in no special token; ASCII only
+        self.kind[[c for c in range(128) if chr(c).isalnum()]] = 1
+        self.kind[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in added + "'"]] = 2
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether UTF-8 ``data`` can be cut before each byte without changing its ids."""
+        cut = np.zeros(len(data), bool)
+        if len(data) < 2:
+            return cut
         solid = _SOLID[data]
         solid[1:] |= _LEAD[data[:-1]]
-        white = _WHITE[data]
-        before = np.flatnonzero(white[1:] & solid[:-1]) + 1
-        feed = before[(data[before] == 0x0A) & (before < len(data) - 1)]
-        after = feed[_SOLID[data[feed + 1]] | _LEAD[data[feed + 1]]] + 1
-        return np.union1d(before, after)
+        cut[1:] = _WHITE[data[1:]] & solid[:-1]
+        feed = np.flatnonzero(cut[:-1] & (data[:-1] == 0x0A))
+        cut[feed[_SOLID[data[feed + 1]] | _LEAD[data[feed + 1]]] + 1] = True
+        kind = self.kind[data]
+        cut[1:] |= kind[1:] ^ kind[:-1] == 3
+        return cut
+
+    def learn(self, parts: list[str], of_letters: bool) -> None:
+        """Remember new ``parts``; those that are a space and letters are encoded many at a time."""
+        plain = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        super().learn(plain, True)
+        if len(plain) < len(parts):
+            super().learn([p for p in parts if not (p[0] == " " and p[1:].isalpha())], False)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = ["".join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        starts = np.flatnonzero(self.begins_word[ids])
+        if len(starts) != len(words) or starts[0]:  # a tokenizer that does not write spaces so
+            return self._one_by_one(words)
+        return ids, np.diff(starts, append=len(ids))
 
     def _slices(self, text: bytes):
         """``text`` in slices of about ``SLICE`` bytes."""
@@ -66,7 +95,7 @@ class PieceEncoder(WordEncoder):
         while len(text) - at > 2 * SLICE:
             stop, found = at + SLICE, np.zeros(0, np.int64)
             while not len(found) and stop < len(text):
-                found = self.cuts(np.frombuffer(text, np.uint8, min(SLICE, len(text) - stop), stop))
+                found = np.flatnonzero(self.cuts(np.frombuffer(text, np.uint8, min(SLICE, len(text) - stop), stop)))
                 stop += int(found[0]) if len(found) else SLICE
             stop = min(stop, len(text))
             yield text[at:stop]
@@ -77,7 +106,9 @@ class PieceEncoder(WordEncoder):
         """The ids of ``texts``, and the number of ids of each."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        edge = np.unique(np.concatenate(([0], ends, self.cuts(data))))
+        cut = np.append(self.cuts(data), True)
+        cut[ends], cut[0] = True, True
+        edge = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.string(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data)])
         short = np.diff(edge) <= SHORT
         found = pieces.filter(pa.array(short)).dictionary_encode()
@@ -121,22 +152,24 @@ class PieceEncoder(WordEncoder):
 
 def pattern(counts: dict[int, int], window: int) -> dict[int, int]:
     """How many of each length fill ``window`` closest without the longest one that fits being left out: {length: number}."""
-    lengths = sorted((x for x, n in counts.items() if n and x <= window), reverse=True)
-    if not lengths:
+    longest = max(counts, default=0)
+    if longest > window:
+        longest = max((x for x in counts if x <= window), default=0)
+    if not longest:
         return {}
-    bits, steps, all_ = 1 << lengths[0], [], (1 << window + 1) - 1
-    for x in lengths:
-        left = min(counts[x] - (x == lengths[0]), window // x)
-        copies = 1
-        while left and not bits >> window:
+    room = window - longest
+    bits, steps, all_, full = 1, [], (1 << room + 1) - 1, 1 << room
+    for x in sorted((x for x in counts if x <= room), reverse=True):
+        left, copies = min(counts[x] - (x == longest), room // x), 1
+        while left and not bits & full:
             take = min(copies, left)
             steps.append((x, take, bits))
             bits |= bits << x * take & all_
             left -= take
             copies *= 2
-        if bits >> window:
+        if bits & full:
             break
-    total, used = bits.bit_length() - 1, {lengths[0]: 1}
+    total, used = bits.bit_length() - 1, {longest: 1}
     for x, take, before in reversed(steps):
         if not before >> total & 1:
             used[x] = used.get(x, 0) + take
@@ -152,6 +185,7 @@ class Packer:
     def __init__(self, window: int = WINDOW, block: int = BLOCK):
         self.window, self.block = window, block
         self.pieces: dict[int, list] = {}
+        self.counts: dict[int, int] = {}
         self.total = 0
 
     def put(self, doc_id, ids: np.ndarray):
@@ -170,23 +204,25 @@ class Packer:
             yield from self._filled(1 << k)
 
     def _wait(self, piece) -> None:
-        self.pieces.setdefault(len(piece[3]), []).append(piece)
-        self.total += len(piece[3])
+        length = len(piece[3])
+        self.pieces.setdefault(length, []).append(piece)
+        self.counts[length] = len(self.pieces[length])
+        self.total += length
 
     def _take(self, length: int):
         piece = self.pieces[length].pop()
-        if not self.pieces[length]:
-            del self.pieces[length]
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            del self.pieces[length], self.counts[length]
         self.total -= length
         return piece
 
     def _filled(self, window: int, keep: int = 0):
         """Sequences of ``window`` ids while that many wait, and at least ``keep``."""
         while self.total >= max(keep, window):
-            counts = {x: len(p) for x, p in self.pieces.items()}
-            used = pattern(counts, window)
+            used = pattern(self.counts, window)
             gap = window - sum(x * n for x, n in used.items())
-            times = 1 if gap else min(counts[x] // n for x, n in used.items())
+            times = 1 if gap else min(self.counts[x] // n for x, n in used.items())
             for _ in range(times):
                 if self.total < max(keep, window):
                     return
