@@ -65,6 +65,31 @@ def sequence_numbers(rows: DataFrame, keys: Sequence[str], order: Sequence[Colum
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def sequence_in_blocks(rows: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column | str], name: str = "seq") -> DataFrame:
+    """Number the rows of each key from 1 as :func:`sequence_numbers`, where ``order`` runs through the values of ``block`` one
+    after another (such as seasons): rows are numbered inside a block, and the sizes of earlier blocks, a row a block, are added."""
+    sizes = rows.groupBy(*keys, block).agg(F.count("*").alias("_size"))
+    before = sizes.select(*keys, block, (F.sum("_size").over(Window.partitionBy(*keys).orderBy(block)) - F.col("_size")).alias("_before"))
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, block).orderBy(*order)))
+    return inside.join(before, [*keys, block]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
+def count_before(questions: DataFrame, facts: DataFrame, keys: Sequence[str], block: str, cutoff: str, day: str, name: str) -> DataFrame:
+    """``questions`` with the number of facts of their keys before their cutoff, over all blocks; 0 if there is none.
+
+    ``block`` is a function of the day (such as its year) and names a column of both sides, so that no key's whole history
+    is one partition: days of the same block meet in a window, earlier blocks, a row each, in another.
+    """
+    per_day = facts.groupBy(*keys, block, day).agg(F.count("*").alias("_n"))
+    run = per_day.select(*keys, block, F.col(day), F.sum("_n").over(Window.partitionBy(*keys, block).orderBy(day)).alias("_inside"))
+    inside = asof_join(questions, run, [*keys, block], cutoff, day)
+    sizes = per_day.groupBy(*keys, block).agg(F.sum("_n").alias("_n")).select(*keys, F.col(block).alias("_block"), F.sum("_n").over(Window.partitionBy(*keys).orderBy(block)).alias("_earlier"))
+    asked = questions.select(*keys, block).distinct()
+    earlier = asof_join(asked, sizes, keys, block, "_block").select(*keys, block, "_earlier")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return inside.join(earlier, [*keys, block], "left").withColumn(name, zero("_inside") + zero("_earlier")).select(*questions.columns, name)
+
+
 def serve_seasons(facts: DataFrame, season: str, lags: int) -> DataFrame:
     """Each fact once for each later season that it serves: ``target`` season and ``lag`` 1 to ``lags``."""
     return facts.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("target", F.col(season) + F.col("lag"))

@@ -66,3 +66,16 @@ def fresh(rows: DataFrame, day: Column, today: Column, most: int, name: str = "f
 def reconciles(rows: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
     """No row in which two totals differ."""
     return gate(rows, name, F.count(F.when(~a.eqNullSafe(b), 1)), lambda v: v == 0)
+
+
+def changed_rows(before: DataFrame, after: DataFrame, keys: Sequence[str], numbers: Sequence[str], others: Sequence[str] = (), tolerance: float = 1e-6) -> DataFrame:
+    """One row (rows, changed): the rows that two builds share by ``keys``, and those of which a value differs. Numbers may
+    differ by ``tolerance``; null equals null only."""
+    twin = after.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*numbers, *others)])
+    same = F.lit(True)
+    for c in numbers:
+        near = F.abs(F.col(c).cast("double") - F.col(f"_{c}").cast("double")) <= tolerance
+        same = same & F.coalesce(near, F.col(c).isNull() & F.col(f"_{c}").isNull())
+    for c in others:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return before.join(twin, list(keys)).agg(F.count("*").alias("rows"), F.count(F.when(~same, 1)).alias("changed"))

@@ -97,3 +97,39 @@ def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, wei
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     value = (zero("cum_s") - zero("cum_n") * zero("league") + zero("pri_rc")) / (zero("cum_n") + zero("pri_n") + k)
     return out.select(who, "season", "cutoff", value.alias("value"), zero("cum_n").alias("cur_n"), zero("pri_n").alias("pri_n"))
+
+
+def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
+    """Rate ``s`` by ``n`` of each question (``who``, ``season``, ``cutoff``): value, and rookie (nothing known before).
+
+    ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are dated by the day on which they became known, ``season`` is that
+    day's. This season's facts before the cutoff and the last seasons' by ``weights`` are shrunk by ``k`` towards last
+    season's league rate, or ``default`` where there is none.
+    """
+    daily = facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    run = asof.running_totals(daily, ["who", "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select("who", "season", "day", "cum_s", "cum_n")
+    totals = daily.groupBy("who", "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    served = asof.serve_seasons(totals, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
+    prior = served.groupBy("who", F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("s")).alias("pri_s"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
+    league = totals.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("s") / F.sum("n")).alias("mu"))
+    asked = questions.select("who", "season", "cutoff").distinct()
+    out = asof.asof_join(asked, run, ["who", "season"], "cutoff", "day").join(prior, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
+    value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu", F.lit(default)), [(1.0, F.col("pri_s"), F.col("pri_n"))])
+    return out.select("who", "season", "cutoff", (F.col("cum_n").isNull() & F.col("pri_n").isNull()).alias("rookie"), value.alias("value"))
+
+
+def two_scale_grid(cells: DataFrame, keys: Sequence[str], x: str, z: str, s: str, n: str, shape: tuple[int, int], fine: float = 1.0, wide: float = 6.0, pull_fine: float = 2.0, pull_wide: float = 0.01) -> DataFrame:
+    """Expected rate ``s`` by ``n`` for every cell of a grid of ``shape``, for each of ``keys``: (keys, x, z, ``p``).
+
+    Counts are blurred twice, to a wide and to a fine scale (in cells; mass beyond the edges is lost). The wide rate is
+    pulled to the group's rate by ``pull_wide`` pseudo-counts, the fine one to the wide one by ``pull_fine``. The grid's size
+    does not depend on the number of facts.
+    """
+    means = cells.groupBy(*keys).agg((F.sum(s) / F.sum(n)).alias("_m"))
+    full = means.withColumn(x, F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1)))).withColumn(z, F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))))
+    at = [*keys, x, z]
+    for sigma, name in ((wide, "_w"), (fine, "_f")):
+        blurred = blurred_grid(cells.select(*at, s, n), keys, x, z, [s, n], sigma, math.ceil(4 * sigma))
+        full = full.join(blurred.select(*at, F.col(s).alias(f"{name}s"), F.col(n).alias(f"{name}n")), at, "left")
+    rate = lambda name, pull, to: (F.coalesce(f"{name}s", F.lit(0.0)) + pull * to) / (F.coalesce(f"{name}n", F.lit(0.0)) + pull)
+    return full.select(*at, rate("_f", pull_fine, rate("_w", pull_wide, F.col("_m"))).alias("p"))

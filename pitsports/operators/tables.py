@@ -115,7 +115,7 @@ def checked_overwrite(df: DataFrame, gates: Sequence[Callable[[DataFrame], DataF
     return results
 
 
-def _version(spark: SparkSession, path: str) -> int:
+def newest_version(spark: SparkSession, path: str) -> int:
     """Number of the version that the table's pointer names; 0 if there is none."""
     pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
     fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -124,26 +124,40 @@ def _version(spark: SparkSession, path: str) -> int:
     return max((int(x.getPath().getName()) for x in fs.listStatus(pointer)), default=0)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a table written by :func:`write_version`."""
-    return spark.read.parquet(f"{path}/version={_version(spark, path)}")
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest complete version of a table written by :func:`write_version`, or a chosen one."""
+    return spark.read.parquet(f"{path}/version={version or newest_version(spark, path)}")
 
 
 def write_version(df: DataFrame, path: str, gates: Sequence[Callable[[DataFrame], DataFrame]]) -> bool:
     """Write ``df`` as a new version of the table at ``path`` and switch to it if all gates pass on what was written.
 
-    The switch is the creation of one empty pointer file named by the version, so a reader sees the old version or the
-    new one, whole; a failure before it leaves the old one in place. Refused versions are removed.
+    A writer first claims the next number by creating a file of that name, which only one writer can. The switch is the
+    creation of one empty pointer file named by the version, so a reader sees the old version or the new one, whole; a
+    failure before it leaves the old one in place. Refused versions are removed; their numbers stay unused.
     """
     spark = df.sparkSession
-    version = _version(spark, path) + 1
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(f"{path}/_claims"))
+    version = newest_version(spark, path) + 1
+    while not _created(fs, hadoop(f"{path}/_claims/{version}")):
+        version += 1
     folder = f"{path}/version={version}"
     df.write.mode("overwrite").parquet(folder)
     written = spark.read.parquet(folder)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if any(gate(written).where("not passed").limit(1).count() for gate in gates):
         fs.delete(hadoop(folder), True)
         return False
     fs.mkdirs(hadoop(f"{path}/_current"))
-    return bool(fs.createNewFile(hadoop(f"{path}/_current/{version}")))
+    return _created(fs, hadoop(f"{path}/_current/{version}"))
+
+
+def _created(fs, path) -> bool:
+    """Create an empty file; False if it is there already."""
+    try:
+        return bool(fs.createNewFile(path))
+    except Exception as e:  # some file systems raise instead
+        if fs.exists(path):
+            return False
+        raise e

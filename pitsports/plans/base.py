@@ -6,8 +6,9 @@ Orders are games, line items are pitches, customers' nations are venues, supplie
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,20 @@ team_games AS (
   UNION ALL
   SELECT game_id, date, season, venue_id, away_team, home_team, FALSE, away_final, home_final FROM games
 )"""
+#: What each pitcher did for a side of a game, by the day from which it was known (that day's year is the season it counts
+#: in): ``fresh`` marks the first of these days, on which the appearance itself counts. Who started is known at the game.
+APPEARANCES = """
+app AS (SELECT * EXCLUDE (first), CAST(year(day) AS INT) AS known, day = min(day) OVER (PARTITION BY game_id, fld_team, who) AS fresh, who = (min({'f': first, 'w': who}) OVER (PARTITION BY game_id, fld_team)).w AS started
+  FROM (SELECT pitcher_id AS who, game_id, fld_team, bat_team, date, season, data_date AS day, count(*) AS n, count(*) FILTER (WHERE pitch_no >= 5) AS late, min(pitch_no) AS first,
+    count(*) FILTER (WHERE result = 'R') AS k, sum(velo) AS v FROM pitches GROUP BY ALL)),
+st AS (SELECT DISTINCT who, game_id, fld_team, bat_team, date, season FROM app WHERE started)"""
+#: SQL of ``operators.rates.decayed_rate`` over views ``{q}`` (who, season, cutoff) and ``{f}`` (who, season, day, s, n): {name}.
+DECAYED = """
+{name}_q AS (SELECT DISTINCT who, season, cutoff FROM {q}), {name}_d AS (SELECT who, season, day, sum(s) AS s, sum(n) AS n FROM {f} GROUP BY ALL),
+{name}_r AS (SELECT who, season, day, sum(s) OVER w AS s, sum(n) OVER w AS n FROM {name}_d WINDOW w AS (PARTITION BY who, season ORDER BY day)), {name}_t AS (SELECT who, season, sum(s) AS s, sum(n) AS n FROM {name}_d GROUP BY ALL),
+{name}_l AS (SELECT season + 1 AS season, sum(s) * 1.0 / sum(n) AS mu FROM {name}_t GROUP BY season), {name}_p AS (SELECT who, season + lag AS season, sum(w * s) AS s, sum(w * n) AS n FROM {name}_t, (VALUES (1, 0.8), (2, 0.6), (3, 0.4)) v(lag, w) GROUP BY ALL),
+{name} AS (SELECT q.who, q.season, q.cutoff, r.n IS NULL AND p.n IS NULL AS rookie, (coalesce(r.s, 0) + coalesce(p.s, 0) + {k} * coalesce(mu, {mu})) / (coalesce(r.n, 0) + coalesce(p.n, 0) + {k}) AS value FROM {name}_q q
+  ASOF LEFT JOIN {name}_r r ON r.who = q.who AND r.season = q.season AND q.cutoff > r.day LEFT JOIN {name}_p p ON p.who = q.who AND p.season = q.season LEFT JOIN {name}_l l ON l.season = q.season)"""
 #: SQL of ``operators.rates.centred_rate`` over views ``q`` (who, season, cutoff) and ``f`` (who, season, day, s, n).
 CENTRED = """
 q0 AS (SELECT DISTINCT who, season, cutoff FROM q),
@@ -67,8 +82,24 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+_changes: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+@contextmanager
+def overridden(**changes: Callable[[DataFrame], DataFrame]):
+    """Inside this block, queries that are built read the named tables through these functions."""
+    before = dict(_changes)
+    _changes.update(changes)
+    try:
+        yield
+    finally:
+        _changes.clear()
+        _changes.update(before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _changes[name](rows) if name in _changes else rows
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +153,22 @@ def team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).select("game_id", "date", "season", "venue_id", sides.alias("s")).select("game_id", "date", "season", "venue_id", "s.*")
 
 
+def appearances(p: DataFrame) -> DataFrame:
+    """``app`` of ``APPEARANCES`` over ``pitches``."""
+    a = p.groupBy(F.col("pitcher_id").alias("who"), "game_id", "fld_team", "bat_team", "date", "season", F.col("data_date").alias("day")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("pitch_no") >= 5, 1)).alias("late"), F.min("pitch_no").alias("first"), F.count(F.when(F.col("result") == "R", 1)).alias("k"), F.sum("velo").alias("v")
+    )
+    side = Window.partitionBy("game_id", "fld_team")
+    began = F.min(F.struct("first", "who")).over(side)
+    fresh = F.col("day") == F.min("day").over(Window.partitionBy("game_id", "fld_team", "who"))
+    return a.withColumns({"known": F.year("day"), "fresh": fresh, "started": F.col("who") == began["who"]}).drop("first")
+
+
+def starters(a: DataFrame) -> DataFrame:
+    """``st`` of ``APPEARANCES``: a row for each side of a game."""
+    return a.where("started").select("who", "game_id", "fld_team", "bat_team", "date", "season").distinct()
+
+
 def r(c, places: int = 6):
     return F.round(c, places)
 

@@ -100,20 +100,6 @@ def slot_weights(spark, sf):
     return pitches(spark, sf).groupBy(F.col("pitch_no").alias("slot")).agg(side("O").alias("top"), side("F").alias("bottom"))
 
 
-@query(
-    "survey_op15_projected_starters",
-    f"""{WITH_PITCHES}, tg AS (SELECT fld_team, game_id, min(date) AS date FROM pitches GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY fld_team ORDER BY date, game_id) AS i FROM tg),
-p AS (SELECT DISTINCT p.fld_team, p.pitcher_id, s.i FROM pitches p JOIN s ON s.fld_team = p.fld_team AND s.game_id = p.game_id)
-SELECT s.fld_team, s.game_id, count(DISTINCT pitcher_id) AS pool FROM s JOIN p ON p.fld_team = s.fld_team AND p.i BETWEEN s.i - 14 AND s.i - 1 GROUP BY ALL""",
-)
-def projected(spark, sf):
-    p = pitches(spark, sf).select("fld_team", "game_id", "date", "pitcher_id").distinct()
-    s = p.groupBy("fld_team", "game_id").agg(F.min("date").alias("date"))
-    s = s.withColumn("i", F.row_number().over(Window.partitionBy("fld_team").orderBy("date", "game_id"))).drop("date")
-    seen = p.select("fld_team", "game_id", "pitcher_id").join(s, ["fld_team", "game_id"]).select("fld_team", "pitcher_id", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 14)).alias("i"))
-    return s.join(seen, ["fld_team", "i"]).groupBy("fld_team", "game_id").agg(F.countDistinct("pitcher_id").alias("pool"))
-
-
 @query(
     "survey_op20_centred_wind",
     f"""{WITH_GAMES}, w AS (SELECT game_id, season, venue_id, home_final + 0.5 * away_final AS wind FROM games), h AS (SELECT s.season, w.venue_id, avg(wind) AS m, count(*) AS n FROM (SELECT DISTINCT season FROM w) s JOIN w ON w.season BETWEEN s.season - 3 AND s.season - 1 GROUP BY ALL)
@@ -128,21 +114,6 @@ def wind(spark, sf):
     return w.join(h, ["season", "venue_id"], "left").select("game_id", r(F.when(F.col("n") >= 40, F.col("wind") - F.col("m"))).alias("rel"))
 
 
-KERNEL = "(SELECT d, exp(-0.5 * pow(d / 1.5, 2)) / sum(exp(-0.5 * pow(d / 1.5, 2))) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS d))"
-
-
-@query(
-    "survey_op21_blurred_grid",
-    f"""WITH c AS (SELECT CAST(floor(l_discount * 100 + 0.5) AS INT) AS ix, CAST(floor(l_tax * 100 + 0.5) AS INT) AS iz, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), kern AS {KERNEL},
-x AS (SELECT CAST(ix + d AS INT) AS ix, iz, sum(k * w) AS k, sum(n * w) AS n FROM c, kern GROUP BY ALL), z AS (SELECT ix, CAST(iz + d AS INT) AS iz, sum(k * w) AS k, sum(n * w) AS n FROM x, kern GROUP BY ALL) SELECT ix, iz, round(n, 6) AS n, round(k / n, 6) AS rate FROM z""",
-)
-def blurred(spark, sf):
-    cell = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("int")
-    c = table(spark, sf, "lineitem").groupBy(cell("l_discount").alias("ix"), cell("l_tax").alias("iz"))
-    c = c.agg(F.sum(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("k"), F.count("*").cast("double").alias("n"))
-    return rates.blurred_grid(c, [], "ix", "iz", ["k", "n"], 1.5, 3).select("ix", "iz", r(F.col("n")).alias("n"), r(F.col("k") / F.col("n")).alias("rate"))
-
-
 @query(
     "survey_op22_centred_pooled_residual",
     f"""{WITH_PITCHES}, f AS (SELECT pitcher_id AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = 'R' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT pitcher_id AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=100)}
@@ -430,34 +401,3 @@ def design(spark, sf):
 def late(spark, sf):
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("velo"))), F.lit(0.0)).cast("long")
     return pitches(spark, sf).groupBy("game_id", "half").agg(part(F.col("pitch_no") < 4).alias("going_in"), part(F.col("pitch_no") >= 4).alias("scored"))
-
-
-@query(
-    "survey_op61_leak_test",
-    f"""SELECT 'running totals' AS build, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events) WHERE day <= DATE '2024-01-20'
-UNION ALL SELECT 'residuals', count(*), 0 FROM ({WITH_PITCHES} SELECT DISTINCT pitcher_id, season, date FROM pitches WHERE date <= DATE '1997-06-01')
-UNION ALL SELECT 'side factors', count(*), 0 FROM ({ORACLE_SQL["survey_op19_factor_by_side"]}) WHERE season <= 1997""",
-)
-def leak(spark, sf):
-    """Perturb every fact on or after a day, rebuild, and count rows up to that day that changed (must be 0): running totals,
-    centred residuals, and a venue's factors by side."""
-    from pitsports.operators.asof import asof_join, running_totals
-    from pitsports.plans.domain_queries import side_factors
-
-    def compared(name, before, after, keys, value, until):
-        both = before.where(until).join(after.where(until).withColumnRenamed(value, "_after"), keys, "full")
-        return both.agg(F.count("*").alias("rows"), F.sum((~F.col(value).eqNullSafe(F.col("_after"))).cast("long")).alias("changed")).select(F.lit(name).alias("build"), "rows", "changed")
-
-    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    cut = F.lit("2024-01-20").cast("date")
-
-    def totals(facts):
-        run = running_totals(facts, ["user_id"], "day", {"v": F.round(F.col("value") * 100).cast("long")})
-        return asof_join(run.select("user_id", "day"), run.select("user_id", F.col("day").alias("fact_day"), "cum_v"), ["user_id"], "day", "fact_day")
-
-    out = compared("running totals", totals(e), totals(e.withColumn("value", F.when(F.col("day") >= cut, F.col("value") * 3 + 1).otherwise(F.col("value")))), ["user_id", "day"], "cum_v", F.col("day") <= cut)
-    p = pitches(spark, sf)
-    later = p.withColumn("result", F.when(F.col("data_date") >= F.lit("1997-06-01").cast("date"), "R").otherwise(F.col("result")))
-    out = out.unionByName(compared("residuals", residuals(p), residuals(later), ["pitcher_id", "season", "cutoff"], "effect", F.col("cutoff") <= "1997-06-01"))
-    dearer = p.withColumn("value", F.when(F.year("data_date") >= 1997, F.col("value") * 3 + F.col("venue_id")).otherwise(F.col("value")))
-    return out.unionByName(compared("side factors", side_factors(p), side_factors(dearer), ["season", "venue_id", "side"], "log_factor", F.col("season") <= 1997))

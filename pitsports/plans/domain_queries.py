@@ -12,78 +12,6 @@ from pitsports.operators import asof, fit, gates, rates, stats, tables
 from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 
-STARTS = """starts AS (
-  SELECT game_id, half, fld_team, date, season, arg_min(pitcher_id, (pitch_no, pitcher_id)) AS pitcher_id FROM pitches GROUP BY ALL
-), work AS (SELECT s.pitcher_id, s.season, s.date, s.game_id, s.fld_team, count(*) AS n FROM starts s JOIN pitches p ON p.game_id = s.game_id AND p.half = s.half AND p.pitcher_id = s.pitcher_id GROUP BY ALL)"""
-
-
-def _starts(spark, sf):
-    p = pitches(spark, sf)
-    s = p.groupBy("game_id", "half", "fld_team", "date", "season").agg(F.min_by("pitcher_id", F.struct("pitch_no", "pitcher_id")).alias("pitcher_id"))
-    return s.join(p.select("game_id", "half", "pitcher_id"), ["game_id", "half", "pitcher_id"]).groupBy("pitcher_id", "season", "date", "game_id", "fld_team").agg(F.count("*").alias("n"))
-
-
-@query(
-    "survey_op6_starter_history",
-    f"""{WITH_PITCHES}, {STARTS}, d AS (SELECT pitcher_id, season, date, count(*) AS g, sum(n) AS bf FROM work GROUP BY ALL), c AS (SELECT pitcher_id, season, date, sum(g) OVER w AS g, sum(bf) OVER w AS bf FROM d WINDOW w AS (PARTITION BY pitcher_id, season ORDER BY date)),
-t AS (SELECT pitcher_id, season, sum(g) AS g FROM d GROUP BY ALL)
-SELECT w.game_id, w.pitcher_id, CAST(coalesce(c.g, 0) AS BIGINT) AS starts, CAST(coalesce(c.bf, 0) AS BIGINT) AS bf, CAST(w.date - c.date AS BIGINT) AS rest, CAST(t.g AS BIGINT) AS prior_starts
-FROM work w ASOF LEFT JOIN c ON c.pitcher_id = w.pitcher_id AND c.season = w.season AND w.date > c.date LEFT JOIN t ON t.pitcher_id = w.pitcher_id AND t.season = w.season - 1""",
-)
-def starter_history(spark, sf):
-    w = _starts(spark, sf)
-    run = asof.running_totals(w.withColumnRenamed("date", "day"), ["pitcher_id", "season"], "day", {"g": F.lit(1), "bf": F.col("n")})
-    last = run.select("pitcher_id", "season", "day", F.col("day").alias("last"), "cum_g", "cum_bf")
-    out = asof.asof_join(w, last, ["pitcher_id", "season"], "date", "day")
-    before = run.groupBy("pitcher_id", (F.col("season") + 1).alias("season")).agg(F.sum("g").alias("prior_starts"))
-    out = out.join(before, ["pitcher_id", "season"], "left")
-    return out.select("game_id", "pitcher_id", F.coalesce("cum_g", F.lit(0)).alias("starts"), F.coalesce("cum_bf", F.lit(0)).alias("bf"), F.datediff("date", "last").cast("long").alias("rest"), "prior_starts")
-
-
-@query(
-    "survey_op7_team_hook",
-    f"""{WITH_PITCHES}, {STARTS}, l AS (SELECT season + 1 AS season, avg(n) AS m FROM work GROUP BY season)
-SELECT q.game_id, q.fld_team, round(avg(f.n) - any_value(l.m), 6) AS hook FROM work q JOIN work f ON f.fld_team = q.fld_team AND f.date < q.date AND f.date >= q.date - 30 JOIN l ON l.season = q.season GROUP BY q.game_id, q.fld_team""",
-)
-def team_hook(spark, sf):
-    w = _starts(spark, sf)
-    league = w.groupBy((F.col("season") + 1).alias("season")).agg(F.avg("n").alias("m"))
-    q = w.select("game_id", "fld_team", "season", F.col("date").alias("cutoff")).distinct()
-    daily = w.groupBy("fld_team", F.col("date").alias("day")).agg(F.sum("n").alias("s"), F.count("*").alias("c"))
-    seen = asof.trailing_join(q, daily, ["fld_team"], "cutoff", "day", 30).groupBy("game_id", "fld_team", "season").agg((F.sum("s") / F.sum("c")).alias("mean"))
-    return seen.join(league, "season").select("game_id", "fld_team", r(F.col("mean") - F.col("m")).alias("hook"))
-
-
-@query(
-    "survey_op11_bullpen_pool",
-    f"""{WITH_PITCHES}, {STARTS}, rel AS (SELECT p.fld_team, p.pitcher_id, p.date, p.game_id FROM pitches p WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.game_id = p.game_id AND s.half = p.half AND s.pitcher_id = p.pitcher_id)),
-q AS (SELECT DISTINCT game_id, fld_team, date FROM pitches), u AS (SELECT DISTINCT fld_team, pitcher_id, date FROM rel)
-SELECT q.game_id, q.fld_team, count(DISTINCT u.pitcher_id) AS pool, count(DISTINCT CASE WHEN q.date - u.date <= 1 THEN u.pitcher_id END) AS worked_yesterday FROM q JOIN u ON u.fld_team = q.fld_team AND u.date < q.date AND u.date >= q.date - 30 GROUP BY ALL""",
-)
-def bullpen(spark, sf):
-    p = pitches(spark, sf)
-    s = p.groupBy("game_id", "half").agg(F.min_by("pitcher_id", F.struct("pitch_no", "pitcher_id")).alias("pitcher_id"))
-    used = p.join(s, ["game_id", "half", "pitcher_id"], "left_anti").select("fld_team", "pitcher_id", F.col("date").alias("day")).distinct()
-    q = p.select("game_id", "fld_team", F.col("date").alias("cutoff")).distinct()
-    out = asof.trailing_join(q, used, ["fld_team"], "cutoff", "day", 30).groupBy("game_id", "fld_team")
-    return out.agg(F.countDistinct("pitcher_id").alias("pool"), F.countDistinct(F.when(F.datediff("cutoff", "day") <= 1, F.col("pitcher_id"))).alias("worked_yesterday"))
-
-
-@query(
-    "survey_op14_lineup_features",
-    f"""{WITH_PITCHES}, t AS (SELECT batter_id, season, avg(velo) AS v FROM pitches GROUP BY ALL), l AS (SELECT DISTINCT game_id, bat_team, season, batter_id, pitch_no FROM pitches WHERE pitch_no <= 3)
-SELECT l.game_id, l.bat_team, count(*) AS n, round(sum(t.v / l.pitch_no) / nullif(sum(CASE WHEN t.v IS NOT NULL THEN 1.0 / l.pitch_no END), 0), 8) AS strength, round(avg(CASE WHEN t.v IS NULL THEN 1.0 ELSE 0 END), 6) AS rookies
-FROM l LEFT JOIN t ON t.batter_id = l.batter_id AND t.season = l.season - 1 GROUP BY l.game_id, l.bat_team""",
-)
-def lineup_features(spark, sf):
-    p = pitches(spark, sf)
-    t = p.groupBy("batter_id", (F.col("season") + 1).alias("season")).agg(F.avg("velo").alias("v"))
-    lineup = p.where("pitch_no <= 3").select("game_id", "bat_team", "season", "batter_id", "pitch_no").distinct().join(t, ["batter_id", "season"], "left")
-    return lineup.groupBy("game_id", "bat_team").agg(
-        F.count("*").alias("n"), r(rates.weighted_mean(F.col("v"), 1.0 / F.col("pitch_no")), 8).alias("strength"), r(F.avg(F.col("v").isNull().cast("double"))).alias("rookies")
-    )
-
-
 @query("survey_op16_actual_lineup", f"{WITH_PITCHES}, f AS (SELECT game_id, bat_team, batter_id, min(pitch_no) AS first FROM pitches GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, bat_team ORDER BY first, batter_id) AS slot FROM f) SELECT game_id, bat_team, batter_id, slot FROM k WHERE slot <= 9")
 def actual_lineup(spark, sf):
     f = pitches(spark, sf).groupBy("game_id", "bat_team", "batter_id").agg(F.min("pitch_no").alias("first"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, gates, rates, tables
-from pitsports.plans import asof_queries, composite_queries, domain_queries  # noqa: F401  (rows of the assembly)
+from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries  # noqa: F401  (rows of the assembly)
 from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
@@ -17,140 +17,6 @@ from pitsports.streaming import jobs
 # feature rows
 
 
-@query(
-    "survey_op23_catcher_framing",
-    f"""{WITH_PITCHES}, grid AS (SELECT px, pz, (sum(CASE WHEN result = 'A' THEN 1 ELSE 0 END) + 1.0) / (count(*) + 2) AS p FROM pitches WHERE result <> 'R' GROUP BY ALL),
-c AS (SELECT game_id, fld_team, CASE WHEN min(batter_id) % 25 > 0 THEN min(batter_id) % 25 END AS who FROM pitches GROUP BY ALL),
-f AS (SELECT c.who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = 'A' THEN 1 ELSE 0 END - p) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches t JOIN grid ON grid.px = t.px AND grid.pz = t.pz JOIN c ON c.game_id = t.game_id AND c.fld_team = t.fld_team WHERE result <> 'R' AND c.who IS NOT NULL GROUP BY ALL),
-tg AS (SELECT DISTINCT t.game_id, t.fld_team, t.season, t.date AS cutoff, c.who FROM pitches t JOIN c ON c.game_id = t.game_id AND c.fld_team = t.fld_team), q AS (SELECT who, season, cutoff FROM tg WHERE who IS NOT NULL), {CENTRED.format(k=500)}
-SELECT tg.game_id, tg.fld_team, tg.who AS catcher_id, round(0.13 * 100 * coalesce(value, 0), 6) AS frm_runs, tg.who IS NULL AS frm_missing FROM tg LEFT JOIN rate ON rate.who = tg.who AND rate.season = tg.season AND rate.cutoff = tg.cutoff""",
-)
-def catcher_framing(spark, sf):
-    """Called strikes above the expectation of their place, by catcher: prior seasons centred by their own league, this one to date."""
-    p = pitches(spark, sf)
-    strike = F.when(F.col("result") == "A", 1).otherwise(0)
-    taken = p.where("result <> 'R'")
-    grid = taken.groupBy("px", "pz").agg(((F.sum(strike) + 1.0) / (F.count("*") + 2)).alias("p"))
-    first = F.min("batter_id") % 25
-    catcher = p.groupBy("game_id", "fld_team").agg(F.when(first > 0, first).alias("who"))
-    facts = taken.join(F.broadcast(grid), ["px", "pz"]).join(catcher, ["game_id", "fld_team"]).where("who is not null")
-    facts = facts.groupBy("who", F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(strike - F.col("p")).alias("s"), F.count("*").cast("double").alias("n"))
-    asked = p.select("game_id", "fld_team", "season", F.col("date").alias("cutoff")).distinct().join(catcher, ["game_id", "fld_team"])
-    rate = rates.centred_rate(asked.where("who is not null"), facts, "who", 500.0, rates.SEASON_WEIGHTS)
-    out = asked.join(rate, ["who", "season", "cutoff"], "left")
-    return out.select("game_id", "fld_team", F.col("who").alias("catcher_id"), r(0.13 * 100 * F.coalesce("value", F.lit(0.0))).alias("frm_runs"), F.col("who").isNull().alias("frm_missing"))
-
-
-SCORE = "CAST(round((velo - 25) * 100 + px * 2000 - pz * 1500) AS BIGINT)"
-STARTER = """
-st AS (SELECT game_id, fld_team, season, date, arg_min(pitcher_id, (pitch_no, pitcher_id)) AS who FROM pitches GROUP BY ALL)"""
-
-
-def _starter(p: DataFrame) -> DataFrame:
-    first = F.min_by("pitcher_id", F.struct("pitch_no", "pitcher_id")).alias("who")
-    return p.groupBy("game_id", "fld_team", "season", "date").agg(first)
-
-
-@query(
-    "survey_op26_stuff_rates",
-    f"""{WITH_PITCHES}, {STARTER}, f AS (SELECT pitcher_id AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, CAST(sum({SCORE}) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL),
-u AS (SELECT p.fld_team, p.pitcher_id AS who, p.date AS day, count(*) AS bf, count(*) FILTER (WHERE pitch_no >= 5) AS late, count(*) AS n FROM pitches p JOIN st ON st.game_id = p.game_id AND st.fld_team = p.fld_team AND st.who <> p.pitcher_id GROUP BY ALL),
-tq AS (SELECT DISTINCT fld_team, season, date AS cutoff FROM pitches),
-pool AS (SELECT tq.fld_team, tq.season, tq.cutoff, u.who, sum(bf) AS bf, sum(late) AS late, bool_or(cutoff - day = 1) AS d1, bool_or(cutoff - day = 2) AS d2, coalesce(sum(n) FILTER (WHERE cutoff - day = 1), 0) AS p1 FROM tq JOIN u ON u.fld_team = tq.fld_team AND u.day < cutoff AND u.day >= cutoff - 30 GROUP BY ALL),
-q AS (SELECT who, season, date AS cutoff FROM st UNION SELECT who, season, cutoff FROM pool), {CENTRED.format(k=300)},
-w AS (SELECT pool.*, value, NOT ((d1 AND d2) OR p1 >= 25) AS available, CASE WHEN sum(late) OVER t > 0 THEN late / sum(late) OVER t ELSE bf / sum(bf) OVER t END AS w8 FROM pool JOIN rate ON rate.who = pool.who AND rate.season = pool.season AND rate.cutoff = pool.cutoff WINDOW t AS (PARTITION BY fld_team, pool.season, pool.cutoff)),
-pen AS (SELECT fld_team, season, cutoff, sum(w8 * value) FILTER (WHERE available) / nullif(sum(w8) FILTER (WHERE available), 0) AS pen FROM w GROUP BY ALL)
-SELECT st.game_id, st.fld_team, round(coalesce(value, 0) / 100, 5) AS sp_stuff, round(coalesce(pen, 0) / 100, 5) AS pen_stuff FROM st LEFT JOIN rate ON rate.who = st.who AND rate.season = st.season AND rate.cutoff = st.date LEFT JOIN pen ON pen.fld_team = st.fld_team AND pen.season = st.season AND pen.cutoff = st.date""",
-)
-def stuff_rates(spark, sf):
-    """Integer pitch scores as centred rates, for the starter and, by share of late work, for the relievers who can pitch."""
-    p = pitches(spark, sf)
-    score = F.round((F.col("velo") - 25) * 100 + F.col("px") * 2000 - F.col("pz") * 1500).cast("long")
-    facts = p.groupBy(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-    starter = _starter(p)
-    late = F.count(F.when(F.col("pitch_no") >= 5, 1)).alias("late")
-    used = p.join(starter.select("game_id", "fld_team", "who"), ["game_id", "fld_team"]).where("who <> pitcher_id")
-    used = used.groupBy("fld_team", F.col("pitcher_id").alias("who"), F.col("date").alias("day")).agg(F.count("*").alias("bf"), late)
-    asked = p.select("fld_team", "season", F.col("date").alias("cutoff")).distinct()
-    ago = F.datediff("cutoff", "day")
-    pool = asof.trailing_join(asked, used, ["fld_team"], "cutoff", "day", 30).groupBy("fld_team", "season", "cutoff", "who").agg(
-        F.sum("bf").alias("bf"), F.sum("late").alias("late"), F.bool_or(ago == 1).alias("d1"), F.bool_or(ago == 2).alias("d2"), F.coalesce(F.sum(F.when(ago == 1, F.col("bf"))), F.lit(0)).alias("p1")
-    )
-    keys = starter.select("who", "season", F.col("date").alias("cutoff")).union(pool.select("who", "season", "cutoff"))
-    rate = rates.centred_rate(keys, facts, "who", 300.0, rates.SEASON_WEIGHTS).select("who", "season", "cutoff", "value")
-    team = Window.partitionBy("fld_team", "season", "cutoff")
-    share = F.when(F.sum("late").over(team) > 0, F.col("late") / F.sum("late").over(team)).otherwise(F.col("bf") / F.sum("bf").over(team))
-    free = ~((F.col("d1") & F.col("d2")) | (F.col("p1") >= 25))
-    w = pool.join(rate, ["who", "season", "cutoff"]).withColumn("w8", F.when(free, share))
-    pen = w.groupBy("fld_team", "season", "cutoff").agg((F.sum(F.col("w8") * F.col("value")) / F.nullif(F.sum("w8"), F.lit(0.0))).alias("pen"))
-    out = starter.withColumnRenamed("date", "cutoff").join(rate, ["who", "season", "cutoff"], "left").join(pen, ["fld_team", "season", "cutoff"], "left")
-    zero = lambda c: r(F.coalesce(F.col(c), F.lit(0.0)) / 100, 5)
-    return out.select("game_id", "fld_team", zero("value").alias("sp_stuff"), zero("pen").alias("pen_stuff"))
-
-
-def _cdf(z: str) -> str:
-    """SQL of :func:`pitsports.functions.columns.norm_cdf`."""
-    t = f"(1 / (1 + 0.2316419 * abs({z})))"
-    poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
-    tail = f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {poly}"
-    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
-
-
-def _excess(cap: str) -> str:
-    """SQL of the mean of max(X - cap, 0) for X of mean ``e`` and deviation 1.2."""
-    z = f"((e - {cap}) / 1.2)"
-    return f"(1.2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) + (e - {cap}) * {_cdf(z)})"
-
-
-@query(
-    "survey_op10_starter_row",
-    f"""{WITH_PITCHES}, {STARTER}, wk AS (SELECT st.who, st.season, st.date AS day, st.game_id, st.fld_team, count(*) AS bf, avg(CASE WHEN p.result = 'R' THEN 1.0 ELSE 0 END) AS k, sum(velo) AS v FROM st JOIN pitches p ON p.game_id = st.game_id AND p.fld_team = st.fld_team AND p.pitcher_id = st.who GROUP BY ALL),
-ap AS (SELECT pitcher_id AS who, season, date AS day, count(DISTINCT game_id) AS apps, sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS k, count(*) AS n, sum(velo) AS v FROM pitches GROUP BY ALL),
-sd AS (SELECT who, season, day, count(*) AS starts, sum(bf) AS bf FROM wk GROUP BY ALL), d AS (SELECT ap.*, coalesce(starts, 0) AS starts, coalesce(bf, 0) AS bf FROM ap LEFT JOIN sd ON sd.who = ap.who AND sd.season = ap.season AND sd.day = ap.day),
-c AS (SELECT who, season, day, starts > 0 AS last_started, sum(apps) OVER w AS apps, sum(starts) OVER w AS starts, sum(bf) OVER w AS bf, sum(k) OVER w AS k, sum(n) OVER w AS n, sum(v) OVER w AS v FROM d WINDOW w AS (PARTITION BY who, season ORDER BY day)),
-y AS (SELECT who, season + 1 AS season, sum(apps) AS apps, sum(starts) AS starts, sum(bf) AS bf, sum(k) AS k, sum(n) AS n, sum(v) AS v FROM d GROUP BY ALL), m AS (SELECT season + 1 AS season, sum(k) * 1.0 / sum(n) AS k FROM d GROUP BY ALL),
-j AS (SELECT st.game_id, st.fld_team, st.who, (coalesce(c.k, 0) + 0.6 * coalesce(y.k, 0) + 60 * coalesce(m.k, 0.2)) / (coalesce(c.n, 0) + 0.6 * coalesce(y.n, 0) + 60) AS k_rate, m.k AS mu, y.n IS NULL AS rookie, CASE WHEN c.n >= 3 AND y.n IS NOT NULL THEN c.v / c.n - y.v / y.n END AS velo_delta,
-  (coalesce(c.bf, 0) + 3.0 * CASE WHEN y.starts > 0 THEN y.bf * 1.0 / y.starts ELSE 1.6 END) / (coalesce(c.starts, 0) + 3) AS e, st.date - c.day AS rest, c.last_started, c.apps AS ca, c.starts AS cs, y.apps AS ya, y.starts AS ys
-  FROM st ASOF LEFT JOIN c ON c.who = st.who AND c.season = st.season AND st.date > c.day LEFT JOIN y ON y.who = st.who AND y.season = st.season LEFT JOIN m ON m.season = st.season)
-SELECT game_id, fld_team, who AS starter_id, round(3 * (k_rate - coalesce(mu, 0.2)) + CASE WHEN rookie THEN 0.1 ELSE 0 END, 10) AS skill, rookie, round(velo_delta, 10) AS velo_delta, round(e, 10) AS exp_bf, CASE WHEN rest IS NULL THEN 'first' WHEN rest <= 4 THEN 'short' WHEN rest <= 6 THEN 'usual' ELSE 'long' END AS rest_bucket,
-  round(e - {_excess("2.0")}, 5) AS share_f5, round({_excess("1.5")} - {_excess("2.5")}, 5) AS third_time,
-  coalesce((NOT last_started AND rest <= 4) OR CASE WHEN ca > 0 THEN cs * 1.0 / ca WHEN ya > 0 THEN ys * 1.0 / ya END < 0.3 OR e < 1.3, FALSE) AS opener FROM j""",
-)
-def starter_row(spark, sf):
-    """Skill against the league, rookie, velocity change, expected length, its share of a segment, third time through, opener."""
-    p = pitches(spark, sf)
-    starter = _starter(p)
-    mine = starter.select("game_id", "fld_team", F.col("who").alias("pitcher_id"))
-    starts = p.join(mine, ["game_id", "fld_team", "pitcher_id"]).groupBy(F.col("pitcher_id").alias("who"), "season", F.col("date").alias("day"))
-    starts = starts.agg(F.countDistinct("game_id", "fld_team").alias("starts"), F.count("*").alias("bf"))
-    daily = p.groupBy(F.col("pitcher_id").alias("who"), "season", F.col("date").alias("day")).agg(
-        F.countDistinct("game_id").alias("apps"), F.count(F.when(F.col("result") == "R", 1)).alias("k"), F.count("*").alias("n"), F.sum("velo").alias("v")
-    )
-    daily = daily.join(starts, ["who", "season", "day"], "left").fillna(0, ["starts", "bf"])
-    names = ["apps", "starts", "bf", "k", "n", "v"]
-    run = asof.running_totals(daily, ["who", "season"], "day", {c: F.col(c) for c in names})
-    run = run.select("who", "season", "day", F.col("day").alias("last"), (F.col("starts") > 0).alias("last_started"), *[f"cum_{c}" for c in names])
-    before = daily.groupBy("who", (F.col("season") + 1).alias("season")).agg(*[F.sum(c).alias(f"y_{c}") for c in names])
-    league = daily.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("k") / F.sum("n")).alias("mu"))
-    x = asof.asof_join(starter, run, ["who", "season"], "date", "day").join(before, ["who", "season"], "left").join(F.broadcast(league), "season", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    mu = F.coalesce("mu", F.lit(0.2))
-    k_rate = (zero("cum_k") + 0.6 * zero("y_k") + 60 * mu) / (zero("cum_n") + 0.6 * zero("y_n") + 60)
-    usual = F.when(F.col("y_starts") > 0, F.col("y_bf") / F.col("y_starts")).otherwise(1.6)
-    x = x.withColumn("e", (zero("cum_bf") + 3.0 * usual) / (zero("cum_starts") + 3)).withColumn("rest", F.datediff("date", "last"))
-    sd = F.lit(1.2)
-    excess = lambda cap: F.col("e") - fn.capped_mean(F.col("e"), sd, F.lit(cap))
-    share = F.when(F.col("cum_apps") > 0, F.col("cum_starts") / F.col("cum_apps")).when(F.col("y_apps") > 0, F.col("y_starts") / F.col("y_apps"))
-    opener = (~F.col("last_started") & (F.col("rest") <= 4)) | (share < 0.3) | (F.col("e") < 1.3)
-    rookie = F.col("y_n").isNull()
-    return x.select(
-        "game_id", "fld_team", F.col("who").alias("starter_id"), r(3 * (k_rate - mu) + F.when(rookie, 0.1).otherwise(0.0), 10).alias("skill"), rookie.alias("rookie"),
-        r(F.when((F.col("cum_n") >= 3) & ~rookie, F.col("cum_v") / F.col("cum_n") - F.col("y_v") / F.col("y_n")), 10).alias("velo_delta"), r(F.col("e"), 10).alias("exp_bf"),
-        F.when(F.col("rest").isNull(), "first").when(F.col("rest") <= 4, "short").when(F.col("rest") <= 6, "usual").otherwise("long").alias("rest_bucket"),
-        r(F.col("e") - excess(2.0), 5).alias("share_f5"), r(excess(1.5) - excess(2.5), 5).alias("third_time"), F.coalesce(opener, F.lit(False)).alias("opener"),
-    )
-
-
 @query(
     "survey_op38_game_weather",
     f"""{WITH_GAMES}, h AS (SELECT CAST(user_id % 25 AS INT) AS venue_id, CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS hour, round(avg(value), 3) AS temp, CAST(count(*) % 17 AS DOUBLE) AS speed, CAST(sum(event_id) % 360 AS DOUBLE) AS dir, max(event_id) % 5 = 0 AS rain FROM events GROUP BY ALL),
