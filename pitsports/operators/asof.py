@@ -118,3 +118,21 @@ def at_cutoffs(questions: DataFrame, daily: DataFrame, by: Sequence[str], cutoff
     """
     found = asof_join(questions.select(*by, cutoff).distinct(), daily, by, cutoff, day)
     return questions.join(found, [*by, cutoff], "left")
+
+
+def price_in_effect(questions: DataFrame, ticks: DataFrame, by: Sequence[str], at: str, close: str, ts: str, max_days: int) -> DataFrame:
+    """Each question with the tick in effect at its time ``at``: the last one at or before it, but none after ``close``.
+
+    Adds the tick's columns, ``clipped`` (the last tick at ``at`` came after the close, so the one in effect at the close
+    holds) and ``stale`` (it is more than ``max_days`` days older than ``at``; its columns are null then). ``ticks`` are
+    unique by ``by`` and ``ts``.
+    """
+    values = [c for c in ticks.columns if c not in by]
+    facts = ticks.select(*by, F.col(ts).alias("_ts"), F.struct(*values).alias("_now"))
+    now = asof_join(questions, facts, by, at, "_ts", strict=False)
+    both = asof_join(now, facts.withColumnRenamed("_now", "_closing"), by, close, "_ts", strict=False)
+    clipped = F.coalesce(F.col(f"_now.{ts}") > F.col(close), F.lit(False))
+    used = F.when(clipped, F.col("_closing")).otherwise(F.col("_now"))
+    out = both.withColumn("_used", used).withColumn("clipped", clipped)
+    out = out.withColumn("stale", F.coalesce(F.col(at) - F.expr(f"interval {max_days} days") > F.col(f"_used.{ts}"), F.lit(False)))
+    return out.select(*questions.columns, *[F.when(~F.col("stale"), F.col(f"_used.{c}")).alias(c) for c in values], "clipped", "stale")

@@ -133,3 +133,23 @@ def two_scale_grid(cells: DataFrame, keys: Sequence[str], x: str, z: str, s: str
         full = full.join(blurred.select(*at, F.col(s).alias(f"{name}s"), F.col(n).alias(f"{name}n")), at, "left")
     rate = lambda name, pull, to: (F.coalesce(f"{name}s", F.lit(0.0)) + pull * to) / (F.coalesce(f"{name}n", F.lit(0.0)) + pull)
     return full.select(*at, rate("_f", pull_fine, rate("_w", pull_wide, F.col("_m"))).alias("p"))
+
+
+def shape_table(rows: DataFrame, value: str, fine: Sequence[str], coarse: Sequence[str], top: int, least: int) -> DataFrame:
+    """How ``value`` (counts above 0, held to ``top``) is distributed in each state: (fine, k, p, n, level) for k in 1..top.
+
+    A state with fewer than ``least`` rows takes the distribution of its coarser state, and that, if it has too few as well,
+    the one of all rows: ``level`` is fine, coarse or all, and ``n`` its rows. Each state's p add up to 1.
+    """
+    counted = rows.where(F.col(value) > 0).withColumn("k", F.least(F.col(value), F.lit(top)).cast("int"))
+    states = rows.select(*fine, *[c for c in coarse if c not in fine]).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
+    out = states
+    for level, by in (("fine", fine), ("coarse", coarse), ("all", [])):
+        cells = counted.groupBy(*by, "k").agg(F.count("*").alias(f"_{level}"))
+        whole = counted.groupBy(*by).agg(F.count("*").alias(f"_n_{level}"))
+        out = out.join(F.broadcast(cells), [*by, "k"], "left")  # a row a state and count
+        out = out.join(F.broadcast(whole), list(by), "left") if by else out.crossJoin(F.broadcast(whole))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    pick = lambda of: F.when(zero("_n_fine") >= least, of("fine")).when(zero("_n_coarse") >= least, of("coarse")).otherwise(of("all"))
+    p = pick(lambda level: zero(f"_{level}") / F.col(f"_n_{level}"))
+    return out.select(*states.columns, p.alias("p"), pick(lambda level: F.col(f"_n_{level}")).alias("n"), pick(lambda level: F.lit(level)).alias("level"))

@@ -38,11 +38,29 @@ def block_bootstrap(rows: DataFrame, value: str, weight: str, block: str, draws:
     return picked.groupBy("draw").agg((F.sum("x") / F.sum("w")).alias("mean"))
 
 
-def interval(draws: DataFrame, level: float = 0.9) -> DataFrame:
-    """One row: lo, hi and share of draws above 0."""
+def joint_bootstrap(rows: DataFrame, value: str, weight: str, block: str, groups: list[str], draws: int, seed: int = 7) -> DataFrame:
+    """Weighted means by group of ``draws`` resamples of whole blocks that all groups share: (groups, draw, mean).
+
+    How often a block is in a resample is drawn once, by :func:`drawn`, as a table (draw, block, times); the sums of every
+    group and block meet it in one join, so groups are paired and need no job each. A group without weight in a resample
+    has a null mean. Only block sums meet the draws.
+    """
+    sums = rows.groupBy(*groups, block).agg(F.sum(F.col(weight) * F.col(value)).alias("_x"), F.sum(weight).alias("_w"))
+    blocks = rows.select(block).distinct()
+    numbered = blocks.withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)  # a row a block, not a row a fact
+    n = blocks.agg(F.count("*").alias("_n"))
+    places = numbered.select("_i").crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = places.select("draw", (drawn(seed, F.col("draw"), F.col("_i")) % F.col("_n")).cast("int").alias("_i"))
+    times = picks.groupBy("draw", "_i").agg(F.count("*").alias("_k")).join(numbered, "_i").select("draw", block, "_k")
+    out = sums.join(times, block).groupBy(*groups, "draw")
+    return out.agg((F.sum(F.col("_k") * F.col("_x")) / F.nullif(F.sum(F.col("_k") * F.col("_w")), F.lit(0.0))).alias("mean"))
+
+
+def interval(draws: DataFrame, level: float = 0.9, groups: list[str] | None = None) -> DataFrame:
+    """One row (for each of ``groups``): lo, hi, share of draws above 0, and their standard deviation."""
     tail = (1 - level) / 2
-    return draws.agg(
-        F.percentile("mean", F.lit(tail)).alias("lo"), F.percentile("mean", F.lit(1 - tail)).alias("hi"), F.avg((F.col("mean") > 0).cast("double")).alias("above")
+    return draws.groupBy(*(groups or [])).agg(
+        F.percentile("mean", F.lit(tail)).alias("lo"), F.percentile("mean", F.lit(1 - tail)).alias("hi"), F.avg((F.col("mean") > 0).cast("double")).alias("above"), F.stddev_samp("mean").alias("se")
     )
 
 

@@ -257,15 +257,3 @@ def pitcher_form(spark, sf):
     )
 
 
-@query(
-    "survey_op40_price_in_effect",
-    f"""{WITH_GAMES}, ticks AS (
-  SELECT l_orderkey AS game_id, l_shipdate AS ts, max(l_discount) AS price FROM lineitem GROUP BY ALL
-), q AS (SELECT game_id, CAST(date AS TIMESTAMP) AS t FROM games)
-SELECT q.game_id, k.price, CAST(k.ts AS VARCHAR) AS tick_at FROM q ASOF LEFT JOIN (SELECT * FROM ticks) k ON q.game_id = k.game_id AND q.t >= k.ts""",
-)
-def price_in_effect(spark, sf):
-    ticks = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_shipdate").alias("ts")).agg(F.max("l_discount").alias("price"))
-    q = games(spark, sf).select("game_id", F.col("date").cast("timestamp_ntz").alias("t"))
-    out = asof.asof_join(q, ticks.select("game_id", "ts", F.col("ts").alias("tick_ts"), "price"), ["game_id"], "t", "ts", strict=False)
-    return out.select("game_id", "price", F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick_at"))

@@ -187,6 +187,14 @@ def bootstrap_sql(source: str, draws: int, seed: int, name: str) -> str:
 {name}_p AS (SELECT draw, {drawn_sql(seed)} % n AS pick FROM {name}_s, {name}_n, (SELECT CAST(unnest(range(0, {draws})) AS BIGINT) AS draw)), {name} AS (SELECT draw, sum(x) / sum(w) AS mean FROM {name}_p JOIN {name}_s ON {name}_s.i = pick GROUP BY draw)"""
 
 
+def joint_bootstrap_sql(source: str, groups: list[str], draws: int, seed: int, name: str) -> str:
+    """CTEs of :func:`pitsports.operators.stats.joint_bootstrap` over ``source`` (groups, x, w, block): ``<name>`` has (groups, draw, mean)."""
+    g = ", ".join(groups)
+    return f"""{name}_s AS (SELECT {g}, block, sum(w * x) AS x, sum(w) AS w FROM {source} GROUP BY ALL), {name}_b AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS i FROM (SELECT DISTINCT block FROM {source})), {name}_n AS (SELECT count(*) AS n FROM {name}_b),
+{name}_p AS (SELECT draw, {drawn_sql(seed)} % n AS pick, count(*) AS times FROM {name}_b, {name}_n, (SELECT CAST(unnest(range(0, {draws})) AS BIGINT) AS draw) GROUP BY ALL),
+{name} AS (SELECT {g}, draw, sum(times * x) / nullif(sum(times * w), 0) AS mean FROM {name}_s JOIN {name}_b USING (block) JOIN {name}_p ON pick = i GROUP BY ALL)"""
+
+
 def eliminated_sql(name: str, k: int, carry: str = "") -> str:
     """CTEs that solve the k equations in the columns a<i>_<j> of the one-row ``name`` (right side: a<i>_<k>) by elimination;
     the solution is a<i>_<k> of ``<name>_<k>``. Columns ``carry`` are passed on."""

@@ -262,21 +262,6 @@ def market(spark, sf):
     return m.join(lines, "game_id")
 
 
-@query(
-    "survey_op42_bet_frame",
-    f"""WITH q AS ({PRICES}), g AS (SELECT game_id, avg(a / (a + b)) AS q_t, max(a / (a + b)) AS q_c, min(1 / a) AS dec FROM q GROUP BY ALL), f AS (SELECT *, 0.5 * q_t + 0.5 * (0.35 + (game_id % 30) / 100.0) AS p FROM g)
-SELECT game_id, round(p, 6) AS p, round(p * dec - 1, 6) AS ev, round(q_c - q_t, 6) AS moved, CASE WHEN game_id % 2 = 0 THEN round(dec - 1, 6) ELSE -1.0 END AS pnl FROM f WHERE p * dec - 1 > 0.02 AND abs(p - q_t) < 0.10""",
-)
-def bets(spark, sf):
-    q = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), (0.40 + F.col("l_quantity") / 200).alias("a"), (0.65 - F.col("l_quantity") / 200).alias("b"))
-    fair = F.col("a") / (F.col("a") + F.col("b"))
-    g = q.groupBy("game_id").agg(F.avg(fair).alias("q_t"), F.max(fair).alias("q_c"), F.min(1 / F.col("a")).alias("dec"))
-    g = g.withColumn("p", 0.5 * F.col("q_t") + 0.5 * (0.35 + (F.col("game_id") % 30) / 100.0))
-    ev = F.col("p") * F.col("dec") - 1
-    pnl = F.when(F.col("game_id") % 2 == 0, r(F.col("dec") - 1)).otherwise(-1.0)
-    return g.where((ev > 0.02) & (F.abs(F.col("p") - F.col("q_t")) < 0.10)).select("game_id", r(F.col("p")).alias("p"), r(ev).alias("ev"), r(F.col("q_c") - F.col("q_t")).alias("moved"), pnl.alias("pnl"))
-
-
 @query(
     "survey_op44_devig_by_log_loss",
     f"""WITH RECURSIVE q AS ({PRICES}), pairs AS (SELECT DISTINCT a, b FROM q), bis AS (SELECT a, b, CAST(0.2 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi, 0 AS i FROM pairs UNION ALL SELECT a, b, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM bis WHERE i < 60),
@@ -305,23 +290,6 @@ def bootstrap(spark, sf):
     return stats.interval(draws).select(r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"), "above")
 
 
-@query(
-    "survey_op47_bet_summary",
-    f"""{WITH_TEAM_GAMES}, bets AS (SELECT is_home, CAST(runs - allowed AS DOUBLE) AS x, 1.0 AS w, (date - DATE '1970-01-01') // 7 AS block FROM team_games), h AS (SELECT * FROM bets WHERE is_home), a AS (SELECT * FROM bets WHERE NOT is_home), {bootstrap_sql("h", 200, 1, "bh")}, {bootstrap_sql("a", 200, 2, "ba")},
-i AS (SELECT TRUE AS is_home, round(quantile_cont(mean, 0.05), 6) AS lo, round(quantile_cont(mean, 0.95), 6) AS hi FROM bh UNION ALL SELECT FALSE, round(quantile_cont(mean, 0.05), 6), round(quantile_cont(mean, 0.95), 6) FROM ba),
-s AS (SELECT is_home, count(*) AS bets, round(avg(x), 6) AS mean, CAST(sum(x) AS BIGINT) AS units, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0 END), 6) AS won FROM bets GROUP BY is_home) SELECT s.*, lo, hi FROM s JOIN i ON i.is_home = s.is_home""",
-)
-def bet_summary(spark, sf):
-    """Bets, mean, units, share won, and the interval of the mean by resampled weeks, at home and away."""
-    t = team_games(spark, sf).select("is_home", (F.col("runs") - F.col("allowed")).cast("double").alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
-    out = t.groupBy("is_home").agg(F.count("*").alias("bets"), r(F.avg("x")).alias("mean"), F.sum("x").cast("long").alias("units"), r(F.avg(F.when(F.col("x") > 0, 1.0).otherwise(0.0))).alias("won"))
-    ranges = None
-    for home, seed in ((True, 1), (False, 2)):
-        one = stats.interval(stats.block_bootstrap(t.where(F.col("is_home") == home), "x", "w", "block", 200, seed)).select(F.lit(home).alias("is_home"), r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi"))
-        ranges = one if ranges is None else ranges.unionByName(one)
-    return out.join(F.broadcast(ranges), "is_home")
-
-
 @query(
     "survey_op48_ranked_scores",
     f"""WITH RECURSIVE {WITH_TEAM_GAMES[5:]}, m AS (SELECT venue_id, 3.0 + venue_id % 5 * 0.5 AS mu FROM (SELECT DISTINCT venue_id FROM team_games)), g AS (SELECT venue_id, mu, 0 AS k, pow(4.0 / (4.0 + mu), 4.0) AS p FROM m UNION ALL SELECT venue_id, mu, k + 1, p * (k + 4.0) / (k + 1) * mu / (4.0 + mu) FROM g WHERE k < 15),
@@ -353,18 +321,6 @@ s{i + 1} AS (SELECT b0 + (a11 * h0 - a01 * h1) / (a00 * a11 - a01 * a01) AS b0,
     return out
 
 
-@query(
-    "survey_op50_calibration_fit",
-    f"""WITH c AS (SELECT ln((0.2 + (o_orderkey % 997) / 1700.0) / (1 - (0.2 + (o_orderkey % 997) / 1700.0))) AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders), cells AS (SELECT x, y, count(*) AS n FROM c GROUP BY ALL), {_newton_sql(8)}
-SELECT round(b0, 6) AS intercept, round(b1, 6) AS slope FROM s8""",
-)
-def calibration(spark, sf):
-    """Slope and intercept of outcomes on the logit of a forecast, by Newton steps over counted cells."""
-    c = table(spark, sf, "orders").select((0.2 + (F.col("o_orderkey") % 997) / 1700.0).alias("p"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"))
-    b = fit.logistic(c, F.col("y"), [fn.logit(F.col("p"))], discrete=True)
-    return spark.range(1).select(F.lit(round(b[0], 6)).alias("intercept"), F.lit(round(b[1], 6)).alias("slope"))
-
-
 def _scoring_sql(steps: int) -> str:
     """CTEs c0, c1, ...: Fisher scoring of counts y on x0, x1, x2 in ``cells``, dispersion 0.2, ridge 1e-6."""
     out = "c0 AS (SELECT ln(sum(n * y) / sum(n)) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM cells)"
@@ -394,10 +350,3 @@ def design(spark, sf):
     return fit.standardised(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", r(F.col("z_c_acctbal")).alias("z"))
 
 
-@query(
-    "survey_op57_late_inning_facts",
-    f"{WITH_PITCHES} SELECT game_id, half, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no < 4), 0) AS BIGINT) AS going_in, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no >= 4), 0) AS BIGINT) AS scored FROM pitches GROUP BY ALL",
-)
-def late(spark, sf):
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("velo"))), F.lit(0.0)).cast("long")
-    return pitches(spark, sf).groupBy("game_id", "half").agg(part(F.col("pitch_no") < 4).alias("going_in"), part(F.col("pitch_no") >= 4).alias("scored"))

@@ -99,38 +99,6 @@ def mix(spark, sf):
     return pitches(spark, sf).groupBy("game_id", "fld_team").agg(r(0.6 * part(n <= 2) + 0.25 * part(n.between(3, 4)) + 0.15 * part(n > 4)).alias("mix"))
 
 
-@query(
-    "survey_op46_model_comparison",
-    f"""{WITH_GAMES}, f AS (SELECT season, month(date) >= 7 AS late, CASE WHEN home_final > away_final THEN 1.0 ELSE 0 END AS y, 0.30 + (game_id % 40) / 100.0 AS a, 0.45 AS b FROM games)
-SELECT season, late, count(*) AS n, round(avg(-(y * ln(a) + (1 - y) * ln(1 - a)) + (y * ln(b) + (1 - y) * ln(1 - b))), 6) AS diff FROM f GROUP BY ALL""",
-)
-def comparison(spark, sf):
-    y = F.when(F.col("home_final") > F.col("away_final"), 1.0).otherwise(0.0)
-    diff = fn.log_loss(y, 0.30 + (F.col("game_id") % 40) / 100.0) - fn.log_loss(y, F.lit(0.45))
-    return games(spark, sf).groupBy("season", (F.month("date") >= 7).alias("late")).agg(F.count("*").alias("n"), r(F.avg(diff)).alias("diff"))
-
-
-@query(
-    "survey_op54_spread_shrink",
-    f"{WITH_GAMES}, x AS (SELECT game_id, date, home_final + away_final AS total, home_final - away_final AS margin FROM games), s AS (SELECT *, 0.5 * total AS t, 0.7 * margin AS m FROM x) SELECT game_id, round((t + m) / 2 + avg(0.5 * total) OVER (PARTITION BY date) / 2, 6) AS home, round((t - m) / 2 + avg(0.5 * total) OVER (PARTITION BY date) / 2, 6) AS away FROM s",
-)
-def shrink(spark, sf):
-    g = games(spark, sf).select("game_id", "date", (F.col("home_final") + F.col("away_final")).alias("total"), (F.col("home_final") - F.col("away_final")).alias("margin"))
-    back = F.avg(0.5 * F.col("total")).over(Window.partitionBy("date")) / 2
-    t, m = 0.5 * F.col("total"), 0.7 * F.col("margin")
-    return g.select("game_id", r((t + m) / 2 + back).alias("home"), r((t - m) / 2 + back).alias("away"))
-
-
-@query(
-    "survey_op55_spread_grid_search",
-    f"""{WITH_TEAM_GAMES}, m AS (SELECT avg(runs) AS m FROM team_games) SELECT a, round(avg(pow(runs - (m + a * ((venue_id % 5) - 2)), 2)), 6) AS mse FROM team_games, m, (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS a) GROUP BY a""",
-)
-def spread_grid(spark, sf):
-    t = team_games(spark, sf)
-    x = t.crossJoin(F.broadcast(t.agg(F.avg("runs").alias("m")))).withColumn("a", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.25, 0.5, 1.0)])))
-    return x.groupBy("a").agg(r(F.avg(F.pow(F.col("runs") - (F.col("m") + F.col("a") * (F.col("venue_id") % 5 - 2)), 2))).alias("mse"))
-
-
 @query("survey_op56_level_table", f"{WITH_TEAM_GAMES}, l AS (SELECT season, is_home, avg(runs) AS level FROM team_games GROUP BY ALL) SELECT game_id, team, round(ln(level), 6) AS offset FROM team_games t JOIN l ON l.season = t.season AND l.is_home = t.is_home".replace("AS offset", 'AS "offset"'))
 def levels(spark, sf):
     t = team_games(spark, sf)
@@ -138,16 +106,6 @@ def levels(spark, sf):
     return t.join(level, ["season", "is_home"]).select("game_id", "team", r(F.log("level")).alias("offset"))
 
 
-@query(
-    "survey_op58_state_rates",
-    f"{WITH_PITCHES}, f AS (SELECT game_id, half, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no < 4), 0) AS BIGINT) // 25 AS state, CAST(coalesce(sum(velo) FILTER (WHERE pitch_no >= 4), 0) AS BIGINT) AS scored FROM pitches GROUP BY ALL) SELECT state, count(*) AS n, round((sum(CASE WHEN scored > 50 THEN 1 ELSE 0 END) + 1.0) / (count(*) + 2), 6) AS rate FROM f GROUP BY state",
-)
-def state_rates(spark, sf):
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("velo"))), F.lit(0.0))
-    f = pitches(spark, sf).groupBy("game_id", "half").agg(F.floor(part(F.col("pitch_no") < 4) / 25).alias("state"), part(F.col("pitch_no") >= 4).alias("scored"))
-    return f.groupBy("state").agg(F.count("*").alias("n"), r((F.count(F.when(F.col("scored") > 50, 1)) + 1.0) / (F.count("*") + 2)).alias("rate"))
-
-
 @query("survey_op59_setting_sweep", f"{WITH_TEAM_GAMES}, t AS (SELECT team, season, sum(runs) AS s, count(*) AS n FROM team_games GROUP BY ALL), m AS (SELECT avg(runs) AS mu FROM team_games) SELECT k, round(avg(pow(b.s * 1.0 / b.n - (a.s + k * mu) / (a.n + k), 2)), 8) AS mse FROM t a JOIN t b ON b.team = a.team AND b.season = a.season + 1, m, (SELECT unnest([0.0, 50.0, 200.0, 800.0]) AS k) GROUP BY k")
 def sweep(spark, sf):
     tg = team_games(spark, sf)
@@ -157,25 +115,6 @@ def sweep(spark, sf):
     return x.groupBy("k").agg(r(F.avg(F.pow(F.col("next") - (F.col("s") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k")), 2)), 8).alias("mse"))
 
 
-@query(
-    "survey_op60_adoption_rule",
-    f"""{WITH_TEAM_GAMES}, src AS (SELECT venue_id % 4 AS g, runs - 3.9 AS x, 1.0 AS w, (date - DATE '1970-01-01') // 7 AS block FROM team_games), {", ".join(f"t{g} AS (SELECT * FROM src WHERE g = {g}), " + bootstrap_sql(f"t{g}", 200, g, f"b{g}") for g in range(4))},
-p AS ({" UNION ALL ".join(f"SELECT {g} AS g, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0 END) AS p FROM b{g}" for g in range(4))}), k AS (SELECT *, row_number() OVER (ORDER BY p, g) AS rank FROM p)
-SELECT g, p, CAST(rank AS INT) AS rank, max(CASE WHEN p <= 0.10 / (5 - rank) THEN 0 ELSE 1 END) OVER (ORDER BY rank) = 0 AS adopted FROM k""",
-)
-def adoption(spark, sf):
-    """Holm ordering of groups by the share of bootstrap draws at or below 0: rank, share, adopted at 10 %."""
-    t = team_games(spark, sf).select((F.col("venue_id") % 4).alias("g"), (F.col("runs") - 3.9).alias("x"), F.lit(1.0).alias("w"), F.floor(F.unix_date("date") / 7).alias("block"))
-    out = None
-    for g in range(4):
-        one = stats.block_bootstrap(t.where(F.col("g") == g), "x", "w", "block", 200, seed=g).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("p")).select(F.lit(g).alias("g"), "p")
-        out = one if out is None else out.unionByName(one)
-    rank = F.row_number().over(Window.orderBy("p", "g"))
-    groups = F.count("*").over(Window.partitionBy())  # a row a group
-    held = F.max(F.when(F.col("p") <= 0.10 / (groups + 1 - F.col("rank")), 0).otherwise(1)).over(Window.orderBy("rank"))
-    return out.withColumn("rank", rank).withColumn("adopted", held == 0)
-
-
 @query("snk1_append_partitioned", f"{WITH_GAMES} SELECT season, count(*) AS n FROM games GROUP BY season")
 def append(spark, sf):
     """Two chunks appended to a season-partitioned table; an empty chunk is skipped."""
