@@ -70,6 +70,8 @@ LINK_SHARE = 0.5
 SHORT_CHARS = 60
 GOOD_STOPS = 0.25
 NEAR_STOPS = 0.10
+#: Code points that make a text long in a script without spaces; code points and spaces of a long sentence without stop words.
+SPACELESS_CHARS, FOREIGN_CHARS, FOREIGN_WORDS = 25, 200, 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
@@ -79,7 +81,13 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDED_BY_P, _ENDED_BY_LI = {"p"} | HEADINGS, {"p", "li"} | HEADINGS
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "iframe", "noscript", "template", "svg", "canvas")}
+#: Dropped elements whose content is text up to their first end tag; the others may hold their like, and end with their own.
+_RAW = {"script", "style", "textarea", "iframe", "noscript"}
+_ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*+(?:>|$)", re.I) for t in DROPPED - {"head"}}
+#: Scripts that are written without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Chinese characters).
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_PUNCTUATED = re.compile("[\u3001\u3002\uff01\uff0c\uff0e\uff1f\u2026\u104a\u104b\u17d4]")
+_SENTENCE_END = re.compile(r"[.!?\u061f\u06d4\u0964][\"'\u00bb\u201d)]*$")
 
 
 @dataclass(slots=True)
@@ -132,6 +140,20 @@ class _Open:
         return self.stack[-1][3] if self.stack else 0
 
 
+def _behind(page: str, at: int, tag: str) -> int:
+    """Where a dropped element that opened before ``at`` ends. One that never ends takes the rest of the page if its content
+    is raw text; of others only the tag itself is dropped."""
+    depth = 1
+    for m in _ENDS[tag].finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag not in _RAW and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page) if tag in _RAW or tag in ("svg", "template") else at
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, empty ones left out."""
     out: list[Block] = []
@@ -171,11 +193,10 @@ def blocks_of(page: str) -> list[Block]:
                 while opened.tags.get(tag) and opened.pop() != tag:
                     pass
             continue
-        if tag in _RAW_END and not m["attrs"].rstrip().endswith("/"):
+        if tag in _ENDS and not m["attrs"].rstrip().endswith("/"):
             if tag not in ("svg", "canvas"):
                 parts.append(" ")
-            e = _RAW_END[tag].search(page, at)
-            at = e.end() if e else n
+            at = _behind(page, at, tag)
             continue
         if tag == "head":
             e = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
@@ -206,6 +227,19 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _prose(text: str, stops: float) -> str | None:
+    """What length and punctuation say where stop words cannot: good or near for long text in a script without spaces, good
+    for a long sentence of a language of which no stop word is known."""
+    letters = len(_SPACELESS.findall(text))
+    if 2 * letters > len(text.replace(" ", "")):
+        if letters < SPACELESS_CHARS:
+            return None
+        return "good" if letters >= 3 * SPACELESS_CHARS or _PUNCTUATED.search(text) else "near"
+    if not stops and len(text) >= FOREIGN_CHARS and text.count(" ") >= FOREIGN_WORDS and _SENTENCE_END.search(text):
+        return "good"
+    return None
+
+
 def first_labels(blocks: list[Block]) -> list[str]:
     """Pass 1: good, bad, near or short for each block."""
     has_article = any(b.article and not b.boilerplate for b in blocks)
@@ -215,6 +249,9 @@ def first_labels(blocks: list[Block]) -> list[str]:
             labels.append("bad")
             continue
         stops, long = _stop_share(b.text), len(b.text) >= SHORT_CHARS
+        if stops < NEAR_STOPS and not b.heading and (label := _prose(b.text, stops)):
+            labels.append(label)
+            continue
         if long and stops >= GOOD_STOPS and not b.heading:
             labels.append("good")
         elif long and (stops >= NEAR_STOPS or b.article):

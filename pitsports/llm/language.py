@@ -11,8 +11,8 @@ Training takes a bounded sample of labelled documents (``sample`` a language and
 whose id hashes lowest); every language has its share, and every context of the sample is kept. Counting runs on Spark;
 only the summed counts of the bounded sample come to the driver. Scoring visits every whole text.
 
-*Scoring.* The code lengths of all four-byte strings met in training are worked out once for all languages and found
-through a hash table; other strings are looked up in the trees, each distinct one of a batch once.
+*Scoring.* Trained strings are found through a hash table; of a block of bytes the distinct four-byte strings are coded in
+the trees, once for each language, and summed text by text.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties go to the language first in the alphabet;
 rows with null ids or null languages are scored but not learned from; an empty training set predicts ``und`` for all;
@@ -31,20 +31,29 @@ from pitsports.llm.common import batches
 ORDER = 3
 #: Documents that are learned from (documented bounds): of each language, and of all languages together.
 SAMPLE, TOTAL = 2_000, 200_000
+#: Bytes of text that are worked on at a time, however long the texts are.
+BLOCK = 1 << 20
 
 
 def _grams(frames):
-    """Counts of (language, ORDER bytes of context and the byte after it), summed inside each batch.
+    """Counts of (language, ORDER bytes of context and the byte after it), summed inside each block.
 
     Every text starts after ORDER zero bytes, so its first bytes have contexts too.
     """
     for pdf in frames:
         for lang, part in pdf.groupby("lang"):
             for piece in batches([part]):
-                buf = np.frombuffer(b"".join(b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in piece["text"]) + b"\0" * ORDER, np.uint8).astype(np.uint32)
-                key = (buf[:-3] << 24) | (buf[1:-2] << 16) | (buf[2:-1] << 8) | buf[3:]
-                key, n = np.unique(key[buf[3:] != 0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": key.astype(np.int64), "n": n.astype(np.int64)})
+                data = b"".join(b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in piece["text"]) + b"\0" * ORDER
+                for _, key in _windows(np.frombuffer(data, np.uint8)):
+                    key, n = np.unique(key[key & 0xFF != 0], return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": key.astype(np.int64), "n": n.astype(np.int64)})
+
+
+def _windows(raw: np.ndarray):
+    """(first place, all ORDER + 1 bytes from each place on as one number) of ``raw``, in blocks of bounded size."""
+    for a in range(0, max(0, len(raw) - ORDER), BLOCK):
+        x = raw[a : a + BLOCK + ORDER].astype(np.uint32)
+        yield a, (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
 
 
 def count(docs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
@@ -59,7 +68,11 @@ def count(docs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     chosen = usable.select("doc_id", "lang").join(F.broadcast(sizes) if n_langs <= TOTAL else sizes, "lang")
     chosen = chosen.where(place < F.lit(float(each)) / F.col("in_lang")).select("doc_id", "lang")
     texts = usable.join(F.broadcast(chosen) if n_langs <= TOTAL else chosen, ["doc_id", "lang"], "left_semi")
-    return texts.select("text", "lang").mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.select("text", "lang").mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # numbers, and one name a row group: no objects by row
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    lang = pd.Categorical.from_codes(names.indices.to_numpy(), names.dictionary.to_pylist()) if len(found) else []
+    return pd.DataFrame({"lang": lang, "gram": found.column("gram").to_numpy(), "n": found.column("n").to_numpy()})
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +94,12 @@ class Tree:
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         #: by order: strings and their counts
         self.strings = [_summed(gram & ((1 << 8 * (k + 1)) - 1), n) for k in range(ORDER + 1)]
+        self._fill()
+        # 32 bits hold every string and every count of the bounded sample
+        self.strings = [(s.astype(np.uint32), c.astype(np.uint32)) for s, c in self.strings]
+        self.contexts = [tuple(x.astype(np.uint32) for x in c) for c in self.contexts]
+
+    def _fill(self) -> None:
         #: by order: contexts, the bytes after each, the distinct ones, and both of the next shorter context without these
         self.contexts = []
         for k, (strings, counts) in enumerate(self.strings):
@@ -100,21 +119,22 @@ class Tree:
         out = np.zeros(len(gram))
         live = np.arange(len(gram))
         total = distinct = np.full(len(gram), -1.0)  # of the context at hand, exclusions made; -1: as counted
+        gram = gram.astype(np.uint32)
         for k in range(ORDER, -1, -1):
-            g = gram[live] & ((1 << 8 * (k + 1)) - 1)
+            g = gram[live] & np.uint32((1 << 8 * (k + 1)) - 1)
             contexts, all_total, all_distinct, next_total, next_distinct = self.contexts[k]
-            c, known = _at(contexts, g >> 8)
+            c, known = _at(contexts, g >> np.uint32(8))
             t = np.where(total < 0, all_total[c], total)
             d = np.where(total < 0, all_distinct[c], distinct)
             s, hit = _at(self.strings[k][0], g)
             hit &= known
-            out[live[hit]] -= np.log2(self.strings[k][1][s[hit]] / (t[hit] + d[hit]))
+            out[live[hit]] -= np.log2(self.strings[k][1][s[hit]].astype(float) / (t[hit] + d[hit]))
             escaped = known & ~hit & (d > 0)  # where nothing is left but excluded bytes, the escape is certain
             out[live[escaped]] -= np.log2(d[escaped] / (t[escaped] + d[escaped]))
             total = np.where(known, next_total[c], total)[~hit]
             distinct = np.where(known, next_distinct[c], distinct)[~hit]
             live = live[~hit]
-        out[live] += np.log2(256 - self.contexts[0][2][0])
+        out[live] += np.log2(256 - float(self.contexts[0][2][0]))
         return out
 
 
@@ -150,18 +170,19 @@ class Table:
 
 
 class Model:
-    """Frozen code lengths: a tree for each language, and the bits of all trained strings, a column for each language."""
+    """Frozen code lengths: a tree for each language, and the places of all trained strings."""
 
     size = 256
 
     def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
         gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        own = [(counts["lang"] == lang).to_numpy() for lang in self.langs]
-        self.trees = [Tree(gram[x], n[x]) for x in own]
-        self.grams = np.unique(gram)
+        codes, names = pd.factorize(counts["lang"], sort=True)
+        self.langs = [str(x) for x in names]
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=len(self.langs)))[:-1] if self.langs else []
+        self.trees = [Tree(gram[x], n[x]) for x in (np.split(order, ends) if self.langs else [])]
+        self.grams = np.unique(gram).astype(np.uint32)
         self.table = Table(self.grams)
-        self.known = self._of(self.grams).astype(np.float32)
 
     def _of(self, gram: np.ndarray) -> np.ndarray:
         return np.column_stack([t.bits(gram) for t in self.trees]) if self.trees else np.zeros((len(gram), 0))
@@ -169,23 +190,39 @@ class Model:
     @property
     def bits(self) -> np.ndarray:
         """Code lengths of all ``size`` bytes after each context of ``ORDER`` bytes met in training, for each language."""
-        return self._of(((np.unique(self.grams >> 8)[:, None] << 8) + np.arange(self.size)).ravel())
+        return self._of(((np.unique(self.grams.astype(np.int64) >> 8)[:, None] << 8) + np.arange(self.size)).ravel())
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        """Code length in bits of every text under every language."""
-        enc = [t.encode("utf-8", "surrogatepass") for t in texts]
-        raw = np.frombuffer(b"".join(b"\0" * ORDER + e for e in enc), np.uint8).astype(np.uint32)
-        starts = np.cumsum([0, *[len(e) + ORDER for e in enc]])[:-1]
-        gram = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        row = self.table.find(gram)
-        each = self.known[row] if len(self.known) else np.zeros((len(gram), len(self.langs)), np.float32)
-        new = row < 0
-        rare, at = np.unique(gram[new].astype(np.int64), return_inverse=True)
-        each[new] = self._of(rare)[at]
-        bits = np.zeros((len(raw) + 1, len(self.langs)))
-        np.cumsum(each, axis=0, dtype=np.float64, out=bits[ORDER + 1 :])
-        stops = np.append(starts[1:], len(raw))
-        return bits[stops] - bits[starts + ORDER]
+        """Code length in bits of every text under every language.
+
+        The bytes of all texts are worked on in blocks; the distinct strings of a block are coded once for each language,
+        and a text's sum adds up block by block, so memory depends neither on a text's length nor on the languages.
+        """
+        enc = [b"\0" * ORDER + t.encode("utf-8", "surrogatepass") for t in texts]
+        starts = np.cumsum([0, *map(len, enc)])
+        out = np.zeros((len(texts), len(self.langs)))
+        for first, gram in _windows(np.frombuffer(b"".join(enc), np.uint8)):
+            row = self.table.find(gram)
+            new = row < 0
+            rare, place = np.unique(gram[new], return_inverse=True)
+            met = np.zeros(len(self.grams), bool)
+            met[row[~new]] = True
+            known = np.flatnonzero(met)
+            number = np.cumsum(met) - 1
+            at = np.empty(len(gram), np.int64)
+            at[~new] = number[row[~new]]
+            at[new] = len(known) + place
+            distinct = np.concatenate((self.grams[known], rare))
+            # windows that begin in a text's last ORDER bytes reach into the next text and count for none
+            low, high = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(gram), "left")
+            begin = np.clip(starts[low:high] - first, 0, len(gram))
+            end = np.clip(starts[low + 1 : high + 1] - ORDER - first, begin, len(gram))
+            edges = np.stack((begin, end), 1).ravel()
+            for k, tree in enumerate(self.trees):
+                each = np.append(tree.bits(distinct)[at], 0.0)
+                sums = np.add.reduceat(each, np.minimum(edges, len(gram)))[::2]
+                out[low:high, k] += np.where(end > begin, sums, 0.0)
+        return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

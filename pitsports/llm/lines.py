@@ -76,26 +76,27 @@ def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, m
     """
     plain = docs.select("doc_id", "text", F.col(site).alias("_site"))
     keys = settle(boilerplate(plain, "_site", min_sites, min_words)).select("_h1", "_h2")
-    places = plain.select(
-        F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"),
-        F.xxhash64("text").alias("_key"),
-        F.posexplode(_lines(F.col("text"))).alias("_at", "_line"),
-    ).where(_is_candidate(F.col("_line"), min_words))
+    hashed = plain.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.xxhash64("text").alias("_key"), "text")  # once a text, not a line
+    places = hashed.select("_id", "_key", F.posexplode(_lines(F.col("text"))).alias("_at", "_line")).where(_is_candidate(F.col("_line"), min_words))
     lost = (
         places.select("_id", "_key", "_at", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), "_line").alias("_h2"))
         .join(keys, ["_h1", "_h2"], "left_semi")
         .groupBy("_id", "_key")
-        .agg(F.collect_set("_at").alias("_lost"))
+        .agg(F.sort_array(F.collect_set("_at")).alias("_at"))
     )
+    # a byte for each place up to the last one lost, 1 where a line goes: one look-up a line, however many lines there are
+    before = F.concat(F.array(F.lit(-1)), F.slice("_at", 1, F.size("_at") - 1))
+    marks = F.array_join(F.zip_with("_at", before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1"))), "")
+    lost = lost.select("_id", "_key", F.size("_at").alias("_n_lost"), marks.cast("binary").alias("_lost"))
     lost = settle(lost).hint("merge")  # grows with the corpus: never broadcast
     text = F.col("_doc.text")
     same = (F.coalesce(F.col("_doc.doc_id"), F.lit(-1)) == F.col("_id")) & (F.xxhash64(text) == F.col("_key"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.substring("_lost", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     return packed(docs).join(lost, same, "left").select(
         "_doc",
         F.when(F.col("_lost").isNull(), text).otherwise(kept).alias("_text"),
         F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_n_removed"),
+        F.coalesce("_n_lost", F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
@@ -120,7 +121,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+  SELECT doc_id, source, text, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS line, unnest(range(coalesce(len(string_split(text, chr(10))), 1))) AS pos FROM documents
 ), keyed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM lines
 ), spread AS (
@@ -130,8 +131,8 @@ WITH lines AS (
 ), marked AS (
   SELECT keyed.*, k IN (SELECT k FROM spread) AS gone FROM keyed
 ), kept AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  SELECT doc_id, count(text) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NOT TRUE), '') END AS text
   FROM marked GROUP BY doc_id
 )
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_kept, md5(text) AS kept_md5 FROM kept

@@ -1,7 +1,7 @@
 """Token-ID output: Parquet list columns with dictionary and delta encoding, bounded row groups and page indexes.
 
 Documents are range-partitioned by ``doc_id`` and sorted, encoded inside tasks and written by Spark's Parquet writer:
-``ids`` (array of int, dictionary-encoded), ``doc_id``, ``n_tokens`` and ``part`` (delta-encoded, format v2). Row groups
+``ids`` (array of int, dictionary-encoded), ``doc_id``, ``n_tokens``, ``part`` and the ``row`` in it (delta-encoded, format v2). Row groups
 and pages are small enough that a reader who wants a few documents, or the metadata columns alone, skips the rest by the
 page index. File names ascend with ``doc_id``.
 
@@ -36,7 +36,7 @@ END_ID = 1
 MEMORY = 700_000
 #: Bytes of text that a task works on at a time, and parts that the tokenizer gets in one string.
 PIECE_BYTES, TOGETHER = 4 << 20, 500
-FILE_SCHEMA = "doc_id long, part int, n_tokens long, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, row long, n_tokens long, ids array<int>"
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -46,6 +46,7 @@ WRITER = {
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
+    "parquet.enable.dictionary#row": "false",
     "parquet.column.index.enabled": "true",
 }
 
@@ -171,7 +172,7 @@ def _encode(path: str, exact: bool):
     def run(frames):
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        encoder, row = _encoders[path], 0
         for batch in frames:
             rows = max(1, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes))
             for a in range(0, batch.num_rows, rows):
@@ -184,19 +185,21 @@ def _encode(path: str, exact: bool):
                     flat, sizes = encoder.encode(piece.column("text"))
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("part"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))],
-                    ["doc_id", "part", "n_tokens", "ids"],
+                    [piece.column("doc_id"), piece.column("part"), pa.array(np.arange(row, row + piece.num_rows)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))],
+                    ["doc_id", "part", "row", "n_tokens", "ids"],
                 )
+                row += piece.num_rows
 
     return run
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, exact: bool = False) -> None:
     """Write the token file set of ``docs`` (``doc_id``, ``text``) below ``path`` in ascending ``doc_id`` order."""
+    order = [F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")]  # rows of one id may lie in several parts
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order, "text")
         .withColumn("part", F.spark_partition_id())
     )
     encoded = ordered.mapInArrow(_encode(tokenizer, exact), FILE_SCHEMA)
@@ -226,15 +229,15 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-                ["doc_id", "part", "n_tokens", "ids_crc32"],
+                [batch.column("doc_id"), batch.column("part"), batch.column("row"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
+                ["doc_id", "part", "row", "n_tokens", "ids_crc32"],
             )
 
     files = read(spark, path)
-    rows = files.select("doc_id", "part", "ids").mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    rows = files.select("doc_id", "part", "row", "ids").mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_total"))
     before = totals.select("part", (F.sum("_total").over(Window.orderBy("part")) - F.col("_total")).alias("_before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return rows.join(before, "part").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
