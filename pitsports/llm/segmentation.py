@@ -214,10 +214,14 @@ class Lattices:
             self.p = factor * np.where(last, 1.0, mass[self.dst]) / mass[self.src]
         self._in_logarithms(np.flatnonzero(~inside), vocabulary.weight[self.ids], last)
         self.p[np.isnan(self.p)] = 0.0
-        running = np.cumsum(self.p)
-        base = np.concatenate(([0.0], running))[self.first[self.src]]
-        #: cumulative probability inside a node
-        self.cumulative = np.minimum(running - base, 1.0)
+        #: cumulative probability inside a node: summed there alone, so that it does not depend on what else is in the batch
+        self.cumulative = self.p.copy()
+        some = np.flatnonzero(degree > 1)
+        for slot in range(1, int(degree.max(initial=0))):
+            some = some[degree[some] > slot]
+            at = self.first[some] + slot
+            self.cumulative[at] += self.cumulative[at - 1]
+        np.minimum(self.cumulative, 1.0, out=self.cumulative)
 
     def __add__(self, other: Lattices) -> Lattices:
         """Both lattices' chunks, ``other``'s after one's own."""
@@ -426,8 +430,8 @@ class Sampler:
             at = np.arange(len(flat_path)) - starts[nth_text]
             p = lat.p[flat_path]
             lp = np.log(p)
-            running = np.concatenate(([0.0], np.cumsum(lp)))
-            before = running[:-1] - running[starts][nth_text]
+            sums = [np.concatenate(([0.0], np.cumsum(lp[a : a + n]))) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            before = np.concatenate([x[:-1] for x in sums]) if sums else np.zeros(0)
             with np.errstate(divide="ignore"):
                 rest = before + np.log1p(-np.minimum(p, 1.0))
             rest[(sizes[lat.src[flat_path]] < 2) | (at < kept[nth_text] - 1)] = -np.inf
@@ -438,7 +442,7 @@ class Sampler:
                 rest[e] = before[e] + self._rest(lat, int(lat.src[flat_path[e]]), gone[i])
             g = _truncated(rest, top[alive][nth_text], _unit(_noise(key[alive][nth_text], 3, sample, at)))
             for i, t in enumerate(alive):
-                found[t].append((whole[i], float(running[starts[i] + lengths[i]] - running[starts[i]]), float(top[t])))
+                found[t].append((whole[i], float(sums[i][-1]), float(top[t])))
             some = np.flatnonzero(lengths)
             for _ in range(self.k - sample + 1):  # more of a path's sets can neither win nor be the threshold
                 if not len(some):

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitsports.llm import html, language, lines, registry, tokens
+from pitsports.llm import html, language, lines, registry, segmentation, tokens
 from pitsports.llm.common import scratch
 from tests.oracle import check
 
@@ -120,3 +120,58 @@ def test_start_follows_the_files_for_rows_of_one_id(spark):
     for r in tokens.digest(spark, path).collect():
         got.setdefault((r.doc_id, r.n_tokens), []).append(r.start)
     assert {k: sorted(v) for k, v in got.items()} == starts
+
+
+def all_segmentations(vocabulary, text):
+    """{ids: probability} of every way to write ``text`` with pieces of the vocabulary (bytes stand for what no piece covers)."""
+    lat = segmentation.Lattices(vocabulary, [text])
+    out = {}
+
+    def walk(node, ids, p):
+        if node == lat.end[0]:
+            out[ids] = out.get(ids, 0.0) + p
+            return
+        for e in range(lat.first[node], lat.first[node + 1]):
+            walk(int(lat.dst[e]), (*ids, int(lat.ids[e])), p * lat.p[e])
+
+    walk(int(lat.root[0]), (), 1.0)
+    return out
+
+
+def test_samples_are_bit_equal_alone_and_in_batches():
+    rng = np.random.default_rng(3)
+    words = "the of and to in der die und le la que straße été 字 keit ment".split()
+    texts = [segmentation._marked(" ".join(words[i] for i in rng.integers(0, len(words), n))) for n in rng.integers(1, 60, 120)]
+    keys = np.arange(len(texts))
+    vocabulary = segmentation.Vocabulary(segmentation.model_path())
+    plain = lambda found: [[(tuple(ids.tolist()), *rest) for ids, *rest in some] for some in found]
+    whole = plain(segmentation.Sampler(vocabulary).sample(texts, keys))
+    for cut in ([[i] for i in range(len(texts))], [range(0, 7), range(7, 80), range(80, len(texts))], [range(len(texts) - 1, -1, -1)]):
+        got = {}
+        for part in cut:
+            part = list(part)
+            got |= dict(zip(part, plain(segmentation.Sampler(vocabulary).sample([texts[i] for i in part], keys[part])), strict=True))
+        assert [got[i] for i in range(len(texts))] == whole
+
+
+@pytest.mark.parametrize("text", ["there", "und", "aab"])
+def test_top_k_of_enumerated_lattices(text):
+    """Ordered pairs of samples come as often as without-replacement draws of all segmentations would give them."""
+    vocabulary = segmentation.Vocabulary(segmentation.model_path())
+    marked = segmentation._marked(text)
+    exact = all_segmentations(vocabulary, marked)
+    assert sum(exact.values()) == pytest.approx(1.0)
+    n = 6000
+    found = segmentation.Sampler(vocabulary, 2).sample([marked] * n, np.arange(n))
+    pairs, first = {}, {}
+    for some in found:
+        a, b = (tuple(s[0].tolist()) for s in some)
+        assert a != b and some[0][1] == pytest.approx(np.log(exact[a])) and some[1][1] == pytest.approx(np.log(exact[b]))
+        pairs[a, b] = pairs.get((a, b), 0) + 1
+        first[a] = first.get(a, 0) + 1
+    for a, p in exact.items():
+        assert abs(first.get(a, 0) - n * p) <= 5 * np.sqrt(n * p * (1 - p)) + 1
+        for b, q in exact.items():
+            if a != b:
+                both = p * q / (1 - p)
+                assert abs(pairs.get((a, b), 0) - n * both) <= 5 * np.sqrt(n * both) + 1
