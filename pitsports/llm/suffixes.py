@@ -34,6 +34,8 @@ all others; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -416,33 +418,70 @@ def _segments(frames):
         yield pd.DataFrame({"key": key[once].view(np.int64), "sig": sig[once].view(np.int64), "text": cut})
 
 
-def add_batch(docs: DataFrame, store: str) -> DataFrame:
+def _manifest(spark: SparkSession, store: str) -> dict:
+    """The newest manifest of a store: its number, the batches it holds, its levels' folders, and those before the last batch."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = hadoop(f"{store}/manifests")
+    numbers = [int(n) for x in fs.listStatus(folder) if (n := x.getPath().getName()).isdigit()] if fs.exists(folder) else []
+    if not numbers:
+        return {"number": 0, "batches": [], "levels": {}, "before": {}}
+    return json.loads(spark.read.text(f"{store}/manifests/{max(numbers)}", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, store: str, manifest: dict) -> None:
+    """Write a manifest beside its place and rename it: readers see it whole or not at all, and a number is given once."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    draft, place = (hadoop(f"{store}/manifests/{n}") for n in (f"draft-{uuid.uuid4().hex}", manifest["number"]))
+    out = fs.create(draft)
+    out.writeBytes(json.dumps(manifest))
+    out.close()
+    if fs.exists(place) or not fs.rename(draft, place):
+        fs.delete(draft, False)
+        raise RuntimeError("another call has added a batch to this store")
+
+
+def add_batch(docs: DataFrame, store: str, batch: str | None = None) -> DataFrame:
     """As :func:`remove`, for the next batch of a corpus: what earlier batches hold counts as earlier, and the batch joins them.
 
-    ``store`` is a folder that all executors share; it holds a table for each level. The order of batches is the order of
-    the calls; each call reads every level once.
+    ``store`` is a folder that all executors share. The order of batches is the order of the calls; each call reads every
+    level once. A call that is repeated with the name ``batch`` of the last one gives the same rows and adds nothing, so a
+    call whose result was lost can be made again. Levels are folders of their own that a manifest names; a batch counts
+    from its manifest on, which appears whole. Folders that neither the newest manifest nor the one before it names go.
     """
     spark = docs.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(hadoop(store))] if fs.exists(hadoop(store)) else []
-    levels = {int(x.split("=")[1]): spark.read.parquet(f"{store}/{x}") for x in names if x.startswith("level=")}
+    now = _manifest(spark, store)
+    batch = uuid.uuid4().hex if batch is None else batch
+    again = now["batches"][-1:] == [batch]
+    if batch in now["batches"] and not again:
+        raise ValueError(f"batch {batch} lies before later ones; only the last batch can be repeated")
+    folders = now["before"] if again else now["levels"]
+    levels = {int(i): spark.read.parquet(f"{store}/{x}") for i, x in folders.items()}
     numbered = _numbered(docs)
     rows = numbered.select("row", "doc", "text").where("text is not null")
     every = rows
     for level in levels.values():
         every = every.unionByName(level.select((-1 - F.col("place")).alias("row"), F.lit(-(2**62)).alias("doc"), "text"))
     out = settle(_without(numbered, marks(every).where("row >= 0")))
+    if again:
+        return out
     new = rows.select("text").mapInPandas(_segments, "key long, sig long, text binary")
+    kept = dict(folders)
     i = 0
     while i in levels:
-        new = new.unionByName(levels.pop(i).select("key", "sig", "text"))
+        new = new.unionByName(levels[i].select("key", "sig", "text"))
+        del kept[str(i)]
         i += 1
     merged = new.dropDuplicates(["key", "sig"]).repartition("key").sortWithinPartitions("key", "sig")
     settled = settle(merged.withColumn("place", F.monotonically_increasing_id() + F.lit(i) * F.lit(1 << 55)))
-    settled.write.parquet(f"{store}/level={i}")
-    for j in range(i):  # a call that is lost before this leaves segments twice, which changes no result
-        fs.delete(hadoop(f"{store}/level={j}"), True)
+    kept[str(i)] = f"level-{uuid.uuid4().hex}"
+    settled.write.parquet(f"{store}/{kept[str(i)]}")
+    _publish(spark, store, {"number": now["number"] + 1, "batches": [*now["batches"], batch], "levels": kept, "before": folders})
+    for x in {*now["before"].values()} - {*kept.values(), *folders.values()}:
+        fs.delete(hadoop(f"{store}/{x}"), True)
     return out
 
 

@@ -144,10 +144,29 @@ def test_suffix_index_takes_further_batches(spark):
         part = spark.createDataFrame(rows[a : a + 25], "doc_id long, text string").repartition(2)
         got |= {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in suffixes.add_batch(part, store).collect()}
     assert got == {int(d): (n, gone, sha) for d, n, gone, sha in brute_marks(rows)}
-    import os
-
     n = -(-len(rows) // 25)
-    assert sorted(x for x in os.listdir(store) if x.startswith("level")) == [f"level={i}" for i in range(8) if n >> i & 1]
+    assert sorted(map(int, suffixes._manifest(spark, store)["levels"])) == [i for i in range(8) if n >> i & 1]
+
+
+def test_a_batch_can_be_repeated(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    passage = "".join(random.Random(8).choices("abcdefghijklm", k=150))
+    frame_of = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = lambda df: sorted((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in df.collect())
+    first = frame_of([(1, passage + "one"), (2, "q" * 10 + passage)])
+    second = frame_of([(3, "new " + passage[::-1]), (4, passage)])
+    a = rows(suffixes.add_batch(first, store, "a"))
+    assert [x[2] for x in a] == [0, 150] and rows(suffixes.add_batch(first, store, "a")) == a
+    b = rows(suffixes.add_batch(second, store, "b"))
+    assert [x[2] for x in b] == [0, 150]
+    for _ in range(2):  # the call is made again: the batch does not meet itself
+        assert rows(suffixes.add_batch(second, store, "b")) == b
+    (tmp_path / "store" / "level-half").mkdir()  # what a lost call leaves behind is not read
+    (tmp_path / "store" / "level-half" / "part-0.parquet").write_bytes(b"broken")
+    with pytest.raises(ValueError, match="last batch"):
+        suffixes.add_batch(first, store, "a")
+    assert [x[2] for x in rows(suffixes.add_batch(first, store, "c"))] == [153, 160]
+    assert suffixes._manifest(spark, store)["batches"] == ["a", "b", "c"]
 
 
 def test_levels_merge_in_order():
