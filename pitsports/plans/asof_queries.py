@@ -208,33 +208,6 @@ def park_factor(spark, sf):
     return out.select("season", "venue_id", "n", r(rates.ratio_factor(F.col("x") / F.col("n"), F.col("every"), F.col("n"), 162.0, 70)).alias("factor"))
 
 
-@query(
-    "survey_op32_team_form",
-    f"""{WITH_TEAM_GAMES}, f AS (
-  SELECT team, season, date, sum(CASE WHEN runs > allowed THEN 1 ELSE 0 END) AS w, count(*) AS n, sum(runs - allowed) AS diff FROM team_games GROUP BY ALL
-), c AS (SELECT team, season, date, sum(w) OVER x AS w, sum(n) OVER x AS n, sum(diff) OVER x AS diff FROM f WINDOW x AS (PARTITION BY team, season ORDER BY date)),
-o AS (SELECT *, sum(CASE WHEN runs > allowed THEN 1 ELSE 0 END) OVER l AS w10, count(*) OVER l AS n10, sum(runs - allowed) OVER l AS d10 FROM team_games WINDOW l AS (PARTITION BY team, season ORDER BY date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT q.game_id, q.team, CAST(c.w AS BIGINT) AS wins, CAST(c.n - c.w AS BIGINT) AS losses, CAST(c.diff AS BIGINT) AS run_diff,
-  CASE WHEN c.n IS NOT NULL THEN CAST(CAST(c.w AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c.n - c.w AS BIGINT) AS VARCHAR) END AS record,
-  CASE WHEN n10 > 0 THEN CAST(CAST(w10 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(n10 - w10 AS BIGINT) AS VARCHAR) END AS record_last_10, CASE WHEN n10 > 0 THEN CAST(d10 AS BIGINT) END AS run_diff_last_10
-FROM o q ASOF LEFT JOIN c ON q.team = c.team AND q.season = c.season AND q.date > c.date""",
-)
-def team_form(spark, sf):
-    """Record and run difference to date (days before only) and over the last ten games."""
-    t = team_games(spark, sf)
-    win = F.when(F.col("runs") > F.col("allowed"), 1).otherwise(0)
-    run = asof.running_totals(t.withColumnRenamed("date", "day"), ["team", "season"], "day", {"w": win, "n": F.lit(1), "d": F.col("runs") - F.col("allowed")})
-    ten = Window.partitionBy("team", "season").orderBy("date", "game_id").rowsBetween(-10, -1)
-    asked = t.select("game_id", "team", "season", "date", F.sum(win).over(ten).alias("w10"), F.count("*").over(ten).alias("n10"), F.sum(F.col("runs") - F.col("allowed")).over(ten).alias("d10"))
-    out = asof.asof_join(asked, run.select("team", "season", "day", "cum_w", "cum_n", "cum_d"), ["team", "season"], "date", "day")
-    text = lambda w, n: F.concat_ws("-", F.col(w).cast("string"), (F.col(n) - F.col(w)).cast("string"))
-    some = F.col("n10") > 0
-    return out.select(
-        "game_id", "team", F.col("cum_w").alias("wins"), (F.col("cum_n") - F.col("cum_w")).alias("losses"), F.col("cum_d").alias("run_diff"), F.when(F.col("cum_w").isNotNull(), text("cum_w", "cum_n")).alias("record"),
-        F.when(some, text("w10", "n10")).alias("record_last_10"), F.when(some, F.col("d10")).alias("run_diff_last_10"),
-    )
-
-
 @query(
     "survey_op34_pitcher_form",
     f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date, sum(velo) AS v, count(*) AS n, sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS k, sum(CASE WHEN result = 'N' THEN 1 ELSE 0 END) AS gb FROM pitches GROUP BY ALL),

@@ -11,25 +11,6 @@ from pitsports.plans import domain_queries  # noqa: F401  (its SQL is part of th
 from pitsports.plans.base import CENTRED, ORACLE_SQL, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, eliminated_sql, games, pitches, query, r, table, team_games
 
 
-@query(
-    "survey_op2_player_season_base",
-    f"{WITH_PITCHES} SELECT pitcher_id, season, count(*) AS bf, CAST(sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS k, round(avg(velo), 6) AS velo, round(100.0 * sum(CASE WHEN result = 'R' THEN 1 ELSE 0 END) / count(*), 6) AS k_pct FROM pitches GROUP BY ALL",
-)
-def season_base(spark, sf):
-    k = F.sum(F.when(F.col("result") == "R", 1).otherwise(0))
-    return pitches(spark, sf).groupBy("pitcher_id", "season").agg(F.count("*").alias("bf"), k.alias("k"), r(F.avg("velo")).alias("velo"), r(100.0 * k / F.count("*")).alias("k_pct"))
-
-
-@query(
-    "survey_op3_plate_appearances",
-    f"{WITH_PITCHES}, pa AS (SELECT game_id, batter_id, pitcher_id, max((pitch_no, ship_date, value, result)) AS last, count(*) AS n FROM pitches GROUP BY ALL) SELECT game_id, batter_id, pitcher_id, n AS pitches, last[4] AS outcome FROM (SELECT game_id, batter_id, pitcher_id, n, [CAST(struct_extract(last, 1) AS VARCHAR), CAST(struct_extract(last, 2) AS VARCHAR), CAST(struct_extract(last, 3) AS VARCHAR), struct_extract(last, 4)] AS last FROM pa)",
-)
-def plate_appearances(spark, sf):
-    last = F.max(F.struct("pitch_no", "ship_date", "value", "result"))
-    pa = pitches(spark, sf).groupBy("game_id", "batter_id", "pitcher_id").agg(last.alias("last"), F.count("*").alias("pitches"))
-    return pa.select("game_id", "batter_id", "pitcher_id", "pitches", F.col("last.result").alias("outcome"))
-
-
 @query(
     "survey_op4_pitcher_appearances",
     f"{WITH_PITCHES}, a AS (SELECT game_id, half, pitcher_id, count(*) AS n, count(DISTINCT CASE WHEN pitch_no >= 4 THEN batter_id END) AS late, min(pitch_no) AS first FROM pitches GROUP BY ALL) SELECT game_id, half, pitcher_id, n, late, row_number() OVER (PARTITION BY game_id, half ORDER BY first, pitcher_id) = 1 AS started FROM a",
@@ -50,56 +31,6 @@ def lookup(spark, sf):
     return out.withColumn("expected", r(F.col("expected")))
 
 
-@query(
-    "survey_op8_wls_skill_fit",
-    f"""{WITH_PITCHES}, t AS (SELECT pitcher_id, season, avg(value) AS y, avg(velo) AS x, count(*) AS w FROM pitches GROUP BY ALL),
-m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM t)
-SELECT round((sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw, 2) AS intercept, round((sw * sxy - sx * sy) / (sw * sxx - sx * sx), 3) AS slope FROM m""",
-)
-def wls(spark, sf):
-    t = pitches(spark, sf).groupBy("pitcher_id", "season").agg(F.avg("value").alias("y"), F.avg("velo").alias("x"), F.count("*").alias("w"))
-    b = fit.weighted_least_squares(t, F.col("y"), [F.col("x")], F.col("w"))
-    return spark.range(1).select(F.lit(round(b[0], 2)).alias("intercept"), F.lit(round(b[1], 3)).alias("slope"))
-
-
-@query(
-    "survey_op9_expected_length_ols",
-    f"""{WITH_PITCHES}, a AS (SELECT game_id, pitcher_id, CAST(count(*) AS DOUBLE) AS y, 1.0::DOUBLE AS x0, avg(velo) AS x1, CASE WHEN min(pitch_no) = 1 THEN 1.0::DOUBLE ELSE 0 END AS x2, CASE WHEN min(pitch_no) > 4 THEN 1.0::DOUBLE ELSE 0 END AS x3 FROM pitches GROUP BY ALL),
-m AS (SELECT {", ".join(f"sum(x{i} * x{j}) AS a{i}_{j}" for i in range(4) for j in range(4))}, {", ".join(f"sum(x{i} * y) AS a{i}_4" for i in range(4))} FROM a), {eliminated_sql("m", 4)}
-SELECT game_id, pitcher_id, CAST(y AS BIGINT) AS n, round(least(greatest(a0_4 + a1_4 * x1 + a2_4 * x2 + a3_4 * x3, 0.5), 7.0), 6) AS expected FROM a, m_4""",
-)
-def ols(spark, sf):
-    """Batters faced by rest bucket dummies and velocity: fitted, clipped prediction for every appearance."""
-    a = pitches(spark, sf).groupBy("game_id", "pitcher_id").agg(F.count("*").alias("n"), F.avg("velo").alias("v"), F.min("pitch_no").alias("first"))
-    terms = [F.col("v"), F.when(F.col("first") == 1, 1.0).otherwise(0.0), F.when(F.col("first") > 4, 1.0).otherwise(0.0)]
-    beta = fit.weighted_least_squares(a, F.col("n"), terms)
-    return a.select("game_id", "pitcher_id", "n", r(rates.clamp(fit.predict(beta, terms), 0.5, 7.0)).alias("expected"))
-
-
-@query(
-    "survey_op12_reliever_availability",
-    f"""{WITH_PITCHES}, d AS (SELECT pitcher_id, data_date AS d, count(*) AS n FROM pitches GROUP BY ALL),
-a AS (SELECT pitcher_id, d, n, lag(d) OVER w AS d1, lag(n) OVER w AS n1, lag(d, 2) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY pitcher_id ORDER BY d))
-SELECT pitcher_id, CAST(d AS VARCHAR) AS day, coalesce((d - d1 = 1 AND d - d2 = 2) OR (d - d1 = 1 AND n1 >= 3), FALSE) AS unavailable FROM a""",
-)
-def availability(spark, sf):
-    d = pitches(spark, sf).groupBy("pitcher_id", F.col("data_date").alias("d")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("pitcher_id").orderBy("d")
-    yesterday = F.datediff("d", F.lag("d").over(w)) == 1
-    both = yesterday & (F.datediff("d", F.lag("d", 2).over(w)) == 2)
-    return d.select("pitcher_id", F.col("d").cast("string").alias("day"), F.coalesce(both | (yesterday & (F.lag("n").over(w) >= 3)), F.lit(False)).alias("unavailable"))
-
-
-@query(
-    "survey_op13_slot_weights",
-    f"{WITH_PITCHES} SELECT pitch_no AS slot, round(count(*) FILTER (WHERE half = 'O') / count(DISTINCT game_id), 6) AS top, round(count(*) FILTER (WHERE half = 'F') / count(DISTINCT game_id), 6) AS bottom FROM pitches GROUP BY pitch_no",
-)
-def slot_weights(spark, sf):
-    g = F.countDistinct("game_id")
-    side = lambda h: r(F.count(F.when(F.col("half") == h, 1)) / g)
-    return pitches(spark, sf).groupBy(F.col("pitch_no").alias("slot")).agg(side("O").alias("top"), side("F").alias("bottom"))
-
-
 @query(
     "survey_op20_centred_wind",
     f"""{WITH_GAMES}, w AS (SELECT game_id, season, venue_id, home_final + 0.5 * away_final AS wind FROM games), h AS (SELECT s.season, w.venue_id, avg(wind) AS m, count(*) AS n FROM (SELECT DISTINCT season FROM w) s JOIN w ON w.season BETWEEN s.season - 3 AND s.season - 1 GROUP BY ALL)
@@ -176,38 +107,6 @@ def targets(spark, sf):
     return pitches(spark, sf).groupBy("game_id", "bat_team").agg(F.coalesce(F.sum(F.when(F.col("pitch_no") <= 5, F.col("velo"))), F.lit(0.0)).cast("long").alias("runs_f5"), F.sum("velo").cast("long").alias("runs_total"))
 
 
-@query(
-    "survey_op33_batter_form",
-    f"{WITH_PITCHES}, d AS (SELECT batter_id, data_date, sum(value) AS v, count(*) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT batter_id, date FROM pitches) SELECT q.batter_id, CAST(q.date AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, round(sum(v) / sum(n), 8) AS value FROM q JOIN d ON d.batter_id = q.batter_id AND d.data_date < q.date AND d.data_date >= q.date - 30 GROUP BY q.batter_id, q.date",
-)
-def batter_form(spark, sf):
-    p = pitches(spark, sf)
-    d = p.groupBy("batter_id", F.col("data_date").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("c"))
-    q = p.select("batter_id", F.col("date").alias("cutoff"))
-    out = asof.trailing_totals(q, d, ["batter_id"], "cutoff", "day", 30, {"n": F.sum("c"), "s": F.sum("v")})
-    return out.select("batter_id", F.col("cutoff").cast("string").alias("day"), "n", r(F.col("s") / F.col("n"), 8).alias("value"))
-
-
-def _boost(kind: str) -> str:
-    """CTEs of an umpire's rate of ``kind`` above the league's as of each date, in ``rate``."""
-    return f"""{WITH_PITCHES}, f AS (SELECT CAST(game_id % 12 AS INT) AS who, CAST(year(data_date) AS INT) AS season, data_date AS day, sum(CASE WHEN result = '{kind}' THEN 1.0 ELSE 0 END) AS s, CAST(count(*) AS DOUBLE) AS n FROM pitches GROUP BY ALL), q AS (SELECT DISTINCT CAST(game_id % 12 AS INT) AS who, season, date AS cutoff FROM pitches), {CENTRED.format(k=200)}"""
-
-
-@query(
-    "survey_op35_umpire_season_stats",
-    f"SELECT a.who AS umpire, a.season, CAST(a.cutoff AS VARCHAR) AS cutoff, CAST(a.cur_n AS BIGINT) AS n, round(a.value, 8) AS k_boost, round(b.value, 8) AS bb_boost FROM ({_boost('R')} SELECT * FROM rate) a JOIN ({_boost('N')} SELECT * FROM rate) b ON a.who = b.who AND a.season = b.season AND a.cutoff = b.cutoff",
-)
-def umpires(spark, sf):
-    """Strikeout and walk rates of an umpire above the league's, as of each of the umpire's dates."""
-    p = pitches(spark, sf).withColumn("umpire", (F.col("game_id") % 12).cast("int"))
-    asked = p.select("umpire", "season", F.col("date").alias("cutoff"))
-    n = lambda kind: F.sum(F.when(F.col("result") == kind, 1.0).otherwise(0.0))
-    facts = p.groupBy("umpire", F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(n("R").alias("k"), n("N").alias("b"), F.count("*").cast("double").alias("n"))
-    k, b = (rates.centred_rate(asked, facts.withColumn("s", F.col(c)), "umpire", 200.0, rates.SEASON_WEIGHTS).withColumnRenamed("value", c) for c in ("k", "b"))
-    both = k.join(b.select("umpire", "season", "cutoff", "b"), ["umpire", "season", "cutoff"])
-    return both.select("umpire", "season", F.col("cutoff").cast("string").alias("cutoff"), F.col("cur_n").cast("long").alias("n"), r(F.col("k"), 8).alias("k_boost"), r(F.col("b"), 8).alias("bb_boost"))
-
-
 @query("survey_op36_resumed_games", f"{WITH_PITCHES} SELECT game_id, CAST(min(date) AS VARCHAR) AS original, CAST(max(ship_date) AS VARCHAR) AS resumed FROM pitches GROUP BY game_id HAVING max(ship_date) > min(date)")
 def resumed(spark, sf):
     out = pitches(spark, sf).groupBy("game_id").agg(F.min("date").alias("o"), F.max("ship_date").alias("s")).where("s > o")

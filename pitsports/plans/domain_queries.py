@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, fit, gates, rates, stats, tables
-from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, bootstrap_sql, games, pitches, query, r, table, team_games
+from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, eliminated_sql, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 
 @query("survey_op16_actual_lineup", f"{WITH_PITCHES}, f AS (SELECT game_id, bat_team, batter_id, min(pitch_no) AS first FROM pitches GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, bat_team ORDER BY first, batter_id) AS slot FROM f) SELECT game_id, bat_team, batter_id, slot FROM k WHERE slot <= 9")
@@ -19,41 +19,6 @@ def actual_lineup(spark, sf):
     return k.select("game_id", "bat_team", "batter_id", F.col("slot").cast("long").alias("slot"))
 
 
-@query(
-    "survey_op17_environment",
-    f"""{WITH_TEAM_GAMES}, d AS (SELECT season, date, sum(runs) AS x, count(*) AS n FROM team_games GROUP BY ALL), c AS (SELECT season, date, sum(x) OVER w AS x, sum(n) OVER w AS n FROM d WINDOW w AS (PARTITION BY season ORDER BY date)), l AS (SELECT season + 1 AS season, avg(runs) AS m FROM team_games GROUP BY season)
-SELECT g.game_id, CASE WHEN g.venue_id % 7 = 0 THEN 72.0 ELSE 50.0 + (g.game_id % 40) END AS temp, g.venue_id % 7 = 0 AS roof, round(coalesce(c.x * 1.0 / c.n, l.m), 6) AS level FROM games g ASOF LEFT JOIN c ON c.season = g.season AND g.date > c.date LEFT JOIN l ON l.season = g.season""",
-)
-def environment(spark, sf):
-    t, g = team_games(spark, sf), games(spark, sf)
-    run = asof.running_totals(t.withColumnRenamed("date", "day"), ["season"], "day", {"x": F.col("runs"), "n": F.lit(1)}).select("season", "day", "cum_x", "cum_n")
-    last = t.groupBy((F.col("season") + 1).alias("season")).agg(F.avg("runs").alias("m"))
-    out = asof.at_cutoffs(g, run, ["season"], "date", "day").join(F.broadcast(last), "season", "left")
-    roof = F.col("venue_id") % 7 == 0
-    return out.select("game_id", F.when(roof, 72.0).otherwise(50.0 + F.col("game_id") % 40).alias("temp"), roof.alias("roof"), r(F.coalesce(F.col("cum_x") / F.col("cum_n"), F.col("m"))).alias("level"))
-
-
-@query(
-    "survey_op19_factor_by_side",
-    f"""{WITH_PITCHES}, c AS (SELECT CAST(year(data_date) AS INT) AS season, venue_id, CASE WHEN batter_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, count(*) AS n, sum(value) AS v FROM pitches GROUP BY ALL), k AS (SELECT DISTINCT season FROM pitches),
-w AS (SELECT k.season, venue_id, side, sum(n) AS n, sum(v) AS v FROM k JOIN c ON c.season BETWEEN k.season - 3 AND k.season - 1 GROUP BY ALL), a AS (SELECT season, side, sum(v) / sum(n) AS m FROM w GROUP BY ALL)
-SELECT w.season, venue_id, w.side, CAST(n AS BIGINT) AS n, round(ln(1 + (v / n / m - 1) * n / (n + 500.0)), 8) AS log_factor FROM w JOIN a ON a.season = w.season AND a.side = w.side""",
-)
-def factor_by_side(spark, sf):
-    """A venue's factor for each batting side from what became known in the three years before the season."""
-    return side_factors(pitches(spark, sf))
-
-
-def side_factors(p):
-    side = F.when(F.col("batter_id") % 2 == 0, "L").otherwise("R").alias("side")
-    c = p.groupBy(F.year("data_date").alias("season"), "venue_id", side).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    served = asof.serve_seasons(c, "season", 3).groupBy(F.col("target").alias("season"), "venue_id", "side").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    served = served.join(F.broadcast(p.select("season").distinct()), "season", "left_semi")
-    a = served.groupBy("season", "side").agg((F.sum("v") / F.sum("n")).alias("m"))
-    factor = rates.ratio_factor(F.col("v") / F.col("n"), F.col("m"), F.col("n"), 500.0, 0)
-    return served.join(a, ["season", "side"]).select("season", "venue_id", "side", "n", r(F.log(factor), 8).alias("log_factor"))
-
-
 @query(
     "survey_op24_pitch_traits",
     f"""{WITH_PITCHES}, t AS (SELECT pitcher_id, season, result AS kind, count(*) AS n, avg(velo) AS v FROM pitches GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY pitcher_id, season ORDER BY n DESC, kind) AS k FROM t)
@@ -65,15 +30,32 @@ def traits(spark, sf):
     return t.join(main, ["pitcher_id", "season"]).select("pitcher_id", "season", "kind", "n", r(F.col("v") - F.col("ref")).alias("velo_gap"))
 
 
-@query("survey_op25_whiff_model")
+def _whiff_sql(steps: int) -> str:
+    """CTEs b0, b1, ...: Newton steps of the logistic model over counted cells (x0 to x6, y, n), ridge 1 on all coefficients."""
+    names = [f"c{i}" for i in range(7)]
+    out = f"b0 AS (SELECT {', '.join(f'CAST(0 AS DOUBLE) AS {c}' for c in names)})"
+    for s in range(steps):
+        sums = ", ".join(f"sum(n * p * (1 - p) * x{i} * x{j}){' + 1.0' if i == j else ''} AS a{i}_{j}" for i in range(7) for j in range(7))
+        right = ", ".join(f"sum(n * (y - p) * x{i}) - any_value(c{i}) AS a{i}_7, any_value(c{i}) AS c{i}" for i in range(7))
+        eta = " + ".join(f"c{i} * x{i}" for i in range(7))
+        out += f", h{s} AS (SELECT {sums}, {right} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM cells, b{s})), {eliminated_sql(f'h{s}', 7, ', '.join(names))}, b{s + 1} AS (SELECT {', '.join(f'c{i} + a{i}_7 AS c{i}' for i in range(7))} FROM h{s}_7)"
+    return out
+
+
+@query(
+    "survey_op25_whiff_model",
+    f"""{WITH_PITCHES}, st AS (SELECT avg(velo) AS mv, stddev_samp(velo) AS sv, avg(px) AS mx, stddev_samp(px) AS sx, avg(pz) AS mz, stddev_samp(pz) AS sz FROM pitches), z AS (SELECT pitcher_id, (velo - mv) / sv AS v, (px - mx) / sx AS x, (pz - mz) / sz AS w, CASE WHEN result = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM pitches, st),
+cells AS (SELECT 1.0::DOUBLE AS x0, v AS x1, x AS x2, w AS x3, v * v AS x4, x * x AS x5, x * w AS x6, y, count(*) AS n FROM z GROUP BY ALL), {_whiff_sql(8)}
+SELECT pitcher_id, count(*) AS n, CAST(sum(round(1e4 / (1 + exp(-(c0 + c1 * v + c2 * x + c3 * w + c4 * v * v + c5 * x * x + c6 * x * w))))) AS BIGINT) AS score FROM z, b8 GROUP BY pitcher_id""",
+)
 def whiff(spark, sf):
     """Logistic model of the outcome on standardised traits with squares, an interaction and a ridge; integer scores of pitchers."""
     z = fit.standardised(pitches(spark, sf).select("pitcher_id", "velo", "px", "pz", F.when(F.col("result") == "R", 1.0).otherwise(0.0).alias("y")), ["velo", "px", "pz"])
     v, x, w = (F.col(f"z_{c}") for c in ("velo", "px", "pz"))
     terms = [v, x, w, v * v, x * x, x * w]
-    beta = fit.logistic(z, F.col("y"), terms, ridge=1.0)
-    score = F.rint(fn.expit(fit.predict(beta, terms)) * 1e6).cast("long")
-    return z.select("pitcher_id", score.alias("s")).groupBy("pitcher_id").agg(F.count("*").alias("n"), F.sum("s").alias("micro"))
+    beta = fit.logistic(z, F.col("y"), terms, ridge=1.0, discrete=True)
+    score = F.round(fn.expit(fit.predict(beta, terms)) * 1e4).cast("long")
+    return z.select("pitcher_id", score.alias("s")).groupBy("pitcher_id").agg(F.count("*").alias("n"), F.sum("s").alias("score"))
 
 
 @query(
@@ -89,16 +71,6 @@ def relative(spark, sf):
     return rows.join(m, ["season", "level"]).groupBy("player", "season").agg(r(rates.weighted_mean(F.col("k") / F.col("pa") / F.col("m"), weight)).alias("rel"))
 
 
-@query(
-    "survey_op29_segment_mix",
-    f"""{WITH_PITCHES} SELECT game_id, fld_team, round((0.6 * coalesce(avg(velo) FILTER (WHERE pitch_no <= 2), 25) + 0.25 * coalesce(avg(velo) FILTER (WHERE pitch_no BETWEEN 3 AND 4), 25) + 0.15 * coalesce(avg(velo) FILTER (WHERE pitch_no > 4), 25)), 6) AS mix FROM pitches GROUP BY ALL""",
-)
-def mix(spark, sf):
-    part = lambda c: F.coalesce(F.avg(F.when(c, F.col("velo"))), F.lit(25.0))
-    n = F.col("pitch_no")
-    return pitches(spark, sf).groupBy("game_id", "fld_team").agg(r(0.6 * part(n <= 2) + 0.25 * part(n.between(3, 4)) + 0.15 * part(n > 4)).alias("mix"))
-
-
 @query("survey_op56_level_table", f"{WITH_TEAM_GAMES}, l AS (SELECT season, is_home, avg(runs) AS level FROM team_games GROUP BY ALL) SELECT game_id, team, round(ln(level), 6) AS offset FROM team_games t JOIN l ON l.season = t.season AND l.is_home = t.is_home".replace("AS offset", 'AS "offset"'))
 def levels(spark, sf):
     t = team_games(spark, sf)
@@ -106,15 +78,6 @@ def levels(spark, sf):
     return t.join(level, ["season", "is_home"]).select("game_id", "team", r(F.log("level")).alias("offset"))
 
 
-@query("survey_op59_setting_sweep", f"{WITH_TEAM_GAMES}, t AS (SELECT team, season, sum(runs) AS s, count(*) AS n FROM team_games GROUP BY ALL), m AS (SELECT avg(runs) AS mu FROM team_games) SELECT k, round(avg(pow(b.s * 1.0 / b.n - (a.s + k * mu) / (a.n + k), 2)), 8) AS mse FROM t a JOIN t b ON b.team = a.team AND b.season = a.season + 1, m, (SELECT unnest([0.0, 50.0, 200.0, 800.0]) AS k) GROUP BY k")
-def sweep(spark, sf):
-    tg = team_games(spark, sf)
-    t = tg.groupBy("team", "season").agg(F.sum("runs").alias("s"), F.count("*").alias("n"))
-    after = t.select("team", (F.col("season") - 1).alias("season"), (F.col("s") / F.col("n")).alias("next"))
-    x = t.join(after, ["team", "season"]).crossJoin(F.broadcast(tg.agg(F.avg("runs").alias("mu")))).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0.0, 50.0, 200.0, 800.0)])))
-    return x.groupBy("k").agg(r(F.avg(F.pow(F.col("next") - (F.col("s") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k")), 2)), 8).alias("mse"))
-
-
 @query("snk1_append_partitioned", f"{WITH_GAMES} SELECT season, count(*) AS n FROM games GROUP BY season")
 def append(spark, sf):
     """Two chunks appended to a season-partitioned table; an empty chunk is skipped."""
@@ -132,10 +95,20 @@ def upsert(spark, sf):
     return tables.merge_latest(c, new, ["c_custkey"]).select("c_custkey", "c_acctbal", F.col("loaded_at").isNotNull().alias("stamped"))
 
 
-@query("snk11_snk14_exports", f"{WITH_GAMES} SELECT game_id, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) AS fp, coalesce(status, 'O') AS st, strftime(CAST(date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM games WHERE status IN ('F', 'O')")
+@query(
+    "snk11_snk14_exports",
+    f"""{WITH_GAMES}, o AS (SELECT l_orderkey AS game_id, l_suppkey AS book, CASE l_linenumber % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'p1' ELSE 'close' END AS snap, l_shipdate AS ts, CAST(round(l_quantity * 10) AS BIGINT) AS odds FROM lineitem WHERE l_linenumber % 3 <> 1)
+SELECT o.game_id, season, book, snap, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts, odds FROM o JOIN games ON games.game_id = o.game_id WHERE season BETWEEN 1996 AND 1998""",
+)
 def exports(spark, sf):
-    g = games(spark, sf).where(F.col("status").isin("F", "O"))
-    return g.select("game_id", (F.unix_date("date").cast("long") * 86400).alias("fp"), F.coalesce("status", F.lit("O")).alias("st"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("ts"))
+    """Prices exported for some seasons and two snapshots, instants as UTC text, sorted by key, one file a season; read back."""
+    snap = F.element_at(F.array(F.lit("open"), F.lit("p1"), F.lit("close")), F.col("l_linenumber") % 3 + 1)
+    o = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("book"), snap.alias("snap"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), F.round(F.col("l_quantity") * 10).cast("long").alias("odds"))
+    wanted = games(spark, sf).where(F.col("season").between(1996, 1998)).select("game_id", "season")
+    rows = o.where(F.col("snap").isin("open", "close")).join(wanted, "game_id").select("game_id", "season", "book", "snap", "ts", "odds")
+    path = _scratch(spark)
+    rows.repartition("season").sortWithinPartitions("game_id", "book", "snap").write.partitionBy("season").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 @query(

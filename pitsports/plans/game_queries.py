@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, gates, rates, tables
-from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries  # noqa: F401  (rows of the assembly)
+from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries, team_queries  # noqa: F401  (rows of the assembly)
 from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
@@ -396,7 +396,7 @@ ASSEMBLY = {
     "survey_op14_lineup_features": (["game_id", "bat_team"], ["strength", "rookies"]),
     "survey_op31_team_game_targets": (["game_id", "bat_team"], ["runs_f5"]),
     "survey_op38_game_weather": (["game_id"], ["temp_f", "wind_effect"]),
-    "survey_op17_environment": (["game_id"], ["level"]),
+    "survey_op17_environment": (["game_id", "bat_team"], ["level"]),
     "survey_op32_team_form": (["game_id", "bat_team"], ["record_last_10"]),
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, gates, tables
-from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, games, pitches, query, r, table
+from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
 
@@ -161,22 +161,36 @@ def compared_copies(spark, sf):
     return both.select("name", F.col("rows").alias("a"), "b", F.col("content").eqNullSafe(F.col("other")).alias("same"))
 
 
-@query("snk11_exports", f"{WITH_GAMES} SELECT 'games' AS name, count(*) AS rows, CAST(sum(epoch(CAST(date AS TIMESTAMP)) / 86400) AS BIGINT) AS days FROM games UNION ALL SELECT 'teams', count(DISTINCT home_team), NULL FROM games UNION ALL SELECT 'venues', count(*), NULL FROM nation UNION ALL SELECT 'players', count(*), NULL FROM supplier")
+@query(
+    "snk11_exports",
+    f"""{WITH_PITCHES} SELECT 'games' AS name, count(*) AS rows, CAST(sum(epoch(CAST(date AS TIMESTAMP)) / 86400) AS BIGINT) AS total FROM games UNION ALL SELECT 'teams', count(DISTINCT home_team), CAST(sum(DISTINCT home_team) AS BIGINT) FROM games UNION ALL SELECT 'venues', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation
+UNION ALL SELECT 'players', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL SELECT 'lineup', count(*), CAST(sum(slot) AS BIGINT) FROM (SELECT min(pitch_no) AS slot FROM pitches WHERE pitch_no <= 4 GROUP BY game_id, bat_team, batter_id)
+UNION ALL SELECT 'season_lines', count(*), CAST(sum(so) AS BIGINT) FROM (SELECT count(*) FILTER (WHERE result = 'R') AS so FROM pitches GROUP BY pitcher_id, season) UNION ALL SELECT 'pf', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM games GROUP BY venue_id, season)
+UNION ALL SELECT 'conditions', count(*), CAST(sum(CASE WHEN game_id % 13 > 0 THEN 50 + game_id % 40 ELSE 72 END) AS BIGINT) FROM games UNION ALL SELECT 'tr', 2 * count(*), CAST(sum(home_final + away_final) AS BIGINT) FROM games
+UNION ALL SELECT 'rg', count(*), CAST(sum(d - DATE '1970-01-01') AS BIGINT) FROM (SELECT max(ship_date) AS d FROM pitches GROUP BY game_id HAVING max(ship_date) > min(date))""",
+)
 def several_exports(spark, sf):
-    """Relational tables exported as the builder's inputs: renamed columns, epochs for instants, one file set each."""
-    path, g = _scratch(spark), games(spark, sf)
+    """The ten relational tables exported as the builder's inputs: renamed columns, missing values filled, epochs for instants, one
+    file set each; read back with their schemas, counted and summed."""
+    path, g, p = _scratch(spark), games(spark, sf), pitches(spark, sf)
+    venue = F.col("venue_id")
     exports = {
-        "games": g.select("game_id", (F.unix_date("date") * F.lit(86400).cast("long")).alias("first_pitch_epoch")),
-        "teams": g.select(F.col("home_team").alias("team_id")).distinct(),
-        "venues": table(spark, sf, "nation").select(F.col("n_nationkey").alias("venue_id"), F.coalesce("n_name", F.lit("")).alias("name")),
-        "players": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name")),
+        "games": (g.select("game_id", (F.unix_date("date") * F.lit(86400).cast("long")).alias("first_pitch_epoch")), F.col("first_pitch_epoch") / 86400),
+        "teams": (g.select(F.col("home_team").alias("team_id")).distinct(), F.col("team_id")),
+        "venues": (table(spark, sf, "nation").select(F.col("n_nationkey").alias("venue_id"), F.coalesce("n_name", F.lit("")).alias("name")), venue),
+        "players": (table(spark, sf, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("name")), F.col("player_id")),
+        "lineup": (p.where("pitch_no <= 4").groupBy("game_id", F.col("bat_team").alias("team_id"), F.col("batter_id").alias("player_id")).agg(F.min("pitch_no").alias("slot")), F.col("slot")),
+        "season_lines": (p.groupBy(F.col("pitcher_id").alias("player_id"), "season").agg(F.count("*").alias("bf"), F.coalesce(F.count(F.when(F.col("result") == "R", 1)), F.lit(0)).alias("so")), F.col("so")),
+        "pf": (g.groupBy(venue.alias("park_id"), F.col("season").alias("year")).agg(F.count("*").alias("n")), F.col("n")),
+        "conditions": (g.select("game_id", F.coalesce(F.when(F.col("game_id") % 13 > 0, 50.0 + F.col("game_id") % 40), F.lit(72.0)).alias("temp_f")), F.col("temp_f")),
+        "tr": (team_games(spark, sf).select("game_id", F.col("team").alias("team_id"), "is_home", F.col("runs").alias("runs_total")), F.col("runs_total")),
+        "rg": (p.groupBy("game_id").agg(F.min("date").alias("original_date"), F.max("ship_date").alias("resume_date")).where("resume_date > original_date"), F.unix_date("resume_date")),
     }
     out = None
-    for name, df in exports.items():
+    for name, (df, measure) in exports.items():
         df.write.option("header", True).csv(f"{path}/{name}")
         back = spark.read.schema(df.schema).option("header", True).csv(f"{path}/{name}")
-        days = F.sum(F.col("first_pitch_epoch") / 86400).cast("long") if name == "games" else F.lit(None).cast("long")
-        one = back.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), days.alias("days"))
+        one = back.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(measure).cast("long").alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -274,13 +288,23 @@ def grouped_gates(spark, sf):
     return rows.withColumn("value", r(F.col("value")))
 
 
-@query("dq19_lock_manifest", "SELECT 'customer' AS name, TRUE AS ok, count(*) FILTER (WHERE c_custkey = 1) = 0 AS ok_after FROM customer UNION ALL SELECT 'nation', TRUE, TRUE")
+@query(
+    "dq19_lock_manifest",
+    """SELECT 'customer' AS name, TRUE AS ok, count(*) FILTER (WHERE c_custkey = 1) = 0 AS ok_after, 'A' AS fold, TRUE AS in_order FROM customer UNION ALL SELECT 'nation', TRUE, TRUE, 'A', TRUE
+UNION ALL SELECT 'customer', TRUE, count(*) FILTER (WHERE c_custkey = 1) = 0, 'B', FALSE FROM customer UNION ALL SELECT 'nation', TRUE, TRUE, 'B', FALSE""",
+)
 def lock_manifest(spark, sf):
-    """Inputs locked by a manifest: all agree; once a table is written again with other rows, that one does not."""
-    path = _scratch(spark)
-    c = table(spark, sf, "customer")
-    tables.snapshot({"customer": c, "nation": table(spark, sf, "nation")}, path)
-    before = tables.verify_snapshot(spark, path).select("name", "ok")
-    before = spark.createDataFrame(before.collect(), "name string, ok boolean")  # a row a table, taken before the change
-    c.where("c_custkey <> 1").write.mode("overwrite").parquet(f"{path}/customer")
-    return before.join(tables.verify_snapshot(spark, path).select("name", F.col("ok").alias("ok_after")), "name")
+    """Two folds locked by manifests: all tables agree; once a table is written again with other rows, that one does not. Folds
+    must be locked in order, each after the outcomes of the one before it were read; the second here was locked too early."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    out = None
+    locked, scored = {"A": 1, "B": 2}, {"A": 3}  # steps of the run: fold B was locked before fold A was scored
+    for fold, before in (("A", None), ("B", "A")):
+        path = _scratch(spark)
+        tables.snapshot({"customer": c, "nation": n}, path)
+        ok = spark.createDataFrame(tables.verify_snapshot(spark, path).select("name", "ok").collect(), "name string, ok boolean")  # a row a table, taken before the change
+        c.where("c_custkey <> 1").write.mode("overwrite").parquet(f"{path}/customer")
+        one = ok.join(tables.verify_snapshot(spark, path).select("name", F.col("ok").alias("ok_after")), "name")
+        one = one.select("*", F.lit(fold).alias("fold"), F.lit(before is None or scored[before] < locked[fold]).alias("in_order"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitsports.operators import gates
-from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries  # noqa: F401  (the builds)
+from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries, team_queries  # noqa: F401  (the builds)
 from pitsports.plans.base import ORACLE_SQL, QUERIES, overridden, query, table
 
 DAY = "1997-06-01"
@@ -37,10 +37,11 @@ RATES = [
     Build("survey_op19_factor_by_side", ["season", "venue_id", "side"], ["n", "log_factor"], day="season"),
     Build("survey_op22_centred_pooled_residual", ["pitcher_id", "season", "cutoff"], ["effect"], day="cutoff"),
     Build("survey_op23_catcher_framing", ["game_id", "fld_team"], ["catcher_id", "frm_runs"], ["frm_missing"]),
-    Build("survey_op35_umpire_season_stats", ["umpire", "season", "cutoff"], ["n", "k_boost", "bb_boost"], day="cutoff"),
+    Build("survey_op35_umpire_season_stats", ["umpire", "season", "cutoff"], ["n", "accuracy_pct", "favour", "k_boost", "bb_boost"], day="cutoff"),
 ]
 PITCHING = [
     Build("survey_op6_starter_history", ["game_id", "fld_team"], ["pitcher_id", "starts", "bf", "last_bf", "rest", "prior_starts"]),
+    Build("survey_op12_reliever_availability", ["game_id", "fld_team"], ["pitches_3d", "back_to_back", "closer_id", "era_15d", "era_season"], ["unavailable", "closer_available"]),
     Build("survey_op7_team_hook", ["game_id", "fld_team"], ["hook"]),
     Build("survey_op10_starter_row", ["game_id", "fld_team"], ["starter_id", "skill", "velo_delta", "exp_bf", "share_f5", "third_time"], ["rookie", "rest_bucket", "opener"]),
     Build("survey_op11_bullpen_pool", ["game_id", "fld_team"], ["pool", "available", "worked_yesterday", "skill_late", "skill_all"]),
@@ -48,11 +49,12 @@ PITCHING = [
     Build("survey_op34_pitcher_form", ["pitcher_id", "day"], ["n", "velo", "whiff_pct", "gb_pct", "velo_trend", "days_rest", "last_outing"], day="day"),
 ]
 BATTING = [
+    Build("survey_op5_contact_quality", ["batter_id", "season", "cutoff"], ["contact"], day="cutoff"),
     Build("survey_op14_lineup_features", ["game_id", "bat_team"], ["n", "strength", "k_bb", "platoon", "rookies"]),
     Build("survey_op15_projected_starters", ["game_id", "bat_team", "batter_id"], ["share", "slot", "pool"]),
-    Build("survey_op17_environment", ["game_id"], ["level"]),
-    Build("survey_op32_team_form", ["game_id", "team"], ["wins", "losses", "run_diff", "run_diff_last_10"], ["record", "record_last_10"]),
-    Build("survey_op33_batter_form", ["batter_id", "day"], ["n", "value"], day="day"),
+    Build("survey_op17_environment", ["game_id", "bat_team"], ["park_factor", "temp_f", "level", "team_off", "team_def"], ["new_park"]),
+    Build("survey_op32_team_form", ["game_id", "team"], ["wins", "losses", "run_diff", "run_diff_last_10", "games_back"], ["record", "record_last_10", "decided"]),
+    Build("survey_op33_batter_form", ["batter_id", "day"], ["n", "value", "season_n", "season_value"], day="day"),
 ]
 
 

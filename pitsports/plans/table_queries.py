@@ -54,10 +54,16 @@ def conform(spark, sf):
     return tables.conform(table(spark, sf, "customer"), schema)
 
 
-@query("snk6_replace_groups", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey NOT IN (1, 2) UNION ALL SELECT c_custkey, c_nationkey, 0.0 FROM customer WHERE c_nationkey IN (1, 2) AND c_custkey % 2 = 0")
+@query(
+    "snk6_replace_groups",
+    """WITH old AS (SELECT c_custkey, c_nationkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'by hand ' || c_custkey END AS note FROM customer), new AS (SELECT c_custkey, c_nationkey, 0.0 AS c_acctbal, 'loaded' AS note FROM customer WHERE c_nationkey IN (1, 2) AND c_custkey % 2 = 0)
+SELECT c_custkey, c_nationkey, c_acctbal, note FROM old WHERE c_nationkey NOT IN (SELECT c_nationkey FROM new) UNION ALL SELECT n.c_custkey, n.c_nationkey, n.c_acctbal, coalesce(o.note, n.note) FROM new n LEFT JOIN old o ON o.c_custkey = n.c_custkey""",
+)
 def replace_groups(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return tables.replace_groups(c, c.where("c_nationkey in (1, 2) and c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_nationkey"])
+    """All rows of two nations replaced by fewer new ones; a note set by hand is carried over from the old row of the same key."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("by hand "), F.col("c_custkey").cast("string"))).alias("note"))
+    new = c.where("c_nationkey in (1, 2) and c_custkey % 2 = 0").withColumns({"c_acctbal": F.lit(0.0), "note": F.lit("loaded")})
+    return tables.replace_groups(c, new, ["c_nationkey"], ["c_custkey"], ["note"])
 
 
 @query("snk7_insert_missing", "SELECT s_suppkey AS id FROM supplier UNION ALL SELECT DISTINCT l_suppkey + 50 FROM lineitem WHERE l_suppkey + 50 NOT IN (SELECT s_suppkey FROM supplier)")
