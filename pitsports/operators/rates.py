@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitsports.operators import asof
+from pitsports.operators import asof, tables
 
 #: Weights of the three seasons before, latest first (fixed values).
 SEASON_WEIGHTS = (0.8, 0.6, 0.4)
@@ -78,10 +78,10 @@ def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, wei
     ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are sums by the day on which they became known; ``season`` is that
     day's, so that a fact that came late is no part of an earlier season. This season counts up to the day before the
     cutoff, less the league's rate up to then; the last seasons count in full, each less its own league rate, by ``weights``
-    (last season first). The sum is divided by the weighted number of facts plus ``k``. League totals are summed by day
-    and met by (season, cutoff), so no season is one partition.
+    (last season first). The sum is divided by the weighted number of facts plus ``k``. The sums by day are settled once and
+    all else is derived from them; league totals are met by (season, cutoff), so no season is one partition.
     """
-    facts = facts.groupBy(who, "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    facts = tables.settled(facts.groupBy(who, "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     asked = questions.select(who, "season", "cutoff").distinct()
     run = asof.running_totals(facts, [who, "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select(who, "season", "day", "cum_s", "cum_n")
     own = asof.asof_join(asked, run, [who, "season"], "cutoff", "day")
@@ -106,7 +106,7 @@ def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: floa
     day's. This season's facts before the cutoff and the last seasons' by ``weights`` are shrunk by ``k`` towards last
     season's league rate, or ``default`` where there is none.
     """
-    daily = facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    daily = tables.settled(facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     run = asof.running_totals(daily, ["who", "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select("who", "season", "day", "cum_s", "cum_n")
     totals = daily.groupBy("who", "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     served = asof.serve_seasons(totals, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))

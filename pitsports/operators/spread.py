@@ -39,5 +39,7 @@ def shrunk(games: DataFrame, factors: Sequence[tuple[float, float]]) -> DataFram
 
 def probability(mu: Column, size: Column, y: Column, top: int = 25) -> Column:
     """Probability that negative binomial segments of means ``mu`` (an array of two) and ``size`` add up to ``y`` (at most ``top``)."""
-    first, second = fn.pmf_nb(F.get(mu, F.lit(0)), size, top), fn.pmf_nb(F.get(mu, F.lit(1)), size, top)
-    return F.aggregate(F.sequence(F.lit(0), y.cast("int")), F.lit(0.0), lambda acc, i: acc + F.get(first, i) * F.get(second, y.cast("int") - i))
+    both = F.struct(fn.pmf_nb(F.get(mu, F.lit(0)), size, top).alias("a"), fn.pmf_nb(F.get(mu, F.lit(1)), size, top).alias("b"))
+    k = y.cast("int")
+    added = lambda z: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda acc, i: acc + F.get(z["a"], i) * F.get(z["b"], k - i))
+    return F.element_at(F.transform(F.array(both), added), 1)  # bound once, so that the arrays are not built again for each term

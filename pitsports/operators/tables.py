@@ -6,6 +6,8 @@ pointer file, ``checked_overwrite`` copies it into place.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -161,3 +163,31 @@ def _created(fs, path) -> bool:
         if fs.exists(path):
             return False
         raise e
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which all executors share. Unset, a local session gets one of its own.
+
+    All paths of an application lie in one folder, which its driver deletes when it ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="pitsports-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    own = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written below :func:`scratch` and read back: what is derived from it several times is worked out once, and its
+    files outlive executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -96,7 +96,8 @@ def trailing(spark, sf):
     t = team_games(spark, sf)
     q = t.select("game_id", "team", F.col("date").alias("cutoff"))
     f = t.groupBy("team", F.col("date").alias("day")).agg(F.count("*").alias("g"), F.sum("runs").alias("x"))
-    return asof.trailing_join(q, f, ["team"], "cutoff", "day", 30).groupBy("game_id", "team").agg(F.sum("g").alias("n_games"), F.sum("x").alias("runs"))
+    seen = asof.trailing_totals(q, f, ["team"], "cutoff", "day", 30, {"n_games": F.sum("g"), "runs": F.sum("x")})
+    return q.join(seen, ["team", "cutoff"]).select("game_id", "team", "n_games", "runs")
 
 
 @query(
@@ -119,14 +120,14 @@ SEQ = f"""{WITH_TEAM_GAMES}, seq AS (SELECT *, row_number() OVER (PARTITION BY t
     SEQ + " SELECT a.game_id, a.team, count(b.game_id) AS n, CAST(coalesce(sum(b.runs), 0) AS BIGINT) AS runs FROM seq a LEFT JOIN seq b ON a.team = b.team AND b.s BETWEEN a.s - 14 AND a.s - 1 GROUP BY ALL",
 )
 def sequence_window(spark, sf):
-    t = asof.sequence_numbers(team_games(spark, sf), ["team"], ["date", "game_id"])
+    t = asof.sequence_in_blocks(team_games(spark, sf), ["team"], "season", ["date", "game_id"])
     w = Window.partitionBy("team").orderBy("seq").rangeBetween(-14, -1)
     return t.select("game_id", "team", F.count("game_id").over(w).alias("n"), F.coalesce(F.sum("runs").over(w), F.lit(0)).alias("runs"))
 
 
 @query("win5_team_game_sequence", SEQ + " SELECT game_id, team, s AS seq FROM seq")
 def team_sequence(spark, sf):
-    return asof.sequence_numbers(team_games(spark, sf), ["team"], ["date", "game_id"]).select("game_id", "team", F.col("seq").cast("long").alias("seq"))
+    return asof.sequence_in_blocks(team_games(spark, sf), ["team"], "season", ["date", "game_id"]).select("game_id", "team", F.col("seq").cast("long").alias("seq"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, gates, rates, tables
 from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries, team_queries  # noqa: F401  (rows of the assembly)
-from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
+from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, overridden, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
 from pitsports.streaming import jobs
@@ -411,10 +411,13 @@ def _assembly_sql() -> str:
 
 @query("jn2_full_assembly", _assembly_sql())
 def full_assembly(spark, sf):
-    """One row for each team-game with ten left joins of feature rows, each unique by its keys."""
-    out = pitches(spark, sf).select("game_id", "fld_team", "bat_team").distinct()
+    """One row for each team-game with ten left joins of feature rows, each unique by its keys. The join of facts and games is
+    settled once, and all feature rows are built from it."""
+    p = tables.settled(pitches(spark, sf))
+    out = p.select("game_id", "fld_team", "bat_team").distinct()
     for name, (keys, columns) in ASSEMBLY.items():
-        rows = QUERIES[name](spark, sf)
+        with overridden(pitches=lambda _: p):
+            rows = QUERIES[name](spark, sf)
         if "team" in rows.columns:
             rows = rows.withColumnRenamed("team", "bat_team")
         out = out.join(rows.select(*keys, *columns), keys, "left")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitsports.operators import gates, tables
+from pitsports.operators.tables import scratch as _scratch
 from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, games, pitches, query, r, table
 from pitsports.sources import landed
 from pitsports.streaming import jobs
@@ -17,26 +16,6 @@ LATEST = "l_shipdate DESC, l_suppkey DESC, l_partkey DESC, l_extendedprice DESC"
 ORDER = ("l_shipdate", "l_suppkey", "l_partkey", "l_extendedprice")
 
 
-def _scratch(spark) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share. Unset, a local session gets one of its own.
-
-    All paths of an application lie in one folder, which its driver deletes when it ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="pitsports-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    own = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        fs.mkdirs(folder)
-        fs.deleteOnExit(folder)
-    return f"{own}/{uuid.uuid4().hex}"
-
-
 @query(
     "snk3_merge_latest",
     f"""WITH b AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS src FROM lineitem) SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity FROM b

@@ -48,10 +48,10 @@ def _venue_factors(p):
 @query(
     "survey_op2_player_season_base",
     f"""{WITH_PITCHES}, {_FACTOR}, b AS (SELECT pitcher_id, CAST(year(data_date) AS INT) AS season, count(*) AS bf, count(*) FILTER (WHERE result = 'R') AS k, sum(velo) AS velo, sum(value / coalesce(f, 1)) AS neutral FROM pitches p LEFT JOIN factor ON factor.season = year(data_date) AND factor.venue_id = p.venue_id GROUP BY ALL)
-SELECT pitcher_id, season, bf, k, round(velo / bf, 6) AS velo, round(100.0 * k / bf, 6) AS k_pct, round(neutral / bf, 3) AS neutral, round(100.0 * sum(k) OVER s / sum(bf) OVER s, 6) AS league_k_pct, round(sum(neutral) OVER s / sum(bf) OVER s, 3) AS league_neutral FROM b WINDOW s AS (PARTITION BY season)""",
+SELECT pitcher_id, season, bf, k, round(velo / bf, 6) AS velo, round(100.0 * k / bf, 6) AS k_pct, round(neutral / bf / (sum(neutral) OVER s / sum(bf) OVER s), 8) AS neutral_ratio, round(100.0 * sum(k) OVER s / sum(bf) OVER s, 6) AS league_k_pct, round(sum(neutral) OVER s / sum(bf) OVER s, 4) AS league_neutral FROM b WINDOW s AS (PARTITION BY season)""",
 )
 def season_base(spark, sf):
-    """Season totals, velocity, strikeouts and the value per pitch at a neutral venue, with the league's means."""
+    """Season totals, velocity, strikeouts and the value per pitch at a neutral venue against the league's, with the league's means."""
     p = pitches(spark, sf).withColumn("known", F.year("data_date"))
     f = _venue_factors(p).withColumnRenamed("season", "known")
     x = p.join(f, ["known", "venue_id"], "left").groupBy("pitcher_id", F.col("known").alias("season")).agg(
@@ -59,7 +59,7 @@ def season_base(spark, sf):
     )
     league = x.groupBy("season").agg((100.0 * F.sum("k") / F.sum("bf")).alias("lk"), (F.sum("s") / F.sum("bf")).alias("ls"))  # a row a season
     return x.join(F.broadcast(league), "season").select(
-        "pitcher_id", "season", "bf", "k", r(F.col("v") / F.col("bf")).alias("velo"), r(100.0 * F.col("k") / F.col("bf")).alias("k_pct"), r(F.col("s") / F.col("bf"), 3).alias("neutral"), r(F.col("lk")).alias("league_k_pct"), r(F.col("ls"), 3).alias("league_neutral")
+        "pitcher_id", "season", "bf", "k", r(F.col("v") / F.col("bf")).alias("velo"), r(100.0 * F.col("k") / F.col("bf")).alias("k_pct"), r(F.col("s") / F.col("bf") / F.col("ls"), 8).alias("neutral_ratio"), r(F.col("lk")).alias("league_k_pct"), r(F.col("ls"), 4).alias("league_neutral")
     )
 
 
@@ -120,7 +120,7 @@ un AS (SELECT fld_team, season, cutoff, count(*) FILTER (WHERE d1 AND d2) AS b2b
 w15 AS (SELECT st.game_id, st.fld_team, sum(n) FILTER (WHERE day >= st.date - 3) AS p3, sum(n) AS n, sum(k) AS k FROM st JOIN td ON td.fld_team = st.fld_team AND td.day < st.date AND td.day >= st.date - 15 GROUP BY ALL),
 c1 AS (SELECT st.game_id, st.fld_team, st.season, st.date, cl.top FROM st ASOF LEFT JOIN cl ON cl.fld_team = st.fld_team AND cl.season = st.season AND st.date > cl.day), c2 AS (SELECT c1.*, ts.n AS sn, ts.k AS sk FROM c1 ASOF LEFT JOIN ts ON ts.fld_team = c1.fld_team AND ts.season = c1.season AND c1.date > ts.day)
 SELECT c2.game_id, c2.fld_team, CAST(coalesce(w15.p3, 0) AS BIGINT) AS pitches_3d, coalesce(un.b2b, 0) AS back_to_back, coalesce(un.ids, '') AS unavailable, CASE WHEN top.c > 0 THEN -top.w END AS closer_id, coalesce(NOT list_contains(un.whos, -top.w), TRUE) OR coalesce(top.c, 0) = 0 AS closer_available,
-  round(27.0 * (w15.n - w15.k) / nullif(w15.k, 0), 2) AS era_15d, round(27.0 * (sn - sk) / nullif(sk, 0), 2) AS era_season FROM c2 LEFT JOIN w15 ON w15.game_id = c2.game_id AND w15.fld_team = c2.fld_team LEFT JOIN un ON un.fld_team = c2.fld_team AND un.season = c2.season AND un.cutoff = c2.date""",
+  floor(2700.0 * (w15.n - w15.k) / nullif(w15.k, 0) + 0.500001) / 100 AS era_15d, floor(2700.0 * (sn - sk) / nullif(sk, 0) + 0.500001) / 100 AS era_season FROM c2 LEFT JOIN w15 ON w15.game_id = c2.game_id AND w15.fld_team = c2.fld_team LEFT JOIN un ON un.fld_team = c2.fld_team AND un.season = c2.season AND un.cutoff = c2.date""",
 )
 def availability(spark, sf):
     """The bullpen before a game: its work, who cannot pitch, the closer (most late work of the season so far; ties: the smaller
@@ -138,7 +138,7 @@ def availability(spark, sf):
     recent = asof.trailing_totals(asked, work, ["fld_team"], "cutoff", "day", 15, {"p3": (3, F.sum("n")), "n15": F.sum("n"), "k15": F.sum("k")})
     pool = reliever_pool(a).groupBy("fld_team", "season", "cutoff").agg(F.count(F.when(F.col("d1") & F.col("d2"), 1)).alias("b2b"), F.sort_array(F.collect_list(F.when(~F.col("available"), F.col("who")))).alias("ids"))
     x = asof.asof_join(asked, run, ["fld_team", "season"], "cutoff", "day").join(recent, ["fld_team", "cutoff"], "left").join(pool, ["fld_team", "season", "cutoff"], "left")
-    era = lambda n, k: r(27.0 * (F.col(n) - F.col(k)) / F.nullif(F.col(k), F.lit(0)), 2)
+    era = lambda n, k: F.floor(2700.0 * (F.col(n) - F.col(k)) / F.nullif(F.col(k), F.lit(0)) + 0.500001) / 100
     closer = F.when(F.col("top.c") > 0, -F.col("top.w"))
     return x.select(
         "game_id", "fld_team", F.coalesce("p3", F.lit(0)).alias("pitches_3d"), F.coalesce("b2b", F.lit(0)).alias("back_to_back"), F.coalesce(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit("")).alias("unavailable"),
