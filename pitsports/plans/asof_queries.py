@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitsports.operators import asof, rates
-from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
+from pitsports.plans.base import WITH_PITCHES, WITH_TEAM_GAMES, games, pitches, query, r, table, team_games
 
 EVENTS = """
 WITH facts AS (

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
-from pitsports.operators import asof, fit, gates, rates, stats, tables
+from pitsports.operators import asof, fit, gates, rates, tables
 from pitsports.plans.base import WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, eliminated_sql, games, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
-from pitsports.operators import asof, gates, rates, tables
+from pitsports.operators import gates, tables
 from pitsports.plans import asof_queries, composite_queries, domain_queries, pitching_queries, team_queries  # noqa: F401  (rows of the assembly)
-from pitsports.plans.base import CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, overridden, pitches, query, r, table, team_games
+from pitsports.plans.base import ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, games, overridden, pitches, query, r, table, team_games
 from pitsports.plans.table_queries import _scratch
 from pitsports.sources import landed
 from pitsports.streaming import jobs

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitsports.operators import asof, fit, rates
-from pitsports.plans.base import APPEARANCES, CENTRED, ORACLE_SQL, QUERIES, WITH_GAMES, WITH_PITCHES, WITH_TEAM_GAMES, appearances, eliminated_sql, games, pitches, query, r, starters, team_games
+from pitsports.plans.base import APPEARANCES, CENTRED, ORACLE_SQL, QUERIES, WITH_PITCHES, WITH_TEAM_GAMES, appearances, eliminated_sql, games, pitches, query, r, starters, team_games
 from pitsports.plans.pitching_queries import POOL, reliever_pool
 
 # plate appearances and season bases
