@@ -214,14 +214,10 @@ class Lattices:
             self.p = factor * np.where(last, 1.0, mass[self.dst]) / mass[self.src]
         self._in_logarithms(np.flatnonzero(~inside), vocabulary.weight[self.ids], last)
         self.p[np.isnan(self.p)] = 0.0
-        #: cumulative probability inside a node: summed there alone, so that it does not depend on what else is in the batch
-        self.cumulative = self.p.copy()
-        some = np.flatnonzero(degree > 1)
-        for slot in range(1, int(degree.max(initial=0))):
-            some = some[degree[some] > slot]
-            at = self.first[some] + slot
-            self.cumulative[at] += self.cumulative[at - 1]
-        np.minimum(self.cumulative, 1.0, out=self.cumulative)
+        #: cumulative probability inside a node; summed as whole numbers, whose differences are exact whatever else is in the batch
+        running = np.cumsum(np.rint(self.p * 2.0**60).astype(np.int64))
+        base = np.concatenate((np.zeros(1, np.int64), running))[self.first[self.src]]
+        self.cumulative = np.minimum((running - base) * 2.0**-60, 1.0)
 
     def __add__(self, other: Lattices) -> Lattices:
         """Both lattices' chunks, ``other``'s after one's own."""
