@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitsports.llm import html, language, lines, registry, segmentation, tokens
+from pitsports.llm import html, language, lines, pii, registry, segmentation, tokens
 from pitsports.llm.common import scratch
 from tests.oracle import check
 
@@ -175,3 +175,39 @@ def test_top_k_of_enumerated_lattices(text):
             if a != b:
                 both = p * q / (1 - p)
                 assert abs(pairs.get((a, b), 0) - n * both) <= 5 * np.sqrt(n * both) + 1
+
+
+def test_spans_apart_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        spans = lambda n: [(int(k), int(s), int(s + d), "v") for k, s, d in zip(rng.integers(0, 4, n), rng.integers(0, 4 * n + 1, n), rng.integers(1, 9, n))]
+        n = [0, 1, 5, 70, 200][i % 5]
+        rows.append((i, spans(n), spans([0, 3, 40, 150][i % 4]), [int(x) for x in rng.integers(0, 5, n)]))
+    span = "array<struct<k:int,s:int,e:int,v:string>>"
+    df = spark.createDataFrame(rows, f"i int, found {span}, base {span}, worst array<int>")
+    scored = F.zip_with("found", "worst", lambda x, w: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), w.cast("double").alias("worst")))
+    got = df.select("i", pii.clear_of(F.col("found"), F.col("base")).alias("clear"), pii.best_apart(scored).alias("best")).collect()
+    hit = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    for r in got:
+        _, found, base, worst = rows[r.i]
+        assert sorted(tuple(x) for x in r.clear) == sorted(x for x in found if not any(hit(x, y) for y in base))
+        taken = []
+        for _, s, k, e in sorted((w, x[1], x[0], x[2]) for x, w in zip(found, worst, strict=True)):
+            if not any(hit((k, s, e), y) for y in taken):
+                taken.append((k, s, e))
+        assert sorted(tuple(x) for x in r.best) == sorted(taken)
+
+
+def test_a_text_of_many_spans(spark):
+    class All(pii.Selector):
+        def score(self, x):
+            return F.lit(0.5) + x["digits"] / 1000 + x["cue"] / 10
+
+    n = 20_000
+    text = " ".join(f"é user{i}@mail.example.org, 0049 30 {2000000 + i}; call" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = pii.find(df, All([], [], [0.5] * 4)).select(F.size("base").alias("base"), F.size("spans").alias("spans")).first()
+    assert time.perf_counter() - began < 60
+    assert tuple(got) == (n, 2 * n)
