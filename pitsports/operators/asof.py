@@ -110,6 +110,22 @@ def trailing_totals(questions: DataFrame, daily: DataFrame, by: Sequence[str], c
     return out.where("_asked and _seen > 0").select(*by, F.col("_at").alias(cutoff), *totals)
 
 
+def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], width: int = 32) -> DataFrame:
+    """Join of two tables of spells (day numbers ``since`` to ``until``, its end left out) on ``by`` where spells overlap: both
+    sides' other columns and the common days as ``since`` and ``until``.
+
+    Spells fall into buckets of ``width`` days and meet in an equi-join; a pair that shares several buckets gives a row for
+    each, cut at their borders, so every common day is in exactly one row.
+    """
+    bucket = lambda d: F.floor(d / width).cast("int")
+    cut = lambda rows: rows.where("since < until").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until") - 1))))
+    other = cut(right).withColumnsRenamed({"since": "_since", "until": "_until"})
+    first = F.greatest("since", "_since", F.col("_bucket") * width)
+    end = F.least("until", "_until", (F.col("_bucket") + 1) * width)
+    both = cut(left).join(other, [*by, "_bucket"]).where((F.col("since") < F.col("_until")) & (F.col("_since") < F.col("until")))
+    return both.withColumns({"since": first, "until": end}).where("since < until").drop("_bucket", "_since", "_until")
+
+
 def at_cutoffs(questions: DataFrame, daily: DataFrame, by: Sequence[str], cutoff: str, day: str) -> DataFrame:
     """``questions`` with the latest row of the small table ``daily`` before their cutoff.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsports.operators import asof, tables
@@ -72,33 +72,77 @@ def centred(rows: DataFrame, value: str, group: Sequence[str], name: str) -> Dat
     return rows.join(means, list(group)).withColumn(name, F.col(value) - F.col("_mean")).drop("_mean")
 
 
-def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, weights: Sequence[float]) -> DataFrame:
+def centred_parts(facts: DataFrame, who: str, weights: Sequence[float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`centred_rate` reads, from ``facts``: sums by day (settled once), the league's rate up to each day of a season
+    (season, day, ``league``), and the last seasons' weighted sums (``who``, season, pri_rc, pri_n)."""
+    facts = tables.settled(facts.groupBy(who, "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    by_day = facts.groupBy("season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))  # a row a day from here
+    league_run = asof.running_totals(by_day, ["season"], "day", {"s": F.col("s"), "n": F.col("n")})
+    league_run = league_run.select("season", "day", (F.col("cum_s") / F.col("cum_n")).alias("league"))
+    whole = by_day.groupBy("season").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    seasons = facts.groupBy(who, "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(whole, "season")
+    seasons = seasons.select(who, "season", (F.col("s") - F.col("n") * F.col("mean")).alias("rc"), "n")
+    served = asof.serve_seasons(seasons, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
+    prior = served.groupBy(who, F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("rc")).alias("pri_rc"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
+    return facts, league_run, prior
+
+
+def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, weights: Sequence[float], parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Shrunk, centred rate of each question (``who``, ``season``, ``cutoff``): value, cur_n, pri_n.
 
     ``facts`` (``who``, ``season``, ``day``, ``s``, ``n``) are sums by the day on which they became known; ``season`` is that
     day's, so that a fact that came late is no part of an earlier season. This season counts up to the day before the
     cutoff, less the league's rate up to then; the last seasons count in full, each less its own league rate, by ``weights``
     (last season first). The sum is divided by the weighted number of facts plus ``k``. The sums by day are settled once and
-    all else is derived from them; league totals are met by (season, cutoff), so no season is one partition.
+    all else is derived from them; league totals are met by (season, cutoff), so no season is one partition. ``parts`` of the
+    same facts may be given.
     """
-    facts = tables.settled(facts.groupBy(who, "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    facts, league_run, prior = parts or centred_parts(facts, who, weights)
     asked = questions.select(who, "season", "cutoff").distinct()
     run = asof.running_totals(facts, [who, "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select(who, "season", "day", "cum_s", "cum_n")
     own = asof.asof_join(asked, run, [who, "season"], "cutoff", "day")
-    by_day = facts.groupBy("season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))  # a row a day from here
-    league_run = asof.running_totals(by_day, ["season"], "day", {"s": F.col("s"), "n": F.col("n")})
-    league_run = league_run.select("season", "day", (F.col("cum_s") / F.col("cum_n")).alias("league"))
-    whole = by_day.groupBy("season").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    seasons = facts.groupBy(who, "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(whole, "season")
-    seasons = seasons.select(who, "season", (F.col("s") - F.col("n") * F.col("mean")).alias("rc"), "n")
-    served = asof.serve_seasons(seasons, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
-    prior = served.groupBy(who, F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("rc")).alias("pri_rc"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
     out = asof.at_cutoffs(own.drop("day"), league_run, ["season"], "cutoff", "day").join(prior, [who, "season"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     value = (zero("cum_s") - zero("cum_n") * zero("league") + zero("pri_rc")) / (zero("cum_n") + zero("pri_n") + k)
     return out.select(who, "season", "cutoff", value.alias("value"), zero("cum_n").alias("cur_n"), zero("pri_n").alias("pri_n"))
 
 
+def season_spells(daily: DataFrame, asked: DataFrame) -> DataFrame:
+    """Running sums ``cum_s`` and ``cum_n`` of each ``who`` and season as spells of cutoffs that see the same facts: who, season,
+    since, until (day numbers, the end left out).
+
+    ``daily`` holds who, season (that of the day), day, s and n; the seasons ``asked`` (who, season) are covered from their first day on.
+    """
+    start = asked.select("who", "season", F.make_date(F.col("season") - 1, F.lit(12), F.lit(31)).alias("day"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+    both = start.distinct().unionByName(daily.select("who", "season", "day", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))
+    own = Window.partitionBy("who", "season").orderBy("day")
+    end = F.unix_date(F.make_date(F.col("season") + 1, F.lit(1), F.lit(1)))
+    known = F.unix_date("day") + 1
+    out = both.select("who", "season", known.alias("since"), F.coalesce(F.lead(known).over(own), end).alias("until"), *[F.sum(c).over(own).alias(f"cum_{c}") for c in ("s", "n")])
+    return out.where("since < until")
+
+
+def centred_spells(asked: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], k: float) -> DataFrame:
+    """:func:`centred_rate` of every day of the seasons ``asked`` (who, season): who, since, until, ``fixed`` and ``slope``; the
+    value at a cutoff is ``fixed`` less ``slope`` times the league's rate then."""
+    facts, _, prior = parts
+    x = season_spells(facts, asked).join(prior, ["who", "season"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    all_n = F.col("cum_n") + zero("pri_n") + k
+    return x.select("who", "since", "until", ((F.col("cum_s") + zero("pri_rc")) / all_n).alias("fixed"), (F.col("cum_n") / all_n).alias("slope"))
+
+
+def decayed_parts(facts: DataFrame, weights: Sequence[float] = SEASON_WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`decayed_rate` reads, from ``facts``: sums by day (settled once), the last seasons' weighted sums (who, season,
+    pri_s, pri_n) and the league's rate of the season before (season, mu)."""
+    daily = tables.settled(facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    totals = daily.groupBy("who", "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    served = asof.serve_seasons(totals, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
+    prior = served.groupBy("who", F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("s")).alias("pri_s"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
+    league = totals.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("s") / F.sum("n")).alias("mu"))
+    return daily, prior, league
+
+
 def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
     """Rate ``s`` by ``n`` of each question (``who``, ``season``, ``cutoff``): value, and rookie (nothing known before).
 
@@ -106,18 +150,22 @@ def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: floa
     day's. This season's facts before the cutoff and the last seasons' by ``weights`` are shrunk by ``k`` towards last
     season's league rate, or ``default`` where there is none.
     """
-    daily = tables.settled(facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    daily, prior, league = decayed_parts(facts, weights)
     run = asof.running_totals(daily, ["who", "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select("who", "season", "day", "cum_s", "cum_n")
-    totals = daily.groupBy("who", "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    served = asof.serve_seasons(totals, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
-    prior = served.groupBy("who", F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("s")).alias("pri_s"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
-    league = totals.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("s") / F.sum("n")).alias("mu"))
     asked = questions.select("who", "season", "cutoff").distinct()
     out = asof.asof_join(asked, run, ["who", "season"], "cutoff", "day").join(prior, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
     value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu", F.lit(default)), [(1.0, F.col("pri_s"), F.col("pri_n"))])
     return out.select("who", "season", "cutoff", (F.col("cum_n").isNull() & F.col("pri_n").isNull()).alias("rookie"), value.alias("value"))
 
 
+def decayed_spells(asked: DataFrame, facts: DataFrame, k: float, default: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
+    """:func:`decayed_rate` of every day of the seasons ``asked`` (who, season), as spells: who, since, until, value."""
+    daily, prior, league = decayed_parts(facts, weights)
+    x = season_spells(daily, asked).join(prior, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
+    value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu", F.lit(default)), [(1.0, F.col("pri_s"), F.col("pri_n"))])
+    return x.select("who", "since", "until", value.alias("value"))
+
+
 def two_scale_grid(cells: DataFrame, keys: Sequence[str], x: str, z: str, s: str, n: str, shape: tuple[int, int], fine: float = 1.0, wide: float = 6.0, pull_fine: float = 2.0, pull_wide: float = 0.01) -> DataFrame:
     """Expected rate ``s`` by ``n`` for every cell of a grid of ``shape``, for each of ``keys``: (keys, x, z, ``p``).
 

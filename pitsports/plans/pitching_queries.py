@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
@@ -122,18 +122,61 @@ pool AS (SELECT *, NOT ((d1 AND d2) OR p1 >= 25) AS available, CASE WHEN sum(lat
   FROM tq JOIN u ON u.fld_team = tq.fld_team AND u.day < cutoff AND u.day >= cutoff - 30 GROUP BY ALL) WINDOW t AS (PARTITION BY fld_team, season, cutoff))"""
 
 
-def reliever_pool(a: DataFrame) -> DataFrame:
-    """``POOL`` of ``appearances``."""
-    used = a.where("not started").groupBy("fld_team", "who", "day").agg(F.sum("n").alias("bf"), F.sum("late").alias("late"))
-    asked = a.select("fld_team", "season", F.col("date").alias("cutoff")).distinct()
-    ago = F.datediff("cutoff", "day")
-    pool = asof.trailing_join(asked, used, ["fld_team"], "cutoff", "day", 30).groupBy("fld_team", "season", "cutoff", "who").agg(
-        F.sum("bf").alias("bf"), F.sum("late").alias("late"), F.bool_or(ago == 1).alias("d1"), F.bool_or(ago == 2).alias("d2"), F.coalesce(F.sum(F.when(ago == 1, F.col("bf"))), F.lit(0)).alias("p1")
-    )
-    team = Window.partitionBy("fld_team", "season", "cutoff")
-    of_all = F.col("bf") / F.sum("bf").over(team)
-    late = F.when(F.sum("late").over(team) > 0, F.col("late") / F.sum("late").over(team)).otherwise(of_all)
-    return pool.withColumns({"available": ~((F.col("d1") & F.col("d2")) | (F.col("p1") >= 25)), "late_share": late, "bf_share": of_all})
+def relievers_used(a: DataFrame) -> DataFrame:
+    """``u`` of ``POOL``: what each reliever did for a team, by the day from which it was known."""
+    done = a.where("not started").select("fld_team", "who", "day", "n", "late").repartition("fld_team", "who")  # the one shuffle of all that follows by team and reliever
+    return done.groupBy("fld_team", "who", "day").agg(F.sum("n").alias("bf"), F.sum("late").alias("late"))
+
+
+def twice() -> Column:
+    """Whether a day of ``u`` comes right after another one of the same team and reliever."""
+    return F.coalesce(F.col("day") == F.date_add(F.lag("day").over(Window.partitionBy("fld_team", "who").orderBy("day")), 1), F.lit(False))
+
+
+#: Work of one day after which a reliever cannot pitch the next.
+MUCH = 25
+
+
+def pool_spells(a: DataFrame) -> DataFrame:
+    """``pool`` of ``POOL`` as spells in which nothing changes about a team's reliever: fld_team, who, since, until (day numbers, the
+    end left out), the last day with work, bf, late and available.
+
+    A spell begins on the day after a day's work, after a day on which the reliever cannot pitch, and when work leaves the
+    thirty days: rows follow the work, not the days on which it counts.
+    """
+    used = relievers_used(a).withColumn("out", twice() | (F.col("bf") >= MUCH))
+    turns = F.explode(F.when(F.col("out"), F.array(*map(F.lit, (0, 1, 2, 31)))).otherwise(F.array(*map(F.lit, (0, 1, 31)))))
+    x = used.withColumn("turn", turns).withColumns({"at": F.unix_date("day") + F.col("turn"), "fact": F.when(F.col("turn") == 0, F.struct(F.unix_date("day").alias("last"), "bf", "late", "out"))})
+    own = Window.partitionBy("fld_team", "who").orderBy("at")
+    seen = own.rangeBetween(-30, -1)
+    x = x.select(
+        "fld_team", "who", "turn", F.col("at").alias("since"), F.lead("at").over(own).alias("next"), F.max("fact.last").over(seen).alias("last"), F.sum("fact.bf").over(seen).alias("bf"), F.sum("fact.late").over(seen).alias("late"),
+        (~F.coalesce(F.bool_or("fact.out").over(own.rangeBetween(-1, -1)), F.lit(False))).alias("available"),
+    )
+    return x.where("last is not null").withColumn("until", F.least("next", F.col("last") + 31)).where("since < until").select("fld_team", "who", "since", "until", "last", "bf", "late", "available")
+
+
+def pool_seasons(a: DataFrame) -> DataFrame:
+    """who and season of all cutoffs of the pool."""
+    return a.where("not started").select("who", F.explode(F.array(F.year(F.date_add("day", 1)), F.year(F.date_add("day", 30)))).alias("season")).distinct()
+
+
+def pool_totals(a: DataFrame, rated: DataFrame, values: list[str]) -> DataFrame:
+    """Of each team's pool on each day (``cutoff``): pool, available, worked_yesterday, and for each of ``values`` of ``rated``
+    (spells by who) the available relievers' mean by share of late work (``late_``) and of all work (``all_``).
+
+    Days are taken out of the spells where they are added up, so what is shuffled is a row for each spell and then one for each team and day.
+    """
+    x = asof.overlaps(pool_spells(a), rated, ["who"]).withColumn("at", F.explode(F.sequence("since", F.col("until") - 1)))
+    free = F.col("available")
+    of = lambda c: F.sum(F.when(free, c))
+    sums = [F.count("*").alias("pool"), F.count(F.when(free, 1)).alias("free"), F.count(F.when(F.col("at") == F.col("last") + 1, 1)).alias("worked_yesterday"), F.sum("late").alias("_late"), of(F.col("late")).alias("_lw"), of(F.col("bf")).alias("_bw")]
+    sums += [of(F.col(w) * F.col(v)).alias(f"_{w}_{v}") for v in values for w in ("late", "bf")]
+    t = x.groupBy("fld_team", "at").agg(*sums)
+    every = lambda v: F.col(f"_bf_{v}") / F.nullif(F.col("_bw"), F.lit(0))
+    late = lambda v: F.when(F.col("_late") > 0, F.col(f"_late_{v}") / F.nullif(F.col("_lw"), F.lit(0))).otherwise(every(v))
+    means = [m for v in values for m in (late(v).alias(f"late_{v}"), every(v).alias(f"all_{v}"))]
+    return t.select("fld_team", F.date_from_unix_date("at").alias("cutoff"), "pool", F.col("free").alias("available"), "worked_yesterday", *means)
 
 
 @query(
@@ -146,17 +189,11 @@ SELECT a.game_id, a.fld_team, x.pool, x.available, x.worked_yesterday, round(ski
 )
 def bullpen(spark, sf):
     """The pool and who of it can pitch; the available ones' decayed strikeout rate by share of late work and by share of all work."""
-    a = appearances(pitches(spark, sf))
-    pool = reliever_pool(a)
+    a = tables.settled(appearances(pitches(spark, sf)))
     facts = a.groupBy("who", F.col("known").alias("season"), "day").agg(F.sum("k").alias("s"), F.sum("n").alias("n"))
-    rated = pool.join(rates.decayed_rate(pool, facts, 60.0, 0.25), ["who", "season", "cutoff"])
-    free = F.col("available")
-    skill = lambda w: r(rates.weighted_mean(F.when(free, F.col("value")), F.col(w)), 8)
-    x = rated.groupBy("fld_team", "season", "cutoff").agg(
-        F.count("*").alias("pool"), F.count(F.when(free, 1)).alias("available"), F.count(F.when(F.col("d1"), 1)).alias("worked_yesterday"), skill("late_share").alias("skill_late"), skill("bf_share").alias("skill_all")
-    )
-    games = starters(a).select("game_id", "fld_team", "season", F.col("date").alias("cutoff"))
-    return games.join(x, ["fld_team", "season", "cutoff"]).select("game_id", "fld_team", "pool", "available", "worked_yesterday", "skill_late", "skill_all")
+    x = pool_totals(a, rates.decayed_spells(pool_seasons(a), facts, 60.0, 0.25), ["value"])
+    games = starters(a).select("game_id", "fld_team", F.col("date").alias("cutoff"))
+    return games.join(x, ["fld_team", "cutoff"]).select("game_id", "fld_team", "pool", "available", "worked_yesterday", r(F.col("late_value"), 8).alias("skill_late"), r(F.col("all_value"), 8).alias("skill_all"))
 
 
 SCORE = "CAST(round((velo - 25) * 100 + px * 2000 - pz * 1500) AS BIGINT)"
@@ -172,16 +209,15 @@ SELECT st.game_id, st.fld_team, round(coalesce(value, 0) / 100, 5) AS sp_stuff,
 def stuff_rates(spark, sf):
     """Integer pitch scores as centred rates, for the starter and, by share of late work, for the relievers who can pitch."""
     p = pitches(spark, sf)
-    a = appearances(p)
+    a = tables.settled(appearances(p))
     score = F.round((F.col("velo") - 25) * 100 + F.col("px") * 2000 - F.col("pz") * 1500).cast("long")
     facts = p.groupBy(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     starter = starters(a).select("game_id", "fld_team", "who", "season", F.col("date").alias("cutoff"))
-    pool = reliever_pool(a)
-    keys = starter.select("who", "season", "cutoff").union(pool.select("who", "season", "cutoff"))
-    rate = rates.centred_rate(keys, facts, "who", 300.0, rates.SEASON_WEIGHTS).select("who", "season", "cutoff", "value")
-    w = pool.where("available").join(rate, ["who", "season", "cutoff"])
-    pen = w.groupBy("fld_team", "season", "cutoff").agg(rates.weighted_mean(F.col("value"), F.col("late_share")).alias("pen"))
-    out = starter.join(rate, ["who", "season", "cutoff"], "left").join(pen, ["fld_team", "season", "cutoff"], "left")
+    parts = rates.centred_parts(facts, "who", rates.SEASON_WEIGHTS)
+    rate = rates.centred_rate(starter, facts, "who", 300.0, rates.SEASON_WEIGHTS, parts).select("who", "season", "cutoff", "value")
+    pen = pool_totals(a, rates.centred_spells(pool_seasons(a), parts, 300.0), ["fixed", "slope"]).withColumn("season", F.year("cutoff"))
+    pen = asof.at_cutoffs(pen, parts[1], ["season"], "cutoff", "day").select("fld_team", "cutoff", (F.col("late_fixed") - F.col("late_slope") * F.coalesce("league", F.lit(0.0))).alias("pen"))
+    out = starter.join(rate, ["who", "season", "cutoff"], "left").join(pen, ["fld_team", "cutoff"], "left")
     zero = lambda c: r(F.coalesce(F.col(c), F.lit(0.0)) / 100, 5)
     return out.select("game_id", "fld_team", zero("value").alias("sp_stuff"), zero("pen").alias("pen_stuff"))
 

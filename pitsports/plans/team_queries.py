@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsports.operators import asof, fit, rates
 from pitsports.plans.base import APPEARANCES, CENTRED, ORACLE_SQL, QUERIES, WITH_PITCHES, WITH_TEAM_GAMES, appearances, eliminated_sql, games, pitches, query, r, starters, team_games
-from pitsports.plans.pitching_queries import POOL, reliever_pool
+from pitsports.plans.pitching_queries import MUCH, POOL, relievers_used, twice
 
 # plate appearances and season bases
 
@@ -136,8 +136,10 @@ def availability(spark, sf):
     asked = starters(a).select("game_id", "fld_team", "season", F.col("date").alias("cutoff"))
     work = by_day.groupBy("fld_team", "day").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     recent = asof.trailing_totals(asked, work, ["fld_team"], "cutoff", "day", 15, {"p3": (3, F.sum("n")), "n15": F.sum("n"), "k15": F.sum("k")})
-    pool = reliever_pool(a).groupBy("fld_team", "season", "cutoff").agg(F.count(F.when(F.col("d1") & F.col("d2"), 1)).alias("b2b"), F.sort_array(F.collect_list(F.when(~F.col("available"), F.col("who")))).alias("ids"))
-    x = asof.asof_join(asked, run, ["fld_team", "season"], "cutoff", "day").join(recent, ["fld_team", "cutoff"], "left").join(pool, ["fld_team", "season", "cutoff"], "left")
+    # who cannot pitch follows from the last two days; the rest of the pool is not asked for
+    out = relievers_used(a).withColumns({"twice": twice(), "cutoff": F.date_add("day", 1)}).where(F.col("twice") | (F.col("bf") >= MUCH))
+    pool = out.groupBy("fld_team", "cutoff").agg(F.count(F.when(F.col("twice"), 1)).alias("b2b"), F.sort_array(F.collect_list("who")).alias("ids"))
+    x = asof.asof_join(asked, run, ["fld_team", "season"], "cutoff", "day").join(recent, ["fld_team", "cutoff"], "left").join(pool, ["fld_team", "cutoff"], "left")
     era = lambda n, k: F.floor(2700.0 * (F.col(n) - F.col(k)) / F.nullif(F.col(k), F.lit(0)) + 0.500001) / 100
     closer = F.when(F.col("top.c") > 0, -F.col("top.w"))
     return x.select(

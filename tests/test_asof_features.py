@@ -151,3 +151,20 @@ def test_versions_are_claimed_once(spark, tmp_path):
     (tmp_path / "v" / "_claims" / "2").touch()  # another writer is at work on version 2
     assert tables.write_version(spark.range(5), path, []) and tables.newest_version(spark, path) == 3
     assert tables.current(spark, path).count() == 5 and tables.current(spark, path, 1).count() == 3
+
+
+def test_pool_follows_the_work(spark):
+    """Spells of relievers are no more than the changes, and overlaps give each common day once."""
+    from pitsports.operators import asof
+    from pitsports.plans import base, pitching_queries
+
+    a = base.appearances(base.pitches(spark, SF)).persist()
+    used = pitching_queries.relievers_used(a).count()
+    spells = pitching_queries.pool_spells(a).persist()
+    assert used <= spells.count() <= 4 * used
+    asked = a.where("not started").selectExpr("fld_team", "who", "explode(sequence(1, 30)) as n", "unix_date(day) as day").selectExpr("fld_team", "who", "day + n as at").distinct()
+    days = spells.selectExpr("fld_team", "who", "explode(sequence(since, until - 1)) as at")
+    assert days.count() == asked.count() == days.join(asked, ["fld_team", "who", "at"]).count()
+    left, right = (spark.createDataFrame(x, f"k int, since int, until int, {n} string") for x, n in (([(1, -5, 70, "x"), (2, 3, 4, "y")], "a"), ([(1, -9, 0, "p"), (1, 31, 33, "q"), (1, 69, 90, "r"), (2, 4, 5, "s"), (2, 0, 0, "t")], "b")))
+    out = asof.overlaps(left, right, ["k"]).selectExpr("k", "a", "b", "explode(sequence(since, until - 1)) as at").collect()
+    assert sorted((x.b, x["at"]) for x in out) == [*(("p", d) for d in range(-5, 0)), ("q", 31), ("q", 32), ("r", 69)]
