@@ -149,3 +149,10 @@ def test_translation_by_hand(spark):
     assert c.b == pytest.approx(slope) and c.c == pytest.approx(slope * (got["p", 2003][1] + got["q", 2003][1]) / 2) and c.players == 2
     adj = {r.player: r.adj for r in translation.adjustments(xs, translation.fitted(xs, outcomes)).collect()}
     assert adj["p"] == pytest.approx(0.15) and adj["q"] == pytest.approx(-0.15)
+
+
+def test_probability_has_no_largest_score(spark):
+    got = spark.createDataFrame([(0,), (3,), (40,)], "y int").select(spread.probability(F.array(F.lit(12.0), F.lit(9.5)), F.lit(4.0), F.col("y")).alias("p")).collect()
+    pmf = lambda m, k: math.comb(k + 3, k) * (4 / (4 + m)) ** 4 * (m / (4 + m)) ** k
+    for (p,), y in zip(got, (0, 3, 40), strict=True):
+        assert p == pytest.approx(sum(pmf(12.0, i) * pmf(9.5, y - i) for i in range(y + 1)), rel=1e-12)
