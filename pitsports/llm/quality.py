@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Words are runs of characters other than ASCII white space. Every word and every pair of neighbouring words falls into
-one of ``buckets`` bins by hash. Two multinomials over the bins are counted - one over a bounded sample labelled good,
+one of ``buckets`` bins by hash. Two multinomials over the bins are counted - one over all documents labelled good,
 one over the whole raw corpus - and each document is scored by the mean over its n-grams of
 ``ln(p_target(bin) / p_raw(bin))``. A document is kept if its score reaches a threshold; nothing is sampled.
 
@@ -26,8 +26,8 @@ from pitsports.llm.common import packed, unpacked
 BUCKETS = 4096
 #: Pseudo-count of each bin in both multinomials.
 SMOOTHING = 1.0
-#: Labelled documents that the target is counted on and the threshold is set by.
-SAMPLE = 20_000
+#: Labelled ids that are sent to all tasks; beyond that they are joined by shuffle. All are used either way.
+SENT = 2_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
@@ -63,14 +63,14 @@ def bins_of(h: Column, buckets: int) -> Column:
     )
 
 
-def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled ids (a documented bound, those that hash lowest), as a broadcast: no text is shuffled."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """All labelled ids. Up to ``SENT`` of them (counted) travel to all tasks, so that no text is shuffled; more are joined by shuffle."""
     seen = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), "quality").distinct()
-    return F.broadcast(seen.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample))
+    return F.broadcast(seen) if seen.count() <= SENT else seen
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """ln(p_target / p_raw) of each bin: the raw counts cover all documents, the target those of the sample labelled good.
+    """ln(p_target / p_raw) of each bin: the raw counts cover all documents, the target those of all documents labelled good.
 
     One flat aggregation on the bin number; the partial aggregation leaves at most ``buckets`` rows a task.
     """
@@ -172,7 +172,7 @@ def mean_ratio(h: Column, model: list[float]) -> Column:
 def threshold(docs: DataFrame, labels: DataFrame, model: list[float], bins: int = 2000, low: float = -4.0, high: float = 4.0) -> float:
     """The score that best separates good from bad labels: the cut with the largest true-positive minus false-positive rate.
 
-    The sample's scores are counted in ``bins`` equal steps, so the driver sees ``bins`` rows at most. Ties take the
+    The labelled documents' scores are counted in ``bins`` equal steps, so the driver sees ``bins`` rows at most. Ties take the
     lowest cut (fewer documents go). Without both labels the cut is ``low`` (keep all).
     """
     step = (high - low) / bins

@@ -438,3 +438,13 @@ def test_selective_reads_skip_pages_and_columns(spark):
 def test_documents_fixture_has_the_cases():
     rows = documents()
     assert any(r[1] is None for r in rows) and any(r[1] == "" for r in rows) and max(len(r[1] or "") for r in rows) > 20_000
+
+
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """More labels than the former bound of 20,000, sent to all tasks or joined by shuffle."""
+    labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    docs = spark.range(25_000).selectExpr("id as doc_id", "if(id % 2 = 1, concat('good', id % 7), concat('bad', id % 5)) as text")
+    assert quality.labelled(labels).count() == 25_000
+    sent = quality.fit(docs, labels, 64), quality.threshold(docs, labels, [0.01 * i for i in range(64)])
+    monkeypatch.setattr(quality, "SENT", 10)
+    assert (quality.fit(docs, labels, 64), quality.threshold(docs, labels, [0.01 * i for i in range(64)])) == sent
