@@ -182,13 +182,14 @@ def expected(spark, sf):
     f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LATEST}) = 1",
 )
 def stream_merge(spark, sf):
-    """The line items as a file stream in three batches, oldest ship dates first; later batches replace keys of earlier ones."""
+    """The line items as a file stream in three batches, oldest ship dates first; later batches replace keys of earlier ones. A
+    batch is as many files as its writers make; the job is started anew for each."""
     source, path, mark = _scratch(spark), _scratch(spark), _scratch(spark)
     line = table(spark, sf, "lineitem")
     for lo, hi in (("1900-01-01", "1994-01-01"), ("1994-01-01", "1996-01-01"), ("1996-01-01", "2100-01-01")):
-        line.where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(line.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.merge_stream(stream, path, mark, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ORDER]).awaitTermination()
+        line.where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(line.schema).parquet(source)
+        jobs.merge_stream(stream, path, mark, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ORDER]).awaitTermination()
     return jobs.merged_table(spark, path).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 

@@ -168,3 +168,19 @@ def test_pool_follows_the_work(spark):
     left, right = (spark.createDataFrame(x, f"k int, since int, until int, {n} string") for x, n in (([(1, -5, 70, "x"), (2, 3, 4, "y")], "a"), ([(1, -9, 0, "p"), (1, 31, 33, "q"), (1, 69, 90, "r"), (2, 4, 5, "s"), (2, 0, 0, "t")], "b")))
     out = asof.overlaps(left, right, ["k"]).selectExpr("k", "a", "b", "explode(sequence(since, until - 1)) as at").collect()
     assert sorted((x.b, x["at"]) for x in out) == [*(("p", d) for d in range(-5, 0)), ("q", 31), ("q", 32), ("r", 69)]
+
+
+@pytest.mark.parametrize("name", ["str1_stream_merge_latest", "str2_late_facts"])
+def test_batches_are_written_by_many_tasks(spark, monkeypatch, name):
+    """A batch of a stream is no single file, so no task reads or writes it whole."""
+    import pathlib
+
+    from pitsports.plans import game_queries, table_queries
+
+    paths = []
+    for module in (game_queries, table_queries):
+        made = module._scratch
+        monkeypatch.setattr(module, "_scratch", lambda s, made=made: paths.append(made(s)) or paths[-1])
+    with base.overridden(lineitem=lambda rows: rows.repartition(5)):
+        QUERIES[name](spark, SF)
+    assert len(list(pathlib.Path(paths[0].removeprefix("file:")).glob("*.parquet"))) > 3
