@@ -107,7 +107,8 @@ def dispersed_counts(rows: DataFrame, y: Column, terms: Sequence[Column], offset
     ``log alpha = a0 + a1 log mu``, mean and dispersion fitted jointly by Newton's method with halved steps.
 
     Each step is one aggregation of log-likelihood, gradient and second derivatives over the (counted) cells; digamma and
-    trigamma differences are finite sums over a count. ``ridge`` holds the terms, not the intercept. Returns ``beta``
+    trigamma differences are finite sums over a count. It ends with the first step that moves no parameter by more than
+    ``tolerance``: a small gradient alone leaves a parameter of little curvature open. ``ridge`` holds the terms, not the intercept. Returns ``beta``
     (intercept first), ``a0``, ``a1``, ``loglik`` (without terms of y alone), ``gradient`` (its largest element) and ``n``.
     """
     x = [F.lit(1.0), *terms]
@@ -153,12 +154,10 @@ def dispersed_counts(rows: DataFrame, y: Column, terms: Sequence[Column], offset
 
     value, gradient, hessian = at(theta)
     for _ in range(steps):
-        if np.abs(gradient).max() <= tolerance * start["n"]:
-            break
         curve = -hessian
         while np.linalg.eigvalsh(curve)[0] <= 0:  # far from the optimum: towards the gradient
             curve = curve + np.eye(k + 2) * max(1.0, -2 * np.linalg.eigvalsh(curve)[0])
-        step = np.linalg.solve(curve, gradient)
+        step = np.linalg.lstsq(curve, gradient, rcond=1e-12)[0]  # what the rows leave open stays where it is
         for _ in range(30):
             tried = at(theta + step)
             if tried[0] >= value - 1e-9 * abs(value):
@@ -166,6 +165,8 @@ def dispersed_counts(rows: DataFrame, y: Column, terms: Sequence[Column], offset
             step = step / 2
         theta = theta + step
         value, gradient, hessian = tried
+        if np.abs(step).max() <= tolerance:
+            break
     cells.unpersist()
     return {"beta": theta[:k].tolist(), "a0": float(theta[k]), "a1": float(theta[k + 1]), "loglik": float(value), "gradient": float(np.abs(gradient).max()), "n": start["n"]}
 

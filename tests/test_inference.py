@@ -70,6 +70,15 @@ def test_dispersed_counts_reach_the_optimum(spark):
     assert rowwise["beta"] == pytest.approx(m["beta"], abs=1e-7) and rowwise["a1"] == pytest.approx(m["a1"], abs=1e-6)
 
 
+def test_dispersed_counts_settle_parameters_of_little_curvature(spark):
+    rng = np.random.default_rng(6)
+    x = (np.arange(2000) % 500 == 0).astype(float)  # four rows decide about its coefficient
+    y = rng.negative_binomial(2.5, 2.5 / (2.5 + np.exp(0.5 + x + np.arange(2000) % 3 / 10)))
+    df = spark.createDataFrame([(float(a), float(i % 3) / 10, int(c)) for i, (a, c) in enumerate(zip(x, y, strict=True))], "x double, o double, y int")
+    of = lambda tolerance: (lambda m: [*m["beta"], m["a0"], m["a1"]])(fit.dispersed_counts(df, F.col("y"), [F.col("x")], F.col("o"), ridge=0.0, tolerance=tolerance, discrete=True))
+    assert of(1e-4) == pytest.approx(of(1e-11), abs=1e-6)
+
+
 def test_dispersed_counts_without_spread(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (5,)], "y int")
     assert math.isfinite(fit.dispersed_counts(df, F.col("y"), [])["loglik"])
