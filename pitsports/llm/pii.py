@@ -7,11 +7,11 @@ overlap within a kind; a match that fails its check is dropped. Base spans are a
 Format features (digits, separators, brackets, checksum, largest part, ...) and context features (the characters before
 and after, a cue word nearby) describe each. Boosted trees score them.
 
-*Labels.* The trees learn on a bounded sample of documents, each once as it is and once *rewritten*: addresses with
+*Labels.* The trees learn on all documents, each once as it is and once *rewritten*: addresses with
 ``[at]`` and ``[dot]``, numbers without their plus sign or with 00, cards with other separators. A candidate is positive if
 it stands for a value that the document is known to hold, in whatever format: the same digits, or the same address once
 the brackets are undone. All others are negative. So the trees see personal data in formats that the base patterns do
-not match, in its real surroundings. The threshold of each kind is calibrated on the other half of the sample as the
+not match, in its real surroundings. The threshold of each kind is calibrated on the other half of them as the
 lowest score from which at least ``PRECISION`` of the candidates are positive. Selected candidates that overlap no base
 span are added, best score first, without overlaps. What overlaps a base span is left out before it is scored.
 
@@ -51,8 +51,8 @@ LOOSE = {
 }
 LOOSE_TELLTALE = {"email": r"@[A-Za-z0-9]|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"[0-9]{3}[\x20.-]?[0-9]{3}|\([0-9]{2,4}\)"}
 CUES = r"(?i)mail|phone|tel|call|fax|mobile|card|visa|credit|contact|address|host|server|login"
-#: Documents in the training sample, and the trees.
-SAMPLE, TREES, DEPTH, PRECISION = 20_000, 10, 4, 0.95
+#: The trees, and the share of a kind's candidates that must be positive from its threshold on.
+TREES, DEPTH, PRECISION = 10, 4, 0.95
 CONTEXT = 24
 #: Numbers that are folded at a time, code points of a text that are looked into at a time, and beyond any place in a text.
 BLOCK, CHUNK, LAST = 64, 1024, 2**31 - 1
@@ -258,18 +258,15 @@ class Selector:
         return F.element_at(F.array(*[F.lit(float(t)) for t in self.thresholds]), x["k"] + 1)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Selector:
-    """Learn from the candidates of about ``sample`` documents (those whose id hashes lowest)."""
+def fit(docs: DataFrame) -> Selector:
+    """Learn from the candidates of one half of the documents (by the hash of their ids), calibrate on those of the other."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    share = min(1.0, sample / max(1, docs.count()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    few = docs.where(place < int(share * (1 << 20))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    few = few.withColumn("row", F.xxhash64("doc_id", "text"))
-    known = few.select("row", F.explode(F.transform(base_spans(F.col("text")), lambda x: known_as(x["k"], x["v"]))).alias("value"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    known = texts.select("row", F.explode(F.transform(base_spans(F.col("text")), lambda x: known_as(x["k"], x["v"]))).alias("value"))
     known = known.distinct().withColumn("label", F.lit(1.0))
-    both = few.select("doc_id", "row", F.explode(F.array("text", rewritten(F.col("text"), F.col("doc_id")))).alias("text"))
+    both = texts.select("doc_id", "row", F.explode(F.array("text", rewritten(F.col("text"), F.col("doc_id")))).alias("text"))
     both = described(both.withColumn("cand", candidates(F.col("text"))))
     rows = both.select("doc_id", "row", F.explode("cand").alias("x")).withColumn("value", known_as(F.col("x.k"), F.col("x.v")))
     rows = rows.join(known, ["row", "value"], "left").select(

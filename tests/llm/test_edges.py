@@ -381,6 +381,13 @@ def test_running_sums_by_block(spark):
         assert got == [2 * (i + 1) for i in range(n)]
 
 
+def test_pii_learns_from_every_document(spark):
+    """Only a tenth of 24,000 documents holds a number, the tenth with the highest hashes."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    d = spark.range(24_000).withColumnRenamed("id", "doc_id").withColumn("text", F.when(place >= 0.9, F.concat(F.lit("call +49 30 1234 "), (1000 + F.col("doc_id") % 9000).cast("string"))).otherwise("room 123 456 7890"))
+    assert pii.fit(d).trees
+
+
 def test_trees_find_formats_that_base_does_not(spark):
     rng = np.random.default_rng(5)
     number = lambda: f"{rng.integers(1, 99)} ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
