@@ -30,28 +30,31 @@ mm AS (SELECT stat, level, sum(w) AS sw, sum(w * xs) AS sx, sum(w * y) AS sy, su
 consts AS (SELECT stat, level, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx / sw AS c, players FROM mm)"""
 
 
-def _translation(spark, sf):
-    """Season lines of three levels, their histories before each season, and outcomes of players' first major seasons."""
+def _translation(spark, sf, every: bool):
+    """From season lines of three levels: the outcomes of players' first major seasons, and the histories before these or, for
+    ``every`` player, before each season."""
     level = F.when(F.col("pitch_no") <= 3, 1).when(F.col("pitch_no") <= 5, 11).otherwise(12).alias("level")
     lines = pitches(spark, sf).groupBy((F.col("batter_id") * 5 + F.col("pitcher_id") % 5).alias("player"), F.year("data_date").alias("season"), level)
-    lines = lines.agg(F.count("*").alias("n"), F.count(F.when(F.col("result") == "R", 1)).alias("k"), F.sum("velo").alias("v"))
+    lines = tables.settled(lines.agg(F.count("*").alias("n"), F.count(F.when(F.col("result") == "R", 1)).alias("k"), F.sum("velo").alias("v")))  # read six times below
     relative = translation.relative_rates(lines, {"k": "k", "v": "v"})
-    seasons = lines.select(F.col("season").alias("target")).distinct()
-    targets = lines.where("level in (11, 12)").select("player").distinct().crossJoin(F.broadcast(seasons))  # a row a season
-    xs = translation.histories(relative, targets, (11, 12), SHRINK, skipped=SKIPPED)
     firsts = lines.where("level = 1").groupBy("player").agg(F.min("season").alias("season"))
     long = lines.where("level = 1").join(firsts, ["player", "season"]).where(F.col("season").isin(list(FIT_SEASONS)) & (F.col("n") >= CHANCES))
     long = long.select("player", F.col("season").alias("target"), F.col("n").alias("w"), F.explode(F.array(F.struct(F.lit("k").alias("stat"), F.col("k").cast("double").alias("sum")), F.struct(F.lit("v").alias("stat"), F.col("v").alias("sum")))).alias("e")).select("player", "target", "w", "e.*")
     major = lines.where("level = 1").groupBy((F.col("season") + 1).alias("target")).agg((F.sum("k") / F.sum("n")).alias("_k"), (F.sum("v") / F.sum("n")).alias("_v"))
     outcomes = long.join(F.broadcast(major), "target").select("player", "target", "stat", "w", (F.col("sum") / F.col("w") - F.when(F.col("stat") == "k", F.col("_k")).otherwise(F.col("_v"))).alias("y"))
-    return xs, outcomes
+    if every:
+        seasons = lines.select(F.col("season").alias("target")).distinct()
+        targets = lines.where("level in (11, 12)").select("player").distinct().crossJoin(F.broadcast(seasons))  # a row a season
+    else:
+        targets = outcomes.select("player", "target")
+    return tables.settled(translation.histories(relative, targets, (11, 12), SHRINK, skipped=SKIPPED)), outcomes
 
 
 @query("survey_op28_translation", f"{TRANSLATION} SELECT stat, level, round(b, 8) AS b, round(c, 8) AS c, players, TRUE AS matches FROM consts")
 def translation_constants(spark, sf):
     """Constants from first seasons in the fit's seasons, stored as a version; a refit is compared with the stored ones."""
     path = _scratch(spark)
-    xs, outcomes = _translation(spark, sf)
+    xs, outcomes = _translation(spark, sf, every=False)
     tables.write_version(translation.fitted(xs, outcomes), path, [])
     frozen = tables.current(spark, path)
     again = gates.changed_rows(frozen, translation.fitted(xs, outcomes), ["stat", "level"], ["b", "c", "players"], tolerance=1e-9)
@@ -66,7 +69,7 @@ FROM (SELECT player, target, stat, sum(n * (b * xs - c)) / sum(n) AS adj, sum(n)
 )
 def rookie_adjustment(spark, sf):
     """What a player's minor-league seasons change about the rates expected of a first major season."""
-    xs, outcomes = _translation(spark, sf)
+    xs, outcomes = _translation(spark, sf, every=True)
     adj = translation.adjustments(xs, translation.fitted(xs, outcomes))
     of = lambda s: F.max(F.when(F.col("stat") == s, F.col("adj")))
     return adj.groupBy("player", "target").agg(r(of("k"), 8).alias("adj_k"), r(of("v"), 7).alias("adj_v"), r(F.max("n")).alias("n_minor"))
