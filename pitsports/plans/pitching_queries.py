@@ -317,7 +317,7 @@ tg AS (SELECT lu.game_id, bat_team, any_value(lu.date) AS date, any_value(lu.sea
 def lineups(p: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``LINEUPS``: the batters of each game, and a row for each team and game."""
     b = p.where("pitch_no <= 4").groupBy("game_id", "bat_team", "date", "season", "batter_id").agg(F.min("pitch_no").alias("first"), F.max("data_date").alias("seen"))
-    b = asof.sequence_numbers(b, ["game_id", "bat_team"], ["first", "batter_id"], "slot")
+    b = tables.settled(asof.sequence_numbers(b, ["game_id", "bat_team"], ["first", "batter_id"], "slot"))
     hand = starters(a).select("game_id", "bat_team", F.when(F.col("who") % 3 == 0, "L").otherwise("R").alias("hand"))
     return b, b.groupBy("game_id", "bat_team", "date", "season").agg(F.max("seen").alias("day")).join(hand, ["game_id", "bat_team"])
 
@@ -359,19 +359,25 @@ SELECT game_id, bat_team, batter_id, round(sum(k) / any_value(n), 8) AS share, C
 )
 def projected(spark, sf):
     """Who may start: of the team's last fourteen games known before the date, those against a starter of today's hand (all if
-    there is none); for each batter the share of them started and the most common slot (ties: the higher one)."""
+    there is none); for each batter the share of them started and the most common slot (ties: the higher one).
+
+    All games of a team on a day against the same hand have one answer, which is worked out once."""
     p = pitches(spark, sf)
     b, team = lineups(p, appearances(p))
+    team = tables.settled(team)
     known = team.withColumn("known", F.year("day"))
-    order = [F.col("day"), F.col("game_id")]
-    seq = asof.sequence_in_blocks(known, ["bat_team"], "known", order, "i")
-    last = asof.count_before(team.withColumn("known", F.year("date")), known, ["bat_team"], "known", "date", "day", "last").where("last > 0")
+    seq = asof.sequence_in_blocks(known, ["bat_team"], "known", [F.col("day"), F.col("game_id")], "i")
+    question = ["bat_team", "date", "hand"]
+    asked = team.select(*question, F.year("date").alias("known")).distinct()  # at most two a team and day, however many games
+    last = asof.count_before(asked, known, ["bat_team"], "known", "date", "day", "last").where("last > 0")
     places = F.explode(F.sequence(F.greatest(F.col("last") - (LOOK_BACK - 1), F.lit(1)), F.col("last")))
     past = seq.select("bat_team", "i", F.col("game_id").alias("past"), F.col("hand").alias("past_hand"))
-    win = last.select("game_id", "bat_team", "hand", places.alias("i")).join(past, ["bat_team", "i"]).withColumn("same", F.col("hand") == F.col("past_hand"))
-    of_game = Window.partitionBy("game_id", "bat_team")
-    used = win.withColumn("n_same", F.sum(F.col("same").cast("int")).over(of_game)).where("same or n_same = 0").withColumn("n", F.count("*").over(of_game))
+    win = last.select(*question, places.alias("i")).join(past, ["bat_team", "i"]).withColumn("same", F.col("hand") == F.col("past_hand"))
+    whole = Window.partitionBy(*question)
+    used = win.withColumn("n_same", F.sum(F.col("same").cast("int")).over(whole)).where("same or n_same = 0").withColumn("n", F.count("*").over(whole))
     batters = b.select(F.col("game_id").alias("past"), "bat_team", "batter_id", "slot")
-    by_slot = used.select("game_id", "bat_team", "past", "n").join(batters, ["past", "bat_team"]).groupBy("game_id", "bat_team", "batter_id", "slot").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    out = by_slot.groupBy("game_id", "bat_team", "batter_id").agg(r(F.sum("k") / F.first("n"), 8).alias("share"), F.max_by("slot", F.struct("k", -F.col("slot"))).cast("long").alias("slot"))
-    return out.withColumn("pool", F.count("*").over(of_game))
+    by_slot = used.select(*question, "past", "n").join(batters, ["past", "bat_team"]).groupBy(*question, "batter_id", "slot").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    shares = by_slot.groupBy(*question, "batter_id").agg(r(F.sum("k") / F.first("n"), 8).alias("share"), F.max_by("slot", F.struct("k", -F.col("slot"))).cast("long").alias("slot"))
+    pools = shares.groupBy(*question).agg(F.collect_list(F.struct("batter_id", "share", "slot")).alias("of"))  # the batters of fourteen games
+    out = team.select("game_id", *question).join(pools, question)
+    return out.select("game_id", "bat_team", F.size("of").cast("long").alias("pool"), F.explode("of").alias("x")).select("game_id", "bat_team", "x.*", "pool")
