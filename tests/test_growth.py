@@ -37,7 +37,7 @@ def test_leak_test_joins_the_facts_once(spark):
 
 def test_sessions_have_partitions_for_their_tables(spark, monkeypatch):
     assert base.sized(spark, SF) is spark
-    monkeypatch.setattr(base, "PART", 16 << 10)
+    monkeypatch.setattr(base, "PART", 4 << 10)
     before = spark.conf.getAll
     own = base.sized(spark, SF)
     assert int(own.conf.get("spark.sql.shuffle.partitions")) > 4 and spark.conf.getAll == before
