@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, rates, tables
-from pitsports.plans.base import APPEARANCES, CENTRED, DECAYED, WITH_PITCHES, appearances, pitches, query, r, starters
+from pitsports.plans.base import APPEARANCES, CENTRED, DECAYED, WITH_PITCHES, appearances, pitches, query, r, settled_appearances, starters
 from pitsports.plans.table_queries import _scratch
 
 WITH_APPEARANCES = f"{WITH_PITCHES}, {APPEARANCES}"
@@ -189,7 +189,7 @@ SELECT a.game_id, a.fld_team, x.pool, x.available, x.worked_yesterday, round(ski
 )
 def bullpen(spark, sf):
     """The pool and who of it can pitch; the available ones' decayed strikeout rate by share of late work and by share of all work."""
-    a = tables.settled(appearances(pitches(spark, sf)))
+    a = settled_appearances(pitches(spark, sf))
     facts = a.groupBy("who", F.col("known").alias("season"), "day").agg(F.sum("k").alias("s"), F.sum("n").alias("n"))
     x = pool_totals(a, rates.decayed_spells(pool_seasons(a), facts, 60.0, 0.25), ["value"])
     games = starters(a).select("game_id", "fld_team", F.col("date").alias("cutoff"))
@@ -209,7 +209,7 @@ SELECT st.game_id, st.fld_team, round(coalesce(value, 0) / 100, 5) AS sp_stuff,
 def stuff_rates(spark, sf):
     """Integer pitch scores as centred rates, for the starter and, by share of late work, for the relievers who can pitch."""
     p = pitches(spark, sf)
-    a = tables.settled(appearances(p))
+    a = settled_appearances(p)
     score = F.round((F.col("velo") - 25) * 100 + F.col("px") * 2000 - F.col("pz") * 1500).cast("long")
     facts = p.groupBy(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     starter = starters(a).select("game_id", "fld_team", "who", "season", F.col("date").alias("cutoff"))

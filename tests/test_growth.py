@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from pitsports.operators import tables
 from pitsports.plans import base, leak_queries, registry
 from tests.conftest import SF
 
@@ -45,3 +51,27 @@ def test_sessions_have_partitions_for_their_tables(spark, monkeypatch):
     small = registry.QUERIES["survey_op16_actual_lineup"]
     assert small(spark, SF).sparkSession.conf.get("spark.sql.shuffle.partitions") == own.conf.get("spark.sql.shuffle.partitions")
     assert small(spark, SF).groupBy("slot").count().orderBy("slot").collect()[0]["count"] == base.pitches(spark, SF).select("game_id", "bat_team").distinct().count()
+
+
+def _shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x for d in dirs for x in Path(str(d)).rglob("shuffle_*.data")}
+
+
+def test_tidy_sessions_leave_no_shuffle_files(spark):
+    for session, stay in ((spark, True), (tables.tidy(spark), False)):
+        before = _shuffle_files(spark)
+        rows = tables.settled(session.range(10000).groupBy((F.col("id") % 1000).alias("k")).count(), spark)
+        until = time.time() + 10
+        while not stay and _shuffle_files(spark) - before and time.time() < until:  # they go in the background
+            time.sleep(0.1)
+        assert bool(_shuffle_files(spark) - before) == stay
+        assert rows.sparkSession is spark and rows.count() == 1000
+
+
+def test_assembly_settles_its_feature_rows(spark):
+    asked = []
+    with base.overridden(lineitem=lambda rows: asked.append(1) or rows):
+        plan = _plan(registry.QUERIES["jn2_full_assembly"](spark, SF))
+    assert len(asked) == 1 and plan.count("Join LeftOuter") == 10
+    assert not any(word in plan for word in ("Window", "Aggregate", "Generate", "l_orderkey"))
