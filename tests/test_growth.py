@@ -75,3 +75,12 @@ def test_assembly_settles_its_feature_rows(spark):
         plan = _plan(registry.QUERIES["jn2_full_assembly"](spark, SF))
     assert len(asked) == 1 and plan.count("Join LeftOuter") == 10
     assert not any(word in plan for word in ("Window", "Aggregate", "Generate", "l_orderkey"))
+
+
+def test_queries_over_all_facts_run_in_sized_sessions(spark, monkeypatch):
+    monkeypatch.setattr(base, "PART", 4 << 10)
+    wanted = base.sized(spark, SF).conf.get("spark.sql.shuffle.partitions")
+    assert int(wanted) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("survey_op33_batter_form", "survey_op10_starter_row", "dq_domain_gates", "dq1_dq3_dq20_gates", "survey_op1_decayed_shrunk_rate"):
+        conf = registry.QUERIES[name](spark, SF).sparkSession.conf
+        assert conf.get("spark.sql.shuffle.partitions") == wanted and conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == base.JOINED
