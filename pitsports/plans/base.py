@@ -73,15 +73,16 @@ WITH_PITCHES = f"WITH {GAMES}, {PITCHES}"
 WITH_TEAM_GAMES = f"WITH {GAMES}, {TEAM_GAMES}"
 
 
-#: Bytes of the given tables' files for each partition of a shuffle, partitions up to which a session is left as it is, and the
-#: bytes to which adaptive execution joins partitions (64 MB of lines, its default, are 2.3 GB in a task).
-PART, FEW, JOINED = 4 << 20, 8, "8m"
+#: Bytes of the given tables' files for each partition of a shuffle, partitions up to which a session is left as it is, the
+#: bytes to which adaptive execution joins partitions (64 MB of lines, its default, are 2.3 GB in a task), and the bytes of a
+#: file that a task reads (it keeps their rows until it writes its shuffle file; a row group is never split).
+PART, FEW, JOINED, READ = 4 << 20, 8, "8m", 16 << 20
 
 
 def sized(spark: SparkSession, sf_dir: str) -> SparkSession:
     """The session, or for tables of more than ``FEW`` parts of ``PART`` bytes a session like it that has at least as many shuffle
-    partitions as they have parts, small when joined: what a task holds then does not grow with the tables. The given session's
-    settings stay as they are."""
+    partitions as they have parts, small when joined, and reads files in small splits: what a task holds then does not grow with
+    the tables. The given session's settings stay as they are."""
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     size = 0
     for name in ("customer", "supplier", "part", "orders", "lineitem", "events"):
@@ -93,6 +94,7 @@ def sized(spark: SparkSession, sf_dir: str) -> SparkSession:
     own = tables.same_settings(spark)
     own.conf.set("spark.sql.shuffle.partitions", max(-(-size // PART), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED)
+    own.conf.set("spark.sql.files.maxPartitionBytes", READ)
     return own
 
 

@@ -84,3 +84,13 @@ def test_queries_over_all_facts_run_in_sized_sessions(spark, monkeypatch):
     for name in ("survey_op33_batter_form", "survey_op10_starter_row", "dq_domain_gates", "dq1_dq3_dq20_gates", "survey_op1_decayed_shrunk_rate"):
         conf = registry.QUERIES[name](spark, SF).sparkSession.conf
         assert conf.get("spark.sql.shuffle.partitions") == wanted and conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == base.JOINED
+
+
+def test_sized_sessions_read_files_in_small_splits(spark, monkeypatch):
+    monkeypatch.setattr(base, "PART", 4 << 10)
+    monkeypatch.setattr(base, "READ", 8 << 10)
+    size = Path(f"{SF}/lineitem.parquet").stat().st_size
+    lines = base.table(base.sized(spark, SF), SF, "lineitem")
+    assert lines.rdd.getNumPartitions() >= size // base.READ > 1
+    assert base.table(spark, SF, "lineitem").rdd.getNumPartitions() < size // base.READ
+    assert lines.count() == base.table(spark, SF, "lineitem").count()
