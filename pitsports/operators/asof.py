@@ -130,10 +130,10 @@ def at_cutoffs(questions: DataFrame, daily: DataFrame, by: Sequence[str], cutoff
     """``questions`` with the latest row of the small table ``daily`` before their cutoff.
 
     For tables with few keys, such as a league's days: only the distinct cutoffs meet them in an as-of join, and the
-    questions join its result by key and cutoff, so no key's questions are one partition.
+    questions join its result, a row a key and day, by key and cutoff, so no key's questions are one partition and none are shuffled.
     """
     found = asof_join(questions.select(*by, cutoff).distinct(), daily, by, cutoff, day)
-    return questions.join(found, [*by, cutoff], "left")
+    return questions.join(F.broadcast(found), [*by, cutoff], "left")
 
 
 def price_in_effect(questions: DataFrame, ticks: DataFrame, by: Sequence[str], at: str, close: str, ts: str, max_days: int) -> DataFrame:

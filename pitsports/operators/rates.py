@@ -107,40 +107,101 @@ def centred_rate(questions: DataFrame, facts: DataFrame, who: str, k: float, wei
     return out.select(who, "season", "cutoff", value.alias("value"), zero("cum_n").alias("cur_n"), zero("pri_n").alias("pri_n"))
 
 
-def season_spells(daily: DataFrame, asked: DataFrame) -> DataFrame:
-    """Running sums ``cum_s`` and ``cum_n`` of each ``who`` and season as spells of cutoffs that see the same facts: who, season,
-    since, until (day numbers, the end left out).
+def histories(questions: DataFrame, facts: DataFrame, sums: Sequence[str], lags: int = len(SEASON_WEIGHTS)) -> DataFrame:
+    """Each question (who, season, cutoff and any other columns), repeated ones too, with the sums of its own facts: ``cum_<sum>``
+    of its season before the cutoff and ``last<l>_<sum>`` of the ``l``-th season before; null where there are none.
 
-    ``daily`` holds who, season (that of the day), day, s and n; the seasons ``asked`` (who, season) are covered from their first day on.
+    ``facts`` (who, season, day and ``sums``) may have many rows a day. Both meet in one shuffle by who, which all windows share; a
+    question with a null key or cutoff has no facts.
+    """
+    asked = questions.select("who", "season", F.col("cutoff").alias("_at"), F.lit(0).alias("_side"), F.struct(*[F.col(c) for c in questions.columns]).alias("_asked"))
+    known = facts.select("who", "season", F.col("day").alias("_at"), F.lit(1).alias("_side"), *sums)
+    both = asked.unionByName(known, allowMissingColumns=True).repartition("who")
+    now = Window.partitionBy("who", "season").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    x = both.select("who", "season", "_at", "_asked", *sums, *[F.sum(c).over(now).alias(f"cum_{c}") for c in sums])
+    x = x.select("_asked", "who", "season", "_at", *[f"cum_{c}" for c in sums], *_last_seasons(sums, lags)).where("_asked is not null")
+    usable = F.col("who").isNotNull() & F.col("season").isNotNull() & F.col("_at").isNotNull()
+    names = [f"cum_{c}" for c in sums] + [f"last{i}_{c}" for c in sums for i in range(1, lags + 1)]
+    return x.select("_asked.*", *[F.when(usable, F.col(c)).alias(c) for c in names])
+
+
+def _last_seasons(sums: Sequence[str], lags: int) -> list[Column]:
+    """``last<l>_<sum>``: sums of who's rows of the ``l``-th season before."""
+    back = lambda i: Window.partitionBy("who").orderBy("season").rangeBetween(-i, -i)
+    return [F.sum(c).over(back(i)).alias(f"last{i}_{c}") for c in sums for i in range(1, lags + 1)]
+
+
+def _spells(facts: DataFrame, asked: DataFrame, lags: int) -> DataFrame:
+    """Running sums ``cum_s`` and ``cum_n`` of each who and season as spells of cutoffs that see the same facts, with the sums of
+    the last seasons (``last<l>_s``, ``last<l>_n``): who, season, since, until (day numbers, the end left out).
+
+    ``facts`` holds who, season (that of the day), day, s and n; the seasons ``asked`` (who, season) are covered from their first day on.
     """
     start = asked.select("who", "season", F.make_date(F.col("season") - 1, F.lit(12), F.lit(31)).alias("day"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
-    both = start.distinct().unionByName(daily.select("who", "season", "day", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))
+    both = start.distinct().unionByName(facts.select("who", "season", "day", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))).repartition("who")
     own = Window.partitionBy("who", "season").orderBy("day")
     end = F.unix_date(F.make_date(F.col("season") + 1, F.lit(1), F.lit(1)))
     known = F.unix_date("day") + 1
-    out = both.select("who", "season", known.alias("since"), F.coalesce(F.lead(known).over(own), end).alias("until"), *[F.sum(c).over(own).alias(f"cum_{c}") for c in ("s", "n")])
-    return out.where("since < until")
+    out = both.select("who", "season", "s", "n", known.alias("since"), F.coalesce(F.lead(known).over(own), end).alias("until"), *[F.sum(c).over(own).alias(f"cum_{c}") for c in ("s", "n")])
+    return out.select("who", "season", "since", "until", "cum_s", "cum_n", *_last_seasons(["s", "n"], lags)).where("since < until")  # of facts of one day the last
+
+
+def _served(c: str, weights: Sequence[float]) -> Column:
+    """The sums ``last<l>_<c>`` by weight, null where there are none."""
+    some = F.coalesce(*[F.col(f"last{i}_{c}") for i in range(1, len(weights) + 1)]).isNotNull()
+    return F.when(some, sum((float(w) * F.coalesce(F.col(f"last{i}_{c}"), F.lit(0)) for i, w in enumerate(weights, 1)), F.lit(0.0)))
+
 
+def _less_league(weights: Sequence[float]) -> Column:
+    """Of a row with :func:`histories`' or spells' columns and ``means`` (season to the league's rate): the last seasons' sums by
+    weight, each less its own league's rate."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return sum((float(w) * (zero(f"last{i}_s") - zero(f"last{i}_n") * F.coalesce(F.col("means")[F.col("season") - i], F.lit(0.0))) for i, w in enumerate(weights, 1)), F.lit(0.0))
+
+
+def league_days(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``facts`` (season, day, s, n): the league's rate up to each day of a season (season, day, ``league``), and one row with
+    each season's rate as the map ``means``. Both are small: a row a day, an entry a season."""
+    by_day = tables.settled(facts.groupBy("season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    run = asof.running_totals(by_day, ["season"], "day", {"s": F.col("s"), "n": F.col("n")})
+    means = by_day.where("season is not null").groupBy("season").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return run.select("season", "day", (F.col("cum_s") / F.col("cum_n")).alias("league")), means.agg(F.map_from_entries(F.collect_list(F.struct("season", "mean"))).alias("means"))
 
-def centred_spells(asked: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], k: float) -> DataFrame:
+
+def centred_histories(questions: DataFrame, facts: DataFrame, league: tuple[DataFrame, DataFrame], k: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
+    """``questions`` (who, season, cutoff and other columns), repeated ones too, with the ``value`` of :func:`centred_rate`; ``league``
+    is :func:`league_days` of the facts, which may have many rows a day."""
+    x = histories(questions, facts, ["s", "n"], len(weights)).crossJoin(F.broadcast(league[1]))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    x = x.select(*questions.columns, "cum_s", "cum_n", _less_league(weights).alias("pri_rc"), F.coalesce(_served("n", weights), F.lit(0.0)).alias("pri_n"))
+    days = asof.asof_join(questions.select("season", "cutoff").distinct(), league[0], ["season"], "cutoff", "day").select("season", "cutoff", "league")
+    x = x.join(F.broadcast(days), ["season", "cutoff"], "left")  # a row a day
+    value = (zero("cum_s") - zero("cum_n") * zero("league") + F.col("pri_rc")) / (zero("cum_n") + F.col("pri_n") + k)
+    return x.select(*questions.columns, value.alias("value"))
+
+
+def centred_spells(asked: DataFrame, facts: DataFrame, league: tuple[DataFrame, DataFrame], k: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
     """:func:`centred_rate` of every day of the seasons ``asked`` (who, season): who, since, until, ``fixed`` and ``slope``; the
-    value at a cutoff is ``fixed`` less ``slope`` times the league's rate then."""
-    facts, _, prior = parts
-    x = season_spells(facts, asked).join(prior, ["who", "season"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    all_n = F.col("cum_n") + zero("pri_n") + k
-    return x.select("who", "since", "until", ((F.col("cum_s") + zero("pri_rc")) / all_n).alias("fixed"), (F.col("cum_n") / all_n).alias("slope"))
+    value at a cutoff is ``fixed`` less ``slope`` times the league's rate then. ``league`` is :func:`league_days` of the facts."""
+    x = _spells(facts, asked, len(weights)).crossJoin(F.broadcast(league[1]))
+    all_n = F.col("cum_n") + F.coalesce(_served("n", weights), F.lit(0.0)) + k
+    return x.select("who", "since", "until", ((F.col("cum_s") + _less_league(weights)) / all_n).alias("fixed"), (F.col("cum_n") / all_n).alias("slope"))
+
+
+def _league_before(facts: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """The league's rates of the season before (season, mu_<sum>): a row a season."""
+    return facts.groupBy((F.col("season") + 1).alias("season")).agg(*[(F.sum(c) / F.sum("n")).alias(f"mu_{c}") for c in sums])
 
 
-def decayed_parts(facts: DataFrame, weights: Sequence[float] = SEASON_WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What :func:`decayed_rate` reads, from ``facts``: sums by day (settled once), the last seasons' weighted sums (who, season,
-    pri_s, pri_n) and the league's rate of the season before (season, mu)."""
-    daily = tables.settled(facts.groupBy("who", "season", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    totals = daily.groupBy("who", "season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    served = asof.serve_seasons(totals, "season", len(weights)).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("lag")))
-    prior = served.groupBy("who", F.col("target").alias("season")).agg(F.sum(F.col("w") * F.col("s")).alias("pri_s"), F.sum(F.col("w") * F.col("n")).alias("pri_n"))
-    league = totals.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("s") / F.sum("n")).alias("mu"))
-    return daily, prior, league
+def decayed_rates(questions: DataFrame, facts: DataFrame, rates: dict[str, tuple[float, float]], weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
+    """``questions`` (who, season, cutoff and other columns), repeated ones too, with a rate by ``n`` for each sum of ``facts`` that
+    ``rates`` names with its k and default, as in :func:`decayed_rate`, and ``rookie``. ``facts`` may have many rows a day; they are
+    read twice (for the league's rates, and with the questions)."""
+    lags = len(weights)
+    x = histories(questions, facts, [*rates, "n"], lags).join(F.broadcast(_league_before(facts, list(rates))), "season", "left")
+    own = lambda c, k, default: shrunk_rate(F.col(f"cum_{c}"), F.col("cum_n"), k, F.coalesce(f"mu_{c}", F.lit(default)), [(1.0, _served(c, weights), _served("n", weights))])
+    rookie = F.col("cum_n").isNull() & _served("n", weights).isNull()
+    return x.select(*questions.columns, rookie.alias("rookie"), *[own(c, k, default).alias(c) for c, (k, default) in rates.items()])
 
 
 def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
@@ -150,19 +211,16 @@ def decayed_rate(questions: DataFrame, facts: DataFrame, k: float, default: floa
     day's. This season's facts before the cutoff and the last seasons' by ``weights`` are shrunk by ``k`` towards last
     season's league rate, or ``default`` where there is none.
     """
-    daily, prior, league = decayed_parts(facts, weights)
-    run = asof.running_totals(daily, ["who", "season"], "day", {"s": F.col("s"), "n": F.col("n")}).select("who", "season", "day", "cum_s", "cum_n")
     asked = questions.select("who", "season", "cutoff").distinct()
-    out = asof.asof_join(asked, run, ["who", "season"], "cutoff", "day").join(prior, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
-    value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu", F.lit(default)), [(1.0, F.col("pri_s"), F.col("pri_n"))])
-    return out.select("who", "season", "cutoff", (F.col("cum_n").isNull() & F.col("pri_n").isNull()).alias("rookie"), value.alias("value"))
+    out = decayed_rates(asked, tables.settled(facts.select("who", "season", "day", "s", "n")), {"s": (k, default)}, weights)
+    return out.select("who", "season", "cutoff", "rookie", F.col("s").alias("value"))
 
 
 def decayed_spells(asked: DataFrame, facts: DataFrame, k: float, default: float, weights: Sequence[float] = SEASON_WEIGHTS) -> DataFrame:
-    """:func:`decayed_rate` of every day of the seasons ``asked`` (who, season), as spells: who, since, until, value."""
-    daily, prior, league = decayed_parts(facts, weights)
-    x = season_spells(daily, asked).join(prior, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
-    value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu", F.lit(default)), [(1.0, F.col("pri_s"), F.col("pri_n"))])
+    """:func:`decayed_rate` of every day of the seasons ``asked`` (who, season), as spells: who, since, until, value. ``facts`` may have
+    many rows a day; they are read twice."""
+    x = _spells(facts, asked, len(weights)).join(F.broadcast(_league_before(facts, ["s"])), "season", "left")  # a row a season
+    value = shrunk_rate(F.col("cum_s"), F.col("cum_n"), k, F.coalesce("mu_s", F.lit(default)), [(1.0, _served("s", weights), _served("n", weights))])
     return x.select("who", "since", "until", value.alias("value"))
 
 

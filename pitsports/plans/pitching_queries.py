@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsports.functions import columns as fn
 from pitsports.operators import asof, rates, tables
-from pitsports.plans.base import APPEARANCES, CENTRED, DECAYED, WITH_PITCHES, appearances, pitches, query, r, settled_appearances, starters
+from pitsports.plans.base import APPEARANCES, CENTRED, DECAYED, WITH_PITCHES, appearances, pitches, query, r, settled_appearances, settled_pitches, starters
 from pitsports.plans.table_queries import _scratch
 
 WITH_APPEARANCES = f"{WITH_PITCHES}, {APPEARANCES}"
@@ -25,11 +25,11 @@ FROM st a ASOF LEFT JOIN c ON c.who = a.who AND c.season = a.season AND a.date >
 )
 def starter_history(spark, sf):
     """Starts and batters faced this season, the last outing and the rest since, and last season's starts, all as known before the game."""
-    a = appearances(pitches(spark, sf))
-    daily = a.where("started").groupBy("who", F.col("known").alias("season"), "day").agg(F.count(F.when(F.col("fresh"), 1)).alias("g"), F.sum("n").alias("bf"), F.max_by("n", F.struct("game_id", "fld_team")).alias("last_bf"))
+    a = settled_appearances(pitches(spark, sf))
+    daily = a.where("started").withColumn("season", F.col("known")).repartition("who", "season").groupBy("who", "season", "day").agg(F.count(F.when(F.col("fresh"), 1)).alias("g"), F.sum("n").alias("bf"), F.max_by("n", F.struct("game_id", "fld_team")).alias("last_bf"))
     before = Window.partitionBy("who", "season").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     run = daily.select("who", "season", "day", F.col("day").alias("last"), "last_bf", F.sum("g").over(before).alias("starts"), F.sum("bf").over(before).alias("bf"))
-    asked = starters(a).drop("bat_team")
+    asked = starters(a, "who", "season").drop("bat_team")
     prior = daily.groupBy("who", (F.col("season") + 1).alias("season")).agg(F.sum("g").alias("prior_starts"))
     out = asof.asof_join(asked, run, ["who", "season"], "date", "day").join(prior, ["who", "season"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
@@ -43,13 +43,13 @@ SELECT q.game_id, q.fld_team, round(sum(f.n) / nullif(count(*) FILTER (WHERE f.f
 )
 def team_hook(spark, sf):
     """Mean length of the team's starts that became known in the last thirty days, above the league's of last season."""
-    a = appearances(pitches(spark, sf))
+    a = settled_appearances(pitches(spark, sf))
     w, begun = a.where("started"), F.count(F.when(F.col("fresh"), 1))
     league = w.groupBy((F.col("known") + 1).alias("season")).agg((F.sum("n") / F.nullif(begun, F.lit(0))).alias("m"))
     q = starters(a).select("game_id", "fld_team", "season", F.col("date").alias("cutoff"))
     daily = w.groupBy("fld_team", "day").agg(F.sum("n").alias("s"), begun.alias("c"))
     seen = asof.trailing_totals(q, daily, ["fld_team"], "cutoff", "day", 30, {"s30": F.sum("s"), "c30": F.sum("c")})
-    out = q.join(seen, ["fld_team", "cutoff"]).join(F.broadcast(league), "season")  # a row a season
+    out = q.join(F.broadcast(seen), ["fld_team", "cutoff"]).join(F.broadcast(league), "season")  # a row a team and day, a row a season
     return out.select("game_id", "fld_team", r(F.col("s30") / F.nullif(F.col("c30"), F.lit(0)) - F.col("m")).alias("hook"))
 
 
@@ -81,17 +81,17 @@ SELECT game_id, fld_team, who AS starter_id, round(3 * (k_rate - coalesce(mu, 0.
 )
 def starter_row(spark, sf):
     """Skill against the league, rookie, velocity change, expected length, its share of a segment, third time through, opener."""
-    a = appearances(pitches(spark, sf))
+    a = settled_appearances(pitches(spark, sf))
     began = F.col("started")
-    daily = a.groupBy("who", F.col("known").alias("season"), "day").agg(
+    daily = a.withColumn("season", F.col("known")).repartition("who", "season").groupBy("who", "season", "day").agg(
         F.count(F.when(F.col("fresh"), 1)).alias("apps"), F.count(F.when(began & F.col("fresh"), 1)).alias("starts"), F.coalesce(F.sum(F.when(began, F.col("n"))), F.lit(0)).alias("bf"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("v").alias("v")
     )
     names = ["apps", "starts", "bf", "k", "n", "v"]
     run = asof.running_totals(daily, ["who", "season"], "day", {c: F.col(c) for c in names})
     run = run.select("who", "season", "day", F.col("day").alias("last"), (F.col("starts") > 0).alias("last_started"), *[f"cum_{c}" for c in names])
     before = daily.groupBy("who", (F.col("season") + 1).alias("season")).agg(*[F.sum(c).alias(f"y_{c}") for c in names])
-    league = daily.groupBy((F.col("season") + 1).alias("season")).agg((F.sum("k") / F.sum("n")).alias("mu"))
-    asked = starters(a).drop("bat_team")
+    league = a.groupBy((F.col("known") + 1).alias("season")).agg((F.sum("k") / F.sum("n")).alias("mu"))
+    asked = starters(a, "who", "season").drop("bat_team")
     x = asof.asof_join(asked, run, ["who", "season"], "date", "day").join(before, ["who", "season"], "left").join(F.broadcast(league), "season", "left")  # a row a season
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     mu = F.coalesce("mu", F.lit(0.2))
@@ -190,11 +190,15 @@ SELECT a.game_id, a.fld_team, x.pool, x.available, x.worked_yesterday, round(ski
 def bullpen(spark, sf):
     """The pool and who of it can pitch; the available ones' decayed strikeout rate by share of late work and by share of all work."""
     a = settled_appearances(pitches(spark, sf))
-    facts = a.groupBy("who", F.col("known").alias("season"), "day").agg(F.sum("k").alias("s"), F.sum("n").alias("n"))
-    x = pool_totals(a, rates.decayed_spells(pool_seasons(a), facts, 60.0, 0.25), ["value"])
+    facts = a.select("who", F.col("known").alias("season"), "day", F.col("k").alias("s"), "n")
+    x = tables.settled(pool_totals(a, rates.decayed_spells(pool_seasons(a), facts, 60.0, 0.25), ["value"]))
     games = starters(a).select("game_id", "fld_team", F.col("date").alias("cutoff"))
-    return games.join(x, ["fld_team", "cutoff"]).select("game_id", "fld_team", "pool", "available", "worked_yesterday", r(F.col("late_value"), 8).alias("skill_late"), r(F.col("all_value"), 8).alias("skill_all"))
+    out = games.join(F.broadcast(x), ["fld_team", "cutoff"])  # a row a team and day
+    return out.select("game_id", "fld_team", "pool", "available", "worked_yesterday", r(F.col("late_value"), 8).alias("skill_late"), r(F.col("all_value"), 8).alias("skill_all"))
+
 
+#: Columns of facts that appearances and lineups read.
+FACTS = ("game_id", "pitch_no", "pitcher_id", "batter_id", "velo", "result", "date", "season", "data_date", "fld_team", "bat_team")
 
 SCORE = "CAST(round((velo - 25) * 100 + px * 2000 - pz * 1500) AS BIGINT)"
 
@@ -208,16 +212,15 @@ SELECT st.game_id, st.fld_team, round(coalesce(value, 0) / 100, 5) AS sp_stuff,
 )
 def stuff_rates(spark, sf):
     """Integer pitch scores as centred rates, for the starter and, by share of late work, for the relievers who can pitch."""
-    p = pitches(spark, sf)
-    a = settled_appearances(p)
+    p = settled_pitches(spark, sf, *FACTS, "px", "pz")
+    a = settled_appearances(p.repartition("game_id"))
     score = F.round((F.col("velo") - 25) * 100 + F.col("px") * 2000 - F.col("pz") * 1500).cast("long")
-    facts = p.groupBy(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum(score).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
+    facts = p.select(F.col("pitcher_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day"), score.alias("s"), F.lit(1).alias("n"))
+    league = rates.league_days(facts)
+    pen = tables.settled(pool_totals(a, rates.centred_spells(pool_seasons(a), facts, league, 300.0), ["fixed", "slope"])).withColumn("season", F.year("cutoff"))
+    pen = asof.at_cutoffs(pen, league[0], ["season"], "cutoff", "day").select("fld_team", "cutoff", (F.col("late_fixed") - F.col("late_slope") * F.coalesce("league", F.lit(0.0))).alias("pen"))
     starter = starters(a).select("game_id", "fld_team", "who", "season", F.col("date").alias("cutoff"))
-    parts = rates.centred_parts(facts, "who", rates.SEASON_WEIGHTS)
-    rate = rates.centred_rate(starter, facts, "who", 300.0, rates.SEASON_WEIGHTS, parts).select("who", "season", "cutoff", "value")
-    pen = pool_totals(a, rates.centred_spells(pool_seasons(a), parts, 300.0), ["fixed", "slope"]).withColumn("season", F.year("cutoff"))
-    pen = asof.at_cutoffs(pen, parts[1], ["season"], "cutoff", "day").select("fld_team", "cutoff", (F.col("late_fixed") - F.col("late_slope") * F.coalesce("league", F.lit(0.0))).alias("pen"))
-    out = starter.join(rate, ["who", "season", "cutoff"], "left").join(pen, ["fld_team", "cutoff"], "left")
+    out = rates.centred_histories(starter, facts, league, 300.0).join(F.broadcast(pen), ["fld_team", "cutoff"], "left")  # a row a team and day
     zero = lambda c: r(F.coalesce(F.col(c), F.lit(0.0)) / 100, 5)
     return out.select("game_id", "fld_team", zero("value").alias("sp_stuff"), zero("pen").alias("pen_stuff"))
 
@@ -331,14 +334,13 @@ FROM lu JOIN tg USING (game_id, bat_team) JOIN wo ON wo.who = lu.batter_id AND w
 )
 def lineup_features(spark, sf):
     """Decayed rates of the batters as of the game, weighted by slot; share of them on the better side of the starter; rookies."""
-    p = pitches(spark, sf)
-    b, team = lineups(p, appearances(p))
-    asked = b.select(F.col("batter_id").alias("who"), "season", F.col("date").alias("cutoff")).distinct()
-    kind = lambda c: F.count(F.when(F.col("result") == c, 1))
-    daily = p.groupBy(F.col("batter_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day")).agg(F.sum("velo").alias("v"), (kind("R") - kind("N")).alias("kb"), F.count("*").alias("n"))
-    wo = rates.decayed_rate(asked, daily.withColumn("s", F.col("v")), 60.0, 25.0)
-    kb = rates.decayed_rate(asked, daily.withColumn("s", F.col("kb")), 60.0, 0.0).select("who", "season", "cutoff", F.col("value").alias("kb"))
-    x = b.select("game_id", "bat_team", "slot", F.col("batter_id").alias("who"), "season", F.col("date").alias("cutoff")).join(wo.join(kb, ["who", "season", "cutoff"]), ["who", "season", "cutoff"]).join(team.select("game_id", "bat_team", "hand"), ["game_id", "bat_team"])
+    p = settled_pitches(spark, sf, *FACTS)
+    by_game = p.repartition("game_id")
+    b, team = lineups(by_game, appearances(by_game))
+    kind = lambda c: F.when(F.col("result") == c, 1).otherwise(0)
+    facts = p.select(F.col("batter_id").alias("who"), F.year("data_date").alias("season"), F.col("data_date").alias("day"), F.col("velo").alias("value"), (kind("R") - kind("N")).alias("kb"), F.lit(1).alias("n"))
+    asked = b.select("game_id", "bat_team", "slot", F.col("batter_id").alias("who"), "season", F.col("date").alias("cutoff")).where("who is not null and season is not null and cutoff is not null")
+    x = rates.decayed_rates(asked, facts, {"value": (60.0, 25.0), "kb": (60.0, 0.0)}).join(team.select("game_id", "bat_team", "hand"), ["game_id", "bat_team"])
     w = 1.0 / F.col("slot")
     mean = lambda v: F.sum(v * w) / F.sum(w)
     better = F.when((F.col("who") % 2 == 0) == (F.col("hand") == "L"), 0.0).otherwise(1.0)
